@@ -62,14 +62,30 @@ def _prefix(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, name: str = "pos") -> DataFrame:
-    """Exact 1-based row number per key; ``order`` must be total and ``slot`` non-decreasing along it."""
+def positions(
+    df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, name: str = "pos", coarse: Column | None = None
+) -> DataFrame:
+    """Exact 1-based row number per key; ``order`` must be total and ``slot`` non-decreasing along it.
+
+    Where slots are as fine as the sort value itself (needed when many rows share one value and the tie-breaker
+    has to split them), ``coarse`` names a non-decreasing bucket of slots and offsets are built in two levels.
+    """
     tagged = df.withColumn(SLOT, slot)
-    counts = tagged.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*keys, SLOT, F.coalesce(F.sum("_n").over(_prefix(keys)), F.lit(0)).alias("_offset"))
+    if coarse is not None:
+        tagged = tagged.withColumn("_coarse", coarse)
+    extra = [] if coarse is None else ["_coarse"]
+    counts = tagged.groupBy(*keys, *extra, SLOT).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_prefix([*keys, *extra])), F.lit(0))
+    offsets = counts.select(*keys, *extra, SLOT, before.alias("_offset"))
+    if coarse is not None:
+        w = Window.partitionBy(*keys).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+        base = counts.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
+        base = base.select(*keys, "_coarse", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+        offsets = match(offsets, base, [*keys, "_coarse"]).withColumn("_offset", F.col("_offset") + F.col("_base"))
+        offsets = offsets.drop("_coarse", "_base")
     local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy(*order)))
     joined = match(local, offsets, [*keys, SLOT])
-    return joined.withColumn(name, (F.col("_rn") + F.col("_offset")).cast("long")).drop("_rn", "_offset", SLOT)
+    return joined.withColumn(name, (F.col("_rn") + F.col("_offset")).cast("long")).drop("_rn", "_offset", SLOT, *extra)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, **wanted) -> DataFrame:

@@ -16,7 +16,7 @@ def normal(frame):
     import pandas as pd
 
     def show(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return "NULL"
         if hasattr(v, "tolist") and not isinstance(v, (str, float)):
             v = v.tolist()
