@@ -259,10 +259,10 @@ def _validated(spark, folder):
     return va.validate_population(t, t.select("formula_id").distinct(), 30, K, 0.1, 0.6)
 
 
-@query("G18_validate_population", with_views("trades", f"SELECT formula_id, n_trades, {r('p_value','mean_oos','sharpe_oos','dsr_prob')}, bh_accept, rejected_by FROM val", **VALID))
+@query("G18_validate_population", with_views("trades", f"SELECT formula_id, n_trades, {r('p_value','mean_oos','sharpe_oos','dsr_prob')}, coalesce(bh_accept,false) AS bh_accept, rejected_by FROM val", **VALID))
 def _(spark, folder):
     got = _validated(spark, folder)
-    return got.select("formula_id", "n_trades", *rc("p_value", "mean_oos", "sharpe_oos", "dsr_prob"), "bh_accept", "rejected_by")
+    return got.select("formula_id", "n_trades", *rc("p_value", "mean_oos", "sharpe_oos", "dsr_prob"), F.coalesce("bh_accept", F.lit(False)).alias("bh_accept"), "rejected_by")
 
 
 @query("G06_gate_diagnostic", with_views("trades", "SELECT round(avg((rejected_by IS NULL)::INT),6) AS survivor_density, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE rejected_by IS NULL) AS median_trades FROM val", **VALID))
@@ -475,13 +475,13 @@ def _(spark, folder):
 RANK = "SELECT alpha_id, formula_json, sharpe*0.7::DOUBLE + win_rate*0.3::DOUBLE AS fitness, sharpe*0.7::DOUBLE + win_rate*0.3::DOUBLE - (length(formula_json)-length(replace(formula_json,'[','')))*0.001::DOUBLE AS penalised FROM (SELECT *, row_number() OVER (PARTITION BY formula_json ORDER BY alpha_id) AS k FROM c) WHERE k = 1"
 
 
-@query("G29_rank_population", with_views("alpha_stats formulas", "SELECT alpha_id, formula_json, round(fitness,6)+0.0::DOUBLE AS fitness, round(penalised,6)+0.0::DOUBLE AS penalised, row_number() OVER (ORDER BY penalised DESC, formula_json) AS rank, row_number() OVER (ORDER BY penalised DESC, formula_json) <= greatest(1, floor(count(*) OVER ()*0.1)) AS elite FROM x", c=CAND, x=RANK))
+@query("G29_rank_population", with_views("alpha_stats formulas", "SELECT alpha_id, formula_json, round(fitness,9)+0.0::DOUBLE AS fitness, round(penalised,9)+0.0::DOUBLE AS penalised, row_number() OVER (ORDER BY penalised DESC, formula_json) AS rank, row_number() OVER (ORDER BY penalised DESC, formula_json) <= greatest(1, floor(count(*) OVER ()*0.1)) AS elite FROM x", c=CAND, x=RANK))
 def _(spark, folder):
     from barloom.sources.lake import keep_first
 
     c = keep_first(_candidates(spark, folder).select("alpha_id", "formula_json", "sharpe", "win_rate"), ["formula_json"], ["alpha_id"])
     got = pp.rank_population(c, {"sharpe": 0.7, "win_rate": 0.3}, 0.001)
-    return got.select("alpha_id", "formula_json", *rc("fitness", "penalised"), "rank", "elite")
+    return got.select("alpha_id", "formula_json", *rc("fitness", "penalised", digits=9), "rank", "elite")
 
 
 @query("G30_stagnation_flags", with_views("cycle_log", "SELECT cycle, best_fitness, coalesce(best_fitness <= lag(best_fitness, 7) OVER (ORDER BY cycle) + 0.02, false) AS stagnant FROM cycle_log"))
