@@ -255,7 +255,7 @@ def _(spark, folder):
 @query(
     "E24_ewma_state",
     with_views(
-        "", "SELECT symbol AS lane, ts, round(y,6) AS smoothed FROM ema JOIN num USING (symbol, n)",
+        "", "SELECT symbol AS lane, ts, round(y,9) AS smoothed FROM ema JOIN num USING (symbol, n)",
         num="SELECT o_orderpriority AS symbol, o_orderdate AS ts, avg(o_totalprice)/1000 AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS n FROM orders GROUP BY 1,2",
         ema="SELECT symbol, n, x AS y FROM num WHERE n = 1 UNION ALL SELECT s.symbol, s.n, s.x*0.3::DOUBLE + e.y*0.7::DOUBLE FROM ema e JOIN num s ON s.symbol=e.symbol AND s.n=e.n+1",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
@@ -264,7 +264,7 @@ def _(spark, folder):
     o = views.table(spark, folder, "orders")
     metric = o.groupBy(F.col("o_orderpriority").alias("lane"), F.col("o_orderdate").alias("ts")).agg((F.avg("o_totalprice") / 1000).alias("metric"))
     got = ft.ewma_state(metric, ["lane"], ["ts"], time_slot("ts", 365 * 86400), "metric", 0.3)
-    return got.select("lane", "ts", rounded("smoothed").alias("smoothed"))
+    return got.select("lane", "ts", rounded("smoothed", 9).alias("smoothed"))
 
 
 # ---- rules, edges, trades -------------------------------------------------------------------------------------
@@ -315,11 +315,11 @@ def trades_ctes(view: str, rules) -> dict[str, str]:
     }
 
 
-R_TRADE = ", ".join(f"round({c},6)+0.0::DOUBLE AS {c}" for c in ("exec_price", "exit_price", "cost", "pnl"))
+R_TRADE = ", ".join(f"round({c},10)+0.0::DOUBLE AS {c}" for c in ("exec_price", "exit_price", "cost", "pnl"))
 
 
 def trade_columns():
-    return [rounded(c).alias(c) for c in ("exec_price", "exit_price", "cost", "pnl")]
+    return [rounded(c, 10).alias(c) for c in ("exec_price", "exit_price", "cost", "pnl")]
 
 
 @query("B04_compile_formula", with_views("bars_1h", " UNION ALL ".join(f"SELECT {i} AS rule, symbol, count(*) FILTER (WHERE {rule_sql(t, SQL_COLUMNS)}) AS signals FROM lagged GROUP BY symbol" for i, t in enumerate(RULES)), **{k: v for k, v in trades_ctes("bars_1h", RULES).items() if k in ("base", "raw", "lagged")}))
@@ -369,7 +369,7 @@ def rule_ids_sql(rules) -> str:
 
 
 STATS_SQL = (
-    "SELECT formula_id, coalesce(n,0) AS n_trades, round(m,6)+0.0::DOUBLE AS mean_pnl, round(CASE WHEN n IS NULL THEN -1 WHEN sd = 0 THEN 0 ELSE m/sd END,6)+0.0::DOUBLE AS sharpe FROM ids "
+    "SELECT formula_id, coalesce(n,0) AS n_trades, round(m,10)+0.0::DOUBLE AS mean_pnl, round(CASE WHEN n IS NULL THEN -1 WHEN sd = 0 THEN 0 ELSE m/sd END,6)+0.0::DOUBLE AS sharpe FROM ids "
     "LEFT JOIN (SELECT formula_id, count(*) AS n, avg(pnl) AS m, stddev_samp(pnl) AS sd FROM trade GROUP BY 1) USING (formula_id)"
 )
 
@@ -378,11 +378,11 @@ STATS_SQL = (
 def _(spark, folder):
     trades = sg.evaluate_formulas(views.bars_user(spark, folder), RULE_SPEC, RULES, "6h", FEE, SLIP)
     got = pp.formula_stats(trades, sg.formula_table(spark, RULES))
-    return got.select("formula_id", "n_trades", rounded("mean_pnl").alias("mean_pnl"), rounded("sharpe").alias("sharpe"))
+    return got.select("formula_id", "n_trades", rounded("mean_pnl", 10).alias("mean_pnl"), rounded("sharpe").alias("sharpe"))
 
 
 FLAGSHIP_SQL = with_views(
-    "bars_1h", "SELECT symbol, count(*) AS n_trades, round(avg(pnl),6)+0.0::DOUBLE AS mean_pnl, round(avg(pnl)/stddev_samp(pnl),6)+0.0::DOUBLE AS sharpe FROM trade GROUP BY symbol",
+    "bars_1h", "SELECT symbol, count(*) AS n_trades, round(avg(pnl),10)+0.0::DOUBLE AS mean_pnl, round(avg(pnl)/stddev_samp(pnl),6)+0.0::DOUBLE AS sharpe FROM trade GROUP BY symbol",
     **trades_ctes("bars_1h", [FLAGSHIP]),
 )
 
@@ -393,5 +393,5 @@ def flagship(spark, folder):
     trades = sg.evaluate_formula(views.bars_1h(spark, folder), RULE_SPEC, FLAGSHIP, "1h", FEE, SLIP)
     sharpe = F.try_divide(F.avg("pnl"), F.stddev_samp("pnl"))
     return trades.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_trades"), rounded(F.avg("pnl")).alias("mean_pnl"), rounded(sharpe).alias("sharpe")
+        F.count(F.lit(1)).alias("n_trades"), rounded(F.avg("pnl"), 10).alias("mean_pnl"), rounded(sharpe).alias("sharpe")
     )

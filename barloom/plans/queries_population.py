@@ -22,12 +22,16 @@ from barloom.sources import views
 K, EMB = 5, 3
 
 
-def r(*names, digits: int = 6):
-    return ", ".join(f"round({n},{digits})+0.0::DOUBLE AS {n}" for n in names)
+P_VALUES = ("p_value", "dsr_prob", "p_binomial", "p_bootstrap")
 
 
-def rc(*names, digits: int = 6):
-    return [rounded(n, digits).alias(n) for n in names]
+def r(*names, digits: int = 10):
+    """Rounded columns; p-values come from different series on the two sides and are compared at six digits."""
+    return ", ".join(f"round({n},{6 if n in P_VALUES else digits})+0.0::DOUBLE AS {n}" for n in names)
+
+
+def rc(*names, digits: int = 10):
+    return [rounded(n, 6 if n in P_VALUES else digits).alias(n) for n in names]
 
 
 def t_p_sql(m: str, s: str, n: str) -> str:
@@ -84,13 +88,13 @@ def _user_stats(spark, folder, floor=1.2):
     return pp.formula_stats(t.where(F.col("pnl") > floor), t.select("formula_id").distinct())
 
 
-@query("G04_population_diag", with_views("trades", "SELECT count(*) AS pop, round(avg((n_trades=0)::INT),4) AS zero_trade_pct, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE n_trades>0) AS trades_median, round(quantile_cont(n_trades::DOUBLE,0.9) FILTER (WHERE n_trades>0),6) AS trades_p90, round(quantile_cont(sharpe,0.5) FILTER (WHERE n_trades>0),6) AS sharpe_median, round(quantile_cont(sharpe,0.9) FILTER (WHERE n_trades>0),6) AS sharpe_p90 FROM s", us=USER_STATS, s=ALL_STATS))
+@query("G04_population_diag", with_views("trades", "SELECT count(*) AS pop, round(avg((n_trades=0)::INT),4) AS zero_trade_pct, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE n_trades>0) AS trades_median, round(quantile_cont(n_trades::DOUBLE,0.9) FILTER (WHERE n_trades>0),10) AS trades_p90, round(quantile_cont(sharpe,0.5) FILTER (WHERE n_trades>0),10) AS sharpe_median, round(quantile_cont(sharpe,0.9) FILTER (WHERE n_trades>0),10) AS sharpe_p90 FROM s", us=USER_STATS, s=ALL_STATS))
 def _(spark, folder):
     got = pp.population_diag(_user_stats(spark, folder))
     return got.select("pop", "zero_trade_pct", *rc("trades_median", "trades_p90", "sharpe_median", "sharpe_p90"))
 
 
-@query("G04_population_extremes", with_views("trades", "SELECT side, formula_id, round(sharpe,6) AS sharpe FROM (SELECT 'top' AS side, * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY sharpe DESC, formula_id LIMIT 3) UNION ALL SELECT 'bottom', formula_id, round(sharpe,6) FROM (SELECT * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY sharpe, formula_id LIMIT 3)", us=USER_STATS, s=ALL_STATS))
+@query("G04_population_extremes", with_views("trades", "SELECT side, formula_id, round(sharpe,10) AS sharpe FROM (SELECT 'top' AS side, * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY sharpe DESC, formula_id LIMIT 3) UNION ALL SELECT 'bottom', formula_id, round(sharpe,10) FROM (SELECT * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY sharpe, formula_id LIMIT 3)", us=USER_STATS, s=ALL_STATS))
 def _(spark, folder):
     s = _user_stats(spark, folder).where(F.col("sharpe").isNotNull())
     return pp.population_extremes(s, []).select("side", "formula_id", *rc("sharpe"))
@@ -139,7 +143,7 @@ BINOM = (
 )
 
 
-@query("G12_sparse_fallback", with_views("trades", f"SELECT formula_id, round(CASE WHEN n < 5 THEN {BINOM} ELSE {t_p_sql('m','s','n')} END,6)+0.0::DOUBLE AS p_value, round(m,6)+0.0::DOUBLE AS mean_oos, n AS total_trades, true AS is_fallback FROM x", sp="SELECT * FROM trades WHERE abs(pnl) < 0.05", x=SPARSE))
+@query("G12_sparse_fallback", with_views("trades", f"SELECT formula_id, round(CASE WHEN n < 5 THEN {BINOM} ELSE {t_p_sql('m','s','n')} END,6)+0.0::DOUBLE AS p_value, round(m,10)+0.0::DOUBLE AS mean_oos, n AS total_trades, true AS is_fallback FROM x", sp="SELECT * FROM trades WHERE abs(pnl) < 0.05", x=SPARSE))
 def _(spark, folder):
     """Fold count above the number of returns: every rule takes the whole-sample branch."""
     t = views.trades(spark, folder).where(F.abs(F.col("pnl")) < 0.05)
@@ -228,7 +232,7 @@ def _perf(spark, folder):
 PBO_ROW = "SELECT count(*) AS valid_splits, count(*) FILTER (WHERE ro/(no-1)::DOUBLE > 0.5) AS overfit_splits, count(*) FILTER (WHERE ro/(no-1)::DOUBLE > 0.5)/count(*)::DOUBLE AS pbo FROM rk WHERE ri = 1 AND ni >= 2 AND no >= 2 AND oos IS NOT NULL"
 
 
-@query("G17_pbo", with_views("", "SELECT valid_splits, overfit_splits, round(pbo,6) AS pbo FROM x", **PBO, x=PBO_ROW))
+@query("G17_pbo", with_views("", "SELECT valid_splits, overfit_splits, round(pbo,10) AS pbo FROM x", **PBO, x=PBO_ROW))
 def _(spark, folder):
     return va.pbo(_perf(spark, folder), 12, 4, 5).select("valid_splits", "overfit_splits", *rc("pbo"))
 
@@ -265,7 +269,7 @@ def _(spark, folder):
     return got.select("formula_id", "n_trades", *rc("p_value", "mean_oos", "sharpe_oos", "dsr_prob"), F.coalesce("bh_accept", F.lit(False)).alias("bh_accept"), "rejected_by")
 
 
-@query("G06_gate_diagnostic", with_views("trades", "SELECT round(avg((rejected_by IS NULL)::INT),6) AS survivor_density, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE rejected_by IS NULL) AS median_trades FROM val", **VALID))
+@query("G06_gate_diagnostic", with_views("trades", "SELECT round(avg((rejected_by IS NULL)::INT),10) AS survivor_density, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE rejected_by IS NULL) AS median_trades FROM val", **VALID))
 def _(spark, folder):
     return pp.gate_diagnostic(cut_lineage(_validated(spark, folder))).select(*rc("survivor_density", "median_trades"))
 
@@ -304,7 +308,7 @@ def _(spark, folder):
     return pp.robust_score(evaluate, spark, RULES[:3], k=32).select("formula_id", *rc("robust_score", "base_mean", "base_mdd"), "n_trades")
 
 
-@query("G21_cum_min_drawdown", with_views("trades", "SELECT formula_id, round(abs(min(cum)),6) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trades) GROUP BY 1"))
+@query("G21_cum_min_drawdown", with_views("trades", "SELECT formula_id, round(abs(min(cum)),10) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trades) GROUP BY 1"))
 def _(spark, folder):
     return va.cum_min_drawdown(views.trades(spark, folder)).select("formula_id", *rc("mdd"))
 
@@ -362,7 +366,7 @@ CAND = (
 def _candidates(spark, folder):
     s = views.alpha_stats(spark, folder)
     f = views.formulas(spark, folder).withColumn("alpha_id", F.col("formula_no").cast("string"))
-    return s.join(f, "alpha_id").select("alpha_id", "formula_json", "n_trades", *rc("sortino", "sharpe"), "lane", "universe", *rc("win_rate", "mdd"), "portfolio_id")
+    return s.join(f, "alpha_id").select("alpha_id", "formula_json", "n_trades", *rc("sortino", "sharpe", digits=6), "lane", "universe", *rc("win_rate", "mdd", digits=6), "portfolio_id")
 
 
 @query("G26_promote", with_views("alpha_stats formulas", "SELECT alpha_id, formula_json, sortino FROM (SELECT *, row_number() OVER (PARTITION BY formula_json ORDER BY sortino DESC, alpha_id DESC) AS k FROM c WHERE n_trades >= 8 AND formula_json NOT IN (SELECT formula_json FROM c WHERE portfolio_id = 3)) WHERE k = 1 ORDER BY sortino DESC, alpha_id DESC LIMIT 7", c=CAND))
@@ -409,7 +413,7 @@ def _hygiene(spark, folder):
     s = views.alpha_stats(spark, folder)
     no = F.col("alpha_id").cast("long")
     zero = F.lit(0.0)
-    rec = s.select(no.alias("record_no"), "alpha_id", F.greatest(F.lit(1), F.col("n_trades") - no % 8).alias("n_trades"), *rc("sharpe", "sortino", "win_rate", "mdd")).unionByName(
+    rec = s.select(no.alias("record_no"), "alpha_id", F.greatest(F.lit(1), F.col("n_trades") - no % 8).alias("n_trades"), *rc("sharpe", "sortino", "win_rate", "mdd", digits=6)).unionByName(
         s.where(F.col("portfolio_id") < 6).select((no + 1_000_000_000).alias("record_no"), "alpha_id", "n_trades", zero.alias("sharpe"), zero.alias("sortino"), zero.alias("win_rate"), zero.alias("mdd"))
     )
     ranked = positions(views.alpha_returns(spark, folder), ["alpha_id"], ["ts", "trade_id"], time_slot("ts", 365 * 86400))
@@ -511,7 +515,7 @@ def _(spark, folder):
     return rd.jaccard_counts(views.formulas(spark, folder)).withColumn("jaccard", rounded("jaccard"))
 
 
-@query("G32_formula_diversity", with_views("formulas", "SELECT round(m,6) AS median_jaccard, n AS pairs, round(1-m,6) AS diversity FROM (SELECT sum(pairs)::BIGINT AS n, (min(j) FILTER (WHERE last > (tot-1)//2) + min(j) FILTER (WHERE last > ceil((tot-1)/2.0)))/2 AS m FROM (SELECT *, sum(pairs) OVER (ORDER BY j) AS last, sum(pairs) OVER () AS tot FROM x))", f=FSETS, s=SET_COUNTS, x=PAIRS))
+@query("G32_formula_diversity", with_views("formulas", "SELECT round(m,10) AS median_jaccard, n AS pairs, round(1-m,10) AS diversity FROM (SELECT sum(pairs)::BIGINT AS n, (min(j) FILTER (WHERE last > (tot-1)//2) + min(j) FILTER (WHERE last > ceil((tot-1)/2.0)))/2 AS m FROM (SELECT *, sum(pairs) OVER (ORDER BY j) AS last, sum(pairs) OVER () AS tot FROM x))", f=FSETS, s=SET_COUNTS, x=PAIRS))
 def _(spark, folder):
     got = rd.formula_diversity(views.formulas(spark, folder))
     return got.select(*rc("median_jaccard"), "pairs", *rc("diversity"))
@@ -534,7 +538,7 @@ def _(spark, folder):
     "G33_fitness_penalties",
     with_views(
         "trades",
-        "SELECT formula_id, round(sharpe - (mdd*0.4 + coalesce(conc,0)*0.25 + coalesce(vr,0)*0.15),6)+0.0::DOUBLE AS fitness FROM (SELECT formula_id, avg(pnl)/stddev_samp(pnl) AS sharpe, max(greatest(peak,0)-cum) AS mdd FROM (SELECT *, max(cum) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS peak FROM "
+        "SELECT formula_id, round(sharpe - (mdd*0.4 + coalesce(conc,0)*0.25 + coalesce(vr,0)*0.15),10)+0.0::DOUBLE AS fitness FROM (SELECT formula_id, avg(pnl)/stddev_samp(pnl) AS sharpe, max(greatest(peak,0)-cum) AS mdd FROM (SELECT *, max(cum) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS peak FROM "
         "(SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trades)) GROUP BY 1) JOIN (SELECT formula_id, max(abs(t))/sum(abs(t)) AS conc, var_samp(m) AS vr FROM (SELECT formula_id, symbol, sum(pnl) AS t, avg(pnl) AS m FROM trades GROUP BY 1,2) GROUP BY 1) USING (formula_id)",
     ),
 )

@@ -1 +1,110 @@
+"""Streaming queries, run over everything available and read back from their sinks (family K)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.functions.scalars import floor_to, rounded
+from barloom.plans.oracle_views import with_views
+from barloom.plans.queries_bars import R_BARS, price_columns
+from barloom.plans.registry import query
+from barloom.session import work_dir
+from barloom.sources import views
+from barloom.streaming import streams as ss
+
+SYM = ["symbol"]
+
+
+def events(spark, folder):
+    schema = views.table(spark, folder, "events").schema
+    return ss.read_stream(spark, folder, schema, "events.parquet")
+
+
+def tick_bars(ev):
+    """Each event as a one-tick bar at its own time."""
+    v = F.col("value")
+    return ev.select(
+        F.col("event_type").alias("symbol"), "ts", v.alias("open"), v.alias("high"), v.alias("low"), v.alias("close"), v.alias("volume"), "event_id"
+    )
+
+
+@query("K01_stream_bars", with_views("", "SELECT symbol, ts, " + R_BARS + " FROM b", b="SELECT event_type AS symbol, ts, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events"))
+def _(spark, folder):
+    lake = work_dir(spark, "lake")
+    bars = tick_bars(events(spark, folder)).select(
+        F.lit("v0").alias("venue"), F.lit("tick").alias("timeframe"), "symbol", "ts", "open", "high", "low", "close", F.lit(1.0).alias("volume")
+    )
+    ss.stream_bars(bars, lake)
+    return spark.read.parquet(lake).select("symbol", "ts", *price_columns())
+
+
+@query("K02_stream_dedupe", "SELECT DISTINCT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS ts FROM events")
+def _(spark, folder):
+    rows = events(spark, folder).select(F.col("event_type").alias("symbol"), floor_to("ts", 3600).alias("ts"))
+    return ss.run_to_files(ss.stream_dedupe(rows, ["symbol", "ts"], "60 days"), work_dir(spark, "dedupe"))
+
+
+RS = (
+    "SELECT event_type AS symbol, CASE WHEN epoch_us(ts) % 3600000000 = 0 THEN ts ELSE time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 hour' END AS ts, "
+    "arg_min(value, e.ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, e.ts) AS close, sum(value) AS volume FROM events e GROUP BY event_type, 2"
+)
+
+
+@query("K03_stream_resample", with_views("", f"SELECT symbol, ts, {R_BARS} FROM rs WHERE ts <= (SELECT date_trunc('millisecond', max(ts) - INTERVAL '1 microsecond') - INTERVAL '1 hour' FROM events)", rs=RS))
+def _(spark, folder):
+    out = ss.stream_resample(tick_bars(events(spark, folder)), SYM, "1h", "1 hour")
+    return ss.run_to_files(out, work_dir(spark, "resample")).select("symbol", "ts", *price_columns())
+
+
+@query("K09_stream_closed_bars", with_views("bars_1h", f"SELECT symbol, ts, {R_BARS} FROM bars_1h WHERE ts + INTERVAL '1 hour' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10 minutes' FROM events)"))
+def _(spark, folder):
+    out = ss.stream_closed_bars(tick_bars(events(spark, folder)), SYM, "1h", "10 minutes")
+    return ss.run_to_files(out, work_dir(spark, "closed")).select("symbol", "ts", *price_columns())
+
+
+@query(
+    "K04_stream_repairs",
+    with_views(
+        "bars_venue",
+        "SELECT symbol, ts, round(close,6) AS close FROM late s WHERE EXISTS (SELECT 1 FROM g WHERE s.symbol=g.symbol AND s.ts >= g.a + INTERVAL '1 hour' AND s.ts <= g.b - INTERVAL '1 hour')",
+        base="SELECT * FROM bars_venue WHERE venue='v0'",
+        late="SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS ts, min(value) AS close FROM events WHERE user_id % 2 = 1 GROUP BY 1,2",
+        g="SELECT * FROM (SELECT symbol, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS a, ts AS b FROM base) WHERE epoch(b)-epoch(a) > 5400",
+    ),
+)
+def _(spark, folder):
+    stored = lambda: views.bars_venue(spark, folder).where(F.col("venue") == "v0").drop("venue")
+    late = tick_bars(events(spark, folder).where(F.col("user_id") % 2 == 1)).withColumn("ts", floor_to("ts", 3600)).drop("event_id")
+    sink = work_dir(spark, "repairs")
+    ss.stream_repairs(late, stored, SYM, "1h", sink)
+    return spark.read.parquet(sink).select("symbol", "ts", rounded("close").alias("close"))
+
+
+@query("K05_stream_suppress")
+def _(spark, folder):
+    ss.use_rocksdb(spark)
+    a = events(spark, folder).select(
+        F.concat(F.lit("v"), F.col("user_id") % 2).alias("venue"), F.col("event_type").alias("symbol"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", (F.col("value") < 60).alias("missed"),
+    )
+    return ss.run_to_files(ss.stream_suppress(a, 3, 21_600), work_dir(spark, "suppress"))
+
+
+@query("K06_stream_counters", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")
+def _(spark, folder):
+    rows = events(spark, folder).select(F.col("event_type").alias("symbol"))
+    return ss.stream_counters(rows, SYM, work_dir(spark, "counters"))
+
+
+@query(
+    "K08_stream_ema",
+    with_views(
+        "", "SELECT num.symbol, us, round(y,6) AS ema FROM ema JOIN num USING (symbol, n)",
+        num="SELECT event_type AS symbol, epoch_us(ts) AS us, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events",
+        ema="SELECT symbol, n, x AS y FROM num WHERE n = 1 UNION ALL SELECT s.symbol, s.n, s.x*0.2::DOUBLE + e.y*0.8::DOUBLE FROM ema e JOIN num s ON s.symbol=e.symbol AND s.n=e.n+1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def _(spark, folder):
+    ss.use_rocksdb(spark)
+    v = events(spark, folder).select(F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("x"))
+    return ss.run_to_files(ss.stream_ema(v, 0.2), work_dir(spark, "ema")).withColumn("ema", rounded("ema"))
