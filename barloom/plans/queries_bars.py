@@ -402,6 +402,18 @@ def _(spark, folder):
     return oq.coverage_report(views.bars_venue(spark, folder), VS, "1h", SINCE)
 
 
+@query("D07_accept_bars")
+def _(spark, folder):
+    """Accepted series and their reports; repairs come from the other venue."""
+    from barloom.plans.flows import accept_bars
+
+    b = views.bars_venue(spark, folder)
+    late = b.where(F.col("venue") == "v1").withColumn("venue", F.lit("v0"))
+    bars, report = accept_bars(b, late, VS, "1h", 0.18, 2000)
+    n = bars.groupBy(*VS).agg(F.count(F.lit(1)).alias("kept_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return report.join(n, VS, "left").withColumn("gap_ratio", rounded("gap_ratio"))
+
+
 def _venue_1h(spark, folder):
     return views.bars_venue(spark, folder).withColumn("timeframe", F.lit("1h"))
 

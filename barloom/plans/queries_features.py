@@ -395,3 +395,23 @@ def flagship(spark, folder):
     return trades.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_trades"), rounded(F.avg("pnl"), 10).alias("mean_pnl"), rounded(sharpe).alias("sharpe")
     )
+
+
+def rule_grid(n: int = 100) -> list:
+    """n two-leaf rules over the rule features with graded thresholds."""
+    out = []
+    for i in range(n):
+        a, b = RULE_FEATURES[i % 5], RULE_FEATURES[(i // 5) % 5]
+        out.append([[a, ">", round(0.1 * (i % 13) - 0.6, 2)], "AND" if i % 2 else "OR", [b, "<", round(0.15 * (i % 11) - 0.5, 2)]])
+    return out
+
+
+GRID = rule_grid()
+
+
+@query("hundred_rules", with_views("bars_user", STATS_SQL, **trades_ctes("bars_user", GRID), ids=rule_ids_sql(GRID)))
+def _(spark, folder):
+    """Statistics of a hundred rules evaluated over the many-symbol panel in one pass."""
+    trades = sg.evaluate_formulas(views.bars_user(spark, folder), RULE_SPEC, GRID, "6h", FEE, SLIP)
+    got = pp.formula_stats(trades, sg.formula_table(spark, GRID))
+    return got.select("formula_id", "n_trades", rounded("mean_pnl", 10).alias("mean_pnl"), rounded("sharpe").alias("sharpe"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import formula as fm
+from barloom.functions.formula import tree_id
 from barloom.functions import stats as st
 from barloom.functions.scalars import rounded
 from barloom.operators import population as pp
@@ -14,7 +15,7 @@ from barloom.operators import validation as va
 from barloom.operators.features import build_features
 from barloom.operators.ordered import positions, time_slot
 from barloom.plans.oracle_views import with_views
-from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, base, lag_sql, raw_sql
+from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, base, lag_sql, raw_sql, trades_ctes
 from barloom.plans.registry import query
 from barloom.session import cut_lineage
 from barloom.sources import views
@@ -301,11 +302,28 @@ def _(spark, folder):
     return pp.apply_stage(gates, stages)
 
 
-@query("G20_robust_score")
+PROBED, VARIANTS = RULES[:3], 12
+PROBE = {tree_id(t): pp.perturbed(t, VARIANTS, 0.15, 7) for t in PROBED}
+ALL_PROBES = list({tree_id(v): v for vs in PROBE.values() for v in vs} .values()) + PROBED
+LINKS = "SELECT * FROM (VALUES " + ", ".join(f"('{b}','{tree_id(v)}')" for b, vs in PROBE.items() for v in vs) + ") AS t(formula_id, variant_id)"
+ROBUST = (
+    "SELECT l.formula_id, round(count(*) FILTER (WHERE coalesce((b.m >= 0) = (v.m >= 0) AND v.mdd <= b.mdd*1.25, false))/12.0::DOUBLE, 10) AS robust_score, round(any_value(b.m),10) AS base_mean, round(any_value(b.mdd),8) AS base_mdd, coalesce(any_value(b.n),0) AS n_trades "
+    "FROM links l LEFT JOIN ps b ON b.formula_id = l.formula_id LEFT JOIN ps v ON v.formula_id = l.variant_id GROUP BY 1"
+)
+
+
+@query(
+    "G20_robust_score",
+    with_views(
+        "bars_user", ROBUST, **trades_ctes("bars_user", ALL_PROBES), links=LINKS,
+        ps="SELECT formula_id, avg(pnl) AS m, count(*) AS n, abs(min(cum)) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trade) GROUP BY 1",
+    ),
+)
 def _(spark, folder):
     bars = views.bars_user(spark, folder)
     evaluate = lambda trees: sg.evaluate_formulas(bars, RULE_SPEC, trees, "6h", FEE, SLIP)
-    return pp.robust_score(evaluate, spark, RULES[:3], k=32).select("formula_id", *rc("robust_score", "base_mean", "base_mdd"), "n_trades")
+    got = pp.robust_score(evaluate, spark, PROBED, k=VARIANTS)
+    return got.select("formula_id", *rc("robust_score", "base_mean"), rounded("base_mdd", 8).alias("base_mdd"), "n_trades")
 
 
 @query("G21_cum_min_drawdown", with_views("trades", "SELECT formula_id, round(abs(min(cum)),10) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trades) GROUP BY 1"))

@@ -80,7 +80,21 @@ def _(spark, folder):
     return spark.read.parquet(sink).select("symbol", "ts", rounded("close").alias("close"))
 
 
-@query("K05_stream_suppress")
+SUPPRESS = (
+    "SELECT k, n, event_id, us < 0 AS suppressed, CASE WHEN missed THEN 1 ELSE 0 END::BIGINT AS misses, 0::BIGINT AS until FROM num WHERE n = 1 UNION ALL "
+    "SELECT s.k, s.n, s.event_id, s.us < e.until, CASE WHEN s.us < e.until THEN e.misses WHEN NOT s.missed THEN 0 WHEN e.misses + 1 >= 3 THEN 0 ELSE e.misses + 1 END, "
+    "CASE WHEN s.us >= e.until AND s.missed AND e.misses + 1 >= 3 THEN s.us + 21600000000 ELSE e.until END FROM st e JOIN num s ON s.k = e.k AND s.n = e.n + 1"
+)
+
+
+@query(
+    "K05_stream_suppress",
+    with_views(
+        "", "SELECT split_part(k,'/',1) AS venue, split_part(k,'/',2) AS symbol, event_id, suppressed, misses FROM st",
+        num="SELECT 'v' || (user_id % 2) || '/' || event_type AS k, event_id, epoch_us(ts) AS us, value < 60 AS missed, row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY ts) AS n FROM events",
+        st=SUPPRESS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(spark, folder):
     ss.use_rocksdb(spark)
     a = events(spark, folder).select(
