@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import OHLCV, TIMEFRAME_MS, ceil_to, floor_to, md5_u32, numeric, tf_seconds
-from barloom.operators.ordered import epoch_us, positions, time_slot
+from barloom.operators.ordered import beside, epoch_us, positions, time_slot
 from barloom.sources.lake import dedupe_bars, keep_first
 
 SLOT_BARS = 1 << 16
@@ -89,7 +89,7 @@ def systematic_sample(
     present = df.where(F.col(value).isNotNull())
     n = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = positions(present, keys, order, slot, "_pos")
-    joined = ranked.join(n, list(keys)) if keys else ranked.crossJoin(F.broadcast(n))
+    joined = ranked.join(n, list(keys)) if keys else ranked.transform(beside, n)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
     return joined.where(F.pmod(F.col("_pos") - 1, step) == 0).drop("_n", "_pos")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import BARS_PER_DAY, TIMEFRAME_MS
-from barloom.operators.ordered import order_statistic
+from barloom.operators.ordered import beside, order_statistic
 
 KEY = ("venue", "timeframe", "symbol")
 
@@ -88,7 +88,7 @@ def coverage_gate(best: DataFrame, min_coverage: float, target: int, min_symbols
     by_quorum = (F.col("symbols_seen") >= min_symbols) & (
         F.coalesce(F.try_divide("symbols_at_target", "symbols_seen"), F.lit(0.0)) >= quorum
     )
-    return g.crossJoin(F.broadcast(median)).select(
+    return g.transform(beside, median).select(
         "symbols_seen",
         "symbols_eligible",
         "symbols_at_target",
@@ -138,7 +138,7 @@ def backfill_progress(counts: DataFrame, targets: dict[str, int], min_symbols: i
         F.max("rows").alias("rows_max"),
     ).withColumn("met", F.col("symbols_at_target") >= min_symbols)
     all_met = per_tf.agg((F.count_if("met") == len(targets)).alias("all_met"))
-    return per_tf.crossJoin(F.broadcast(all_met))
+    return per_tf.transform(beside, all_met)
 
 
 def backfill_start(counts: DataFrame, timeframe: str, target_days: int, min_coverage: float, now) -> DataFrame:

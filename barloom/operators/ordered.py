@@ -45,10 +45,15 @@ def value_slot(value: str | Column, per_octave: int = 64) -> Column:
     return (F.signum(v) * F.floor(F.log2(F.abs(v) * 1e6 + 1.0) * per_octave)).cast("long")
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row; the row is broadcast, its size is fixed."""
+    return df.join(F.broadcast(one_row))
+
+
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; the right side's key columns are dropped."""
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+        return beside(left, right)  # without keys the right side is one total
     alias = {k: f"_r_{k}" for k in keys}
     right = right.withColumnsRenamed(alias)
     cond = None
@@ -271,7 +276,7 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     cum = running(counts, keys, [value], value_slot(value), _last=("sum", "_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    ranked = match(cum, totals, keys) if keys else cum.crossJoin(F.broadcast(totals))
+    ranked = match(cum, totals, keys) if keys else cum.transform(beside, totals)
     return ranked.withColumn("_first", F.col("_last") - F.col("_c"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.formula import formula_complexity, formula_features, leaves, to_json, tree_id
-from barloom.operators.ordered import blocked, match, positions, quantiles, running, value_slot
+from barloom.operators.ordered import beside, blocked, match, positions, quantiles, running, value_slot
 from barloom.operators.selection import top_bottom, top_per_group
 
 
@@ -28,7 +28,7 @@ def formula_stats(trades: DataFrame, formulas: DataFrame) -> DataFrame:
 
 
 def _per_key(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return match(df, other, keys) if keys else df.crossJoin(F.broadcast(other))
+    return match(df, other, keys) if keys else df.transform(beside, other)
 
 
 def population_diag(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,7 +60,7 @@ def gate_diagnostic(validated: DataFrame) -> DataFrame:
     """G-06: accepted share of the population and median trades of the accepted."""
     density = validated.agg(F.avg(F.col("rejected_by").isNull().cast("double")).alias("survivor_density"))
     accepted = validated.where(F.col("rejected_by").isNull()).withColumn("n_trades", F.col("n_trades").cast("double"))
-    return density.crossJoin(F.broadcast(quantiles(accepted, [], "n_trades", {"median_trades": 0.5})))
+    return density.transform(beside, quantiles(accepted, [], "n_trades", {"median_trades": 0.5}))
 
 
 def apply_stage(base: DataFrame, stages: DataFrame, stage: str = "stage") -> DataFrame:
@@ -206,7 +206,7 @@ def affected_formulas(formulas: DataFrame, suppressed: DataFrame, fraction: floa
     ranked = positions(hit, [], [no], F.floor(F.col(no) / 65536), "_pos")
     total = hit.agg(F.count(F.lit(1)).alias("_n"))
     limit = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))
-    return ranked.crossJoin(F.broadcast(total)).select(no, (F.col("_pos") <= limit).alias("replace"))
+    return ranked.transform(beside, total).select(no, (F.col("_pos") <= limit).alias("replace"))
 
 
 def top_survivors(survivors: DataFrame, k: int, order: str = "found_no", score: str = "sharpe", key: str = "alpha_id") -> DataFrame:
@@ -296,7 +296,7 @@ def rank_population(
     ranked = positions(scored, [], [F.desc("penalised"), F.asc(formula)], slot, "rank", coarse=value_slot(down))
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     keep = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(elite)))
-    return ranked.crossJoin(F.broadcast(total)).withColumn("elite", F.col("rank") <= keep).drop("_n")
+    return ranked.transform(beside, total).withColumn("elite", F.col("rank") <= keep).drop("_n")
 
 
 def stagnation_flags(log: DataFrame, window: int, delta: float, keys: Sequence[str] = (), best: str = "best_fitness") -> DataFrame:
@@ -322,7 +322,7 @@ def seed_features(alphas: DataFrame, formula: str = "formula_json", score: str =
     slot = F.struct(down.alias("v"), F.substring(F.col(tie), 1, 4).alias("t"))
     ranked = positions(alphas, [], [F.desc(score), F.asc(tie)], slot, "_pos", coarse=value_slot(down))
     total = alphas.agg(F.count(F.lit(1)).alias("_n"))
-    top = ranked.crossJoin(F.broadcast(total)).where(F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
+    top = ranked.transform(beside, total).where(F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
     return formula_features(top, formula, strict=True).distinct()
 
 

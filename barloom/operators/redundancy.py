@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.formula import feature_set
+from barloom.operators.ordered import beside
 from barloom.session import cut_lineage
 
 MAX_FACTORS = 64
@@ -38,7 +39,7 @@ def vif(returns: DataFrame, factors: Sequence[str], key: str = "alpha_id", value
     lengths = returns.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
     shortest = lengths.where(F.col(key).isin(list(factors))).agg(F.min("_len").alias("_min_f"))
     candidates = (
-        returns.where(~F.col(key).isin(list(factors))).join(lengths, key).crossJoin(F.broadcast(shortest))
+        returns.where(~F.col(key).isin(list(factors))).join(lengths, key).transform(beside, shortest)
         .withColumn("_rows", F.least("_len", "_min_f")).where(F.col(at) <= F.col("_rows"))
     )
     joined = candidates.join(wide_factors(returns, factors, at, key, value), at)
@@ -124,7 +125,7 @@ def jaccard_counts(formulas: DataFrame, formula: str = "formula_json") -> DataFr
     jac = F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(F.col("i") / (F.col("a") + F.col("b") - F.col("i")))
     grouped = ordered_pairs.where(F.round("n") > 0).groupBy(jac.alias("jaccard")).agg(F.round(F.sum("n")).cast("long").alias("n"))
     own = F.when(F.col("jaccard") == 1.0, F.col("_self")).otherwise(0)
-    return grouped.crossJoin(F.broadcast(total)).select("jaccard", ((F.col("n") - own) / 2).cast("long").alias("pairs")).where(
+    return grouped.transform(beside, total).select("jaccard", ((F.col("n") - own) / 2).cast("long").alias("pairs")).where(
         F.col("pairs") > 0
     )
 
@@ -136,7 +137,7 @@ def formula_diversity(formulas: DataFrame, formula: str = "formula_json") -> Dat
     counts = jaccard_counts(formulas, formula)  # a few rows: one per possible similarity
     w = Window.orderBy("jaccard").rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("pairs").alias("_total"))
-    ranked = counts.withColumn("_last", F.sum("pairs").over(w)).crossJoin(F.broadcast(total))
+    ranked = counts.withColumn("_last", F.sum("pairs").over(w)).transform(beside, total)
     first, last = F.col("_last") - F.col("pairs"), F.col("_last")
     lo, hi = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
     pick = lambda r: F.max(F.when((first <= r) & (r < last), F.col("jaccard")))

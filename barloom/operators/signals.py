@@ -54,6 +54,16 @@ def _word(preds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+def _set_bits(word: str) -> Column:
+    """Positions of the set bits of a long, by a table of byte values (built by rule) per byte; no lambda per bit."""
+    parts = []
+    for byte in range(8):
+        rows = (",".join(str(8 * byte + i) for i in range(8) if value >> i & 1) for value in range(256))
+        table = ",".join(f"array({r})" if r else "cast(array() as array<int>)" for r in rows)
+        parts.append(f"element_at(array({table}), cast(shiftright({word}, {8 * byte}) & 255 AS int) + 1)")
+    return F.expr(f"concat({', '.join(parts)})")
+
+
 def evaluate_on_panel(panel: Panel, trees: Sequence, columns: Sequence[str], fee: float, slip: float) -> DataFrame:
     """C-15: trades of every rule from one pass over a panel laid out with one bar of context on both sides.
 
@@ -74,22 +84,17 @@ def evaluate_on_panel(panel: Panel, trees: Sequence, columns: Sequence[str], fee
         )
         for k in range(len(words))
     ]
+    for way, edge in (("_buy", 1.0), ("_sell", -1.0)):
+        parts = edge_pnl(F.lit(edge), F.col("close"), F.col("_next_open"), fee, slip)
+        df = df.withColumn(way, F.struct(F.lit(int(edge)).alias("edge"), *(c.alias(n) for n, c in parts.items())))
     moved = df.select(
-        *panel.keys, "ts", "close", "_next_open", F.explode(F.filter(F.array(*changed), lambda x: x["flips"] != 0)).alias("_m")
+        *panel.keys, "ts", "_buy", "_sell", F.inline(F.filter(F.array(*changed), lambda x: x["flips"] != 0))
     )
-    positions_ = F.array(*(F.lit(i) for i in range(WORD)))
-    hit = F.filter(positions_, lambda i: F.call_function("getbit", F.col("_m.flips"), i) == 1)
-    edges = moved.select(*panel.keys, "ts", "close", "_next_open", "_m", F.explode(hit).alias("_bit"))
-    edge = F.when(F.call_function("getbit", F.col("_m.bits"), F.col("_bit")) == 1, 1).otherwise(-1)
+    edges = moved.select(*panel.keys, "ts", "_buy", "_sell", "base", "bits", F.explode(_set_bits("flips")).alias("_bit"))
+    trade = F.when(F.call_function("getbit", F.col("bits"), F.col("_bit")) == 1, F.col("_buy")).otherwise(F.col("_sell"))
     ids = F.array(*(F.lit(tree_id(t)) for t in trees))
-    edges = edges.select(
-        F.element_at(ids, F.col("_m.base") + F.col("_bit") + 1).alias("formula_id"),
-        *panel.keys, "ts", edge.alias("edge"), "close", "_next_open",
-    )
-    parts = edge_pnl(F.col("edge").cast("double"), F.col("close"), F.col("_next_open"), fee, slip)
-    return edges.select("formula_id", *panel.keys, "ts", "edge", *(c.alias(n) for n, c in parts.items())).where(
-        F.col("pnl").isNotNull()
-    )
+    out = edges.select(F.element_at(ids, F.col("base") + F.col("_bit") + 1).alias("formula_id"), *panel.keys, "ts", trade.alias("_t"))
+    return out.select("formula_id", *panel.keys, "ts", "_t.*").where(F.col("pnl").isNotNull())
 
 
 def evaluate_formulas(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import md5_u32
 from barloom.functions.stats import binomial_p_two_sided, deflated_sharpe_p, t_test_p
-from barloom.operators.ordered import match, positions, running, time_slot
+from barloom.operators.ordered import beside, match, positions, running, time_slot
 from barloom.session import cut_lineage
 
 ORDER = ("symbol", "ts")
@@ -233,13 +233,13 @@ def bh_fdr(
     slot = F.struct(known.alias("p"), F.substring(F.col(tie).cast("string"), 1, 4).alias("id"))
     ranked = positions(df, keys, [F.asc_nulls_last(p), F.asc(tie)], slot, "bh_rank", coarse=F.floor(known * 4096))
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = match(ranked, totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+    ranked = match(ranked, totals, keys) if keys else ranked.transform(beside, totals)
     passes = F.coalesce(F.col(p) <= F.col("bh_rank") / F.col("_m") * F.lit(float(alpha)), F.lit(False))
     ranked = ranked.withColumn("_pass", passes)
     last = ranked.groupBy(*keys).agg(
         F.max(F.when(F.col("_pass"), F.col("bh_rank"))).alias("_last"), F.coalesce(F.max(F.when(F.col("_pass"), F.col(p))), F.lit(0.0)).alias("bh_threshold")
     )
-    out = match(ranked, last, keys) if keys else ranked.crossJoin(F.broadcast(last))
+    out = match(ranked, last, keys) if keys else ranked.transform(beside, last)
     accept = F.coalesce(F.col("bh_rank") <= F.col("_last"), F.lit(False)) if step_up else F.col("_pass")
     return out.withColumn("bh_accept", accept).drop("_m", "_pass", "_last")
 
@@ -250,7 +250,7 @@ def deflated_sharpe(trades: DataFrame, trials: int | DataFrame, keys: Sequence[s
     if isinstance(trials, int):
         m = m.withColumn("_trials", F.lit(trials))
     else:
-        m = m.crossJoin(F.broadcast(trials.select(F.col(trials.columns[0]).alias("_trials"))))
+        m = m.transform(beside, trials.select(F.col(trials.columns[0]).alias("_trials")))
     p = deflated_sharpe_p(F.col("mean"), F.col("std"), F.col("n"), F.col("_trials"), benchmark)
     return m.select(*keys, p.alias("dsr_prob"))
 
@@ -262,14 +262,14 @@ def pbo(per_symbol: DataFrame, splits: int, min_symbols: int, seed: int) -> Data
     winner's rank is a count of better rules, so no split is sorted by rule.
     """
     symbols = per_symbol.select("symbol").distinct()
-    shape = symbols.agg(F.count(F.lit(1)).alias("_n_sym")).crossJoin(
-        F.broadcast(per_symbol.agg(F.countDistinct("formula_id").alias("_n_form")))
+    shape = symbols.agg(F.count(F.lit(1)).alias("_n_sym")).transform(
+        beside, per_symbol.agg(F.countDistinct("formula_id").alias("_n_form"))
     )
     draws = symbols.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("split").cast("string"), "symbol"))
     draws = draws.withColumn("_key", key)
     prefix = F.substring("_key", 1, 3)
-    ranked = positions(draws, ["split"], ["_key", "symbol"], prefix, "_r").crossJoin(F.broadcast(shape))
+    ranked = positions(draws, ["split"], ["_key", "symbol"], prefix, "_r").transform(beside, shape)
     halves = ranked.select(
         "split", "symbol", (F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n_sym") / 2))).alias("in_sample")
     )
@@ -297,13 +297,13 @@ def pbo(per_symbol: DataFrame, splits: int, min_symbols: int, seed: int) -> Data
     )
     enough = (F.col("_n_sym") >= max(2, min_symbols)) & (F.col("_n_form") >= 2) & (F.col("valid_splits") > 0)
     value = F.when(enough, F.try_divide(F.col("overfit_splits").cast("double"), F.col("valid_splits"))).otherwise(0.0)
-    return share.crossJoin(F.broadcast(shape)).select("valid_splits", "overfit_splits", value.alias("pbo"))
+    return share.transform(beside, shape).select("valid_splits", "overfit_splits", value.alias("pbo"))
 
 
 def pbo_gate(candidates: DataFrame, pbo_row: DataFrame, cap: float) -> DataFrame:
     """G-38: no candidate passes when the probability of overfitting is above the cap."""
     ok = pbo_row.where(F.col("pbo") <= cap).select("pbo")
-    return candidates.crossJoin(F.broadcast(ok)).drop("pbo")
+    return candidates.transform(beside, ok).drop("pbo")
 
 
 def validate_population(

@@ -304,7 +304,7 @@ def _(spark, folder):
 
 PROBED, VARIANTS = RULES[:3], 12
 PROBE = {tree_id(t): pp.perturbed(t, VARIANTS, 0.15, 7) for t in PROBED}
-ALL_PROBES = list({tree_id(v): v for vs in PROBE.values() for v in vs} .values()) + PROBED
+ALL_PROBES = list(({tree_id(v): v for vs in PROBE.values() for v in vs} | {tree_id(t): t for t in PROBED}).values())
 LINKS = "SELECT * FROM (VALUES " + ", ".join(f"('{b}','{tree_id(v)}')" for b, vs in PROBE.items() for v in vs) + ") AS t(formula_id, variant_id)"
 ROBUST = (
     "SELECT l.formula_id, round(count(*) FILTER (WHERE coalesce((b.m >= 0) = (v.m >= 0) AND v.mdd <= b.mdd*1.25, false))/12.0::DOUBLE, 10) AS robust_score, round(any_value(b.m),10) AS base_mean, round(any_value(b.mdd),8) AS base_mdd, coalesce(any_value(b.n),0) AS n_trades "
