@@ -51,16 +51,12 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL; the right side's key columns are dropped."""
-    if not keys:
-        return beside(left, right)  # without keys the right side is one total
-    alias = {k: f"_r_{k}" for k in keys}
-    right = right.withColumnsRenamed(alias)
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[alias[k]])
-        cond = c if cond is None else cond & c
-    return left.join(right, cond, how).drop(*alias.values())
+    """Equi-join on ``keys``; without keys the right side is one total.
+
+    Plain equality keeps the partitioning a preceding window or aggregate on the same keys already has, so only
+    the small side moves.  The stitching joins below are left joins: a row with a NULL key stays in the result.
+    """
+    return left.join(right, list(keys), how) if keys else beside(left, right)
 
 
 def _prefix(keys: Sequence[str]):
@@ -86,11 +82,11 @@ def positions(
         w = Window.partitionBy(*keys).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
         base = counts.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
         base = base.select(*keys, "_coarse", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
-        offsets = match(offsets, base, [*keys, "_coarse"]).withColumn("_offset", F.col("_offset") + F.col("_base"))
+        offsets = match(offsets, base, [*keys, "_coarse"], "left").withColumn("_offset", F.col("_offset") + F.col("_base"))
         offsets = offsets.drop("_coarse", "_base")
     local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy(*order)))
-    joined = match(local, offsets, [*keys, SLOT])
-    return joined.withColumn(name, (F.col("_rn") + F.col("_offset")).cast("long")).drop("_rn", "_offset", SLOT, *extra)
+    joined = match(local, offsets, [*keys, SLOT], "left")
+    return joined.withColumn(name, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("long")).drop("_rn", "_offset", SLOT, *extra)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, **wanted) -> DataFrame:
@@ -115,7 +111,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, *
             over = F.sum if kind == "count" else plain[kind]
             carry.append(over(f"_s_{name}").over(_prefix(keys)).alias(f"_c_{name}"))
     carried = tagged.groupBy(*keys, SLOT).agg(*slot_aggs).select(*keys, SLOT, *carry)
-    out = match(tagged.withColumns(local), carried, [*keys, SLOT])
+    out = match(tagged.withColumns(local), carried, [*keys, SLOT], "left")
     merged = {}
     for name, (kind, _) in wanted.items():
         here, before = F.col(name), F.col(f"_c_{name}")
@@ -243,7 +239,7 @@ def running_ema(
         before = F.collect_list(f"_e_{n}").over(panel.w.rowsBetween(-reach[n], -1))
         carry[f"_c_{n}"] = F.aggregate(before, F.lit(0.0), _fold(decay[n] ** run_rows))
     carried = panel.with_columns(carry).home().select(*keys, run, *carry)
-    out = match(local_df, carried, [*keys, run])
+    out = match(local_df, carried, [*keys, run], "left")
     merged = {n: F.col(n) + F.col(f"_c_{n}") * F.pow(F.lit(decay[n]), F.col(step) + 1) for n in live}
     return out.withColumns(merged).drop(run, step, *carry)
 
@@ -266,7 +262,7 @@ def neighbour(
     )
     across = Window.partitionBy(*keys).orderBy(SLOT)
     edges = edges.select(*keys, SLOT, pick("_row").over(across).alias("_near"))
-    out = match(tagged.withColumns(local), edges, [*keys, SLOT])
+    out = match(tagged.withColumns(local), edges, [*keys, SLOT], "left")
     merged = {n: F.when(F.col("_edge"), F.col(f"_near.{n}")).otherwise(F.col(n)) for n in cols}
     return out.withColumns(merged).drop("_edge", "_near", SLOT)
 
@@ -276,7 +272,7 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     cum = running(counts, keys, [value], value_slot(value), _last=("sum", "_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    ranked = match(cum, totals, keys) if keys else cum.transform(beside, totals)
+    ranked = match(cum, totals, keys, "left")
     return ranked.withColumn("_first", F.col("_last") - F.col("_c"))
 
 

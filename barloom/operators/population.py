@@ -28,7 +28,7 @@ def formula_stats(trades: DataFrame, formulas: DataFrame) -> DataFrame:
 
 
 def _per_key(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return match(df, other, keys) if keys else df.transform(beside, other)
+    return match(df, other, keys)
 
 
 def population_diag(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

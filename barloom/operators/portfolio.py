@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.ordered import beside, match, running, value_slot
+from barloom.operators.ordered import match, running, value_slot
 from barloom.operators.selection import top_per_group
 from barloom.session import cut_lineage
 
@@ -22,7 +22,7 @@ GROUP = ("portfolio_id",)
 
 def _totals(df: DataFrame, keys: Sequence[str], **aggs) -> DataFrame:
     totals = df.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()))
-    return match(df, totals, keys) if keys else df.transform(beside, totals)
+    return match(df, totals, keys, "left")
 
 
 def inverse_variance_weights(returns: DataFrame, keys: Sequence[str] = GROUP, id: str = "alpha_id", value: str = "ret") -> DataFrame:
@@ -85,7 +85,7 @@ def cap_and_redistribute(weights: DataFrame, floor: float, cap: float, keys: Seq
     point = ranked.withColumns({"_scale": scale, "_ok": ok}).where("_ok").groupBy(*keys).agg(
         F.max("_v").alias("_free"), F.max_by("_scale", "_v").alias("_scale")
     )
-    out = match(w, point, keys, "left") if keys else w.transform(beside, point)
+    out = match(w, point, keys, "left")
     shared = F.when(F.col("_v") <= F.col("_free"), F.least(F.lit(cap), F.col("_v") * F.col("_scale"))).otherwise(F.lit(cap))
     final = F.when(F.col("_n") == 1, F.least(F.col("weight"), F.lit(cap), F.lit(1.0))).otherwise(shared)
     return out.select(*keys, id, final.alias("weight"))

@@ -33,7 +33,7 @@ def _order(order: str) -> list[str]:
 def trade_positions(trades: DataFrame, keys: Sequence[str] = ID, order: str = "item") -> DataFrame:
     """0-based position of every return in its rule, and the rule's count."""
     n = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return match(positions(trades, keys, _order(order), trade_slot(order=order), "_pos"), n, keys).withColumn(
+    return match(positions(trades, keys, _order(order), trade_slot(order=order), "_pos"), n, keys, "left").withColumn(
         "pos", F.col("_pos") - 1
     ).drop("_pos")
 
@@ -233,13 +233,13 @@ def bh_fdr(
     slot = F.struct(known.alias("p"), F.substring(F.col(tie).cast("string"), 1, 4).alias("id"))
     ranked = positions(df, keys, [F.asc_nulls_last(p), F.asc(tie)], slot, "bh_rank", coarse=F.floor(known * 4096))
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = match(ranked, totals, keys) if keys else ranked.transform(beside, totals)
+    ranked = match(ranked, totals, keys, "left")
     passes = F.coalesce(F.col(p) <= F.col("bh_rank") / F.col("_m") * F.lit(float(alpha)), F.lit(False))
     ranked = ranked.withColumn("_pass", passes)
     last = ranked.groupBy(*keys).agg(
         F.max(F.when(F.col("_pass"), F.col("bh_rank"))).alias("_last"), F.coalesce(F.max(F.when(F.col("_pass"), F.col(p))), F.lit(0.0)).alias("bh_threshold")
     )
-    out = match(ranked, last, keys) if keys else ranked.transform(beside, last)
+    out = match(ranked, last, keys, "left")
     accept = F.coalesce(F.col("bh_rank") <= F.col("_last"), F.lit(False)) if step_up else F.col("_pass")
     return out.withColumn("bh_accept", accept).drop("_m", "_pass", "_last")
 

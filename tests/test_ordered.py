@@ -92,3 +92,19 @@ def test_quantiles(skewed):
 def test_upper_median(spark):
     df = spark.createDataFrame([(v,) for v in (5.0, 1.0, 3.0, 3.0)], "v double")
     assert o.order_statistic(df, [], "v", lambda n: F.floor(n / 2), "m").first()["m"] == 3.0
+
+
+def test_large_side_is_shuffled_once(spark, small):
+    """Even without broadcasting, the rows themselves cross the network once; only slot totals move besides."""
+    saved = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in saved:
+            spark.conf.set(k, "-1")
+        ev = spark.read.parquet(f"{small}/events.parquet").select("user_id", "ts", "value")
+        got = o.positions(ev, ["user_id"], ["ts"], o.time_slot("ts", 86400))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    carrying = [line for line in plan.splitlines() if "FileScan parquet" in line and "value" in line.split("Batched")[0]]
+    assert len(carrying) == 1 and plan.count("Exchange hashpartitioning") == 4
