@@ -163,7 +163,7 @@ def lag_features(panel: Panel, names: Sequence[str]) -> Panel:
 
 
 def market_return(returns: DataFrame, value: str = "return_1p") -> DataFrame:
-    """C-10: median return over all series per timestamp."""
+    """C-10: median return over all series per timestamp; a group holds one value per series, counted by value first."""
     return returns.groupBy("ts").agg(F.percentile(value, 0.5).alias("market_return"))
 
 

@@ -104,14 +104,14 @@ def rates(spark, folder):
     return mk.usd_rates(t.unionByName(fx))
 
 
-@query("D17_usd_rates", with_views("tickers fx_ticks", "SELECT currency, round(rate,6) AS rate FROM fx", **RATES))
+@query("D17_usd_rates", with_views("tickers fx_ticks", "SELECT currency, round(rate,9) AS rate FROM fx", **RATES))
 def _(spark, folder):
-    return rates(spark, folder).withColumn("rate", rounded("rate"))
+    return rates(spark, folder).withColumn("rate", rounded("rate", 9))
 
 
-@query("D17_stable_parity", with_views("tickers fx_ticks", "SELECT currency, round(rate,6) AS rate, round(abs(rate-1),6) AS off_parity FROM fx WHERE currency IN ('USDT','USDC','DAI','FDUSD','TUSD','PYUSD') AND abs(rate-1) > 0.0005", **RATES))
+@query("D17_stable_parity", with_views("tickers fx_ticks", "SELECT currency, round(rate,9) AS rate, round(abs(rate-1),9) AS off_parity FROM fx WHERE currency IN ('USDT','USDC','DAI','FDUSD','TUSD','PYUSD') AND abs(rate-1) > 0.0005", **RATES))
 def _(spark, folder):
-    return mk.stable_parity(rates(spark, folder), 5.0).select("currency", rounded("rate").alias("rate"), rounded("off_parity").alias("off_parity"))
+    return mk.stable_parity(rates(spark, folder), 5.0).select("currency", rounded("rate", 9).alias("rate"), rounded("off_parity", 9).alias("off_parity"))
 
 
 @query("D18_top_gainers", with_views("tickers", "SELECT DISTINCT upper(split_part(venue_symbol,'/',1)) AS base FROM (SELECT * FROM tickers WHERE percentage IS NOT NULL ORDER BY percentage DESC, venue, venue_symbol, market_order LIMIT 40)"))
@@ -136,10 +136,10 @@ def screened(spark, folder):
     return mk.screen_universe(views.markets(spark, folder), views.tickers(spark, folder), rates(spark, folder), VENUE_QUOTES, 500_000.0, 8.0, 900.5)
 
 
-@query("B13_screen_universe", with_views("tickers fx_ticks", "SELECT symbol, venue, venue_symbol, base, quote, round(price,6) AS price, round(spread_bps,6) AS spread_bps, round(volume_24h_usd,2) AS volume_24h_usd, round(rate,6) AS rate FROM scr", **RATES, scr=SCREEN))
+@query("B13_screen_universe", with_views("tickers fx_ticks", "SELECT symbol, venue, venue_symbol, base, quote, round(price,9) AS price, round(spread_bps,9) AS spread_bps, round(volume_24h_usd,2) AS volume_24h_usd, round(rate,9) AS rate FROM scr", **RATES, scr=SCREEN))
 def _(spark, folder):
     got = screened(spark, folder)
-    return got.withColumns({c: rounded(c) for c in ("price", "spread_bps", "rate")} | {"volume_24h_usd": rounded("volume_24h_usd", 2)})
+    return got.withColumns({c: rounded(c, 9) for c in ("price", "spread_bps", "rate")} | {"volume_24h_usd": rounded("volume_24h_usd", 2)})
 
 
 @query("C06_ticker_join", with_views("tickers", "SELECT venue, venue_symbol, market_order, last FROM markets LEFT JOIN (SELECT market_order, last FROM tickers WHERE last IS NOT NULL) USING (market_order)"))
@@ -148,9 +148,9 @@ def _(spark, folder):
     return views.markets(spark, folder).select("venue", "venue_symbol", "market_order").join(t, ["venue", "venue_symbol", "market_order"], "left")
 
 
-@query("C07_quote_rates", with_views("tickers fx_ticks", "SELECT market_order, quote, round(rate,6) AS rate FROM markets JOIN fx ON currency = quote", **RATES))
+@query("C07_quote_rates", with_views("tickers fx_ticks", "SELECT market_order, quote, round(rate,9) AS rate FROM markets JOIN fx ON currency = quote", **RATES))
 def _(spark, folder):
-    r = rates(spark, folder).select(F.col("currency").alias("quote"), rounded("rate").alias("rate"))
+    r = rates(spark, folder).select(F.col("currency").alias("quote"), rounded("rate", 9).alias("rate"))
     return views.markets(spark, folder).select("market_order", "quote").join(r, "quote")
 
 

@@ -365,13 +365,13 @@ def _(spark, folder):
     return pp.affected_formulas(views.formulas(spark, folder), bad, 0.3)
 
 
-SURV = "SELECT CAST(o_custkey AS VARCHAR) AS alpha_id, o_orderkey AS found_no, round(o_totalprice/1000, 4) AS sharpe FROM orders"
+SURV = "SELECT CAST(o_custkey AS VARCHAR) AS alpha_id, o_orderkey AS found_no, round(o_totalprice/1000, 7) AS sharpe FROM orders"
 
 
 @query("G25_top_survivors", with_views("", "SELECT alpha_id, found_no, sharpe FROM (SELECT *, row_number() OVER (PARTITION BY alpha_id ORDER BY found_no DESC) AS k FROM s) WHERE k=1 ORDER BY sharpe DESC, alpha_id LIMIT 10", s=SURV))
 def _(spark, folder):
     s = views.table(spark, folder, "orders").select(
-        F.col("o_custkey").cast("string").alias("alpha_id"), F.col("o_orderkey").alias("found_no"), F.round(F.col("o_totalprice") / 1000, 4).alias("sharpe")
+        F.col("o_custkey").cast("string").alias("alpha_id"), F.col("o_orderkey").alias("found_no"), F.round(F.col("o_totalprice") / 1000, 7).alias("sharpe")
     )
     return pp.top_survivors(s, 10)
 

@@ -128,11 +128,11 @@ def _(spark, folder):
     return pf.retag_lane(views.alpha_stats(spark, folder), 10, 0.1, 0.15, 0.245).select("alpha_id", "lane", "retagged")
 
 
-ENS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY sortino DESC, alpha_id) AS k, count(*) OVER (PARTITION BY portfolio_id) AS n FROM alpha_stats WHERE lane='core') WHERE k <= 10 AND n >= 8"
+ENS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY sortino DESC, alpha_id) AS k, count(*) OVER (PARTITION BY portfolio_id) AS n FROM alpha_stats WHERE lane='core') WHERE k <= 10 AND n >= 2"
 
 
 def ensemble(spark, folder):
-    return pf.ensemble_members(views.alpha_stats(spark, folder), 8, 10)
+    return pf.ensemble_members(views.alpha_stats(spark, folder), 2, 10)
 
 
 @query("F10_ensemble_members", with_views("alpha_stats", "SELECT portfolio_id, alpha_id, k AS rank FROM e", e=ENS))
