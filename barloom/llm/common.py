@@ -62,5 +62,4 @@ def batches_of(rows: Iterator, size: int) -> Iterator[list]:
 
 def word_count(text) -> F.Column:
     """Number of runs of characters other than space and U+0009 to U+000D; null and empty texts have none."""
-    gaps = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")
-    return F.length(F.regexp_replace(gaps, r"[\x20\x09-\x0D]+", "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

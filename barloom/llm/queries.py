@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import simhash
+from barloom.llm import mixing, records, simhash
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
+from barloom.llm.subwords import default_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -16,3 +18,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_print(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op8_mix_sources", mixing.MIX_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document."""
+    plan = mixing.plan_mix(table(spark, folder, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+@query("op9_token_records")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Position, length and checksum of every document's token record, read back from the files."""
+    return records.token_records(table(spark, folder, "documents"), default_path())

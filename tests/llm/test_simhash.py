@@ -10,7 +10,8 @@ from barloom.llm import simhash
 from barloom.llm.graph import components
 from barloom.llm.queries import QUERIES
 
-FOLDER = "/root/testdata/sf0.001"
+from .helpers import SMALL as FOLDER
+
 
 
 def plain_print(text):
