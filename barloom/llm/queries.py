@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, records, simhash
+from barloom.llm import decontaminate, mixing, records, simhash
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -20,6 +20,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(found["fp"]).alias("fingerprint"), "component_id")
 
 
+@query("op7_benchmark_decontamination", decontaminate.REPORT_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Hit words and test items of every document."""
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op8_mix_sources", mixing.MIX_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """What the mix takes of every document."""
