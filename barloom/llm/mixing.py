@@ -65,7 +65,8 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         up = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         run = sums.withColumn("before", F.sum("held").over(up) - F.col("held"))
         run = run.withColumnRenamed("source", "of")
-        edge = run.join(state, run["of"].eqNullSafe(state["source"])).filter("before <= rest AND before + held > rest")
+        budget = state.select("source", "rounds", "rest")
+        edge = run.join(budget, run["of"].eqNullSafe(budget["source"])).filter("before <= rest AND before + held > rest")
         state = settle(edge.select("source", "rounds", (F.col("rest") - F.col("before")).alias("rest"), F.col("bucket").alias("prefix"), "held", "n"), "budget")
         if (state.agg(F.max("n")).first()[0] or 0) <= 1:
             break
