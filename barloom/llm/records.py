@@ -1,8 +1,9 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
 A record is: payload length (unsigned, 8 bytes, little-endian), its masked checksum (4 bytes), the payload, the
-payload's masked checksum (4 bytes).  The payload is the ids as little-endian unsigned 32-bit numbers.  A mask turns the
-CRC-32 by 15 bits and adds a constant, so that records may themselves hold checksums.
+payload's masked checksum (4 bytes).  The payload is the ids as little-endian unsigned numbers, of 16 bits where the
+vocabulary allows (the index names the width), else of 32.  A mask turns the CRC-32 by 15 bits and adds a constant, so
+that records may themselves hold checksums.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def unframe(stream) -> bytes | None:
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:
-    """Write the shards and return the committed index: ``key, shard, part, ordinal, offset, bytes, n_tokens``.
+    """Write the shards and return the committed index: ``key, shard, part, ordinal, offset, bytes, n_tokens, width``.
 
     Rows are dealt into ranges of the key, so shards are in key order and each is sorted; every task writes one file of
     its own name, and only files of tasks that Spark committed are in the index.  Null keys come first, rows of equal
@@ -69,6 +70,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
         from pyspark import TaskContext
 
         part, encoder, stream, at, ordinal = TaskContext.get().partitionId(), WordEncoder(tokenizer), None, 0, 0
+        width = 2 if max(encoder.vocabulary, end + 1) <= 1 << 16 else 4
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex[:12]}.rec"
         for batch in batches:
             for a, b in pieces(batch.column(1)):
@@ -77,13 +79,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     stream = system.open_output_stream(place)
                 ids, rows = encoder.encode(batch.column(1).slice(a, b - a), end)
+                ids = ids.astype(f"<u{width}")
                 frames = [frame(ids[i:j].tobytes()) for i, j in zip(rows[:-1], rows[1:])]
                 sizes = np.fromiter(map(len, frames), dtype=np.int64, count=len(frames))
                 stream.write(b"".join(frames))
                 n = len(frames)
                 columns = [
                     batch.column(0).slice(a, n), pa.array([path] * n), pa.array(np.full(n, part)), pa.array(np.arange(ordinal, ordinal + n)),
-                    pa.array(at + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(np.diff(rows)),
+                    pa.array(at + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(np.diff(rows)), pa.array(np.full(n, width)),
                 ]
                 at, ordinal = at + int(sizes.sum()), ordinal + n
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -92,7 +95,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
 
     schema = T.StructType(
         [docs.schema[key], T.StructField("shard", T.StringType())]
-        + [T.StructField(c, T.LongType()) for c in ("part", "ordinal", "offset", "bytes", "n_tokens")]
+        + [T.StructField(c, T.LongType()) for c in ("part", "ordinal", "offset", "bytes", "n_tokens", "width")]
     )
     names = schema.names
     rows = docs.select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first())
@@ -108,12 +111,13 @@ def read_records(index: DataFrame, key: str = "doc_id", with_ids: bool = False)
     """
 
     def read(batches):
+        import numpy as np
         import pyarrow as pa
 
         shard, stream, seen = None, None, 0
         for batch in batches:
             out = []
-            for k, path, offset, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for k, path, offset, part, width in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if path != shard:
                     if stream is not None:
                         stream.close()
@@ -124,9 +128,9 @@ def read_records(index: DataFrame, key: str = "doc_id", with_ids: bool = False)
                 payload = unframe(stream)
                 if payload is None:
                     raise ValueError("record missing")
-                n = len(payload) // 4
-                out.append((k, part, seen, n, zlib.crc32(payload), payload))
-                seen += n
+                ids = np.frombuffer(payload, dtype=f"<u{width}")
+                out.append((k, part, seen, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids))
+                seen += len(ids)
                 if len(out) >= 512:
                     yield pack(pa, out, batch.schema.field(0).type)
                     out = []
@@ -137,15 +141,14 @@ def read_records(index: DataFrame, key: str = "doc_id", with_ids: bool = False)
     def pack(pa, out, kind):
         columns = [pa.array([r[i] for r in out], t) for i, t in enumerate([kind] + [pa.int64()] * 4)]
         if with_ids:
-            ids = [memoryview(r[5]).cast("I").tolist() for r in out]
-            columns.append(pa.array(ids, pa.list_(pa.int64())))
+            columns.append(pa.array([r[5].astype("i8") for r in out], pa.list_(pa.int64())))
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     fields = [index.schema[key]] + [T.StructField(c, T.LongType()) for c in ("part", "seen", "n_tokens", "ids_crc32")]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
     schema = T.StructType(fields)
-    rows = index.select(key, "shard", "offset", "part").repartition("part").sortWithinPartitions("part", "offset")
+    rows = index.select(key, "shard", "offset", "part", "width").repartition("part").sortWithinPartitions("part", "offset")
     found = rows.mapInArrow(read, schema)
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,28 +161,29 @@ def read_shuffled(index: DataFrame, seed: int, key: str = "doc_id", partitions:
     """Records in a seeded random order, fetched one by one through the offset index: ``key, ids``."""
 
     def read(batches):
+        import numpy as np
         import pyarrow as pa
 
         opened: dict[str, object] = {}
         for batch in batches:
             ids = []
-            for path, offset in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for path, offset, width in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if path not in opened:
                     if len(opened) >= 64:
                         opened.pop(next(iter(opened))).close()
                     system, place = file_system(path)
                     opened[path] = system.open_input_file(place)
                 opened[path].seek(offset)
-                ids.append(memoryview(unframe(opened[path])).cast("I").tolist())
+                ids.append(np.frombuffer(unframe(opened[path]), dtype=f"<u{width}").astype("i8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=[key, "ids"])
         for stream in opened.values():
             stream.close()
 
     schema = T.StructType([index.schema[key], T.StructField("ids", T.ArrayType(T.LongType()))])
     order = F.xxhash64(F.lit(seed), "shard", "offset")
-    rows = index.select(key, "shard", "offset", order.alias("__order"))
+    rows = index.select(key, "shard", "offset", "width", order.alias("__order"))
     rows = rows.repartitionByRange(partitions, "__order") if partitions else rows.repartitionByRange("__order")
-    return rows.sortWithinPartitions("__order").select(key, "shard", "offset").mapInArrow(read, schema)
+    return rows.sortWithinPartitions("__order").select(key, "shard", "offset", "width").mapInArrow(read, schema)
 
 
 def token_records(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:

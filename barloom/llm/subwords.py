@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 #: Words whose ids a worker remembers between batches (memory only; never changes a result).
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Text bytes handled at once.
 PIECE = 4 << 20
+#: A letter and a mark after it; marks of special tokens and contractions are left out.
+_CUT = r"([a-z])([!-&(-/:;=?@\[-`{}~])"
 
 
 def default_path() -> str:
@@ -29,6 +31,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
 
     def word_ids(self, words: list[str]) -> list[bytes]:
@@ -38,11 +41,9 @@ class WordEncoder:
         known = self.known
         found = [known.get(w) for w in words]
         new = [i for i, ids in enumerate(found) if ids is None]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
-            encoded = self.tokenizer.encode_batch([words[i] for i in part], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)
             for i, e in zip(part, encoded):
                 found[i] = np.array(e.ids, dtype="<u4").tobytes()
                 if len(known) < REMEMBERED:
@@ -55,7 +56,11 @@ class WordEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            # the tokenizer lowers case and cuts between a letter and a mark itself; doing so first leaves fewer words
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=_CUT, replacement=r"\1 \2")
+        lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets, dtype=np.int64)
         flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
         bounds = bounds - bounds[0]
