@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +26,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: later steps start from files that survive lost executors."""
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Have Spark delete a statement's shuffle files when it ends: what it wrote is read from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def shared_files(spark: SparkSession, label: str) -> str:
     """A fresh folder name for files that tasks write themselves, below the shared folder."""
     shared_dir(spark)
@@ -48,18 +61,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def batches_of(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` items."""
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def word_count(text) -> F.Column:
     """Number of runs of characters other than space and U+0009 to U+000D; null and empty texts have none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

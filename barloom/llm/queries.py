@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, records, simhash
+from barloom.llm import decontaminate, mixing, records, simhash, substrings
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -20,6 +20,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(found["fp"]).alias("fingerprint"), "component_id")
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that are left when repeats of 20 words or more have gone."""
+    found = substrings.repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op7_benchmark_decontamination", decontaminate.REPORT_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Hit words and test items of every document."""
