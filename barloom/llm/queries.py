@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, records, simhash, substrings
+from barloom.llm import ann, decontaminate, mixing, records, simhash, substrings, toxicity
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -20,6 +20,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(found["fp"]).alias("fingerprint"), "component_id")
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that are left when repeats of 20 words or more have gone."""
@@ -44,3 +50,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Position, length and checksum of every document's token record, read back from the files."""
     return records.token_records(table(spark, folder, "documents"), default_path())
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
