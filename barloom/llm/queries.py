@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, decontaminate, mixing, records, simhash, substrings, toxicity
+from barloom.llm import ann, decontaminate, mixing, records, simhash, substrings, toxicity, warc
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -13,6 +13,13 @@ from barloom.llm.subwords import default_path
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_warc_archives", warc.PAGES_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as read back from the converted archives."""
+    found = warc.archive_pages(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
