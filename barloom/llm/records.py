@@ -77,7 +77,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
                 if stream is None:
                     system, place = file_system(path)
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                    stream = system.open_output_stream(place)
+                    stream = system.open_output_stream(place, compression=None)
                 ids, rows = encoder.encode(batch.column(1).slice(a, b - a), end)
                 ids = ids.astype(f"<u{width}")
                 frames = [frame(ids[i:j].tobytes()) for i, j in zip(rows[:-1], rows[1:])]
