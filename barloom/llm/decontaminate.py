@@ -9,6 +9,8 @@ from barloom.llm.common import settle
 
 #: Distinct test windows that are broadcast (8 bytes of hash each); with more, the windows are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Windows in a piece of text.
+PIECE = 32
 #: A word is a run of digits, letters of either case and characters beyond U+007F.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,14 +54,14 @@ def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
     else:
         rows = slim.withColumn("size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
     rows = rows.select("key", F.xxhash64("text").alias("print"), token_words(F.col("text")).alias("words"), "size")
-    # the words end here: rows of windows carry numbers only, however long a text is
-    found = rows.select("key", "print", "size", F.posexplode(_windows(F.col("size"))).alias("at", "hash")).join(hashes, "hash")
-    found = settle(found.groupBy("key", "print").agg(F.collect_set(F.struct("at", "size", "hash")).alias("met")), "candidates")
-    found = found.withColumnRenamed("key", "k")
-    texts = slim.join(found, slim["key"].eqNullSafe(found["k"]) & (F.xxhash64(slim["text"]) == found["print"]))
-    words = texts.select("key", "print", "met", token_words(F.col("text")).alias("words"))
-    gram = F.transform("met", lambda m: F.struct(m["hash"].alias("hash"), m["at"].alias("at"), m["size"].alias("size"), F.array_join(F.slice(F.col("words"), m["at"] + 1, m["size"]), " ").alias("gram")))
-    found = words.select("key", "print", F.explode(gram).alias("m")).select("key", "print", "m.*")
+    # texts are cut into short overlapping pieces first, so that a row of a window stays small however long its text is
+    count = F.ceil((F.size("words") - F.col("size") + 1) / F.lit(PIECE)).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    piece = F.transform(numbers, lambda i: F.slice(F.col("words"), i * PIECE + 1, F.col("size") + PIECE - 1))
+    rows = rows.select("key", "print", "size", F.posexplode(piece).alias("piece", "words"))
+    found = rows.select("key", "print", "size", "piece", "words", F.posexplode(_windows(F.col("size"))).alias("at", "hash")).join(hashes, "hash")
+    gram = F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ")
+    found = settle(found.select("key", "print", "hash", "size", (F.col("piece") * PIECE + F.col("at")).alias("at"), gram.alias("gram")), "candidates")
     real = settle(found.join(grams.select("hash", "gram", "size").distinct(), ["hash", "gram", "size"], "left_semi").distinct(), "hits")
     spans = real.groupBy("key", "print").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
     met = real.select("key", "print", "hash", "gram", "size").distinct().join(grams, ["hash", "gram", "size"])
