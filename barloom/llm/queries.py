@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, decontaminate, mixing, records, simhash, substrings, toxicity, warc
+from barloom.llm import ann, decontaminate, mixing, preferences, records, simhash, substrings, toxicity, warc
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -20,6 +20,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_preference_pairs", preferences.NEIGHBOURS_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt and masked completions of each even conversation against the next."""
+    return preferences.format_neighbours(table(spark, folder, "conversations"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
