@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, decontaminate, mixing, preferences, records, simhash, substrings, toxicity, warc
+from barloom.llm import ann, decontaminate, lm, mixing, preferences, records, simhash, substrings, toxicity, warc
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -39,6 +39,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op5_lm_scores")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Baseline and model log probability of every document."""
+    return lm.score(table(spark, folder, "documents"), default_path())
+
+
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that are left when repeats of 20 words or more have gone."""
