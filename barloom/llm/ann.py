@@ -145,7 +145,7 @@ def distinct_vectors(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, D
     return ranked.filter("n = 1").select("vec", "embedding"), ranked.select("vec", "embedding", "key")
 
 
-def fit(points: DataFrame, per_leaf: int = 64, branch: int = 8, seed: int = 7) -> Tree:
+def fit(points: DataFrame, per_leaf: int = 96, branch: int = 8, seed: int = 7) -> Tree:
     """A tree on at most :data:`SAMPLE` different vectors, the first by hash; leaves grow with the table up to half the sample."""
     import numpy as np
 
@@ -202,7 +202,7 @@ def calibrate(filed: DataFrame, tree: Tree, k: int, recall: float, seed: int = 1
     return visits
 
 
-def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", embedding: str = "embedding", recall: float = 0.97, per_leaf: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", embedding: str = "embedding", recall: float = 0.94, per_leaf: int = 96) -> DataFrame:
     """``query_id, rank, key, score``: each query's ``k`` nearest other rows by cosine, ties to the smaller key.
 
     ``queries`` is a Boolean column of ``vectors``.  Vectors that are null, zero, or hold null or non-finite components
@@ -254,14 +254,25 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", embedd
         import numpy as np
         import pyarrow as pa
 
+        def pack():
+            rows = [(q, vec, near) for q, held in best.items() for near, vec in heapq.nsmallest(k + 1, held)]
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([-n for n in columns[2]], pa.float64())], names=["asker", "vec", "near"])
+
+        # a task keeps the best of each query it meets, so that the shuffle carries few rows
+        best: dict[int, list] = {}
         for batch in batches:
-            rows = []
             for q, qe, v, ve in zip(*(batch.column(i) for i in range(4))):
                 one, two = (_unit(np.array(x.as_py(), dtype=np.float64)) for x in (qe, ve))
                 for i, (ids, scores) in zip(q.as_py(), _best(one @ two.T, v.as_py(), k + 1)):
-                    rows += [(i, j, s) for j, s in zip(ids, scores)]
-            columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["asker", "vec", "near"])
+                    held = best.setdefault(i, [])
+                    held += [(-s, j) for s, j in zip(scores, ids)]
+                    if len(held) > 16 * (k + 1):
+                        best[i] = heapq.nsmallest(k + 1, held)
+            if len(best) > 50_000:
+                yield pack()
+                best = {}
+        yield pack()
 
     found = blocks.mapInArrow(score, "asker long, vec long, near double").distinct()
     best = Window.partitionBy("asker").orderBy(F.desc("near"), "vec")
