@@ -20,9 +20,6 @@ _TAIL_DEN = (
     296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
 )
 
-SERIES_LIMIT = 200
-BINOMIAL_LIMIT = 1000
-
 
 def _horner(coeffs, x: Column) -> Column:
     acc = F.lit(coeffs[0])
@@ -51,28 +48,41 @@ def erf(x: Column) -> Column:
     return 2.0 * norm_cdf(x * math.sqrt(2.0)) - 1.0
 
 
-def _t_inside(t: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """P(|T| <= |t|) for few whole degrees of freedom: the finite trigonometric series."""
-    theta = np.arctan(np.abs(t) / np.sqrt(nu))
-    cos, sin = np.cos(theta), np.sin(theta)
-    even = nu % 2 == 0
-    shift = np.where(even, -1.0, 0.0)
-    terms = np.where(even, nu / 2 - 1, (nu - 1) / 2 - 1)
-    term = np.where(even, 1.0, cos)
-    total = term.copy()
-    for j in range(1, int(terms.max(initial=0)) + 1):
-        term = term * cos**2 * (2 * j + shift) / (2 * j + shift + 1)
-        total = np.where(j <= terms, total + term, total)
-    series = np.where(nu == 1, 0.0, sin * total)
-    return np.where(even, series, (theta + series) * (2.0 / math.pi))
-
-
-def _t_score(t: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """Normal score with the same tail as ``t`` (Hill 1970), for many degrees of freedom."""
-    a = nu - 0.5
-    b = 48.0 * a * a
-    y = a * np.log1p(t * t / nu)
-    return ((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b * np.sqrt(y) + np.sqrt(y)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for positive arguments: shifted upwards, then Stirling's series."""
+    shift = np.zeros_like(x)
+    x = x.copy()
+    while (low := x < 12).any():
+        shift[low] += np.log(x[low])
+        x[low] += 1
+    z = 1 / (x * x)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function for positive ``a``, ``b`` and ``x`` in [0, 1], by its continued fraction."""
+    a, b, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    with np.errstate(divide="ignore"):
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    c, total, m, open_ = np.ones_like(x), d.copy(), 0, np.ones(x.shape, bool)
+    while open_.any():
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + term * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + term / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            total = np.where(open_, total * d * c, total)
+        open_ &= np.abs(d * c - 1) > 1e-15
+        open_ &= m < 100 + 20 * np.sqrt(a + b)  # far beyond the square root of the parameters, which suffices
+    inside = np.where(x <= 0, 0.0, front * total)
+    return np.where(swap, 1 - inside, inside)
 
 
 @F.pandas_udf(DoubleType())
@@ -80,15 +90,22 @@ def t_p_one_sided(t: pd.Series, nu: pd.Series) -> pd.Series:
     """p-value of H1: mean > 0 for a t statistic with ``nu`` degrees of freedom; one row per tested group."""
     x, n = t.to_numpy(float), nu.to_numpy(float)
     known = np.isfinite(x) & (n >= 1)
-    few = known & (n <= SERIES_LIMIT)
     upper = np.full(len(x), np.nan)
-    upper[few] = (1.0 - _t_inside(x[few], n[few])) / 2
-    many = known & ~few
-    upper[many] = [0.5 * math.erfc(z / math.sqrt(2)) for z in _t_score(x[many], n[many])]
+    upper[known] = incomplete_beta(n[known] / 2, np.array(0.5), n[known] / (n[known] + x[known] ** 2)) / 2
     p = pd.Series(np.where(x > 0, upper, 1.0 - upper), index=t.index)
     return p.astype(object).where(known, None)
 
 
+@F.pandas_udf(DoubleType())
+def _binomial_tails(fewer: pd.Series, n: pd.Series) -> pd.Series:
+    """Twice the chance of at most ``fewer`` heads in ``n`` fair throws, 1 at most; one row per tested group."""
+    k, m = fewer.to_numpy(float), n.to_numpy(float)
+    known = np.isfinite(k) & (m > 0)
+    p = np.full(len(k), np.nan)
+    p[known] = np.where(2 * k[known] >= m[known], 1.0, np.minimum(1.0, 2 * incomplete_beta(np.maximum(m[known] - k[known], 0.5), k[known] + 1, np.array(0.5))))
+    return pd.Series(p, index=n.index).astype(object).where(known, None)
+
+
 def t_test_p(mean: Column, std: Column, n: Column) -> Column:
     """One-sided one-sample t-test from mean, sample deviation and count.
 
@@ -100,25 +117,8 @@ def t_test_p(mean: Column, std: Column, n: Column) -> Column:
 
 
 def binomial_p_two_sided(wins: Column, n: Column) -> Column:
-    """Chance of a win count at least as far from n/2 as the one seen; exact up to 1000 trials.
-
-    Beyond that the normal limit with continuity correction is used.
-    """
-    dev = F.abs(wins - n / 2.0)
-    small = F.least(n, F.lit(BINOMIAL_LIMIT)).cast("int")
-    zero = F.struct(F.pow(F.lit(0.5), small.cast("double")).alias("pmf"), F.lit(0.0).alias("total"))
-
-    def step(acc, k):
-        far = F.abs(k - n / 2.0) >= dev
-        return F.struct(
-            (acc["pmf"] * (n - k) / (k + 1)).alias("pmf"),
-            (acc["total"] + F.when(far, acc["pmf"]).otherwise(0.0)).alias("total"),
-        )
-
-    exact = F.aggregate(F.sequence(F.lit(0), small), zero, step)["total"]
-    limit = 2 * norm_sf_abs(F.greatest(dev - 0.5, F.lit(0.0)) / (F.sqrt(n.cast("double")) / 2))
-    p = F.when(n <= BINOMIAL_LIMIT, exact).otherwise(limit)
-    return F.when(n <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+    """Chance of a win count at least as far from n/2 as the one seen, exact for every n; no trials give 1."""
+    return F.when(n <= 0, F.lit(1.0)).otherwise(_binomial_tails(F.least(wins, n - wins).cast("double"), n.cast("double")))
 
 
 def deflated_sharpe_p(mean: Column, std: Column, n: Column, trials: Column, benchmark: float = 0.0) -> Column:

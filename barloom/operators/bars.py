@@ -51,7 +51,7 @@ def alignment_audit(df: DataFrame, keys: Sequence[str], timeframe: str, now, row
         age.alias("last_bar_age_s"),
         (age < dur).alias("open_bar_flag"),
         F.coalesce(F.sum(off.cast("long")), F.lit(0)).alias("misaligned"),
-        F.slice(F.sort_array(F.collect_list(F.when(off, F.col("ts")))), 1, 5).alias("examples"),
+        F.array_join(F.slice(F.sort_array(F.collect_list(F.when(off, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))), 1, 5), ", ").alias("examples"),
     )
 
 

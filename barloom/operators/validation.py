@@ -6,12 +6,12 @@ running sums are computed slot by slot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import md5_u32
 from barloom.functions.stats import binomial_p_two_sided, deflated_sharpe_p, t_test_p
 from barloom.operators.ordered import beside, match, positions, running, time_slot
 from barloom.session import cut_lineage
@@ -167,52 +167,30 @@ def win_test(trades: DataFrame, keys: Sequence[str] = ID, value: str = "pnl") ->
     return c.withColumn("p_binomial", binomial_p_two_sided(F.col("wins"), F.col("n")))
 
 
-def bootstrap_p(
-    trades: DataFrame, n_iter: int, seed: int, keys: Sequence[str] = ID, value: str = "pnl", order: str = "item",
-    in_row_limit: int = 10_000,
-) -> DataFrame:
+#: Chances of at most 0, 1, .. 6 events of a Poisson variable of mean 1, in units of 2 ** -32.
+POISSON_STEPS = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(7))
+
+
+def bootstrap_p(trades: DataFrame, n_iter: int, seed: int, keys: Sequence[str] = ID, value: str = "pnl", order: str = "item") -> DataFrame:
     """G-14: share of resampled, centred means that reach the observed mean.
 
-    Draw j of resample i is word j % 4 of md5(seed|rule|i|j div 4), modulo n.  Rules with at most
-    ``in_row_limit`` returns are resampled inside one row per (rule, resample); larger ones send each draw to the
-    row that holds its position, an equi-join with no hot key.
+    Each return enters each resample with a Poisson(1) weight, drawn from word i % 4 of md5(seed|rule|position|i div 4);
+    resample sizes therefore vary around the rule's own.  Weighted sums are taken before the only shuffle of draws, so
+    that it carries rules times resamples, however many returns a rule has.  An empty resample is left out.
     """
-    ranked = trade_positions(trades, keys, order).select(*keys, "pos", "n", F.col(value).alias("_x"))
+    ranked = trade_positions(trades, keys, order).select(*keys, "pos", F.col(value).alias("_x"))
     stats = trades.groupBy(*keys).agg(*_moments(value))
-    name = F.concat_ws("|", F.lit(str(seed)), *keys)
-    iters = F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("_it")
-
-    small = ranked.where(F.col("n") <= in_row_limit).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_x"))), lambda s: s["_x"]).alias("_xs")
-    )
-    size = F.size("_xs")
-    words = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / 4).cast("int")),
-        lambda g: F.md5(F.concat_ws("|", name, F.col("_it").cast("string"), g.cast("string"))),
-    )
-
-    def resampled_sum(ws: Column) -> Column:
-        word = lambda j: F.substr(F.element_at(ws, (F.floor(j / 4) + 1).cast("int")), (j % 4) * 8 + 1, F.lit(8))
-        at = lambda j: F.pmod(F.conv(word(j), 16, 10).cast("long"), size)
-        return F.aggregate(
-            F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda acc, j: acc + F.element_at("_xs", (at(j) + 1).cast("int"))
-        )
-
-    # the one-element transform binds the hash words once per row instead of once per draw
-    total = F.transform(F.array(words), resampled_sum)[0]
-    in_row = small.select(*keys, "_xs", iters).select(*keys, "_it", (total / size).alias("_m"))
-
-    big = ranked.where(F.col("n") > in_row_limit)
-    key = F.concat_ws("|", name, F.col("_it").cast("string"), F.floor(F.col("pos") / 4).cast("string"))
-    wanted = big.select(*keys, "pos", "n", iters).select(
-        *keys, "_it", F.pmod(md5_u32(key, (F.col("pos") % 4).cast("int")), F.col("n")).alias("_at")
-    ).groupBy(*keys, "_at", "_it").agg(F.count(F.lit(1)).alias("_times"))
-    by_join = (
-        match(wanted, big.select(*keys, F.col("pos").alias("_at"), "_x", "n"), [*keys, "_at"])
-        .groupBy(*keys, "_it")
-        .agg((F.sum(F.col("_x") * F.col("_times")) / F.first("n")).alias("_m"))
-    )
-    means = match(in_row.unionByName(by_join), stats, keys)
+    groups = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // 4))).alias("_g")
+    draws = ranked.select(*keys, "pos", "_x", groups)
+    draws = draws.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, F.col("pos").cast("string"), F.col("_g").cast("string"))))
+    sums = []
+    for j in range(4):
+        u = F.conv(F.substr(F.col("_h"), F.lit(1 + 8 * j), F.lit(8)), 16, 10).cast("long")
+        weight = sum(((u >= F.lit(step)).cast("int") for step in POISSON_STEPS), F.lit(0))
+        sums += [F.sum(weight * F.col("_x")).alias(f"_s{j}"), F.sum(weight).alias(f"_w{j}")]
+    summed = draws.groupBy(*keys, "_g").agg(*sums)
+    means = F.inline(F.array(*[F.struct((F.col("_g") * 4 + j).alias("_it"), F.try_divide(F.col(f"_s{j}"), F.col(f"_w{j}")).alias("_m")) for j in range(4)]))
+    means = match(summed.select(*keys, means).where(F.col("_it") < n_iter), stats, keys)
     tail = F.avg((F.col("_m") - F.col("mean") >= F.col("mean")).cast("double"))
     p = means.groupBy(*keys).agg(tail.alias("_tail"), F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"))
     raw = F.when(F.col("mean") > 0, F.col("_tail")).otherwise(1.0)

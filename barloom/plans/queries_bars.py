@@ -234,9 +234,9 @@ def _(spark, folder):
         "user_ticks",
         "SELECT symbol, count(*) AS rows_checked, max(ts) AS last_bar, (epoch_us(TIMESTAMP '2024-01-30 23:30:00')//1000000 - epoch_us(max(ts))//1000000)::BIGINT AS last_bar_age_s, "
         "(epoch_us(TIMESTAMP '2024-01-30 23:30:00')//1000000 - epoch_us(max(ts))//1000000) < 3600 AS open_bar_flag, count(*) FILTER (WHERE off) AS misaligned, "
-        "list(ts ORDER BY ts) FILTER (WHERE off)[1:5] AS examples FROM (SELECT *, (epoch_us(ts)//1000000) % 3600 <> 0 AS off, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM "
+        "coalesce(array_to_string(list_slice(list(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') ORDER BY ts) FILTER (WHERE off), 1, 5), ', '), '') AS examples FROM (SELECT *, (epoch_us(ts)//1000000) % 3600 <> 0 AS off, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM "
         "(SELECT DISTINCT symbol, CASE WHEN minute(ts) < 30 THEN date_trunc('hour', ts) ELSE date_trunc('minute', ts) END AS ts FROM user_ticks)) WHERE r <= 5000 GROUP BY symbol",
-    ).replace("list(ts ORDER BY ts) FILTER (WHERE off)[1:5]", "list_slice(coalesce(list(ts ORDER BY ts) FILTER (WHERE off), []), 1, 5)"),
+    ),
 )
 def _(spark, folder):
     ev = views.table(spark, folder, "events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from barloom.functions import formula as fm
@@ -144,11 +146,10 @@ BINOM = (
 )
 
 
-@query("G12_sparse_fallback", with_views("trades", f"SELECT formula_id, round(CASE WHEN n < 5 THEN {BINOM} ELSE {t_p_sql('m','s','n')} END,6)+0.0::DOUBLE AS p_value, round(m,10)+0.0::DOUBLE AS mean_oos, n AS total_trades, true AS is_fallback FROM x", sp="SELECT * FROM trades WHERE abs(pnl) < 0.05", x=SPARSE))
+@query("G12_sparse_fallback", with_views("trades", f"SELECT formula_id, round(CASE WHEN n < 5 THEN {BINOM} ELSE {t_p_sql('m','s','n')} END,6)+0.0::DOUBLE AS p_value, round(m,10)+0.0::DOUBLE AS mean_oos, n AS total_trades, true AS is_fallback FROM x", sp="SELECT * FROM trades", x=SPARSE))
 def _(spark, folder):
     """Fold count above the number of returns: every rule takes the whole-sample branch."""
-    t = views.trades(spark, folder).where(F.abs(F.col("pnl")) < 0.05)
-    got = va.cv_stats(t, 100_000)
+    got = va.cv_stats(views.trades(spark, folder), 100_000)
     return got.select("formula_id", *rc("p_value", "mean_oos"), "total_trades", "is_fallback")
 
 
@@ -157,31 +158,47 @@ def _(spark, folder):
     return va.win_test(views.trades(spark, folder)).select("formula_id", "n", "wins", *rc("p_binomial"))
 
 
-BOOT = (
-    "WITH t AS (SELECT CAST(user_id AS VARCHAR) AS formula_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_type, ts) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, "
-    "(value-20.0)/100.0 AS pnl FROM events), d AS (SELECT formula_id, n, it, ('0x' || substr(md5('11|' || formula_id || '|' || it || '|' || (pos//4)), 1+8*(pos%4), 8))::BIGINT % n AS at "
-    "FROM t, range(40) i(it)), m AS (SELECT d.formula_id, d.it, avg(t.pnl) AS bm FROM d JOIN t ON t.formula_id=d.formula_id AND t.pos=d.at GROUP BY 1,2), "
-    "o AS (SELECT formula_id, count(*) AS n, avg(pnl) AS mean, stddev_samp(pnl) AS sd FROM t GROUP BY 1) SELECT formula_id, CASE WHEN any_value(o.n)<3 OR any_value(sd)=0 THEN 1 WHEN any_value(mean)<=0 THEN 1 "
-    "WHEN avg((bm-mean>=mean)::INT)>0 THEN avg((bm-mean>=mean)::INT) ELSE 1/40.0::DOUBLE END AS p_bootstrap FROM m JOIN o USING (formula_id) GROUP BY 1"
-)
+STEPS = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(7)]
+
+
+def boot_sql(rule: str, n_iter: int) -> str:
+    """p_bootstrap per rule over events, ``rule`` the SQL that names it."""
+    weight = " + ".join(f"(u >= {s})::INT" for s in STEPS)
+    return (
+        f"WITH t AS (SELECT {rule} AS formula_id, row_number() OVER (PARTITION BY {rule} ORDER BY event_type, ts) - 1 AS pos, (value-20.0)/100.0 AS pnl FROM events), "
+        "h AS (SELECT formula_id, pnl, g, md5('11|' || formula_id || '|' || pos || '|' || g) AS h FROM t, range("
+        f"{(n_iter + 3) // 4}) x(g)), d AS (SELECT formula_id, g*4+j AS it, pnl, ('0x' || substr(h, 1+8*j, 8))::BIGINT AS u FROM h, range(4) y(j)), "
+        f"m AS (SELECT formula_id, it, sum(pnl*w)/nullif(sum(w),0) AS bm FROM (SELECT *, {weight} AS w FROM d) WHERE it < {n_iter} GROUP BY 1,2), "
+        "o AS (SELECT formula_id, count(*) AS n, avg(pnl) AS mean, stddev_samp(pnl) AS sd FROM t GROUP BY 1) SELECT formula_id, round(CASE WHEN any_value(o.n)<3 OR any_value(sd)=0 THEN 1 WHEN any_value(mean)<=0 THEN 1 "
+        f"WHEN avg((bm-mean>=mean)::INT)>0 THEN avg((bm-mean>=mean)::INT) ELSE 1/{n_iter}.0::DOUBLE END,6) AS p_bootstrap FROM m JOIN o USING (formula_id) GROUP BY 1"
+    )
 
 
-def _boot_trades(spark, folder):
+def _boot_trades(spark, folder, rule="user_id"):
     return views.table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("formula_id"), F.col("event_type").alias("symbol"), "ts",
+        F.col(rule).cast("string").alias("formula_id"), F.col("event_type").alias("symbol"), "ts",
         ((F.col("value") - 20.0) / 100.0).alias("pnl"),
     )
 
 
-@query("G14_bootstrap_p", BOOT.replace("SELECT formula_id, CASE", "SELECT formula_id, round(CASE").replace("END AS p_bootstrap", "END,6) AS p_bootstrap"))
+@query("G14_bootstrap_p", boot_sql("CAST(user_id AS VARCHAR)", 500))
 def _(spark, folder):
-    return va.bootstrap_p(_boot_trades(spark, folder), 40, 11).select("formula_id", *rc("p_bootstrap"))
+    return va.bootstrap_p(_boot_trades(spark, folder), 500, 11).select("formula_id", *rc("p_bootstrap"))
+
+
+@query("G14_bootstrap_p_large", boot_sql("event_type", 100))
+def _(spark, folder):
+    """The same for few rules of thousands of returns each."""
+    return va.bootstrap_p(_boot_trades(spark, folder, "event_type"), 100, 11).select("formula_id", *rc("p_bootstrap"))
+
+
+LARGE = "SELECT event_type AS formula_id, count(*) AS n, count(*) FILTER (WHERE value > 20) AS w FROM events GROUP BY 1"
 
 
-@query("G14_bootstrap_p_large", BOOT.replace("SELECT formula_id, CASE", "SELECT formula_id, round(CASE").replace("END AS p_bootstrap", "END,6) AS p_bootstrap"))
+@query("G13_binomial_p_large", f"SELECT formula_id, n, w AS wins, round({BINOM},6) AS p_binomial FROM ({LARGE})")
 def _(spark, folder):
-    """The same p-values by the path for rules too large for one row."""
-    return va.bootstrap_p(_boot_trades(spark, folder), 40, 11, in_row_limit=0).select("formula_id", *rc("p_bootstrap"))
+    """Rules of thousands of trades: the same exact test."""
+    return va.win_test(_boot_trades(spark, folder, "event_type")).select("formula_id", "n", "wins", *rc("p_binomial"))
 
 
 PVALS = "SELECT formula_id, symbol, round(least(1.0, abs(avg(pnl))*3), 3) AS p_value FROM trades GROUP BY 1,2"
@@ -218,7 +235,7 @@ def _(spark, folder):
 PBO = {
     "perf": "SELECT o_orderpriority AS formula_id, CAST(o_custkey % 40 AS VARCHAR) AS symbol, round(avg(o_totalprice),2) AS mean_ret FROM orders GROUP BY 1,2",
     "sy": "SELECT DISTINCT symbol FROM perf",
-    "dr": "SELECT split, symbol, row_number() OVER (PARTITION BY split ORDER BY md5('5|' || split || '|' || symbol), symbol) <= greatest(1, (SELECT count(*) FROM sy)//2) AS ins FROM sy, range(12) s(split)",
+    "dr": "SELECT split, symbol, row_number() OVER (PARTITION BY split ORDER BY md5('5|' || split || '|' || symbol), symbol) <= greatest(1, (SELECT count(*) FROM sy)//2) AS ins FROM sy, range(25) s(split)",
     "mm": "SELECT split, formula_id, avg(mean_ret) FILTER (WHERE ins) AS ism, avg(mean_ret) FILTER (WHERE NOT ins) AS oos FROM perf JOIN dr USING (symbol) GROUP BY 1,2",
     "rk": "SELECT split, formula_id, oos, row_number() OVER (PARTITION BY split ORDER BY ism DESC NULLS LAST, formula_id) AS ri, row_number() OVER (PARTITION BY split ORDER BY oos DESC NULLS LAST, formula_id)-1 AS ro, count(oos) OVER (PARTITION BY split) AS no, count(ism) OVER (PARTITION BY split) AS ni FROM mm",
 }
@@ -235,13 +252,13 @@ PBO_ROW = "SELECT count(*) AS valid_splits, count(*) FILTER (WHERE ro/(no-1)::DO
 
 @query("G17_pbo", with_views("", "SELECT valid_splits, overfit_splits, round(pbo,10) AS pbo FROM x", **PBO, x=PBO_ROW))
 def _(spark, folder):
-    return va.pbo(_perf(spark, folder), 12, 4, 5).select("valid_splits", "overfit_splits", *rc("pbo"))
+    return va.pbo(_perf(spark, folder), 25, 4, 5).select("valid_splits", "overfit_splits", *rc("pbo"))
 
 
 @query("G38_pbo_gate", with_views("trades", "SELECT formula_id, count(*) AS n_trades FROM trades WHERE (SELECT pbo FROM x) <= 0.75 GROUP BY 1", **PBO, x=PBO_ROW))
 def _(spark, folder):
     c = views.trades(spark, folder).groupBy("formula_id").agg(F.count(F.lit(1)).alias("n_trades"))
-    return va.pbo_gate(c, va.pbo(_perf(spark, folder), 12, 4, 5), 0.75)
+    return va.pbo_gate(c, va.pbo(_perf(spark, folder), 25, 4, 5), 0.75)
 
 
 # trades shifted up so that some rules survive every gate

@@ -24,14 +24,21 @@ def test_student_table(spark, t, nu, two_sided):
     assert one(spark, st.t_p_one_sided(F.lit(-t), F.lit(nu))) == pytest.approx(1 - p, abs=1e-12)
 
 
-def test_student_series_meets_normal_score(spark):
-    """Both formulas agree where the switch happens."""
+def test_incomplete_beta_against_plain_sums():
+    """P(X >= k) of a binomial is an incomplete beta; large parameters keep the symmetry and the normal limit."""
     import numpy as np
 
-    t, nu = np.array([0.3, 1.0, 2.5]), np.array([200.0] * 3)
-    series = (1 - st._t_inside(t, nu)) / 2
-    score = [0.5 * math.erfc(z / math.sqrt(2)) for z in st._t_score(t, nu)]
-    assert np.allclose(series, score, rtol=1e-8)
+    for n, k, x in [(5, 2, 0.3), (40, 11, 0.5), (200, 150, 0.7), (1500, 700, 0.47)]:
+        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(x) + (n - j) * math.log(1 - x)) for j in range(k, n + 1))
+        assert float(st.incomplete_beta(np.array(float(k)), np.array(n - k + 1.0), np.array(x))) == pytest.approx(want, rel=1e-9)
+    a = np.array([0.5, 3.0, 1e5, 1e8])
+    assert np.allclose(st.incomplete_beta(a, a, np.array(0.5)), 0.5, rtol=1e-6)
+    assert list(st.incomplete_beta(a, a, np.array(0.0))) == [0] * 4 and list(st.incomplete_beta(a, a, np.array(1.0))) == [1] * 4
+
+
+@pytest.mark.parametrize("wins,n,want", [(560, 1002, 0.000215530), (501, 1002, 1.0), (500_600, 1_000_000, 0.230528)])
+def test_binomial_of_many_trials(spark, wins, n, want):
+    assert one(spark, st.binomial_p_two_sided(F.lit(wins), F.lit(n))) == pytest.approx(want, rel=2e-5)
 
 
 def test_no_spread(spark):
