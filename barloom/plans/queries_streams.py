@@ -20,6 +20,14 @@ def events(spark, folder):
     return ss.read_stream(spark, folder, schema, "events.parquet")
 
 
+def scattered_events(spark, folder, files: int = 4):
+    """The events as a stream of files whose times overlap."""
+    path = work_dir(spark, "events")
+    table = views.table(spark, folder, "events")
+    table.repartition(files, "event_id").write.parquet(path)
+    return ss.read_stream(spark, path, table.schema)
+
+
 def tick_bars(ev):
     """Each event as a one-tick bar at its own time."""
     v = F.col("value")
@@ -96,12 +104,11 @@ SUPPRESS = (
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(spark, folder):
-    ss.use_rocksdb(spark)
-    a = events(spark, folder).select(
+    a = scattered_events(spark, folder).select(
         F.concat(F.lit("v"), F.col("user_id") % 2).alias("venue"), F.col("event_type").alias("symbol"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", (F.col("value") < 60).alias("missed"),
     )
-    return ss.run_to_files(ss.stream_suppress(a, 3, 21_600), work_dir(spark, "suppress"))
+    return ss.stream_suppress(a, work_dir(spark, "suppress"), 3, 21_600)
 
 
 @query("K06_stream_counters", "SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1")
@@ -119,6 +126,5 @@ def _(spark, folder):
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(spark, folder):
-    ss.use_rocksdb(spark)
-    v = events(spark, folder).select(F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("x"))
-    return ss.run_to_files(ss.stream_ema(v, 0.2), work_dir(spark, "ema")).withColumn("ema", rounded("ema"))
+    v = scattered_events(spark, folder).select(F.col("event_type").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("x"))
+    return ss.stream_ema(v, 0.2, work_dir(spark, "ema")).withColumn("ema", rounded("ema"))

@@ -1,6 +1,6 @@
 """Structured Streaming forms of the incremental operators (K-01 ... K-09).
 
-Sources are append-only bar or event files; state is kept per series by Spark (RocksDB for the keyed operators).
+Sources are append-only bar or event files; keyed state is a small table per micro-batch in the sink.
 Event time is a timestamp column; late rows are dropped behind the watermark or, for repairs, merged by key.
 """
 
@@ -11,22 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from barloom.functions.scalars import OHLCV, tf_seconds
+from barloom.operators.ordered import positions, running_ema
 from barloom.operators.quality import apply_repairs
 from barloom.session import work_dir
 from barloom.sources.lake import write_bars
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """State store the keyed operators need; state lives on local disk and in the checkpoint, not on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """File source with a fixed schema; new files are picked up by the next trigger."""
     r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
@@ -121,83 +112,83 @@ def stream_counters(df: DataFrame, keys: Sequence[str], sink: str, checkpoint: s
     return updates.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
 
 
-class _Suppress(StatefulProcessor):
-    """Miss counter and suppression deadline per (venue, symbol)."""
+def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the batch before saved; a replayed batch finds the same again."""
+    return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
 
-    def __init__(self, threshold: int, ttl_seconds: int):
-        self.threshold, self.ttl_us = threshold, ttl_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("misses", LongType()), StructField("until", LongType())])
-        self.state = handle.getValueState("suppress", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        misses, until = self.state.get() if self.state.exists() else (0, 0)
-        for pdf in rows:
-            pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-            out = []
-            for us, event_id, missed in zip(pdf["us"], pdf["event_id"], pdf["missed"]):
-                suppressed = us < until
-                if not suppressed:
-                    misses = misses + 1 if missed else 0
-                    if misses >= self.threshold:
-                        misses, until = 0, us + self.ttl_us
-                out.append((int(event_id), bool(suppressed), int(misses)))
-            yield pd.DataFrame(
-                [(key[0], key[1], *row) for row in out], columns=["venue", "symbol", "event_id", "suppressed", "misses"]
-            )
-        self.state.update((int(misses), int(until)))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_suppress(attempts: DataFrame, threshold: int = 3, ttl_seconds: int = 21_600) -> DataFrame:
+def stream_suppress(attempts: DataFrame, sink: str, threshold: int = 3, ttl_seconds: int = 21_600, checkpoint: str | None = None) -> DataFrame:
     """K-05: per attempt, whether its (venue, symbol) was suppressed and the misses counted after it.
 
     A success clears the counter; at ``threshold`` misses in a row the pair is suppressed for the TTL.
-    ``attempts`` has venue, symbol, us (event time), event_id, missed.  State is two numbers per pair; Spark hands
-    the rows of a pair over in Arrow batches, so a busy pair is streamed, not collected.  Rows are taken in event
-    order within a batch of rows; the source is expected to deliver a pair's attempts in order.
+    ``attempts`` has venue, symbol, us (event time), event_id, missed.  Each micro-batch is sorted by pair and event
+    time in the shuffle, so files may overlap in time in any way; batches follow each other.  State is two numbers per
+    pair, saved as a table of the batch; a replayed batch overwrites its own.
     """
-    return attempts.groupBy("venue", "symbol").transformWithStateInPandas(
-        statefulProcessor=_Suppress(threshold, ttl_seconds),
-        outputStructType="venue string, symbol string, event_id long, suppressed boolean, misses long",
-        outputMode="append", timeMode="none",
-    )
-
-
-class _Ema(StatefulProcessor):
-    def __init__(self, alpha: float):
-        self.alpha = alpha
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", StructType([StructField("value", DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values("us", kind="stable")
-            x = pdf["x"]
-            carried = x if last is None else pd.concat([pd.Series([last]), x])
-            y = carried.ewm(alpha=self.alpha, adjust=False).mean()
-            y = y if last is None else y.iloc[1:]
-            last = float(y.iloc[-1])
-            yield pd.DataFrame({"symbol": key[0], "us": pdf["us"].to_numpy(), "ema": y.to_numpy()})
-        if last is not None:
-            self.state.update((last,))
-
-    def close(self) -> None:
-        pass
+    ttl_us, name = ttl_seconds * 1_000_000, ["venue", "symbol"]
+    fields = "venue string, symbol string, event_id long, suppressed boolean, misses long, until long"
 
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, misses, until = None, 0, 0
+        for pdf in frames:
+            out = []
+            for venue, symbol, us, event_id, missed, n, end in pdf.itertuples(index=False):
+                if (venue, symbol) != pair:
+                    if pair is not None:
+                        out.append((*pair, None, None, misses, until))
+                    pair, misses, until = (venue, symbol), 0, 0
+                if event_id is None or event_id != event_id:
+                    misses, until = int(n), int(end)
+                    continue
+                suppressed = us < until
+                if not suppressed:
+                    misses = misses + 1 if missed else 0
+                    if misses >= threshold:
+                        misses, until = 0, us + ttl_us
+                out.append((venue, symbol, event_id, bool(suppressed), misses, None))
+            yield table(out)
+        if pair is not None:
+            yield table([(*pair, None, None, misses, until)])
 
-def stream_ema(values: DataFrame, alpha: float) -> DataFrame:
-    """K-08: recursive average per symbol, carried across batches as one number of state.
+    def table(out) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["venue", "symbol", "event_id", "suppressed", "misses", "until"])
+        return frame.astype({"event_id": "Int64", "misses": "Int64", "until": "Int64", "suppressed": "boolean"})
 
-    ``values`` has symbol, us (event time), x, delivered in event order per symbol.
+    def save(batch: DataFrame, batch_id: int) -> None:
+        none = F.lit(None).cast("long")
+        rows = batch.select(*name, "us", "event_id", "missed", none.alias("n"), none.alias("end"))
+        held = _stored(batch.sparkSession, sink, batch_id)
+        if held is not None:
+            state = held.where("event_id IS NULL").select(*name, none.alias("us"), none.alias("event_id"), F.lit(None).cast("boolean").alias("missed"), F.col("misses").alias("n"), F.col("until").alias("end"))
+            rows = rows.unionByName(state)
+        order = [*name, F.col("us").asc_nulls_first(), "event_id"]
+        done = rows.repartition(*name).sortWithinPartitions(*order).mapInPandas(walk, fields)
+        done.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    run_batches(attempts, save, checkpoint)
+    read = attempts.sparkSession.read.schema(fields).parquet(sink)
+    return read.where("event_id IS NOT NULL").select(*name, "event_id", "suppressed", "misses")
+
+
+def stream_ema(values: DataFrame, alpha: float, sink: str, checkpoint: str | None = None, slot_seconds: int = 86_400) -> DataFrame:
+    """K-08: recursive average per symbol, carried across batches as one number per symbol.
+
+    ``values`` has symbol, us (event time), x.  Each micro-batch is put in event order by exact positions and averaged
+    in runs, so files may overlap in time in any way and no symbol is one task; batches follow each other.
     """
-    return values.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=_Ema(alpha), outputStructType="symbol string, us long, ema double", outputMode="append", timeMode="none"
-    )
-
+    start = -(1 << 62)
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("symbol", "us", "x")
+        held = _stored(batch.sparkSession, f"{sink}/carry", batch_id)
+        if held is not None:
+            rows = rows.unionByName(held.select("symbol", F.lit(start).cast("long").alias("us"), F.col("ema").alias("x")))
+        slot = F.floor(F.col("us") / F.lit(slot_seconds * 1_000_000)).cast("long")
+        done = running_ema(positions(rows, ["symbol"], ["us", "x"], slot), ["symbol"], "pos", {"ema": ("x", alpha)})
+        done.select("symbol", "us", "pos", "ema").write.mode("overwrite").parquet(f"{sink}/all/batch={batch_id}")
+        done = batch.sparkSession.read.parquet(f"{sink}/all/batch={batch_id}")
+        done.groupBy("symbol").agg(F.max_by("ema", "pos").alias("ema")).write.mode("overwrite").parquet(f"{sink}/carry/batch={batch_id}")
+
+    run_batches(values, save, checkpoint)
+    read = values.sparkSession.read.schema("symbol string, us long, pos long, ema double").parquet(f"{sink}/all")
+    return read.where(F.col("us") > start).select("symbol", "us", "ema")
