@@ -43,6 +43,11 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def by_file(rows: DataFrame, column: str, files: int) -> DataFrame:
+    """Rows of a file in one task, about one file a task; a stated number is not coalesced, however short the rows are."""
+    return rows.repartition(max(1, min(files, 100_000)), column)
+
+
 def shared_files(spark: SparkSession, label: str) -> str:
     """A fresh folder name for files that tasks write themselves, below the shared folder."""
     shared_dir(spark)

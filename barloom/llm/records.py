@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import file_system, settle, shared_files
+from barloom.llm.common import by_file, file_system, settle, shared_files
 from barloom.llm.subwords import WordEncoder, pieces
 
 #: Fixed value of the record format.
@@ -148,7 +148,8 @@ def read_records(index: DataFrame, key: str = "doc_id", with_ids: bool = False)
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
     schema = T.StructType(fields)
-    rows = index.select(key, "shard", "offset", "part", "width").repartition("part").sortWithinPartitions("part", "offset")
+    shards = index.select("part").distinct().count()
+    rows = by_file(index.select(key, "shard", "offset", "part", "width"), "part", shards).sortWithinPartitions("part", "offset")
     found = rows.mapInArrow(read, schema)
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

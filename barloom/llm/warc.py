@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import file_system, settle, shared_files, spread
+from barloom.llm.common import by_file, file_system, settle, shared_files, spread
 
 #: The header fields that each ARC version declares, in order.
 FIELDS = {
@@ -187,7 +187,7 @@ def scan_arc(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=schema.names)
 
     schema = T.StructType.fromDDL("path string, offset long, id string, size long, digest string, key long")
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    return by_file(archives.select("path"), "path", archives.count()).mapInArrow(run, schema)
 
 
 def record_id(path: str, offset: int) -> str:
@@ -222,10 +222,10 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def convert(chosen: DataFrame, folder: str) -> DataFrame:
+def convert(chosen: DataFrame, folder: str, files: int = 1000) -> DataFrame:
     """Rewrite chosen ARC records as WARC: ``path, records`` of every archive written.
 
-    A task takes whole ARC files and reads them front to back, one record in memory at a time.  Identifiers follow from
+    A task takes whole ARC files (``files`` is about how many there are) and reads them front to back, one record in memory at a time.  Identifiers follow from
     archive and offset, timestamps from the archive date, the block digest from the block, the payload digest from the
     full payload; revisits keep the HTTP headers, and name the response they repeat.
     """
@@ -274,7 +274,7 @@ def convert(chosen: DataFrame, folder: str) -> DataFrame:
             stream.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
 
-    rows = chosen.select("path", "offset", "id", "refers", "digest").repartition("path").sortWithinPartitions("path", "offset")
+    rows = by_file(chosen.select("path", "offset", "id", "refers", "digest"), "path", files).sortWithinPartitions("path", "offset")
     return settle(rows.mapInArrow(run, "path string, records long"), "warc")
 
 
@@ -335,7 +335,7 @@ def read_warc(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
     ddl = "id string, type string, refers string, date string, uri string, key long, payload_bytes long, payload_digest string"
     schema = T.StructType.fromDDL(ddl + (", payload binary" if with_payload else ""))
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    return by_file(archives.select("path"), "path", archives.count()).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -347,7 +347,7 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     spark = pages.sparkSession
     archives = write_arc(pages, shared_files(spark, "arc"), key, url, html)
     records = settle(scan_arc(archives), "records")
-    found = read_warc(convert(choose(records, least), shared_files(spark, "warc")))
+    found = read_warc(convert(choose(records, least), shared_files(spark, "warc"), archives.count()))
     found = settle(found, "read")
     answers = found.filter("type = 'response'").select(F.col("id").alias("refers"), F.col("key").alias("refers_to"))
     joined = found.join(answers, "refers", "left")
