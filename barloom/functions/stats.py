@@ -62,7 +62,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function for positive ``a``, ``b`` and ``x`` in [0, 1], by its continued fraction."""
-    a, b, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
+    a, b, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(*np.atleast_1d(a, b, x)))
     swap = x > (a + 1) / (a + b + 2)
     a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     with np.errstate(divide="ignore"):
