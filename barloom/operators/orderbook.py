@@ -1,6 +1,7 @@
 """Order-book operators on arrays of (price, size) levels (H-01 ... H-04, C-08).
 
-Books arrive cut to a fixed depth, so folding an array inside a row is bounded work and needs no shuffle.
+A book is one row of levels, best first; the operators fold its arrays inside the row and need no shuffle.  ``depth``
+limits an operator to that many levels where its source promises no more.
 """
 
 from __future__ import annotations
@@ -36,12 +37,16 @@ def _fill(levels: Column, need: Column, enough: Column, cost_of) -> Column:
     return F.aggregate(levels, start, step)
 
 
-def book_impact_bps(bids: str | Column, asks: str | Column, notional_usd, usd_per_quote) -> Column:
+def _to_depth(levels: str | Column, depth: int | None) -> Column:
+    return col(levels) if depth is None else top_levels(levels, depth)
+
+
+def book_impact_bps(bids: str | Column, asks: str | Column, notional_usd, usd_per_quote, depth: int | None = None) -> Column:
     """H-01: cost of buying a dollar notional, volume-weighted price over mid in basis points.
 
-    NULL when a side is empty, less than 99.9 % can be filled, or the price runs over 1.25 times the best ask.
+    Levels of size zero are passed over.  NULL when a side is empty, less than 99.9 % can be filled, or the price runs over 1.25 times the best ask.
     """
-    b, a = col(bids), col(asks)
+    b, a = _to_depth(bids, depth), _to_depth(asks, depth)
     need = F.lit(notional_usd) / F.greatest(col(usd_per_quote), F.lit(1e-12))
     fill = _fill(a, need, need * 0.999, lambda x: x["price"] * x["size"])
     vwap = F.try_divide(fill["taken"], fill["other"])
@@ -50,9 +55,9 @@ def book_impact_bps(bids: str | Column, asks: str | Column, notional_usd, usd_pe
     return F.when(ok, 10000.0 * (vwap - mid) / mid)
 
 
-def book_fill_vwap(bids: str | Column, asks: str | Column, notional_usd, side: str | Column) -> Column:
+def book_fill_vwap(bids: str | Column, asks: str | Column, notional_usd, side: str | Column, depth: int | None = None) -> Column:
     """H-02: fill of a dollar notional at the best price's quantity, either side: (ok, vwap, mid, slip_bps)."""
-    b, a, s = col(bids), col(asks), col(side)
+    b, a, s = _to_depth(bids, depth), _to_depth(asks, depth), col(side)
     buy = s == "buy"
     book = F.when(buy, a).otherwise(b)
     mid = 0.5 * (_best(b) + _best(a))

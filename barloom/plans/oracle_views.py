@@ -69,7 +69,7 @@ VIEWS = {
         "ORDER BY CASE WHEN side='bid' THEN -price ELSE price END) AS level FROM (SELECT a.venue_symbol, a.price, a.size, "
         "CASE WHEN a.price < m.mid THEN 'bid' ELSE 'ask' END AS side FROM (SELECT venue_symbol, price, sum(size) AS size "
         "FROM book_prices GROUP BY 1,2) a JOIN (SELECT venue_symbol, (min(price)+max(price))/2 AS mid FROM book_prices "
-        "GROUP BY 1) m USING (venue_symbol))) WHERE level <= 50"
+        "GROUP BY 1) m USING (venue_symbol)))"
     ),
     "coverage": (
         "SELECT venue, '1h' AS timeframe, symbol, 600::BIGINT AS expected, count(*) AS actual, "

@@ -154,9 +154,10 @@ def _(spark, folder):
     return got.select("symbol", "ts", *(rounded(n).alias(n) for n in LAGGED))
 
 
-ALL_BUILTIN = [n for n in SQL if n not in ("momentum_10p",)]
+ALL_BUILTIN = list(SQL)
 ALL_SPEC = FeatureSpec(
     zscore=[20], volatility=[10, 20], parkinson=[10], sma=[5, 20], roc=[5], rsi=[14], close_vs_sma=[50],
+    momentum=[10],
 )
 
 

@@ -186,13 +186,12 @@ def _(spark, folder):
         "book_levels",
         "SELECT venue_symbol, side, CASE WHEN filled >= qty THEN 1 ELSE 0 END AS ok, round(CASE WHEN filled >= qty THEN cost/filled END,4) AS vwap, round(CASE WHEN filled >= qty THEN mid END,4) AS mid, round(CASE WHEN filled >= qty THEN abs(cost/filled-mid)/mid*10000 END,3) AS slip_bps FROM "
         "(SELECT venue_symbol, CASE side WHEN 'ask' THEN 'buy' ELSE 'sell' END AS side, any_value(qty) AS qty, any_value(mid) AS mid, sum(take) AS filled, sum(take*price) AS cost FROM (SELECT *, greatest(0, least(size, qty - prev)) AS take FROM (SELECT l.venue_symbol, side, level, price, size, (bb+ba)/2 AS mid, "
-        "30000/(CASE WHEN side='ask' THEN ba ELSE bb END) AS qty, coalesce(sum(size) OVER (PARTITION BY l.venue_symbol, side ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS prev FROM book_levels l JOIN best USING (venue_symbol) WHERE level <= 10)) GROUP BY 1,2)",
+        "30000/(CASE WHEN side='ask' THEN ba ELSE bb END) AS qty, coalesce(sum(size) OVER (PARTITION BY l.venue_symbol, side ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS prev FROM book_levels l JOIN best USING (venue_symbol))) GROUP BY 1,2)",
         **book_ctes("0"),
     ),
 )
 def _(spark, folder):
-    b = views.books(spark, folder).select("venue_symbol", bk.top_levels("bids", 10).alias("bids"), bk.top_levels("asks", 10).alias("asks"))
-    b = b.select("*", F.explode(F.array(F.lit("buy"), F.lit("sell"))).alias("side"))
+    b = views.books(spark, folder).select("*", F.explode(F.array(F.lit("buy"), F.lit("sell"))).alias("side"))
     f = b.select("venue_symbol", "side", bk.book_fill_vwap("bids", "asks", 30000.0, "side").alias("f"))
     return f.select("venue_symbol", "side", F.col("f.ok").alias("ok"), rounded("f.vwap", 4).alias("vwap"), rounded("f.mid", 4).alias("mid"), rounded("f.slip_bps", 3).alias("slip_bps"))
 

@@ -188,8 +188,8 @@ def fx_ticks(spark, folder) -> DataFrame:
     )
 
 
-def book_levels(spark, folder, depth: int = 50) -> DataFrame:
-    """The best ``depth`` price levels per supplier and side, long form; the range midpoint splits the sides."""
+def book_levels(spark, folder) -> DataFrame:
+    """All price levels per supplier and side, best first, long form; the range midpoint splits the sides."""
     li = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("venue_symbol"),
         (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price"),
@@ -204,16 +204,12 @@ def book_levels(spark, folder, depth: int = 50) -> DataFrame:
     )
     best = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     rank = F.row_number().over(Window.partitionBy("venue_symbol", "side").orderBy(best))
-    return (
-        levels.withColumn("level", rank)
-        .where(F.col("level") <= depth)
-        .select("venue_symbol", "side", "level", "price", "size")
-    )
+    return levels.withColumn("level", rank).select("venue_symbol", "side", "level", "price", "size")
 
 
-def books(spark, folder, depth: int = 50) -> DataFrame:
-    """Order books as two arrays of (price, size); at most ``depth`` levels per side."""
-    lv = book_levels(spark, folder, depth)
+def books(spark, folder) -> DataFrame:
+    """Order books as two arrays of (price, size), best level first."""
+    lv = book_levels(spark, folder)
     side = lambda s: F.transform(
         F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("level", "price", "size")))),
         lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")),
