@@ -140,7 +140,3 @@ def improvement(native: DataFrame, merged: DataFrame, keys: Sequence[str]) -> Da
         "merged_rows",
         (F.col("merged_rows") > native_rows).alias("improved"),
     )
-
-
-def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return dedupe_bars(df, keys)

@@ -402,7 +402,29 @@ def _(spark, folder):
     return oq.coverage_report(views.bars_venue(spark, folder), VS, "1h", SINCE)
 
 
-@query("D07_accept_bars")
+ACCEPT = {
+    "base": "SELECT DISTINCT venue, symbol, ts FROM bars_venue",
+    "f1": validate_sql("bars_venue", "venue, symbol", 0.18),
+    "fb": "SELECT base.* FROM base JOIN f1 USING (venue, symbol) WHERE degraded AND gap_ratio <= 0.189",
+    "fg": "SELECT * FROM (SELECT venue, symbol, lag(ts) OVER (PARTITION BY venue, symbol ORDER BY ts) AS a, ts AS b FROM fb) WHERE epoch(b)-epoch(a) >= 7200",
+    "ft": "SELECT venue, symbol FROM fg GROUP BY 1,2 HAVING sum((epoch(b)-epoch(a))/3600-1) <= 2000",
+    "filled_bars": "SELECT * FROM fb UNION ALL SELECT venue, symbol, a + INTERVAL '1 hour' * u.i FROM fg JOIN ft USING (venue, symbol), unnest(range(1, ((epoch(b)-epoch(a))/3600)::BIGINT)) AS u(i)",
+    "f2": validate_sql("filled_bars", "venue, symbol", 0.18),
+    "st": "SELECT venue, symbol, f AS filled, dropped, dupes, CASE WHEN f THEN rows2 ELSE rows END AS rows, CASE WHEN f THEN gaps2 ELSE gaps END AS gaps, CASE WHEN f THEN ratio2 ELSE gap_ratio END AS gap_ratio, CASE WHEN f THEN degraded2 ELSE degraded END AS degraded FROM "
+    "(SELECT *, coalesce(NOT degraded2 AND rows2 > rows, false) AS f FROM f1 LEFT JOIN (SELECT venue, symbol, rows AS rows2, gaps AS gaps2, gap_ratio AS ratio2, degraded AS degraded2 FROM f2) USING (venue, symbol))",
+    "chosen": "SELECT base.* FROM base JOIN st USING (venue, symbol) WHERE NOT filled UNION ALL SELECT b.* FROM filled_bars b JOIN st USING (venue, symbol) WHERE filled",
+    "rp": "SELECT venue, symbol FROM st WHERE gaps > 0 AND (NOT degraded OR gap_ratio <= 0.18)",
+    "cg": "SELECT * FROM (SELECT venue, symbol, lag(ts) OVER (PARTITION BY venue, symbol ORDER BY ts) AS a, ts AS b FROM chosen JOIN rp USING (venue, symbol)) WHERE epoch(b)-epoch(a) > 5400",
+    "mended": "SELECT venue, symbol, ts FROM chosen JOIN rp USING (venue, symbol) UNION SELECT l.venue, l.symbol, l.ts FROM (SELECT 'v0' AS venue, symbol, ts FROM bars_venue WHERE venue='v1') l JOIN cg USING (venue, symbol) WHERE l.ts >= a + INTERVAL '1 hour' AND l.ts <= b - INTERVAL '1 hour'",
+    "f3": validate_sql("mended", "venue, symbol", 0.18),
+    "rep": "SELECT venue, symbol, filled, rows3 IS NOT NULL AS repaired, dropped, dupes, coalesce(rows3, rows) AS rows, coalesce(gaps3, gaps) AS gaps, coalesce(ratio3, gap_ratio) AS gap_ratio, NOT coalesce(degraded3, degraded) AS accepted FROM st "
+    "LEFT JOIN (SELECT venue, symbol, rows AS rows3, gaps AS gaps3, gap_ratio AS ratio3, degraded AS degraded3 FROM f3) USING (venue, symbol)",
+    "fin": "SELECT chosen.* FROM chosen ANTI JOIN rp USING (venue, symbol) UNION ALL SELECT * FROM mended",
+    "kept": "SELECT venue, symbol, count(*) AS kept_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM fin JOIN rep USING (venue, symbol) WHERE accepted GROUP BY 1,2",
+}
+
+
+@query("D07_accept_bars", with_views("bars_venue", "SELECT rep.*, kept_rows, first_ts, last_ts FROM rep LEFT JOIN kept USING (venue, symbol)", **ACCEPT))
 def _(spark, folder):
     """Accepted series and their reports; repairs come from the other venue."""
     from barloom.plans.flows import accept_bars
