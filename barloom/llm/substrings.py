@@ -153,7 +153,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     fields = {"anchor": T.LongType(), "ord": T.LongType(), "at": T.IntegerType()}
     seeded = settle(_per_text(texts, first, None, seeds, T.StructType([T.StructField(*f) for f in fields.items()])), "seeds")
-    counts = seeded.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    # written first: a join that reads both sides from shuffles of its own is one whose large keys Spark splits
+    counts = settle(seeded.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
     spots = seeded.join(counts, "anchor").select("ord", F.struct("at", (F.col("n") > HOT_ANCHOR).alias("hot")).alias("spot"))
     spots = settle(spots.groupBy("ord").agg(F.collect_list("spot").alias("spots")), "spots")
 
@@ -181,7 +182,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     order = Window.partitionBy("anchor", "hash").orderBy("ord", "at")
     cold = windows(grown.filter("NOT hot").repartition("anchor")).withColumn("n", F.row_number().over(order)).filter("n > 1").select("ord", "at")
     hot = windows(grown.filter("hot"))
-    least = hot.groupBy("anchor", "hash").agg(F.min(F.struct("ord", "at")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    least = settle(hot.groupBy("anchor", "hash").agg(F.min(F.struct("ord", "at")).alias("m"), F.count("*").alias("n")).filter("n > 1"), "earliest")
     hot = hot.join(least, ["anchor", "hash"]).filter(F.struct("ord", "at") > F.col("m")).select("ord", "at")
     starts = cold.union(hot).groupBy("ord").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     starts = settle(starts, "starts")
