@@ -120,7 +120,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     roots = settle(components(links(nodes, max_bits, width)).select(F.col("node").alias("fp"), "root"), "roots")
     linked = nodes.join(roots, "fp")
     found = linked.groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("fp", "component_id")
-    ids = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written first, so that the last join reads both sides from shuffles of its own and Spark can split a hot fingerprint
+    ids = settle(nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")
     return prints.join(ids, "fp").select(key, "fp", "component_id")
 
 
