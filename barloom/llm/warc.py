@@ -204,7 +204,7 @@ def choose(records: DataFrame, least: int = 0) -> DataFrame:
     """
     order = F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("key"), "path", "offset", "id")
     best = records.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max(order).alias("best")).filter("n > 1")
-    best = best.select("digest", "size", F.col("best.id").alias("first"))
+    best = settle(best.select("digest", "size", F.col("best.id").alias("first")), "responses")
     joined = records.join(best, ["digest", "size"], "left")
     return joined.withColumn("refers", F.when(F.col("first") != F.col("id"), F.col("first"))).drop("first")
 
