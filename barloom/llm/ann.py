@@ -145,12 +145,17 @@ def distinct_vectors(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, D
     return ranked.filter("n = 1").select("vec", "embedding"), ranked.select("vec", "embedding", "key")
 
 
+def _taken(points: DataFrame, total: int, most: int, seed: int) -> DataFrame:
+    """Every n-th vector by hash, about ``most`` at most."""
+    return points.filter(F.pmod(F.xxhash64(F.lit(seed), "vec"), F.lit(max(1, -(-total // most)))) == 0)
+
+
 def fit(points: DataFrame, per_leaf: int = 96, branch: int = 8, seed: int = 7) -> Tree:
-    """A tree on at most :data:`SAMPLE` different vectors, the first by hash; leaves grow with the table up to half the sample."""
+    """A tree on about :data:`SAMPLE` different vectors at most, taken by hash; leaves grow with the table up to half the sample."""
     import numpy as np
 
     total = points.count()
-    sample = points.select("embedding").orderBy(F.xxhash64(F.lit(seed), "vec")).limit(SAMPLE).toPandas()["embedding"]
+    sample = _taken(points, total, SAMPLE, seed).select("embedding").toPandas()["embedding"]
     vectors = _unit(np.array(sample.tolist(), dtype=np.float64)) if len(sample) else np.zeros((0, 1))
     return build_tree(vectors, max(1, min(total // per_leaf, SAMPLE // 2, len(vectors))), branch, seed=seed)
 
@@ -182,7 +187,7 @@ def calibrate(filed: DataFrame, tree: Tree, k: int, recall: float, seed: int = 1
     """The fewest leaf visits at which :data:`PROBES` sample queries find ``recall`` of their true neighbours."""
     import numpy as np
 
-    chosen = filed.orderBy(F.xxhash64(F.lit(seed), "vec")).limit(PROBES).select("vec", "embedding").toPandas()
+    chosen = _taken(filed, filed.count(), PROBES, seed).select("vec", "embedding").toPandas()
     if not len(chosen):
         return 1
     ids = chosen["vec"].to_numpy()
