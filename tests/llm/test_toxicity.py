@@ -26,7 +26,7 @@ def _corpus(spark, seed=4):
         toxic = i % 3 == 0
         if toxic:
             w[rng.randrange(len(w))] = rng.choice(["blarg", "fnord", "blargs"])
-        elif i % 5 == 1:
+        elif i % 25 == 1:  # rare enough for the word to be a term of its own
             w += ["royal", "fnord"]
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic)))
