@@ -155,25 +155,37 @@ def _counted(sample: DataFrame, of) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``text, toxic`` of up to :data:`SAMPLE_ROWS` rows of each class, the first by hash, held-out rows never among them.
+    """``text, toxic, stands`` of up to :data:`SAMPLE_ROWS` rows of each class, the first by hash, held-out rows never among them.
 
+    ``stands`` is the number of labelled texts of the class for each one taken, so that sums of it keep the class shares.
     Copies of a text count once, so that the words of a much-copied row do not become terms.  Labels other than 0 and 1 are dropped; of several for one key the largest holds.
     """
     told = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     told = told.filter(~held_out(F.col(key)))
-    chosen = None
+    every, chosen = told, None
     for kind in (0, 1):
         part = told.filter(F.col("toxic") == kind).orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.union(part)
     chosen = F.broadcast(chosen.select(F.col(key).alias("__key"), "toxic"))  # at most 2 * SAMPLE_ROWS small rows
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text"))
     told = rows.join(chosen, F.col("__id") == F.col("__key")).select("text", "toxic")
-    return settle(told.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+    sample = settle(told.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+    taken, held = _classes(sample), None
+    if max(r["count"] for r in every.groupBy("toxic").count().collect() or [{"count": 0}]) > SAMPLE_ROWS:
+        marked = docs.select(F.col(key).alias("__id"), F.xxhash64(F.lit(1), text).alias("print"))
+        marked = marked.join(every.select(F.col(key).alias("__key"), "toxic"), F.col("__id") == F.col("__key"))
+        held = _classes(marked.groupBy("print").agg(F.max("toxic").alias("toxic")))
+    weight = [(held or taken).get(k, 0) / taken[k] if taken.get(k) else 1.0 for k in (0, 1)]
+    return sample.withColumn("stands", F.when(F.col("toxic") == 1, weight[1]).otherwise(weight[0]))
+
+
+def _classes(rows: DataFrame) -> dict[int, int]:
+    return {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
 
 
 def fit(sample: DataFrame) -> Lexicon:
     """Terms by log odds, a longer one only where it says more than its beginning; exceptions from phrases of clean rows; a logistic calibration."""
-    size = sample.agg(F.sum("toxic"), F.count("*")).first()
+    size = sample.agg(F.sum("toxic"), F.count("*"), F.max(F.expr("IF(toxic = 1, stands, NULL)")), F.max(F.expr("IF(toxic = 0, stands, NULL)"))).first()
     n_toxic, n_clean = size[0] or 0, (size[1] or 0) - (size[0] or 0)
     if not n_toxic:
         return Lexicon()
@@ -212,7 +224,8 @@ def fit(sample: DataFrame) -> Lexicon:
 
     # at most 2 * SAMPLE_ROWS rows
     seen = sample.select("text", "toxic").mapInArrow(measure, "x double, y double, toxic int, n long").toPandas()
-    lexicon.calibration = _logistic(seen[["x", "y"]].to_numpy(), seen["toxic"].to_numpy(), seen["n"].to_numpy())
+    stands = seen["toxic"].map({1: size[2], 0: size[3]}).to_numpy(float)
+    lexicon.calibration = _logistic(seen[["x", "y"]].to_numpy(), seen["toxic"].to_numpy(), seen["n"].to_numpy() * stands)
     return lexicon
 
 

@@ -63,3 +63,28 @@ def test_query_held_out_accuracy(spark):
     rows = QUERIES["op4_toxicity"](spark, folder).join(labels, "doc_id").collect()
     test = [r for r in rows if r.held_out]
     assert len(test) > 50 and sum(r.predicted == r.toxic for r in test) / len(test) >= 0.93
+
+
+def test_class_shares_beyond_the_sample(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(2000):
+        toxic = i % 10 == 0
+        w = rng.choices(["lorem", "dolor", "sitam"], k=rng.randint(5, 30)) + [f"n{i}"]
+        if rng.random() < (0.9 if toxic else 0.2):
+            w.append("blarg")
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    rows += [(i + 5000, t) for i, t in rows[:300]]  # copies count once
+    labels += [(i + 5000, t) for i, t in labels[:300]]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = x.fit(x.labelled_sample(docs, told))
+    every = {t: l for (i, t), (_, l) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5}
+    monkeypatch.setattr(x, "SAMPLE_ROWS", 100)
+    sample = x.labelled_sample(docs, told)
+    sums = {r.toxic: r.s for r in sample.groupBy("toxic").agg({"stands": "sum"}).withColumnRenamed("sum(stands)", "s").collect()}
+    assert abs(sums[1] - sum(every.values())) < 1e-6 and abs(sums[0] - sum(1 - v for v in every.values())) < 1e-6
+    capped = x.fit(sample)
+    # the mean score is the class share
+    means = [sum(r.score for r in x.score(docs, lexicon).collect()) / len(rows) for lexicon in (whole, capped)]
+    assert all(abs(m - 0.1) < 0.04 for m in means), means
