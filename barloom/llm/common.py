@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from barloom.session import shared_dir, work_dir
 
+#: Shares of a table above which one key's rows are dealt over several cells of a join.
+SHARES = 1024
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One input table."""
@@ -28,7 +31,41 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(df.sparkSession, label)
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.work_path = path
+    return written
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that :func:`settle` wrote, once every table made from them is written too.
+
+    What is left then starts from the later tables, so a lost executor never asks for the earlier ones again.  A table
+    that is already gone, or one that was not settled, is passed over.
+    """
+    for written in tables:
+        path = getattr(written, "work_path", None)
+        if path is not None:
+            spark = written.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def join_copies(rows: DataFrame, facts: DataFrame, on: str, seed: int = 17) -> DataFrame:
+    """``rows`` left joined to ``facts``, which has one row at most for each value of ``on``, however many rows share a value.
+
+    A value that holds over one in ``SHARES`` of all rows is dealt over as many cells as it has such shares, and its
+    fact is copied to each; there are at most ``SHARES`` such values, so their list is broadcast.  ``rows`` should be a
+    settled table: it is counted first.
+    """
+    total = rows.count()
+    hot = rows.groupBy(on).agg(F.count("*").alias("__n")).filter(F.col("__n") * SHARES > total)
+    hot = hot.select(F.col(on).alias("__hot"), F.ceil(F.col("__n") * SHARES / F.lit(max(total, 1))).cast("int").alias("__cells"))
+    hot = settle(hot.filter(F.col("__hot").isNotNull()), "hot")
+    told = F.broadcast(hot)
+    cells = F.coalesce("__cells", F.lit(1))
+    dealt = rows.join(told, rows[on] == hot["__hot"], "left").withColumn("__cell", F.floor(F.rand(seed) * cells).cast("int"))
+    copied = facts.join(told, facts[on] == hot["__hot"], "left").withColumn("__cell", F.explode(F.sequence(F.lit(0), cells - 1)))
+    return dealt.drop("__hot", "__cells").join(copied.drop("__hot", "__cells"), [on, "__cell"], "left").drop("__cell")
 
 
 @contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, decontaminate, lm, mixing, preferences, records, simhash, substrings, toxicity, warc
+from barloom.llm import ann, audit, decontaminate, lm, manifest, mixing, preferences, records, secrets, simhash, substrings, toxicity, warc
 from barloom.llm.common import table
 from barloom.llm.registry import ORACLES, QUERIES, query
 from barloom.llm.subwords import default_path
@@ -75,3 +75,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest of every fiftieth vector."""
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_filter_audit", audit.AUDIT_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order of five text filters, step by step, for every source."""
+    return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_secret_scans", secrets.SCAN_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan_documents(spark, folder)
+
+
+@query("op13_merkle_manifest", manifest.MANIFEST_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document."""
+    return manifest.verified_documents(table(spark, folder, "documents"))
