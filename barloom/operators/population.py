@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.formula import formula_complexity, formula_features, leaves, to_json, tree_id
+from barloom.functions.formula import formula_complexity, formula_features
 from barloom.operators.ordered import beside, blocked, match, positions, quantiles, running, value_slot
+from barloom.operators.rules import variants
 from barloom.operators.selection import top_bottom, top_per_group
+from barloom.session import cut_lineage
 
 
 def formula_stats(trades: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -112,45 +112,26 @@ def dominant_rejection(summary: DataFrame, min_share: float = 0.7) -> DataFrame:
     ).withColumn("dominant", F.col("share") >= min_share)
 
 
-def perturbed(tree, k: int, delta: float, seed: int) -> list:
-    """Variants of one rule: four in five move a threshold by up to ``delta`` of itself, the rest flip < and >."""
-    out = []
-    for i in range(k):
-        digest = hashlib.md5(f"{seed}|{tree_id(tree)}|{i}".encode()).hexdigest()
-        pick, kind, size = (int(digest[j : j + 8], 16) / 2**32 for j in (0, 8, 16))
-        copy = json.loads(to_json(tree))
-        found = leaves(copy)
-        leaf = found[int(pick * len(found))]
-        if kind < 0.8 and not isinstance(leaf[2], str):
-            leaf[2] = float(leaf[2]) * (1.0 + (2 * size - 1) * delta)
-        else:
-            leaf[1] = ">" if leaf[1] == "<" else "<"
-        out.append(copy)
-    return out
-
-
 def robust_score(
-    evaluate, spark, trees: Sequence, k: int = 64, delta: float = 0.15, seed: int = 7, mdd_multiple: float = 1.25
+    evaluate, rules: DataFrame, k: int = 64, delta: float = 0.15, seed: int = 7, mdd_multiple: float = 1.25
 ) -> DataFrame:
     """G-20: share of perturbed variants that keep the sign of the mean and stay within a multiple of the drawdown.
 
-    ``evaluate`` maps a list of rules to their trades; all variants of all rules are evaluated in one pass.
-    Variants without trades count against the rule.
+    ``evaluate`` maps a table of rules to their trades; all variants of all rules are rows of one such table and are
+    evaluated in one pass.  Variants without trades count against the rule; a rule without trades has score 0.
     """
     from barloom.operators.validation import cum_min_drawdown
 
-    variants = {tree_id(t): perturbed(t, k, delta, seed) for t in trees}
-    unique = {tree_id(v): v for vs in variants.values() for v in vs} | {tree_id(t): t for t in trees}
-    trades = evaluate(list(unique.values()))
+    made = cut_lineage(variants(rules, k, delta, seed))
+    own = rules.select("formula_id", "formula_json")
+    trades = cut_lineage(evaluate(own.union(made.select(F.col("variant_id").alias("formula_id"), "formula_json"))))
     stats = trades.groupBy("formula_id").agg(F.avg("pnl").alias("mean"), F.count(F.lit(1)).alias("n_trades"))
-    stats = stats.join(cum_min_drawdown(trades), "formula_id")
-    links = spark.createDataFrame(
-        [(base, tree_id(v)) for base, vs in variants.items() for v in vs], "formula_id string, variant_id string"
-    )
+    stats = cut_lineage(stats.join(cum_min_drawdown(trades), "formula_id"))
     base = stats.select("formula_id", F.col("mean").alias("base_mean"), F.col("mdd").alias("base_mdd"), "n_trades")
     probe = stats.select(F.col("formula_id").alias("variant_id"), "mean", "mdd")
     same_sign = (F.col("base_mean") >= 0) == (F.col("mean") >= 0)
     ok = F.coalesce(same_sign & (F.col("mdd") <= F.col("base_mdd") * mdd_multiple), F.lit(False))
+    links = own.select("formula_id").distinct().join(made.select("formula_id", "variant_id"), "formula_id", "left")
     return (
         links.join(base, "formula_id", "left").join(probe, "variant_id", "left")
         .groupBy("formula_id")
@@ -161,6 +142,16 @@ def robust_score(
     )
 
 
+def robust_gate(judged: DataFrame, scores: DataFrame, least: float = 0.55) -> DataFrame:
+    """G-20 as the gate after validation: survivors below ``least`` are rejected as ``robust``.
+
+    A survivor without a score was not probed and passes, as one does where there is nothing to probe it on.
+    """
+    probed = judged.join(scores.select("formula_id", "robust_score"), "formula_id", "left")
+    fails = F.col("rejected_by").isNull() & F.coalesce(F.col("robust_score") < least, F.lit(False))
+    return probed.withColumn("rejected_by", F.when(fails, "robust").otherwise(F.col("rejected_by")))
+
+
 def feature_long(panel: DataFrame, features: Sequence[str], ids: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     return panel.select(*ids, *features).unpivot(list(ids), list(features), "feature", "value")
 

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.formula import compile_formula, to_json, tree_id
+from barloom.functions.formula import compile_formula
 from barloom.operators.bars import bar_slot
 from barloom.operators.features import KEYS, FeatureSpec, feature_panel
-from barloom.operators.ordered import BLOCK_ROWS, HOME, Panel, neighbour
-
-WORD = 63  # signals packed per long; the sign bit stays free
+from barloom.operators.ordered import neighbour
+from barloom.operators.rules import RULE_BLOCK, evaluate_rules_on_panel, rule_table
 
 
 def signal_edges(df: DataFrame, keys: Sequence[str], timeframe: str, signal: str = "signal") -> DataFrame:
@@ -48,62 +46,21 @@ def join_signal(df: DataFrame, signals: DataFrame, keys: Sequence[str], name: st
     return df.join(signals, [*keys, "ts"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def _word(preds: Sequence[Column]) -> Column:
-    """Predicates as bits of one long."""
-    bits = [F.when(p, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(preds)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-
-def _set_bits(word: str) -> Column:
-    """Positions of the set bits of a long, by a table of byte values (built by rule) per byte; no lambda per bit."""
-    parts = []
-    for byte in range(8):
-        rows = (",".join(str(8 * byte + i) for i in range(8) if value >> i & 1) for value in range(256))
-        table = ",".join(f"array({r})" if r else "cast(array() as array<int>)" for r in rows)
-        parts.append(f"element_at(array({table}), cast(shiftright({word}, {8 * byte}) & 255 AS int) + 1)")
-    return F.expr(f"concat({', '.join(parts)})")
-
-
-def evaluate_on_panel(panel: Panel, trees: Sequence, columns: Sequence[str], fee: float, slip: float) -> DataFrame:
-    """C-15: trades of every rule from one pass over a panel laid out with one bar of context on both sides.
-
-    Signals are packed 63 to a long, so the window compares a few integers per bar whatever the number of rules,
-    and only bits that changed become rows.
-    """
-    words = [trees[i : i + WORD] for i in range(0, len(trees), WORD)]
-    now = {f"_w{k}": _word([compile_formula(t, columns) for t in chunk]) for k, chunk in enumerate(words)}
-    panel = panel.with_columns(now)
-    context = {f"_x{k}": F.lag(f"_w{k}").over(panel.w) for k in range(len(words))}
-    context["_next_open"] = F.lead("open").over(panel.w)
-    df = panel.with_columns(context).df.where(F.col(HOME) & F.col("_next_open").isNotNull())
-    changed = [
-        F.struct(
-            F.lit(k * WORD).alias("base"),
-            F.col(f"_w{k}").bitwiseXOR(F.coalesce(f"_x{k}", f"_w{k}")).alias("flips"),
-            F.col(f"_w{k}").alias("bits"),
-        )
-        for k in range(len(words))
-    ]
-    for way, edge in (("_buy", 1.0), ("_sell", -1.0)):
-        parts = edge_pnl(F.lit(edge), F.col("close"), F.col("_next_open"), fee, slip)
-        df = df.withColumn(way, F.struct(F.lit(int(edge)).alias("edge"), *(c.alias(n) for n, c in parts.items())))
-    moved = df.select(
-        *panel.keys, "ts", "_buy", "_sell", F.inline(F.filter(F.array(*changed), lambda x: x["flips"] != 0))
-    )
-    edges = moved.select(*panel.keys, "ts", "_buy", "_sell", "base", "bits", F.explode(_set_bits("flips")).alias("_bit"))
-    trade = F.when(F.call_function("getbit", F.col("bits"), F.col("_bit")) == 1, F.col("_buy")).otherwise(F.col("_sell"))
-    ids = F.array(*(F.lit(tree_id(t)) for t in trees))
-    out = edges.select(F.element_at(ids, F.col("base") + F.col("_bit") + 1).alias("formula_id"), *panel.keys, "ts", trade.alias("_t"))
-    return out.select("formula_id", *panel.keys, "ts", "_t.*").where(F.col("pnl").isNotNull())
+def evaluate_rules(
+    bars: DataFrame, spec: FeatureSpec, rules: DataFrame, timeframe: str, fee: float, slip: float,
+    keys: Sequence[str] = KEYS, block_rows: int = RULE_BLOCK,
+) -> DataFrame:
+    """C-15 / F-03: features, signals, edges and returns of all rules of a table (``formula_id``, ``formula_json``)."""
+    panel = feature_panel(bars, spec, timeframe, keys, extra_back=1, ahead=1, block_rows=block_rows)
+    return evaluate_rules_on_panel(panel, rules, ["open", "high", "low", "close", "volume", *spec.names()], fee, slip)
 
 
 def evaluate_formulas(
     bars: DataFrame, spec: FeatureSpec, trees: Sequence, timeframe: str, fee: float, slip: float,
-    keys: Sequence[str] = KEYS, block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = KEYS, block_rows: int = RULE_BLOCK,
 ) -> DataFrame:
-    """C-15 / F-03: features, signals, edges and returns of many rules in one block layout."""
-    panel = feature_panel(bars, spec, timeframe, keys, extra_back=1, ahead=1, block_rows=block_rows)
-    return evaluate_on_panel(panel, trees, ["open", "high", "low", "close", "volume", *spec.names()], fee, slip)
+    """C-15: the same for rules given in code."""
+    return evaluate_rules(bars, spec, rule_table(bars.sparkSession, trees), timeframe, fee, slip, keys, block_rows)
 
 
 def evaluate_formula(bars: DataFrame, spec: FeatureSpec, tree, timeframe: str, fee: float, slip: float, keys=KEYS) -> DataFrame:
@@ -111,6 +68,4 @@ def evaluate_formula(bars: DataFrame, spec: FeatureSpec, tree, timeframe: str, f
     return evaluate_formulas(bars, spec, [tree], timeframe, fee, slip, keys)
 
 
-def formula_table(spark, trees: Sequence) -> DataFrame:
-    """Rules given in code as a table of id and text."""
-    return spark.createDataFrame([(tree_id(t), to_json(t)) for t in trees], "formula_id string, formula_json string")
+formula_table = rule_table

@@ -68,17 +68,23 @@ def accept_bars(
 
 
 def discover(
-    bars: DataFrame, spec: FeatureSpec, rules: Sequence, timeframe: str, fee: float, slip: float, min_trades: int, folds: int,
-    alpha: float, dsr_min_prob: float, keys: Sequence[str] = KEYS,
+    bars: DataFrame, spec: FeatureSpec, rules: Sequence | DataFrame, timeframe: str, fee: float, slip: float, min_trades: int,
+    folds: int, alpha: float, dsr_min_prob: float, keys: Sequence[str] = KEYS, robust_min: float | None = None, probes: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
-    """(trades, every rule with statistics and the gate it failed): features, signals, edges, validation.
+    """(trades, every rule with statistics and the gate it failed): features, signals, edges, validation, robustness.
 
-    Trades are materialised once; validation reads them several times.
+    ``rules`` is a table (``formula_id``, ``formula_json``) or a list.  Trades are materialised once; validation reads
+    them several times.  With ``robust_min`` the survivors, and only they, are probed with perturbed variants.
     """
-    trades = cut_lineage(sg.evaluate_formulas(bars, spec, rules, timeframe, fee, slip, keys))
-    table = sg.formula_table(bars.sparkSession, rules)
-    judged = va.validate_population(trades, table, min_trades, folds, alpha, dsr_min_prob)
-    stats = pp.formula_stats(trades, table).select("formula_id", "mean_pnl", "sharpe")
+    table = rules if isinstance(rules, DataFrame) else sg.formula_table(bars.sparkSession, rules)
+    table = table.select("formula_id", "formula_json")
+    evaluate = lambda t: sg.evaluate_rules(bars, spec, t, timeframe, fee, slip, keys)
+    trades = cut_lineage(evaluate(table))
+    judged = cut_lineage(va.validate_population(trades, table, min_trades, folds, alpha, dsr_min_prob))
+    if robust_min is not None:
+        left = table.join(judged.where(F.col("rejected_by").isNull()).select("formula_id"), "formula_id", "left_semi")
+        judged = pp.robust_gate(judged, pp.robust_score(evaluate, left, probes), robust_min)
+    stats = pp.formula_stats(trades, table.select("formula_id")).select("formula_id", "mean_pnl", "sharpe")
     return trades, judged.join(stats, "formula_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.formula import tree_id
+from barloom.functions.formula import tree_id, with_formula_id
 from barloom.functions.scalars import rounded
 from barloom.operators import features as ft
 from barloom.operators import population as pp
@@ -416,3 +416,52 @@ def _(spark, folder):
     trades = sg.evaluate_formulas(views.bars_user(spark, folder), RULE_SPEC, GRID, "6h", FEE, SLIP)
     got = pp.formula_stats(trades, sg.formula_table(spark, GRID))
     return got.select("formula_id", "n_trades", rounded("mean_pnl", 10).alias("mean_pnl"), rounded("sharpe").alias("sharpe"))
+
+
+# ---- rules that arrive as a table -----------------------------------------------------------------------------
+
+_X = "CASE l.f WHEN " + " WHEN ".join(f"'{f}' THEN {f}" for f in RULE_FEATURES) + " END"
+TABLE_CTES = {
+    **{k: v for k, v in trades_ctes("bars_1h", RULES).items() if k in ("base", "raw", "lagged")},
+    "rules": "SELECT DISTINCT sha256(formula_json) AS formula_id, formula_json FROM formulas",
+    "leaf": (
+        "SELECT formula_id, i, regexp_extract(x, '\"([a-z_0-9]+)\"', 1) AS f, regexp_extract(x, '\"([<>=]+)\"', 1) AS op, regexp_extract(x, '\",([0-9.-]+)', 1)::DOUBLE AS v FROM "
+        "(SELECT formula_id, unnest(regexp_extract_all(formula_json, '\\[\"[^\\]]*\\]')) AS x, generate_subscripts(regexp_extract_all(formula_json, '\\[\"[^\\]]*\\]'), 1) AS i FROM rules)"
+    ),
+    "held": (
+        "SELECT f, op, v, symbol, ts, coalesce(CASE op WHEN '>' THEN x > v WHEN '<' THEN x < v ELSE x >= v END, false) AS yes FROM "
+        f"(SELECT l.f, l.op, l.v, b.symbol, b.ts, {_X} AS x FROM (SELECT DISTINCT f, op, v FROM leaf) l, lagged b)"
+    ),
+    "told": (
+        "SELECT l.formula_id, h.symbol, h.ts, max(yes::INT) FILTER (WHERE i = 1) AS a, coalesce(max(yes::INT) FILTER (WHERE i = 2), 1) AS b, coalesce(max(yes::INT) FILTER (WHERE i = 3), 0) AS c "
+        "FROM leaf l JOIN held h USING (f, op, v) GROUP BY 1, 2, 3"
+    ),
+    "sig": "SELECT formula_id, symbol, ts, open, close, greatest(least(a, b), c) AS sig FROM told JOIN lagged USING (symbol, ts)",
+    **{k: v for k, v in trades_ctes("bars_1h", RULES).items() if k in ("edges", "trade")},
+}
+
+
+@query(
+    "C15_rule_table",
+    with_views(
+        "bars_1h formulas", "SELECT formula_id, symbol, count(*) AS n_trades, count(*) FILTER (WHERE edge > 0) AS buys, round(sum(pnl),6)+0.0::DOUBLE AS pnl, round(max(exec_price),10) AS highest, min(ts) AS first_ts, max(ts) AS last_ts "
+        "FROM trade GROUP BY 1, 2", **TABLE_CTES,
+    ),
+)
+def _(spark, folder):
+    """All rules of the table ``formulas`` over the hourly panel."""
+    rules = with_formula_id(views.formulas(spark, folder)).select("formula_id", "formula_json")
+    trades = sg.evaluate_rules(views.bars_1h(spark, folder), RULE_SPEC, rules, "1h", FEE, SLIP)
+    return trades.groupBy("formula_id", "symbol").agg(
+        F.count(F.lit(1)).alias("n_trades"), F.count_if(F.col("edge") > 0).alias("buys"), rounded(F.sum("pnl"), 6).alias("pnl"),
+        F.round(F.max("exec_price"), 10).alias("highest"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
+
+
+@query("G01_rule_table_stats", with_views("bars_1h formulas", STATS_SQL, **TABLE_CTES, ids="SELECT formula_id FROM rules"))
+def _(spark, folder):
+    """Statistics of all rules of the table, those that never trade included."""
+    rules = with_formula_id(views.formulas(spark, folder)).select("formula_id", "formula_json").distinct()
+    trades = sg.evaluate_rules(views.bars_1h(spark, folder), RULE_SPEC, rules, "1h", FEE, SLIP)
+    got = pp.formula_stats(trades, rules.select("formula_id"))
+    return got.select("formula_id", "n_trades", rounded("mean_pnl", 10).alias("mean_pnl"), rounded("sharpe").alias("sharpe"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from barloom.operators import validation as va
 from barloom.operators.features import build_features
 from barloom.operators.ordered import positions, time_slot
 from barloom.plans.oracle_views import with_views
-from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, base, lag_sql, raw_sql, trades_ctes
+from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, SQL_COLUMNS, base, lag_sql, raw_sql, trades_ctes
 from barloom.plans.registry import query
 from barloom.session import cut_lineage
 from barloom.sources import views
@@ -319,28 +320,92 @@ def _(spark, folder):
     return pp.apply_stage(gates, stages)
 
 
-PROBED, VARIANTS = RULES[:3], 12
-PROBE = {tree_id(t): pp.perturbed(t, VARIANTS, 0.15, 7) for t in PROBED}
-ALL_PROBES = list(({tree_id(v): v for vs in PROBE.values() for v in vs} | {tree_id(t): t for t in PROBED}).values())
-LINKS = "SELECT * FROM (VALUES " + ", ".join(f"('{b}','{tree_id(v)}')" for b, vs in PROBE.items() for v in vs) + ") AS t(formula_id, variant_id)"
-ROBUST = (
-    "SELECT l.formula_id, round(count(*) FILTER (WHERE coalesce((b.m >= 0) = (v.m >= 0) AND v.mdd <= b.mdd*1.25, false))/12.0::DOUBLE, 10) AS robust_score, round(any_value(b.m),10) AS base_mean, round(any_value(b.mdd),8) AS base_mdd, coalesce(any_value(b.n),0) AS n_trades "
-    "FROM links l LEFT JOIN ps b ON b.formula_id = l.formula_id LEFT JOIN ps v ON v.formula_id = l.variant_id GROUP BY 1"
-)
+VARIANTS, DELTA = 64, 0.15
 
 
-@query(
-    "G20_robust_score",
-    with_views(
-        "bars_user", ROBUST, **trades_ctes("bars_user", ALL_PROBES), links=LINKS,
-        ps="SELECT formula_id, avg(pnl) AS m, count(*) AS n, abs(min(cum)) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trade) GROUP BY 1",
-    ),
+def probe_sql(tree, columns, leaf) -> str:
+    """A rule with its leaf number ``d.leaf`` changed by the draw ``d``; ``leaf`` counts leaves from the left."""
+    left, op, right = tree
+    if op in ("AND", "OR"):
+        return f"({probe_sql(left, columns, leaf)} {op} {probe_sql(right, columns, leaf)})"
+    n = next(leaf)
+    if any(isinstance(s, str) and s not in columns for s in (left, right)):
+        return "false"
+
+    def compared(o, value):
+        side = left if isinstance(left, str) else f"{float(left)}::DOUBLE"
+        return f"coalesce({side} {o.replace('!=', '<>').replace('==', '=')} {value}, {'true' if o == '!=' else 'false'})"
+
+    told = right if isinstance(right, str) else f"{float(right)}::DOUBLE"
+    flipped = compared(">" if op == "<" else "<", told)
+    moved = flipped if isinstance(right, str) else f"CASE WHEN d.kind < 0.8 THEN {compared(op, f'{told}*(1+(2*d.size-1)*{DELTA}::DOUBLE)')} ELSE {flipped} END"
+    return f"CASE WHEN d.leaf = {n} THEN {moved} ELSE {compared(op, told)} END"
+
+
+def _leaf_count(tree) -> int:
+    return _leaf_count(tree[0]) + _leaf_count(tree[2]) if isinstance(tree[0], list) else 1
+
+
+def probe_ctes(rules) -> dict[str, str]:
+    """Trades of every rule and of its variants, drawn and changed in SQL."""
+    word = lambda at: f"('0x' || substr(h, {at}, 8))::BIGINT / 4294967296.0::DOUBLE"
+    ids = ", ".join(f"('{tree_id(t)}', {_leaf_count(t)})" for t in rules)
+    known = trades_ctes("bars_user", rules)
+    varied = " UNION ALL ".join(
+        f"SELECT d.id || '#' || d.i AS formula_id, symbol, ts, open, close, ({probe_sql(t, SQL_COLUMNS, itertools.count())})::INT AS sig FROM lagged, draw d WHERE d.id = '{tree_id(t)}'" for t in rules
+    )
+    return {
+        **{k: known[k] for k in ("base", "raw", "lagged")},
+        "draw": f"SELECT id, i, floor({word(1)}*n)::INT AS leaf, {word(9)} AS kind, {word(17)} AS size FROM (SELECT id, i, n, md5('7|' || id || '|' || i) AS h FROM (VALUES {ids}) AS t(id, n), range({VARIANTS}) x(i))",
+        "sig": f"{known['sig']} UNION ALL {varied}",
+        **{k: known[k] for k in ("edges", "trade")},
+        "ps": "SELECT formula_id, avg(pnl) AS m, count(*) AS n, abs(min(cum)) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trade) GROUP BY 1",
+        "probed": (
+            f"SELECT l.id AS formula_id, count(*) FILTER (WHERE coalesce((b.m >= 0) = (v.m >= 0) AND v.mdd <= b.mdd*1.25, false))/{VARIANTS}.0::DOUBLE AS robust_score, any_value(b.m) AS base_mean, any_value(b.mdd) AS base_mdd, coalesce(any_value(b.n),0) AS n_trades "
+            "FROM draw l LEFT JOIN ps b ON b.formula_id = l.id LEFT JOIN ps v ON v.formula_id = l.id || '#' || l.i GROUP BY 1"
+        ),
+    }
+
+
+PROBE_CTES = probe_ctes(RULES)
+
+
+def _probe_evaluate(spark, folder):
+    bars = views.bars_user(spark, folder)
+    return lambda rules: sg.evaluate_rules(bars, RULE_SPEC, rules, "6h", FEE, SLIP)
+
+
+@query("G20_robust_score", with_views("bars_user", "SELECT formula_id, round(robust_score,10) AS robust_score, round(base_mean,10) AS base_mean, round(base_mdd,5) AS base_mdd, n_trades FROM probed", **PROBE_CTES))
+def _(spark, folder):
+    """All rules with 64 variants each."""
+    got = pp.robust_score(_probe_evaluate(spark, folder), sg.formula_table(spark, RULES), k=VARIANTS)
+    return got.select("formula_id", *rc("robust_score", "base_mean"), rounded("base_mdd", 5).alias("base_mdd"), "n_trades")
+
+
+GATED = (
+    "SELECT formula_id, rejected_by, robust_score FROM (SELECT formula_id, CASE WHEN n < 30 THEN 'min_trades' WHEN robust_score < 0.55 THEN 'robust' END AS rejected_by, CASE WHEN n >= 30 THEN robust_score END AS robust_score "
+    "FROM (SELECT p.*, p.n_trades AS n FROM probed p))"
 )
+
+
+def _gated(spark, folder):
+    """Rules judged by their number of trades alone, then by robustness: the second gate on all of the first's survivors."""
+    rules, evaluate = sg.formula_table(spark, RULES), _probe_evaluate(spark, folder)
+    n = evaluate(rules).groupBy("formula_id").agg(F.count(F.lit(1)).alias("n_trades"))
+    judged = rules.join(n, "formula_id", "left").select("formula_id", F.when(F.coalesce("n_trades", F.lit(0)) < 30, "min_trades").alias("rejected_by"))
+    judged = cut_lineage(judged)
+    left = rules.join(judged.where(F.col("rejected_by").isNull()), "formula_id", "left_semi")
+    return pp.robust_gate(judged, pp.robust_score(evaluate, left, k=VARIANTS), 0.55)
+
+
+@query("G18_robust_gate", with_views("bars_user", "SELECT formula_id, rejected_by, round(robust_score,10) AS robust_score FROM gated", **PROBE_CTES, gated=GATED))
 def _(spark, folder):
-    bars = views.bars_user(spark, folder)
-    evaluate = lambda trees: sg.evaluate_formulas(bars, RULE_SPEC, trees, "6h", FEE, SLIP)
-    got = pp.robust_score(evaluate, spark, PROBED, k=VARIANTS)
-    return got.select("formula_id", *rc("robust_score", "base_mean"), rounded("base_mdd", 8).alias("base_mdd"), "n_trades")
+    return _gated(spark, folder).select("formula_id", "rejected_by", *rc("robust_score"))
+
+
+@query("G19_robust_rejections", with_views("bars_user", "SELECT rejected_by || '_stage_base' AS reason, count(*) AS rejected, list_slice(list(formula_id ORDER BY formula_id),1,25) AS sample_ids FROM gated WHERE rejected_by IS NOT NULL GROUP BY 1", **PROBE_CTES, gated=GATED))
+def _(spark, folder):
+    return pp.rejection_summary(cut_lineage(_gated(spark, folder)), "base")
 
 
 @query("G21_cum_min_drawdown", with_views("trades", "SELECT formula_id, round(abs(min(cum)),10) AS mdd FROM (SELECT *, sum(pnl) OVER (PARTITION BY formula_id ORDER BY symbol, ts) AS cum FROM trades) GROUP BY 1"))

@@ -104,8 +104,9 @@ def test_costs_lower_the_result(spark, small):
 
 def test_relaxed_probe_is_not_stricter(spark, small):
     bars, spec = views.bars_1h(spark, small), FeatureSpec(zscore=[10], clock=False)
-    evaluate = lambda trees: sg.evaluate_formulas(bars, spec, trees, "1h", 0.001, 0.0005)
-    score = lambda m: pp.robust_score(evaluate, spark, [["zscore_10", ">", 0.5]], k=16, mdd_multiple=m).first()["robust_score"]
+    evaluate = lambda rules: sg.evaluate_rules(bars, spec, rules, "1h", 0.001, 0.0005)
+    rules = sg.formula_table(spark, [["zscore_10", ">", 0.5]])
+    score = lambda m: pp.robust_score(evaluate, rules, k=16, mdd_multiple=m).first()["robust_score"]
     assert score(5.0) >= score(1.0)
 
 
