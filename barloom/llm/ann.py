@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import settle, spread
 
+#: Cosines this close are ties until they are computed from the original vectors.
+TIED = 1e-12
 #: Bounds of the fit: vectors sampled for the tree, and queries whose neighbours are found by brute force.
 SAMPLE, PROBES = 65_536, 256
 #: Vectors of a leaf that one block holds; more make further blocks.
@@ -125,15 +128,24 @@ def _unit(m):
 
 
 def _best(scores, ids, k: int):
-    """For each row of scores the ids of its ``k`` largest."""
+    """For each row of scores the ids of its ``k`` largest, and of all within :data:`TIED` of the last of them."""
     import numpy as np
 
     if scores.shape[1] > k:
-        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        return [(np.asarray(ids)[p].tolist(), s[p].tolist()) for p, s in zip(part, scores)]
+        last = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        ids = np.asarray(ids)
+        return [(ids[at].tolist(), s[at].tolist()) for at, s in ((np.flatnonzero(s >= t - TIED), s) for s, t in zip(scores, last))]
     return [(list(ids), s.tolist()) for s in scores]
 
 
+def _nearest_of(held: list, k: int) -> list:
+    """The ``k`` smallest ``(distance, id)`` and all within :data:`TIED` of the last of them."""
+    first = heapq.nsmallest(k, held)
+    if len(first) < k:
+        return first
+    return [x for x in held if x[0] <= first[-1][0] + TIED]
+
+
 def distinct_vectors(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
     """Different vectors as ``vec, embedding``, and ``vec, key`` for the ``k + 1`` smallest keys of each.
 
@@ -211,14 +223,20 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", embedd
     """``query_id, rank, key, score``: each query's ``k`` nearest other rows by cosine, ties to the smaller key.
 
     ``queries`` is a Boolean column of ``vectors``.  Vectors that are null, zero, or hold null or non-finite components
-    take no part, nor do queries of them or with a null key; of vectors of different lengths only those of the
-    commonest length take part (ties: the longest).  Keys are taken to be unique; of rows that repeat a key with one
-    vector one counts.  Fewer candidates give fewer rows; an empty table gives none.
+    take no part, nor do queries of them or with a null key.  A cosine needs vectors of one length: each length has a
+    tree of its own, and queries meet the vectors of theirs (a handful of lengths at most; each is a search of its own).
+    Keys are taken to be unique; of rows that repeat a key with one vector one counts.  Vectors that tie with the last
+    one kept are all kept until they are scored exactly.  Fewer candidates give fewer rows; an empty table gives none.
     """
     rows = vectors.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("embedding"), queries.alias("query"))
     rows = rows.filter(usable(F.col("embedding")) & F.col("key").isNotNull()).distinct()
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    rows = rows.filter(F.size("embedding") == (sizes[0] if sizes else 0))
+    sizes = sorted(r[0] for r in rows.groupBy(F.size("embedding").alias("size")).count().collect())
+    parts = [_nearest(rows.filter(F.size("embedding") == size), k, key, recall, per_leaf) for size in sizes or [0]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(rows: DataFrame, k: int, key: str, recall: float, per_leaf: int) -> DataFrame:
+    """:func:`nearest` among vectors of one length: ``key, embedding, query``."""
     points, members = distinct_vectors(rows.select("key", "embedding"), "key", k)
     tree = fit(points, per_leaf)
     shared = rows.sparkSession.sparkContext.broadcast(tree)
@@ -260,28 +278,33 @@ def nearest(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", embedd
         import pyarrow as pa
 
         def pack():
-            rows = [(q, vec, near) for q, held in best.items() for near, vec in heapq.nsmallest(k + 1, held)]
+            rows = [(q, vec, near) for q, held in best.items() for near, vec in _nearest_of(held, k + 1)]
             columns = list(zip(*rows)) if rows else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([-n for n in columns[2]], pa.float64())], names=["asker", "vec", "near"])
 
         # a task keeps the best of each query it meets, so that the shuffle carries few rows
         best: dict[int, list] = {}
+        kept: dict[int, int] = {}
         for batch in batches:
             for q, qe, v, ve in zip(*(batch.column(i) for i in range(4))):
                 one, two = (_unit(np.array(x.as_py(), dtype=np.float64)) for x in (qe, ve))
                 for i, (ids, scores) in zip(q.as_py(), _best(one @ two.T, v.as_py(), k + 1)):
                     held = best.setdefault(i, [])
                     held += [(-s, j) for s, j in zip(scores, ids)]
-                    if len(held) > 16 * (k + 1):
-                        best[i] = heapq.nsmallest(k + 1, held)
+                    if len(held) > kept.get(i, 0) + 16 * (k + 1):
+                        best[i] = _nearest_of(held, k + 1)
+                        kept[i] = len(best[i])
             if len(best) > 50_000:
                 yield pack()
-                best = {}
+                best, kept = {}, {}
         yield pack()
 
-    found = blocks.mapInArrow(score, "asker long, vec long, near double").distinct()
+    found = settle(blocks.mapInArrow(score, "asker long, vec long, near double").distinct(), "near")
     best = Window.partitionBy("asker").orderBy(F.desc("near"), "vec")
-    found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+    ranked = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    last = ranked.groupBy(F.col("asker").alias("of")).agg(F.min("near").alias("last"))
+    # all that tie with the last are scored exactly before keys decide
+    found = found.join(last, found["asker"] == last["of"]).filter(F.col("near") >= F.col("last") - TIED).select("asker", "vec", "near")
     # back to rows: every key that shares a found vector, scored on the original vectors
     other = members.select("vec", F.col("embedding").alias("other"), F.col("key").alias("id"))
     pairs = found.join(other, "vec").join(asked.select(F.col("vec").alias("asker"), F.col("key").alias("query_id"), "embedding"), "asker")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settle
+from barloom.llm.common import drop_tables, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, root`` for every node of an edge: ``root`` is the smallest node reachable.
+    """``node, root`` for every node of an edge, as a written table: ``root`` is the smallest node reachable.
 
     Each round is joins and minima with partial aggregation, so a hub is no larger a task than its share; rounds grow
     with the logarithm of the longest chain, and each round's edges are a table in the shared folder.  Loops and
@@ -36,10 +36,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = settle(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = settle(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        before, edges = edges, settle(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        drop_tables(before)
         now = _mark(edges)
         if now == mark:
             break
         mark = now
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    found = settle(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "roots")
+    drop_tables(edges)
+    return found

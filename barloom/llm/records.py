@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.common import by_file, file_system, settle, shared_files
-from barloom.llm.subwords import WordEncoder, pieces
+from barloom.llm.subwords import encoder, pieces
 
 #: Fixed value of the record format.
 MASK_DELTA = 0xA282EAD8
@@ -69,8 +69,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, encoder, stream, at, ordinal = TaskContext.get().partitionId(), WordEncoder(tokenizer), None, 0, 0
-        width = 2 if max(encoder.vocabulary, end + 1) <= 1 << 16 else 4
+        part, coder, stream, at, ordinal = TaskContext.get().partitionId(), encoder(tokenizer), None, 0, 0
+        width = 2 if max(coder.vocabulary, end + 1) <= 1 << 16 else 4
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex[:12]}.rec"
         for batch in batches:
             for a, b in pieces(batch.column(1)):
@@ -78,7 +78,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_
                     system, place = file_system(path)
                     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     stream = system.open_output_stream(place, compression=None)
-                ids, rows = encoder.encode(batch.column(1).slice(a, b - a), end)
+                ids, rows = coder.encode(batch.column(1).slice(a, b - a), end)
                 ids = ids.astype(f"<u{width}")
                 frames = [frame(ids[i:j].tobytes()) for i, j in zip(rows[:-1], rows[1:])]
                 sizes = np.fromiter(map(len, frames), dtype=np.int64, count=len(frames))

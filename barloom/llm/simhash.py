@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     prints = settle(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = settle(components(links(nodes, max_bits, width)).select(F.col("node").alias("fp"), "root"), "roots")
+    roots = components(links(nodes, max_bits, width)).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp")
     found = linked.groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("fp", "component_id")
     # written first, so that the last join reads both sides from shuffles of its own and Spark can split a hot fingerprint

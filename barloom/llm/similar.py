@@ -1,6 +1,7 @@
-"""Near duplicates by exact Jaccard similarity of word shingles: prefix filter, stars, verified pairs, components.
+"""Near duplicates by exact Jaccard similarity of word shingles: SimHash grid, prefix filter, verified pairs, components.
 
-Put every set of shingles in one common order.  Two sets whose similarity reaches the bound share a shingle among the
+No number of fingerprint bits is lossless for a bound on similarity, so the grid only finds what lies close; the prefix
+filter finds all the rest.  Put every set of shingles in one common order.  Two sets whose similarity reaches the bound share a shingle among the
 first ``n - ceil(bound * n) + 1`` of each, so only these prefixes are joined and no pair is lost.  Common shingles come
 last in the order, which keeps boilerplate out of the prefixes; which ones count as common changes the work only.
 """
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import settle, spread, words
+from barloom.llm import simhash
+from barloom.llm.common import drop_tables, settle, spread, words
 from barloom.llm.graph import components
 
 #: Shingles put last in the order, and how many rows of a batch must hold one for it to be a candidate; one row in
@@ -55,8 +57,19 @@ def _common(docs: DataFrame, key: str, text: str, shingle: int):
     return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
+def set_print(held) -> int:
+    """SimHash of a set of shingle hashes as a signed 64-bit number; an empty set gives 0."""
+    import numpy as np
+
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(held), 1 << 17):
+        part = held[at : at + (1 << 17)].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(held), bitorder="little").view("<i8")[0])
+
+
 def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """``key, node, size, prefix`` per row; rows with equal sets have the same node."""
+    """``key, print, node, size, fp, prefix`` per row; rows with equal sets have the same node, rows of one text the same print."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text, shingle))
 
     def run(batches):
@@ -66,21 +79,27 @@ def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int)
 
         common, counts = shared.value
         for batch in batches:
-            node, size, prefix = [], [], []
-            for t in batch.column(1):
+            node, size, fp, prefix = [], [], [], []
+            for t in batch.column(2):
                 held = shingle_set(t.as_py(), shingle)
                 n = len(held)
                 node.append(xxhash.xxh64_intdigest(held.tobytes()))
                 size.append(n)
+                fp.append(set_print(held))
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, held), len(common) - 1)
                     held = held[np.lexsort((held, np.where(common[at] == held, counts[at], 0)))]
                 prefix.append(held[: n - -(-percent * n // 100) + 1])
-            columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "size", "prefix"])
+            columns = [*batch.columns[:2], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "print", "node", "size", "fp", "prefix"])
+
+    schema = T.StructType([docs.schema[key]] + T.StructType.fromDDL("print long, node long, size int, fp long, prefix array<long>").fields)
+    return spread(docs.select(key, text_print(text).alias("print"), text), key).mapInArrow(run, schema)
+
 
-    schema = T.StructType([docs.schema[key]] + T.StructType.fromDDL("node long, size int, prefix array<long>").fields)
-    return spread(docs.select(key, text), key).mapInArrow(run, schema)
+def text_print(text: str) -> F.Column:
+    """A 64-bit hash of the text that tells rows of one key apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _sets(docs: DataFrame, keys: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -106,51 +125,73 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     """The pairs ``a, b`` whose similarity reaches the bound."""
     pairs = settle(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = settle(_sets(docs, nodes.join(wanted, "node"), key, text, shingle), "sets")
+    sets = settle(_sets(docs, nodes.join(wanted, "node").select(F.col("least.key").alias(key)), key, text, shingle), "sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("held").alias("two")), "b")
     # the smaller node of a pair is often the same: only these sets move again
     heads = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     both = both.join(heads.select(F.col("node").alias("a"), F.col("held").alias("one")), "a")
     shared = F.size(F.array_intersect("one", "two")).cast("long")
-    return settle(both.filter(100 * shared >= percent * (F.size("one") + F.size("two") - shared)).select("a", "b"), "links")
+    found = settle(both.filter(100 * shared >= percent * (F.size("one") + F.size("two") - shared)).select("a", "b"), "links")
+    drop_tables(pairs, sets)
+    return found
 
 
 def links(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """Pairs of nodes that connect all whose sets reach ``percent`` of similarity.
 
-    Each prefix shingle's nodes are compared with the smallest of them first.  What is then one component needs no more
-    pairs, so a large group of near copies costs what it has members; only nodes of different components that share a
-    prefix shingle are compared one by one.
+    Nodes whose SimHash fingerprints differ in two bits at most, found by the popcount grid, are compared first.  Where
+    the nodes that share a prefix shingle are not one component yet, each is compared with the smallest of them; what is
+    then one component needs no more pairs, so a large group of near copies costs what it has members.  Only nodes of
+    different components that share a prefix shingle are compared one by one.  Every pair is verified by its whole sets;
+    tables are dropped as soon as the next one is written.
     """
-    listed = nodes.select(F.explode("prefix").alias("shingle"), "node", "size")
-    heads = settle(listed.groupBy("shingle").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("other")), "heads")
+    check = (nodes, docs, key, text, shingle, percent)
+    firsts = settle(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    one, two = (firsts.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("a", "x"), ("b", "y")))
+    close = simhash.links(nodes.select("fp")).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.select("fp", F.col("node").alias("b")).join(firsts.select("fp", F.col("node").alias("a")), "fp").filter("a != b").select("a", "b")
+    near = _verified(close.union(same), *check)
+    roots = components(near)
+    drop_tables(firsts)
+    known = nodes.join(roots, "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("root"))
+    listed = known.select(F.explode("prefix").alias("shingle"), "node", "size", "root")
+    heads = listed.groupBy("shingle").agg(F.min(F.struct("node", "size", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most"))
+    heads = heads.filter("least < most").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("other"), F.col("hub.root").alias("apart"))
     met = settle(listed.join(heads, "shingle"), "met")
-    close = f"node != hub AND 100 * least(size, other) >= {percent} * greatest(size, other)"
-    near = _verified(met.filter(close).select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, docs, key, text, shingle, percent)
-    roots = settle(components(near), "roots")
-    met = met.join(roots, "node", "left").select("shingle", "node", "size", "hub", F.coalesce("root", "node").alias("root"))
+    lengths = f"100 * least(size, other) >= {percent} * greatest(size, other)"
+    more = _verified(met.filter(f"root != apart AND {lengths}").select(F.col("hub").alias("a"), F.col("node").alias("b")), *check)
+    drop_tables(roots)
+    near = near.union(more)
+    roots = components(near)
     # the hub has met everyone: of the others, those that are one component have nothing left to find
-    met = settle(met.filter("node != hub"), "rest")
-    open_ = met.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle")
-    met = settle(met.join(open_, "shingle"), "open")
+    left = met.filter("node != hub").select("shingle", "node", "size").join(roots, "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root"))
+    left = settle(left, "rest")
+    drop_tables(met, roots)
+    open_ = left.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle")
+    met = settle(left.join(open_, "shingle"), "open")
+    drop_tables(left)
     one = met.select("shingle", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
     two = met.select("shingle", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("s"))
     lengths = f"100 * least(m, n) >= {percent} * greatest(m, n)"
-    more = one.join(two, "shingle").filter(f"a < b AND r != s AND {lengths}").select("a", "b")
-    return near.union(_verified(more, nodes, docs, key, text, shingle, percent))
+    last = _verified(one.join(two, "shingle").filter(f"a < b AND r != s AND {lengths}").select("a", "b"), *check)
+    drop_tables(met)
+    return near.union(last)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Only the row with the smallest key of each component of texts that share ``percent`` of their shingles, all columns kept.
 
-    Null and empty texts are copies of each other.  Of rows that share key and component every one stays (they cannot
-    be told apart by key); rows with a null key stay only if their component has no other key.
+    Null and empty texts are copies of each other.  Rows of one key are told apart by their texts; of rows that share
+    key and text every one stays if one does.  Rows with a null key stay only if their component has no other key (then
+    those of one text do).  Columns other than key and text may have any name.  An empty table gives no rows.
     """
     rows = _prefixes(docs, key, text, shingle, percent)
-    nodes = settle(rows.groupBy("node").agg(F.min(key).alias(key), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    roots = settle(components(links(nodes, docs, key, text, shingle, percent)), "roots")
-    named = nodes.join(roots, "node", "left").select("node", F.col(key).alias("least"), F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # the component's smallest key belongs to one of its rows, so the ids are the keys to keep
-    kept = settle(ids.select("component_id").distinct(), "kept")
-    return docs.join(kept, docs[key].eqNullSafe(kept["component_id"]), "left_semi")
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "print")
+    nodes = rows.groupBy("node").agg(F.min(row).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = settle(nodes, "nodes")
+    roots = components(links(nodes, docs, key, text, shingle, percent))
+    named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.print").alias("__print"))
+    kept = settle(kept.distinct(), "kept")
+    drop_tables(nodes, roots)
+    return docs.join(kept, docs[key].eqNullSafe(kept["__key"]) & (text_print(text) == kept["__print"]), "left_semi")

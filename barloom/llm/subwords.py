@@ -19,6 +19,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_encoders: dict[str, "WordEncoder"] = {}
+
+
+def encoder(path: str) -> "WordEncoder":
+    """The worker process's own encoder, loaded once; what it remembers of words serves all of its tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and never joins across it.
 

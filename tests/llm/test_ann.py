@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import ann
 from barloom.llm.queries import QUERIES
@@ -59,6 +60,24 @@ def test_copies_and_unusable_vectors(spark):
     assert {q: len(w) for q, w in by_query(ann.nearest(few, few["vec_id"] % 10 == 0).collect()).items()} == {0: 2}
 
 
+def test_ties_go_to_the_smaller_key(spark):
+    # 40 directions alike and others near them: all cosines of the first are exactly 1
+    rows = [(i, [3.0 * 2.0**i, 4.0 * 2.0**i]) for i in range(41)] + [(100 + i, [3.0, 4.0 + i]) for i in range(1, 200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").orderBy(F.desc("vec_id"))
+    for recall in (0.94, 1.0):
+        got = by_query(ann.nearest(vectors, F.col("vec_id") == 0, recall=recall, per_leaf=16).collect())
+        assert got == {0: [(i, 1.0) for i in range(1, 6)]}
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(5)
+    short, long_ = ([(start + i, rng.normal(size=n).tolist()) for i in range(30)] for start, n in ((0, 3), (1000, 4)))
+    vectors = spark.createDataFrame(short + long_ + [(5000, [1.0])], "vec_id long, embedding array<double>")
+    got = by_query(ann.nearest(vectors, F.col("vec_id") % 10 == 0, recall=1.0).collect())
+    want = brute(short, [0, 10, 20]) | brute(long_, [1000, 1010, 1020])
+    assert {q: [i for i, _ in w] for q, w in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
 def test_walk_visits_every_leaf_once():
     rng = np.random.default_rng(1)
     points = ann._unit(rng.normal(size=(500, 8)))

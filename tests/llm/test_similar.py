@@ -66,6 +66,18 @@ def test_edge_cases(spark):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
+def test_one_key_with_two_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text of its own")], "doc_id long, text string")
+    assert sorted(similar.keep_one(docs).collect()) == [(1, "a b c d e f"), (5, "quite another text of its own")]
+
+
+def test_clashing_columns_and_no_rows(spark):
+    rows = [(1, "one two three four five six", "n", 1, "p"), (2, "one two three four five six", None, 2, "q"), (3, None, "n", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, size int, print string")
+    assert sorted(similar.keep_one(docs).collect(), key=lambda r: r.doc_id) == [rows[0], rows[2]]
+    assert similar.keep_one(docs.filter("false")).collect() == []
+
+
 def test_stage_drops_near_copies(spark):
     docs = table(spark, SMALL, "documents")
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SMALL).collect()}
