@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import OHLCV, TIMEFRAME_MS, ceil_to, floor_to, md5_u32, numeric, tf_seconds
-from barloom.operators.ordered import beside, epoch_us, positions, time_slot
+from barloom.operators.ordered import beside, epoch_us, exact_positions, time_slot
+from barloom.operators.selection import top_per_group
 from barloom.sources.lake import dedupe_bars, keep_first
 
 SLOT_BARS = 1 << 16
@@ -61,9 +62,8 @@ def bars_in_days(timeframe: str, days: int) -> int:
 
 
 def tail_bars(df: DataFrame, keys: Sequence[str], timeframe: str, n: int) -> DataFrame:
-    """B-08: the newest ``n`` bars of every series, by exact position from the end."""
-    ranked = positions(df, keys, [F.desc("ts")], -bar_slot("ts", timeframe), "_from_end")
-    return ranked.where(F.col("_from_end") <= n).drop("_from_end")
+    """B-08: the newest ``n`` bars of every series; every task passes on its newest ``n`` of a series at most."""
+    return top_per_group(df, keys, [F.desc("ts")], n, "_from_end").drop("_from_end")
 
 
 def filter_universe(df: DataFrame, symbol: str | None = None, suffix: str | None = None) -> DataFrame:
@@ -83,12 +83,11 @@ def sample_panel(df: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def systematic_sample(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], slot: Column, k: int = 50
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], k: int = 50
 ) -> DataFrame:
     """B-11: every (n div k)-th non-null value per key, starting with the first."""
-    present = df.where(F.col(value).isNotNull())
-    n = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = positions(present, keys, order, slot, "_pos")
+    ranked = exact_positions(df.where(F.col(value).isNotNull()), keys, order, "_pos")
+    n = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     joined = ranked.join(n, list(keys)) if keys else ranked.transform(beside, n)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
     return joined.where(F.pmod(F.col("_pos") - 1, step) == 0).drop("_n", "_pos")

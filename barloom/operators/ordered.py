@@ -12,7 +12,8 @@ small per-slot aggregates:
                     rows before / after it that its windows reach into
 * ``quantiles``     exact interpolated quantiles from distinct-value counts
 
-A slot must be a function of the row alone, so recomputed tasks always agree.
+A slot is a function of the row alone (a span of time), or a stored column of data-driven ranges (``ranged``), so
+recomputed tasks always agree.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOT, BLOCK, HOME = "_slot", "_block", "_home"
+from barloom.session import stored
+
+SLOT, BLOCK, HOME, RANGE = "_slot", "_block", "_home", "_range"
 BLOCK_ROWS = 1 << 16
 
 
@@ -39,10 +42,22 @@ def time_slot(ts: str | Column, seconds: int) -> Column:
     return F.floor(epoch_us(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
-def value_slot(value: str | Column, per_octave: int = 64) -> Column:
-    """Order-preserving bucket of an arbitrary double on a symmetric logarithmic scale."""
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) * 1e6 + 1.0) * per_octave)).cast("long")
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = RANGE) -> DataFrame:
+    """Rows with a slot of data-driven edges: the range of (keys, order) a row lies in, numbered along the order.
+
+    Spark draws the edges from a sample of all the sort columns, so ranges hold about as many rows each wherever the
+    values lie, and rows that tie in the first column are split by the next ones; ``order`` should therefore end in a
+    column that tells ties apart.  The result is a stored table, since another sample would draw other edges: every
+    reader, and every task that is run again, sees the same slots.  Small tables are one range.
+    """
+    lead = [F.col(k).asc_nulls_first() for k in keys]
+    placed = df.repartitionByRange(*lead, *[F.col(o) if isinstance(o, str) else o for o in order])
+    return stored(placed.withColumn(name, F.spark_partition_id()), "ranged")
+
+
+def exact_positions(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "pos") -> DataFrame:
+    """``positions`` in any total order of any columns, with slots from :func:`ranged`."""
+    return positions(ranged(df, keys, order), keys, order, F.col(RANGE), name).drop(RANGE)
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -63,30 +78,18 @@ def _prefix(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, name: str = "pos", coarse: Column | None = None
-) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, name: str = "pos") -> DataFrame:
     """Exact 1-based row number per key; ``order`` must be total and ``slot`` non-decreasing along it.
 
-    Where slots are as fine as the sort value itself (needed when many rows share one value and the tie-breaker
-    has to split them), ``coarse`` names a non-decreasing bucket of slots and offsets are built in two levels.
+    For slots that follow from the row (spans of time); see :func:`exact_positions` for any other order.
     """
     tagged = df.withColumn(SLOT, slot)
-    if coarse is not None:
-        tagged = tagged.withColumn("_coarse", coarse)
-    extra = [] if coarse is None else ["_coarse"]
-    counts = tagged.groupBy(*keys, *extra, SLOT).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(_prefix([*keys, *extra])), F.lit(0))
-    offsets = counts.select(*keys, *extra, SLOT, before.alias("_offset"))
-    if coarse is not None:
-        w = Window.partitionBy(*keys).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
-        base = base.select(*keys, "_coarse", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
-        offsets = match(offsets, base, [*keys, "_coarse"], "left").withColumn("_offset", F.col("_offset") + F.col("_base"))
-        offsets = offsets.drop("_coarse", "_base")
+    counts = tagged.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_prefix(keys)), F.lit(0))
+    offsets = counts.select(*keys, SLOT, before.alias("_offset"))
     local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy(*order)))
     joined = match(local, offsets, [*keys, SLOT], "left")
-    return joined.withColumn(name, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("long")).drop("_rn", "_offset", SLOT, *extra)
+    return joined.withColumn(name, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("long")).drop("_rn", "_offset", SLOT)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, slot: Column, **wanted) -> DataFrame:
@@ -270,7 +273,8 @@ def neighbour(
 def _ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with the half-open range of 0-based ranks [_first, _last) they fill, and the key's total."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running(counts, keys, [value], value_slot(value), _last=("sum", "_c"))
+    counts = ranged(counts, keys, [value])
+    cum = running(counts, keys, [value], F.col(RANGE), _last=("sum", "_c")).drop(RANGE)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
     ranked = match(cum, totals, keys, "left")
     return ranked.withColumn("_first", F.col("_last") - F.col("_c"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.formula import formula_complexity, formula_features
-from barloom.operators.ordered import beside, blocked, match, positions, quantiles, running, value_slot
+from barloom.operators.ordered import beside, blocked, exact_positions, match, positions, quantiles, running
 from barloom.operators.rules import variants
 from barloom.operators.selection import top_bottom, top_per_group
 from barloom.session import cut_lineage
@@ -157,7 +157,7 @@ def feature_long(panel: DataFrame, features: Sequence[str], ids: Sequence[str] =
 
 
 def feature_stats(
-    long: DataFrame, slot: Column, min_ratio: float = 0.30, min_var: float = 1e-6, sample: int = 50,
+    long: DataFrame, min_ratio: float = 0.30, min_var: float = 1e-6, sample: int = 50,
     order: Sequence[str] = ("symbol", "ts"), reference_compat: bool = False,
 ) -> DataFrame:
     """G-22: share of values present, then variance and quantiles of a systematic sample, and the keep flag.
@@ -168,7 +168,7 @@ def feature_stats(
     from barloom.operators.bars import systematic_sample
 
     presence = long.groupBy("feature").agg((F.count("value") / F.count(F.lit(1))).alias("non_null_ratio"))
-    picked = systematic_sample(long, ["feature"], "value", list(order), slot, sample)
+    picked = systematic_sample(long, ["feature"], "value", list(order), sample)
     q = F.percentile("value", F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9))))
     s = picked.groupBy("feature").agg(
         F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"), F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max")
@@ -282,9 +282,7 @@ def rank_population(
     """G-29: weighted fitness less a penalty per tree node; exact rank and elite flag."""
     raw = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
     scored = df.withColumn("fitness", raw).withColumn("penalised", F.col("fitness") - formula_complexity(formula) * penalty)
-    down = -F.col("penalised")
-    slot = F.struct(down.alias("v"), F.substring(formula, 1, 32).alias("f"))
-    ranked = positions(scored, [], [F.desc("penalised"), F.asc(formula)], slot, "rank", coarse=value_slot(down))
+    ranked = exact_positions(scored, [], [F.desc("penalised"), F.asc(formula)], "rank")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     keep = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(elite)))
     return ranked.transform(beside, total).withColumn("elite", F.col("rank") <= keep).drop("_n")
@@ -309,9 +307,7 @@ def feature_leaderboard(df: DataFrame, fitness: str, min_count: int, top: int) -
 
 def seed_features(alphas: DataFrame, formula: str = "formula_json", score: str = "sortino", tie: str = "alpha_id") -> DataFrame:
     """G-34: distinct features of the top tenth of strategies."""
-    down = -F.col(score)
-    slot = F.struct(down.alias("v"), F.substring(F.col(tie), 1, 4).alias("t"))
-    ranked = positions(alphas, [], [F.desc(score), F.asc(tie)], slot, "_pos", coarse=value_slot(down))
+    ranked = exact_positions(alphas, [], [F.desc(score), F.asc(tie)], "_pos")
     total = alphas.agg(F.count(F.lit(1)).alias("_n"))
     top = ranked.transform(beside, total).where(F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
     return formula_features(top, formula, strict=True).distinct()

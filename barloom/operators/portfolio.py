@@ -8,14 +8,14 @@ one row per strategy, and nothing upstream runs twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.ordered import match, running, value_slot
+from barloom.operators.ordered import RANGE, match, ranged, running
 from barloom.operators.selection import top_per_group
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, stored
 
 GROUP = ("portfolio_id",)
 
@@ -78,7 +78,8 @@ def cap_and_redistribute(weights: DataFrame, floor: float, cap: float, keys: Seq
     w = cut_lineage(weights.where((F.col("weight") >= floor) & (F.col("weight") > 0)).select(*keys, id, "weight"))
     w = _totals(w, keys, _n=F.count(F.lit(1)), _sum=F.sum("weight")).withColumn("_v", F.col("weight") / F.col("_sum"))
     distinct = w.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumns({"_down": -F.col("_v"), "_mass": F.col("_v") * F.col("_c")})
-    ranked = running(distinct, keys, ["_down"], value_slot("_down"), _cum_c=("sum", "_c"), _cum_m=("sum", "_mass"))
+    distinct = ranged(distinct, keys, ["_down"])
+    ranked = running(distinct, keys, ["_down"], F.col(RANGE), _cum_c=("sum", "_c"), _cum_m=("sum", "_mass"))
     before_c, before_m = F.col("_cum_c") - F.col("_c"), F.col("_cum_m") - F.col("_mass")
     scale = F.when(before_c == 0, F.lit(1.0)).otherwise(F.try_divide(1.0 - before_c * cap, 1.0 - before_m))
     ok = (scale > 0) & (F.col("_v") * scale <= cap + 1e-12)
@@ -91,6 +92,25 @@ def cap_and_redistribute(weights: DataFrame, floor: float, cap: float, keys: Seq
     return out.select(*keys, id, final.alias("weight"))
 
 
+def _lane_means(alphas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    mean = lambda lane: F.coalesce(F.avg(F.when(F.col("lane") == lane, F.col("sortino"))), F.lit(0.0))
+    return alphas.groupBy(*keys).agg(mean("core").alias("_c"), mean("moonshot").alias("_m"))
+
+
+def _budget(b: DataFrame, previous: bool, base, low, high, core_low, core_high, dead_band, slope, max_step) -> DataFrame:
+    """``core`` and ``moonshot`` from the lane means ``_c`` and ``_m``, and the last moonshot budget ``_prev``."""
+    diff = F.col("_m") - F.col("_c")
+    up = F.lit(base) + F.greatest(F.lit(0.0), F.least(F.lit(high - base), diff * slope))
+    down = F.lit(base) - F.greatest(F.lit(0.0), F.least(F.lit(base - low), -diff * slope))
+    target = F.when(diff > dead_band, up).when(diff < -dead_band, down).otherwise(F.lit(base))
+    if previous:
+        stepped = F.greatest(F.col("_prev") - max_step, F.least(F.col("_prev") + max_step, target))
+        target = F.when(F.col("_prev").isNull(), target).otherwise(stepped)
+    moon = F.greatest(F.lit(low), F.least(F.lit(high), target))
+    core = F.greatest(F.lit(core_low), F.least(F.lit(core_high), 1.0 - moon))
+    return b.withColumns({"core": core, "moonshot": 1.0 - core})
+
+
 def lane_budgets(
     alphas: DataFrame, keys: Sequence[str] = GROUP, base: float = 0.05, low: float = 0.01, high: float = 0.20,
     core_low: float = 0.85, core_high: float = 0.99, dead_band: float = 0.10, slope: float = 0.05, max_step: float = 0.02,
@@ -101,19 +121,44 @@ def lane_budgets(
     Outside the dead band the moonshot budget moves linearly from its base, at most ``max_step`` from the previous
     budget, inside its limits; core gets the rest inside its own limits.
     """
-    mean = lambda lane: F.coalesce(F.avg(F.when(F.col("lane") == lane, F.col("sortino"))), F.lit(0.0))
-    b = alphas.groupBy(*keys).agg(mean("core").alias("_c"), mean("moonshot").alias("_m"))
-    diff = F.col("_m") - F.col("_c")
-    up = F.lit(base) + F.greatest(F.lit(0.0), F.least(F.lit(high - base), diff * slope))
-    down = F.lit(base) - F.greatest(F.lit(0.0), F.least(F.lit(base - low), -diff * slope))
-    target = F.when(diff > dead_band, up).when(diff < -dead_band, down).otherwise(F.lit(base))
+    b = _lane_means(alphas, keys)
     if previous is not None:
         b = match(b, previous.select(*keys, F.col("moonshot").alias("_prev")), keys, "left")
-        stepped = F.greatest(F.col("_prev") - max_step, F.least(F.col("_prev") + max_step, target))
-        target = F.when(F.col("_prev").isNull(), target).otherwise(stepped)
-    moon = F.greatest(F.lit(low), F.least(F.lit(high), target))
-    core = F.greatest(F.lit(core_low), F.least(F.lit(core_high), 1.0 - moon))
-    return b.select(*keys, core.alias("core"), (1.0 - core).alias("moonshot"))
+    return _budget(b, previous is not None, base, low, high, core_low, core_high, dead_band, slope, max_step).select(*keys, "core", "moonshot")
+
+
+def lane_cycle(
+    alphas: DataFrame, state: DataFrame | None, keys: Sequence[str] = GROUP, smoothing: float = 0.30, base: float = 0.05,
+    low: float = 0.01, high: float = 0.20, core_low: float = 0.85, core_high: float = 0.99, dead_band: float = 0.10,
+    slope: float = 0.05, max_step: float = 0.02,
+) -> DataFrame:
+    """F-07 with memory: the lane state after one more cycle, ``keys, core_sortino, moonshot_sortino, core, moonshot``.
+
+    Lane means are smoothed over cycles (weight ``smoothing`` on the new one, the first taken as it is) before the dead
+    band is looked at, and the budget moves at most ``max_step`` from the state's.  ``state`` is the table the last cycle
+    gave (None before the first); a key without strategies this cycle keeps its state as it is.
+    """
+    means = _lane_means(alphas, keys)
+    settings = (base, low, high, core_low, core_high, dead_band, slope, max_step)
+    if state is None:
+        first = _budget(means, False, *settings)
+        return first.select(*keys, F.col("_c").alias("core_sortino"), F.col("_m").alias("moonshot_sortino"), "core", "moonshot")
+    old = state.select(*keys, F.col("core_sortino").alias("_oc"), F.col("moonshot_sortino").alias("_om"), F.col("core").alias("_ob"), F.col("moonshot").alias("_prev"))
+    both = means.withColumn("_now", F.lit(True)).join(old, list(keys), "full")
+    mixed = lambda new, past: F.when(F.col("_now").isNull(), F.col(past)).otherwise((1 - smoothing) * F.coalesce(past, new) + smoothing * F.col(new))
+    both = both.withColumns({"_c": mixed("_c", "_oc"), "_m": mixed("_m", "_om")})
+    moved = _budget(both, True, *settings)
+    kept = lambda new, past: F.when(F.col("_now").isNull(), F.col(past)).otherwise(F.col(new))
+    return moved.select(
+        *keys, F.col("_c").alias("core_sortino"), F.col("_m").alias("moonshot_sortino"), kept("core", "_ob").alias("core"), kept("moonshot", "_prev").alias("moonshot")
+    )
+
+
+def lane_cycles(cycles: Iterable[DataFrame], state: DataFrame | None = None, **settings) -> DataFrame:
+    """The lane state after several cycles in order; each cycle's state is a stored table that the next one reads."""
+    for alphas in cycles:
+        state = stored(lane_cycle(alphas, state, **settings), "lanes")
+    return state
 
 
 def apply_lane_budgets(

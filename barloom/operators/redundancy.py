@@ -5,129 +5,175 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.formula import feature_set
-from barloom.operators.ordered import beside
-from barloom.session import cut_lineage
+from barloom.operators.ordered import beside, neighbour
+from barloom.session import cut_lineage, stored
 
-MAX_FACTORS = 64
+#: Candidates that one task solves against the factors of one level.
+SOLVED = 4096
 
 
-def _factor_columns(factors: Sequence[str]) -> list[str]:
-    if not factors or len(factors) > MAX_FACTORS:
-        raise ValueError(f"between 1 and {MAX_FACTORS} factor series are supported, got {len(factors)}")
-    return [f"_f{i}" for i in range(len(factors))]
+def _factor_names(returns: DataFrame, factors: Sequence[str] | DataFrame, key: str) -> DataFrame:
+    """``key, _i``: the factor series numbered from 0; one row per factor."""
+    if not isinstance(factors, DataFrame):
+        kind = returns.schema[key].dataType.simpleString()
+        factors = returns.sparkSession.createDataFrame([(f,) for f in factors], f"{key} string").select(F.col(key).cast(kind))
+    names = factors.select(key).distinct()
+    return cut_lineage(names.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1))
 
 
-def wide_factors(returns: DataFrame, factors: Sequence[str], at: str, key: str = "alpha_id", value: str = "ret") -> DataFrame:
-    """One row per point in time or position with a column per factor series; the number of factors is bounded."""
-    names = _factor_columns(factors)
-    rows = returns.where(F.col(key).isin(list(factors)))
-    return rows.groupBy(at).agg(*(F.max(F.when(F.col(key) == f, F.col(value))).alias(n) for f, n in zip(factors, names)))
+def _levels(lengths: DataFrame, top: str) -> DataFrame:
+    """``_k, _level``: for every position up to the largest level the smallest level that reaches it."""
+    levels = lengths.select(F.col(top).alias("_level")).distinct()
+    before = neighbour(levels, [], ["_level"], F.floor(F.col("_level") / 65536), {"_prev": "_level"})
+    spans = F.explode(F.sequence(F.coalesce("_prev", F.lit(0)) + 1, F.col("_level")))
+    return before.select("_level", spans.alias("_k"))
 
 
-def vif(returns: DataFrame, factors: Sequence[str], key: str = "alpha_id", value: str = "ret", at: str = "from_end", min_rows: int = 10) -> DataFrame:
+def _sums(x: str, y: str) -> list[Column]:
+    """What a covariance over rows that hold both values needs."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    parts = {"_n": F.lit(1.0), "_x": F.col(x), "_y": F.col(y), "_xy": F.col(x) * F.col(y)}
+    return [F.coalesce(F.sum(F.when(both, v)), F.lit(0.0)).alias(n) for n, v in parts.items()]
+
+
+_COV = "_xy / _n - (_x / _n) * (_y / _n)"
+
+
+def vif(
+    returns: DataFrame, factors: Sequence[str] | DataFrame, key: str = "alpha_id", value: str = "ret", at: str = "from_end", min_rows: int = 10
+) -> DataFrame:
     """G-28: 1 / (1 - R^2) of every other series on the factor series, over the common tail.
 
-    ``at`` is the 1-based position from the end, so tails align without looking ahead.  Spark reduces each
-    candidate to centred sums of products (a factor-sized matrix); only that small system is solved in Python.
+    ``at`` is the 1-based position from the end without holes, so tails align without looking ahead; missing values
+    leave the products they are part of.  ``factors`` is a list or a table of keys, of any number.  Everything stays in
+    long form: products of a candidate with each factor are summed by (candidate, factor), products of two factors by
+    (tail length, factor, factor), for each tail length that a candidate has, as running sums over the lengths below.
+    The normal equations of one length are then solved for blocks of its candidates, however many share it.
     """
-    names = _factor_columns(factors)
+    names = _factor_names(returns, factors, key)
     lengths = returns.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
-    shortest = lengths.where(F.col(key).isin(list(factors))).agg(F.min("_len").alias("_min_f"))
-    candidates = (
-        returns.where(~F.col(key).isin(list(factors))).join(lengths, key).transform(beside, shortest)
-        .withColumn("_rows", F.least("_len", "_min_f")).where(F.col(at) <= F.col("_rows"))
-    )
-    joined = candidates.join(wide_factors(returns, factors, at, key, value), at)
-    series = [value, *names]
-    pairs = [(i, j) for i in range(len(series)) for j in range(i, len(series))]
-    sums = joined.groupBy(key).agg(
-        F.first("_rows").alias("n"),
-        F.array(*(F.covar_pop(series[i], series[j]) for i, j in pairs)).alias("cov"),
-    )
-    p = len(series)
-
-    @F.pandas_udf("double")
-    def inflate(covs: pd.Series, ns: pd.Series) -> pd.Series:
-        out = []
-        for flat, n in zip(covs, ns):
-            m = np.zeros((p, p))
-            for (i, j), c in zip(pairs, flat):
-                m[i, j] = m[j, i] = c
-            if n < min_rows or m[0, 0] <= 0:
-                out.append(1.0)
-                continue
-            beta = np.linalg.lstsq(m[1:, 1:], m[1:, 0], rcond=None)[0]
-            r2 = float(beta @ m[1:, 0]) / m[0, 0]
-            r2 = min(max(r2, 0.0), 0.999999)
-            out.append(float("inf") if r2 >= 0.999999 else 1.0 / (1.0 - r2))
-        return pd.Series(out)
-
-    scored = sums.select(key, inflate("cov", "n").alias("vif"))
-    return lengths.where(~F.col(key).isin(list(factors))).select(key).join(scored, key, "left").select(
-        key, F.coalesce("vif", F.lit(1.0)).alias("vif")
-    )
+    shortest = lengths.join(names, key, "left_semi").agg(F.min("_len").alias("_min_f"))
+    rest = cut_lineage(lengths.join(names, key, "left_anti").transform(beside, shortest).select(key, F.least("_len", "_min_f").alias("_rows")))
+    scored = rest.where(F.col("_rows") >= min_rows)
+    # series are shifted by their means first: sums of products then keep their digits
+    means = returns.groupBy(key).agg(F.avg(value).alias("_mean"))
+    moved = returns.join(means, key).select(key, F.col(at).alias("_k"), (F.col(value) - F.col("_mean")).alias("_v"))
+    held = moved.join(names, key).select("_i", "_k", F.col("_v").alias("_f"))
+    levels = _levels(scored, "_rows")
+    tails = cut_lineage(held.join(levels, "_k"))
+    one, two = tails.withColumnRenamed("_f", "_a"), tails.select("_k", F.col("_i").alias("_j"), F.col("_f").alias("_b"))
+    pairs = one.join(two, "_k").where("_i <= _j").groupBy("_level", "_i", "_j").agg(*_sums("_a", "_b"))
+    upto = Window.partitionBy("_i", "_j").orderBy("_level").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.select("_level", "_i", "_j", *(F.sum(c).over(upto).alias(c) for c in ("_n", "_x", "_y", "_xy")))
+    matrix = pairs.select("_level", "_i", "_j", F.expr(_COV).alias("_c"))
+
+    own = moved.join(scored, key).where(F.col("_k") <= F.col("_rows"))
+    spread_ = own.groupBy(key).agg(F.var_pop("_v").alias("_var"))
+    met = own.join(held, "_k").groupBy(key, "_rows", "_i").agg(*_sums("_v", "_f"))
+    wanted = met.groupBy(key, "_rows").agg(F.collect_list(F.struct("_i", F.expr(_COV).alias("_c"))).alias("_with")).join(spread_, key)
+    blocks = scored.groupBy(F.col("_rows").alias("_level")).agg(F.ceil(F.count(F.lit(1)) / SOLVED).cast("long").alias("_blocks"))
+    wanted = wanted.withColumnRenamed("_rows", "_level").join(blocks, "_level").withColumn("_block", F.pmod(F.xxhash64(key), "_blocks"))
+    matrix = matrix.join(blocks, "_level").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    kind = returns.schema[key]
+
+    def solve(left, right):
+        import pyarrow as pa
+
+        i, j, c = (left.column(n).to_numpy() for n in ("_i", "_j", "_c"))
+        size = int(j.max()) + 1 if len(j) else 0
+        m = np.zeros((size, size))
+        m[i, j] = m[j, i] = np.nan_to_num(c)
+        b = np.zeros((size, right.num_rows))
+        for n, row in enumerate(right.column("_with").to_pylist()):
+            for x in row:
+                b[x["_i"], n] = x["_c"] or 0.0
+        beta = np.linalg.lstsq(m, b, rcond=None)[0] if size and right.num_rows else b
+        var = right.column("_var").to_numpy()
+        fit = (beta * b).sum(axis=0)
+        r2 = np.clip(np.divide(fit, var, out=np.zeros(len(var)), where=var > 0), 0.0, 0.999999)
+        out = np.where(var > 0, np.where(r2 >= 0.999999, np.inf, 1.0 / (1.0 - r2)), 1.0)
+        return pa.table({key: right.column(key), "vif": pa.array(out)})
+
+    schema = T.StructType([kind, T.StructField("vif", T.DoubleType())])
+    left = matrix.select("_level", "_block", "_i", "_j", "_c").groupBy("_level", "_block")
+    right = wanted.select("_level", "_block", key, "_var", "_with").groupBy("_level", "_block")
+    solved = left.cogroup(right).applyInArrow(solve, schema)
+    return rest.select(key).join(solved, key, "left").select(key, F.coalesce("vif", F.lit(1.0)).alias("vif"))
 
 
 def factor_correlation(
-    returns: DataFrame, factors: Sequence[str], cap: float, key: str = "alpha_id", at: str = "ts", value: str = "ret", min_rows: int = 3
+    returns: DataFrame, factors: Sequence[str] | DataFrame, cap: float, key: str = "alpha_id", at: str = "ts", value: str = "ret", min_rows: int = 3
 ) -> DataFrame:
     """G-36: largest absolute correlation of every series with the factor series on common dates, and a cap flag.
 
-    Candidates meet a bounded set of factors (the strategies already held), never each other.
+    Candidates meet the factors (the strategies already held, a list or a table of any number), never each other; a
+    candidate's day becomes one row per factor of that day, and these are summed before they move.
     """
-    names = _factor_columns(factors)
+    names = _factor_names(returns, factors, key)
     daily = returns.groupBy(key, at).agg(F.sum(value).alias(value))
-    joined = daily.where(~F.col(key).isin(list(factors))).join(wide_factors(daily, factors, at, key, value), at)
-    found = []
-    for n in names:
-        both = F.col(n).isNotNull()
-        x, y = F.when(both, F.col(value)), F.col(n)
-        corr = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(F.when(F.col(value).isNotNull(), y)))
-        found.append(F.abs(F.when(F.count(F.when(both, F.lit(1))) >= min_rows, corr)))
-    worst = F.greatest(*found) if len(found) > 1 else found[0]
-    scored = joined.groupBy(key).agg(worst.alias("max_corr"))
-    everyone = daily.where(~F.col(key).isin(list(factors))).select(key).distinct()
-    return everyone.join(scored, key, "left").withColumn("allowed", F.coalesce(F.col("max_corr") <= cap, F.lit(True)))
-
-
-def jaccard_counts(formulas: DataFrame, formula: str = "formula_json") -> DataFrame:
-    """G-32: number of rule pairs per Jaccard similarity of their feature sets, exactly, without forming pairs.
-
-    With cnt_a(T) = rules of set size a whose features include T, sum over |T| = t of cnt_a(T) * cnt_b(T) counts
-    each pair once per common t-subset; inverting the binomial sums gives the pairs per intersection size.  Each
-    distinct feature set is expanded into its subsets once, so work grows with distinct sets, not with pairs.
+    held = daily.join(names, key).select("_i", F.col(at), F.col(value).alias("_f"))
+    others = daily.join(names, key, "left_anti")
+    met = others.join(held, at).where(F.col("_f").isNotNull())
+    corr = F.try_divide(F.covar_samp(value, "_f"), F.stddev_samp(value) * F.stddev_samp(F.when(F.col(value).isNotNull(), F.col("_f"))))
+    each = met.groupBy(key, "_i").agg(F.abs(F.when(F.count(F.lit(1)) >= min_rows, corr)).alias("_c"))
+    scored = each.groupBy(key).agg(F.max("_c").alias("max_corr"))
+    return others.select(key).distinct().join(scored, key, "left").withColumn("allowed", F.coalesce(F.col("max_corr") <= cap, F.lit(True)))
+
+
+def jaccard_counts(formulas: DataFrame, formula: str = "formula_json", block_sets: int = 2048) -> DataFrame:
+    """G-32: number of rule pairs per Jaccard similarity of their feature sets, exactly, whatever their sizes.
+
+    Equal sets are counted first.  Different sets are dealt into blocks; two blocks become matrices of zeros and ones
+    over the features that occur in them, whose product holds all intersection sizes, and only the number of pairs per
+    pair of sizes leaves the task.  No pair of rules or sets is ever a row.
     """
     sets = formulas.select(feature_set(formula).alias("fs")).groupBy("fs").agg(F.count(F.lit(1)).alias("c"))
-    size = F.size("fs")
-    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), size).cast("long") - 1)
-    subset = F.filter("fs", lambda x, i: F.call_function("getbit", F.col("mask"), i) == 1)
-    subsets = sets.select("c", size.alias("a"), "fs", F.explode(masks).alias("mask")).select("c", "a", subset.alias("t_set"))
-    per = subsets.groupBy("t_set", "a").agg(F.sum("c").alias("c"))
-    by_set = per.groupBy("t_set").agg(F.collect_list(F.struct("a", "c")).alias("sizes"))  # at most one entry per set size
-    cross = (
-        by_set.select(F.size("t_set").alias("t"), F.explode("sizes").alias("x"), "sizes")
-        .select("t", "x", F.explode("sizes").alias("y"))
-        .groupBy("t", F.col("x.a").alias("a"), F.col("y.a").alias("b"))
-        .agg(F.sum(F.col("x.c").cast("double") * F.col("y.c")).alias("m"))
-    )
-    choose = F.factorial("t") / F.factorial("i") / F.factorial(F.col("t") - F.col("i"))
-    sign = F.when((F.col("t") - F.col("i")) % 2 == 0, 1.0).otherwise(-1.0)
-    ordered_pairs = (
-        cross.select("t", "a", "b", "m", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
-        .groupBy("a", "b", "i").agg(F.sum(sign * choose * F.col("m")).alias("n"))
-    )
-    total = formulas.agg(F.count(F.lit(1)).alias("_self"))
-    jac = F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(F.col("i") / (F.col("a") + F.col("b") - F.col("i")))
-    grouped = ordered_pairs.where(F.round("n") > 0).groupBy(jac.alias("jaccard")).agg(F.round(F.sum("n")).cast("long").alias("n"))
-    own = F.when(F.col("jaccard") == 1.0, F.col("_self")).otherwise(0)
-    return grouped.transform(beside, total).select("jaccard", ((F.col("n") - own) / 2).cast("long").alias("pairs")).where(
-        F.col("pairs") > 0
-    )
+    sets = cut_lineage(sets)
+    blocks = max(1, -(-sets.count() // block_sets))
+    packed = sets.groupBy(F.pmod(F.xxhash64("fs"), F.lit(blocks)).alias("block")).agg(F.collect_list("fs").alias("sets"), F.collect_list("c").alias("cs"))
+    packed = cut_lineage(packed)
+    partner = F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long"))).alias("other")
+    left = packed.select("block", "sets", "cs", partner)
+    right = packed.select(F.col("block").alias("other"), F.col("sets").alias("sets2"), F.col("cs").alias("cs2"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def matrix(sets, place):
+            m = np.zeros((len(sets), max(1, len(place))), np.float32)
+            for i, fs in enumerate(sets):
+                m[i, [place[f] for f in fs]] = 1.0
+            return m
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                place: dict[str, int] = {}
+                for fs in (*r["sets"], *r["sets2"]):
+                    for f in fs:
+                        place.setdefault(f, len(place))
+                one, two = matrix(r["sets"], place), matrix(r["sets2"], place)
+                shared = (one @ two.T).astype(np.int64)
+                a, b = one.sum(axis=1).astype(np.int64), two.sum(axis=1).astype(np.int64)
+                union = a[:, None] + b[None, :] - shared
+                c, d = np.array(r["cs"], np.int64), np.array(r["cs2"], np.int64)
+                pairs = c[:, None] * d[None, :]
+                if r["block"] == r["other"]:
+                    pairs = np.triu(pairs, 1)
+                    pairs[np.diag_indices(len(c))] = c * (c - 1) // 2
+                kinds, where = np.unique(shared * (1 << 32) + union, return_inverse=True)
+                total = np.zeros(len(kinds), np.int64)
+                np.add.at(total, where.ravel(), pairs.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds >> 32), pa.array(kinds & 0xFFFFFFFF), pa.array(total)], names=["shared", "joint", "pairs"])
+
+    met = left.join(right, "other").select("block", "other", "sets", "cs", "sets2", "cs2")
+    counted = met.mapInArrow(run, "shared long, joint long, pairs long")
+    jac = F.when(F.col("joint") == 0, 1.0).otherwise(F.col("shared") / F.col("joint"))
+    return counted.groupBy(jac.alias("jaccard")).agg(F.sum("pairs").alias("pairs")).where(F.col("pairs") > 0)
 
 
 def formula_diversity(formulas: DataFrame, formula: str = "formula_json") -> DataFrame:
@@ -171,29 +217,41 @@ def similar_sets(formulas: DataFrame, threshold: float, formula: str = "formula_
     return pairs.withColumn("jaccard", jac).where(F.col("jaccard") >= threshold)
 
 
-def species(formulas: DataFrame, threshold: float, formula: str = "formula_json") -> DataFrame:
-    """G-32: cluster of every distinct feature set (smallest member) and its rule count.
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round on edges ``hi > lo``: every node's larger neighbours, then its smaller ones, move to the least of them."""
+    both = edges.union(edges.select("lo", "hi").toDF("hi", "lo"))
+    least = both.groupBy("hi").agg(F.min("lo").alias("_m")).select(F.col("hi").alias("node"), F.least("hi", "_m").alias("_m"))
+    large = edges.select(F.col("lo").alias("node"), F.col("hi").alias("far")).join(least, "node").select(F.col("far").alias("hi"), F.col("_m").alias("lo"))
+    large = large.where("hi > lo").distinct()
+    head = large.groupBy("hi").agg(F.min("lo").alias("_m"))
+    small = large.join(head, "hi").select(F.col("lo").alias("hi"), F.col("_m").alias("lo")).where("hi > lo")
+    return small.union(head.select("hi", F.col("_m").alias("lo"))).distinct()
+
+
+def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, root``: the smallest node that each node of a pair reaches.
 
-    Connected components by repeated smallest-label exchange; every round is cut off at the shared folder, and
-    the loop ends when no label moves.
+    Alternating large and small stars: rounds grow with the logarithm of the longest chain, every round is joins and
+    minima over edges, and its edges are a stored table.
     """
+    edges = stored(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
+    mark = None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark, edges = now, stored(_stars(edges), "edges")
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def species(formulas: DataFrame, threshold: float, formula: str = "formula_json") -> DataFrame:
+    """G-32: cluster of every distinct feature set (smallest member) and its rule count."""
     sets = formulas.select(F.array_join(feature_set(formula), "\x01").alias("set_id")).groupBy("set_id").agg(
         F.count(F.lit(1)).alias("rules")
     )
     sets = cut_lineage(sets)
-    pairs = similar_sets(formulas, threshold, formula).select("a", "b")
-    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(sets.select("set_id", F.col("set_id").alias("label")))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("set_id")).groupBy("a").agg(F.min("label").alias("_l"))
-        nxt = cut_lineage(
-            labels.join(near, F.col("set_id") == F.col("a"), "left").select(
-                "set_id", F.least("label", F.coalesce("_l", "label")).alias("label"), (F.col("_l") < F.col("label")).alias("_moved")
-            )
-        )
-        labels = nxt.select("set_id", "label")
-        if nxt.where("_moved").isEmpty():
-            return sets.join(labels, "set_id").select("set_id", "label", "rules")
+    roots = connected(similar_sets(formulas, threshold, formula)).select(F.col("node").alias("set_id"), "root")
+    return sets.join(roots, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("label"), "rules")
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

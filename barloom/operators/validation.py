@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import binomial_p_two_sided, deflated_sharpe_p, t_test_p
-from barloom.operators.ordered import beside, match, positions, running, time_slot
+from barloom.operators.ordered import beside, exact_positions, match, positions, running, time_slot
 from barloom.session import cut_lineage
 
 ORDER = ("symbol", "ts")
@@ -198,18 +198,32 @@ def bootstrap_p(trades: DataFrame, n_iter: int, seed: int, keys: Sequence[str] =
     return p.select(*keys, F.least(F.lit(1.0), value_p).alias("p_bootstrap"))
 
 
+def sparse_bootstrap(
+    trades: DataFrame, k: int, n_iter: int, seed: int, keys: Sequence[str] = ID, value: str = "pnl", order: str = "item",
+    min_trades_for_ttest: int = 5, below: int | None = None,
+) -> DataFrame:
+    """G-12: bootstrap p-values of those rules alone whose verdict rests on them, for ``cv_stats`` and ``validate_population``.
+
+    These are rules with enough returns for ``k`` folds of which none holds two, and all with fewer than ``below``
+    returns.  They are chosen by their counts before a single draw is made.
+    """
+    counts = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fold = F.expr(f"_n div {k}")
+    thin = (F.col("_n") >= max(k, min_trades_for_ttest)) & (fold < 2) & (F.col("_n") - (k - 1) * fold < 2)
+    wanted = counts.where(thin if below is None else thin | (F.col("_n") < below))
+    return bootstrap_p(trades.join(wanted, list(keys), "left_semi"), n_iter, seed, keys, value, order)
+
+
 def bh_fdr(
     df: DataFrame, alpha: float, keys: Sequence[str] = (), p: str = "p_value", tie: str = "formula_id", step_up: bool = False
 ) -> DataFrame:
     """G-15: accept flags at false-discovery level ``alpha`` and the largest accepted p per key.
 
     Default: each rank is held against its own threshold.  ``step_up=True``: every rank up to the largest passing
-    one is accepted.  Ranks are exact but distributed: a slot is one p with the first characters of the id, so
-    even a third of all rules with the same p is spread out.
+    one is accepted.  Ranks are exact but distributed: rules are dealt into ranges of p and id, so even a third of all
+    rules with the same p is spread out.
     """
-    known = F.coalesce(F.col(p), F.lit(2.0))
-    slot = F.struct(known.alias("p"), F.substring(F.col(tie).cast("string"), 1, 4).alias("id"))
-    ranked = positions(df, keys, [F.asc_nulls_last(p), F.asc(tie)], slot, "bh_rank", coarse=F.floor(known * 4096))
+    ranked = exact_positions(df, keys, [F.asc_nulls_last(p), F.asc(tie)], "bh_rank")
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     ranked = match(ranked, totals, keys, "left")
     passes = F.coalesce(F.col(p) <= F.col("bh_rank") / F.col("_m") * F.lit(float(alpha)), F.lit(False))
@@ -286,7 +300,7 @@ def pbo_gate(candidates: DataFrame, pbo_row: DataFrame, cap: float) -> DataFrame
 
 def validate_population(
     trades: DataFrame, formulas: DataFrame, min_trades: int, k: int, alpha: float, dsr_min_prob: float,
-    bench: float = 0.0, bootstrap: DataFrame | None = None, use_dsr: bool = True,
+    bench: float = 0.0, bootstrap: DataFrame | None = None, use_dsr: bool = True, bootstrap_below: int | None = None,
 ) -> DataFrame:
     """G-18: every rule with its statistics and the first gate it fails (min_trades, fdr, dsr), NULL for survivors.
 
@@ -296,7 +310,7 @@ def validate_population(
     n = trades.groupBy("formula_id").agg(F.count(F.lit(1)).alias("n_trades"))
     rules = formulas.join(n, "formula_id", "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0)).cast("long"))
     enough = trades.join(n.where(F.col("n_trades") >= min_trades), "formula_id", "left_semi")
-    cv = cut_lineage(cv_stats(enough, k, bootstrap=bootstrap).select("formula_id", "p_value", "mean_oos", "sharpe_oos"))
+    cv = cut_lineage(cv_stats(enough, k, bootstrap=bootstrap, bootstrap_below=bootstrap_below).select("formula_id", "p_value", "mean_oos", "sharpe_oos"))
     trials = formulas.agg(F.count(F.lit(1)).alias("trials"))
     dsr = deflated_sharpe(enough, trials, benchmark=bench)
     tested = bh_fdr(cv, alpha).join(dsr, "formula_id")

@@ -73,7 +73,7 @@ def _(spark, folder):
         F.count(F.lit(1)).cast("double").alias("volume"),
     )
     path = work_dir(spark, "lake")
-    lake.write_bars(bars.withColumns({"venue": F.lit("v0"), "timeframe": F.lit("1d")}), path, files_per_month=1)
+    lake.write_bars(bars.withColumns({"venue": F.lit("v0"), "timeframe": F.lit("1d")}), path)
     got = lake.read_bars(spark, path, venue="v0", timeframe="1d", limit_months=2)
     return got.select("symbol", "ts", *price_columns())
 
@@ -85,12 +85,23 @@ def _(spark, folder):
 
 @query("A04_write_bars", with_views("bars_venue", "SELECT venue, timeframe, symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM lake GROUP BY ALL", **LAKE))
 def _(spark, folder):
-    got = spark.read.parquet(stored_lake(spark, folder))
+    return _lake_counts(lake.read_bars(spark, stored_lake(spark, folder)))
+
+
+def _lake_counts(got):
     return got.groupBy("venue", "timeframe", "symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
 
 
+@query("A04_compact", with_views("bars_venue", "SELECT venue, timeframe, symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM lake GROUP BY ALL", **LAKE))
+def _(spark, folder):
+    """The files themselves, after months of several writes were rewritten and what they replace is gone."""
+    path = stored_lake(spark, folder)
+    lake.drop_files(lake.compact(spark, path))
+    return _lake_counts(spark.read.parquet(path))
+
+
 @query(
     "A05_partition_quality",
     with_views(
@@ -290,8 +301,7 @@ def _(spark, folder):
 
 @query("B11_systematic_sample", with_views("bars_user", "SELECT symbol, ts, round(close,6) AS close FROM (SELECT *, row_number() OVER (ORDER BY symbol, ts) - 1 AS r, count(*) OVER () AS n FROM bars_user) WHERE r % greatest(1, n//50) = 0"))
 def _(spark, folder):
-    slot = F.struct("symbol", time_slot("ts", 864000))
-    got = ob.systematic_sample(views.bars_user(spark, folder), [], "close", ["symbol", "ts"], slot)
+    got = ob.systematic_sample(views.bars_user(spark, folder), [], "close", ["symbol", "ts"])
     return got.select("symbol", "ts", rounded("close").alias("close"))
 
 

@@ -18,7 +18,7 @@ from barloom.operators import validation as va
 from barloom.operators.features import build_features
 from barloom.operators.ordered import positions, time_slot
 from barloom.plans.oracle_views import with_views
-from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, SQL_COLUMNS, base, lag_sql, raw_sql, trades_ctes
+from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, SQL_COLUMNS, TABLE_CTES, base, lag_sql, raw_sql, trades_ctes
 from barloom.plans.registry import query
 from barloom.session import cut_lineage
 from barloom.sources import views
@@ -187,10 +187,42 @@ def _(spark, folder):
     return va.bootstrap_p(_boot_trades(spark, folder), 500, 11).select("formula_id", *rc("p_bootstrap"))
 
 
-@query("G14_bootstrap_p_large", boot_sql("event_type", 100))
+@query("G14_bootstrap_p_large", boot_sql("event_type", 500))
 def _(spark, folder):
     """The same for few rules of thousands of returns each."""
-    return va.bootstrap_p(_boot_trades(spark, folder, "event_type"), 100, 11).select("formula_id", *rc("p_bootstrap"))
+    return va.bootstrap_p(_boot_trades(spark, folder, "event_type"), 500, 11).select("formula_id", *rc("p_bootstrap"))
+
+
+THIN, RESAMPLES = 66, 500
+BT = "SELECT CAST(user_id AS VARCHAR) AS formula_id, event_type AS symbol, ts, (value-20.0)/100.0 AS pnl FROM events"
+THIN_CV = {
+    "bt": BT, "p": POS.replace("FROM trades", "FROM bt"), "fo": FOLDS, "fs": FOLD_STATS, "fp": FOLD_P, "cv": CV, "boot": boot_sql("CAST(user_id AS VARCHAR)", RESAMPLES),
+    "num": "SELECT formula_id, count(*) AS n FROM bt GROUP BY 1",
+    "cvb": f"SELECT formula_id, n, CASE WHEN n < {THIN} THEN p_bootstrap ELSE p_value END AS p_value, mean_oos, sharpe_oos FROM cv JOIN num USING (formula_id) JOIN boot USING (formula_id)",
+}
+
+
+@query("G12_sparse_bootstrap", with_views("", f"SELECT formula_id, {r('p_value','mean_oos','sharpe_oos')}, n AS total_trades FROM cvb", **THIN_CV))
+def _(spark, folder):
+    """Rules of few returns are judged by the bootstrap, the others by their folds; only the former are resampled."""
+    t = _boot_trades(spark, folder)
+    got = va.cv_stats(t, K, bootstrap=va.sparse_bootstrap(t, K, RESAMPLES, 11, below=THIN), bootstrap_below=THIN)
+    return got.select("formula_id", *rc("p_value", "mean_oos", "sharpe_oos"), "total_trades")
+
+
+@query(
+    "G18_validate_with_bootstrap",
+    with_views(
+        "", "SELECT formula_id, n AS n_trades, round(p_value,6)+0.0::DOUBLE AS p_value, coalesce(ok,false) AS bh_accept, CASE WHEN n < 40 THEN 'min_trades' WHEN NOT ok THEN 'fdr' END AS rejected_by FROM num LEFT JOIN bh USING (formula_id)",
+        **THIN_CV, bh="SELECT formula_id, p_value, p_value <= row_number() OVER (ORDER BY p_value, formula_id)/count(*) OVER ()::DOUBLE*0.1 AS ok FROM cvb WHERE n >= 40",
+    ),
+)
+def _(spark, folder):
+    t = _boot_trades(spark, folder)
+    got = va.validate_population(
+        t, t.select("formula_id").distinct(), 40, K, 0.1, 0.0, bootstrap=va.sparse_bootstrap(t, K, RESAMPLES, 11, below=THIN), use_dsr=False, bootstrap_below=THIN
+    )
+    return got.select("formula_id", "n_trades", *rc("p_value"), F.coalesce("bh_accept", F.lit(False)).alias("bh_accept"), "rejected_by")
 
 
 LARGE = "SELECT event_type AS formula_id, count(*) AS n, count(*) FILTER (WHERE value > 20) AS w FROM events GROUP BY 1"
@@ -303,6 +335,71 @@ def _(spark, folder):
     return pp.dominant_rejection(pp.rejection_summary(cut_lineage(_validated(spark, folder)), "strict")).withColumn("share", rounded("share"))
 
 
+# the same over all rules of the table ``formulas``, traded on the hourly panel
+TABLE_STATS = (
+    "SELECT r.formula_id, count(pnl) AS n_trades, CASE WHEN count(pnl) = 0 THEN -1 WHEN stddev_samp(pnl) = 0 THEN 0 ELSE avg(pnl)/stddev_samp(pnl) END AS sharpe FROM rules r LEFT JOIN trade USING (formula_id) GROUP BY 1"
+)
+RULE_VALID = {
+    **TABLE_CTES, "vt": "SELECT formula_id, symbol, ts, pnl FROM trade",
+    **{k: v for k, v in VALID.items() if k not in ("vt", "cnt")},
+}
+RULE_VALID["val"] = VALID["val"].replace("FROM cnt LEFT JOIN", "FROM allrules LEFT JOIN")
+RULE_VALID = {
+    **{k: v for k, v in RULE_VALID.items() if k in TABLE_CTES or k == "vt"}, "cnt": VALID["cnt"],
+    "allrules": "SELECT r.formula_id, coalesce(n_trades, 0) AS n_trades FROM rules r LEFT JOIN cnt USING (formula_id)",
+    **{k: v for k, v in RULE_VALID.items() if k not in TABLE_CTES and k != "vt"}, "ds": dsr_sql("(SELECT count(*) FROM rules)", "en"),
+}
+
+
+def _rule_table(spark, folder):
+    rules = fm.with_formula_id(views.formulas(spark, folder)).select("formula_id", "formula_json").distinct()
+    trades = sg.evaluate_rules(views.bars_1h(spark, folder), RULE_SPEC, rules, "1h", FEE, SLIP)
+    return rules, cut_lineage(trades.select("formula_id", "symbol", "ts", "pnl"))
+
+
+def _rule_stats(spark, folder):
+    rules, trades = _rule_table(spark, folder)
+    return pp.formula_stats(trades, rules.select("formula_id"))
+
+
+def _rule_validated(spark, folder):
+    rules, trades = _rule_table(spark, folder)
+    return va.validate_population(trades, rules.select("formula_id"), 30, K, 0.1, 0.6)
+
+
+@query("G04_rule_table_diag", with_views("bars_1h formulas", "SELECT count(*) AS pop, round(avg((n_trades=0)::INT),4) AS zero_trade_pct, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE n_trades>0) AS trades_median, round(quantile_cont(n_trades::DOUBLE,0.9) FILTER (WHERE n_trades>0),10) AS trades_p90, round(quantile_cont(sharpe,0.5) FILTER (WHERE n_trades>0),8) AS sharpe_median, round(quantile_cont(sharpe,0.9) FILTER (WHERE n_trades>0),8) AS sharpe_p90 FROM s", **TABLE_CTES, s=TABLE_STATS))
+def _(spark, folder):
+    got = pp.population_diag(_rule_stats(spark, folder))
+    return got.select("pop", "zero_trade_pct", *rc("trades_median", "trades_p90"), *rc("sharpe_median", "sharpe_p90", digits=8))
+
+
+@query("G05_rule_table_degenerate", with_views("bars_1h formulas", "SELECT round(avg((n_trades=0)::INT),4) AS degenerate_pct, least(0.85, 0.5+0.02*count(*)/400.0::DOUBLE) AS \"limit\", avg((n_trades=0)::INT) >= least(0.85, 0.5+0.02*count(*)/400.0::DOUBLE) AS degenerate FROM s", **TABLE_CTES, s=TABLE_STATS))
+def _(spark, folder):
+    return pp.is_degenerate(_rule_stats(spark, folder), 400)
+
+
+@query("G18_rule_table", with_views("bars_1h formulas", f"SELECT formula_id, n_trades, {r('p_value')}, {r('mean_oos','sharpe_oos','dsr_prob',digits=8)}, coalesce(bh_accept,false) AS bh_accept, rejected_by FROM val", **RULE_VALID))
+def _(spark, folder):
+    """Every rule of the table through all gates."""
+    got = _rule_validated(spark, folder)
+    return got.select("formula_id", "n_trades", *rc("p_value"), *rc("mean_oos", "sharpe_oos", "dsr_prob", digits=8), F.coalesce("bh_accept", F.lit(False)).alias("bh_accept"), "rejected_by")
+
+
+@query("G06_rule_table_gate", with_views("bars_1h formulas", "SELECT round(avg((rejected_by IS NULL)::INT),10) AS survivor_density, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE rejected_by IS NULL) AS median_trades FROM val", **RULE_VALID))
+def _(spark, folder):
+    return pp.gate_diagnostic(cut_lineage(_rule_validated(spark, folder))).select(*rc("survivor_density", "median_trades"))
+
+
+@query("G19_rule_table_rejections", with_views("bars_1h formulas", "SELECT rejected_by || '_stage_strict' AS reason, count(*) AS rejected, list_slice(list(formula_id ORDER BY formula_id),1,25) AS sample_ids FROM val WHERE rejected_by IS NOT NULL GROUP BY 1", **RULE_VALID))
+def _(spark, folder):
+    return pp.rejection_summary(cut_lineage(_rule_validated(spark, folder)), "strict")
+
+
+@query("G33_rule_table_dominant", with_views("bars_1h formulas", "SELECT reason, round(share,6) AS share, share >= 0.7 AS dominant FROM (SELECT arg_max(reason, c) AS reason, max(c)/sum(c)::DOUBLE AS share FROM (SELECT rejected_by || '_stage_strict' AS reason, count(*) AS c FROM val WHERE rejected_by IS NOT NULL GROUP BY 1))", **RULE_VALID))
+def _(spark, folder):
+    return pp.dominant_rejection(pp.rejection_summary(cut_lineage(_rule_validated(spark, folder)), "strict")).withColumn("share", rounded("share"))
+
+
 STAGES = ["relaxed", "base", "strict"]
 
 
@@ -428,8 +525,7 @@ LONG = " UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS feature, {f} AS value FR
 )
 def _(spark, folder):
     panel = build_features(views.bars_user(spark, folder), RULE_SPEC, "6h")
-    slot = F.struct("symbol", time_slot("ts", 30 * 86400))
-    got = pp.feature_stats(pp.feature_long(panel, RULE_FEATURES), slot)
+    got = pp.feature_stats(pp.feature_long(panel, RULE_FEATURES))
     return got.select("feature", *rc("non_null_ratio", "variance", "min", "q10", "q25", "median", "q75", "q90", "max"), "keep")
 
 
@@ -576,6 +672,63 @@ def _(spark, folder):
     return rd.factor_correlation(_priority_returns(spark, folder), [F1, F2], 0.05).withColumn("max_corr", rounded("max_corr"))
 
 
+MEASURES = {"q": "(l_quantity - 25.5)/25.0", "p": "(l_extendedprice - 38000.0)/25000.0", "d": "(l_discount - 0.05)*20.0", "t": "(l_tax - 0.04)*25.0"}
+HELD, GROUPS = 66, 18
+LINES = (
+    "SELECT l_partkey % 18 AS g, row_number() OVER (PARTITION BY l_partkey % 18 ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice, l_quantity, l_discount, l_tax) AS k, "
+    + ", ".join(f"({sql})::DOUBLE AS {m}" for m, sql in MEASURES.items()) + " FROM lineitem"
+)
+SERIES = " UNION ALL ".join(f"SELECT '{m}' || lpad(g::VARCHAR, 2, '0') AS alpha_id, k, {m} AS ret FROM lines" for m in MEASURES)
+
+
+def _line_series(spark, folder):
+    """72 series, four measures of the line items of 18 groups of parts, with positions from the end."""
+    li = views.table(spark, folder, "lineitem").withColumn("g", F.col("l_partkey") % GROUPS)
+    order = [F.desc("l_orderkey"), F.desc("l_linenumber"), "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    ranked = positions(li, ["g"], order, -F.floor(F.col("l_orderkey") / 65536), "from_end")
+    wide = ranked.select("g", "from_end", *(F.expr(sql).cast("double").alias(m) for m, sql in MEASURES.items()))
+    return wide.unpivot(["g", "from_end"], list(MEASURES), "m", "ret").select(F.concat("m", F.lpad(F.col("g").cast("string"), 2, "0")).alias("alpha_id"), "from_end", "ret")
+
+
+# elimination of all factors from the matrix of a candidate, which is its last row: what is left of it over what it was
+ELIMINATE = "list_transform(m, lambda row, r: CASE WHEN r > i THEN list_transform(row, lambda x, c: x - row[i]/m[i][i]*m[i][c]) ELSE row END)"
+MANY = {
+    "lines": LINES, "s": SERIES,
+    "ids": f"SELECT alpha_id, count(*) AS n, row_number() OVER (ORDER BY alpha_id) - 1 AS f FROM s GROUP BY 1",
+    "held": f"SELECT alpha_id, f FROM ids WHERE f < {HELD}",
+    "cand": f"SELECT alpha_id, least(n, (SELECT min(n) FROM ids WHERE f < {HELD})) AS n FROM ids WHERE f >= {HELD}",
+    "cut": "SELECT c.alpha_id AS cand, s.k, coalesce(h.f, 1000) AS f, s.ret FROM cand c JOIN s ON s.k <= c.n LEFT JOIN held h ON h.alpha_id = s.alpha_id WHERE h.f IS NOT NULL OR s.alpha_id = c.alpha_id",
+    "cov": "SELECT a.cand, a.f, b.f AS g, covar_pop(a.ret, b.ret) AS c FROM cut a JOIN cut b USING (cand, k) GROUP BY 1, 2, 3",
+    "mat": "SELECT cand, list(row ORDER BY f) AS m FROM (SELECT cand, f, list(c ORDER BY g) AS row FROM cov GROUP BY 1, 2) GROUP BY 1",
+    "el": f"SELECT cand, 1 AS i, m, m[{HELD + 1}][{HELD + 1}] AS v FROM mat UNION ALL SELECT cand, i + 1, {ELIMINATE}, v FROM el WHERE i <= {HELD}",
+}
+
+
+@query(
+    "G28_vif_many_factors",
+    "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in MANY.items())
+    + f" SELECT cand AS alpha_id, round(v / m[{HELD + 1}][{HELD + 1}], 5) AS vif FROM el WHERE i = {HELD + 1}",
+)
+def _(spark, folder):
+    """Six series against 66 factors."""
+    series = _line_series(spark, folder)
+    names = series.select("alpha_id").distinct().orderBy("alpha_id").limit(HELD)
+    return rd.vif(series, names).withColumn("vif", rounded("vif", 5))
+
+
+@query(
+    "G36_many_factors",
+    with_views(
+        "", f"SELECT alpha_id, round(max(abs(c)),6) AS max_corr, coalesce(max(abs(c)) <= 0.1, true) AS allowed FROM (SELECT x.alpha_id, y.alpha_id AS o, corr(x.ret, y.ret) AS c FROM s x JOIN ids i ON i.alpha_id = x.alpha_id AND i.f >= {HELD} JOIN s y USING (k) JOIN held h ON h.alpha_id = y.alpha_id GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1",
+        **{n: MANY[n] for n in ("lines", "s", "ids", "held")},
+    ),
+)
+def _(spark, folder):
+    series = _line_series(spark, folder)
+    names = series.select("alpha_id").distinct().orderBy("alpha_id").limit(HELD)
+    return rd.factor_correlation(series, names, 0.1, at="from_end").withColumn("max_corr", rounded("max_corr"))
+
+
 RANK = "SELECT alpha_id, formula_json, sharpe*0.7::DOUBLE + win_rate*0.3::DOUBLE AS fitness, sharpe*0.7::DOUBLE + win_rate*0.3::DOUBLE - (length(formula_json)-length(replace(formula_json,'[','')))*0.001::DOUBLE AS penalised FROM (SELECT *, row_number() OVER (PARTITION BY formula_json ORDER BY alpha_id) AS k FROM c) WHERE k = 1"
 
 

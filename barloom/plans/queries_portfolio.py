@@ -103,6 +103,40 @@ def _(spark, folder):
     return budgets(spark, folder, prev).select("portfolio_id", rounded("moonshot").alias("moonshot"))
 
 
+CYCLES = 5
+#: Strategies of a cycle: Sortino ratios drift with the cycle, and a portfolio drops out of one.
+CYCLE_ROWS = (
+    "SELECT c, portfolio_id, lane, sortino * (1 + 0.6 * c * (CASE lane WHEN 'moonshot' THEN 1 ELSE -1 END)) + 0.05 * c AS sortino FROM alpha_stats, range(5) x(c) WHERE NOT (c = 2 AND portfolio_id % 3 = 1)"
+)
+LANE_STATE = (
+    "SELECT p.portfolio_id, -1 AS c, NULL::DOUBLE AS cs, NULL::DOUBLE AS ms, NULL::DOUBLE AS core, NULL::DOUBLE AS moon FROM (SELECT DISTINCT portfolio_id FROM alpha_stats) p UNION ALL "
+    "SELECT portfolio_id, c, cs, ms, CASE WHEN nc IS NULL THEN oldcore ELSE k END, CASE WHEN nc IS NULL THEN prev ELSE 1 - k END FROM (SELECT *, greatest(0.85, least(0.99, 1 - greatest(0.01, least(0.20, t)))) AS k FROM "
+    "(SELECT *, CASE WHEN prev IS NULL THEN g ELSE greatest(prev-0.02, least(prev+0.02, g)) END AS t FROM (SELECT *, CASE WHEN ms-cs > 0.02 THEN 0.05+greatest(0, least(0.15, (ms-cs)*0.5)) WHEN ms-cs < -0.02 THEN 0.05-greatest(0, least(0.04, (cs-ms)*0.5)) ELSE 0.05 END AS g FROM "
+    "(SELECT s.portfolio_id, s.c+1 AS c, m.nc, s.core AS oldcore, s.moon AS prev, CASE WHEN m.nc IS NULL THEN s.cs ELSE 0.7::DOUBLE*coalesce(s.cs, m.nc) + 0.3::DOUBLE*m.nc END AS cs, CASE WHEN m.nc IS NULL THEN s.ms ELSE 0.7::DOUBLE*coalesce(s.ms, m.nm) + 0.3::DOUBLE*m.nm END AS ms "
+    "FROM st s LEFT JOIN means m ON m.portfolio_id = s.portfolio_id AND m.c = s.c+1 WHERE s.c < 4))))"
+)
+
+
+@query(
+    "F07_lane_cycles",
+    with_views(
+        "alpha_stats", "SELECT portfolio_id, round(cs,6)+0.0::DOUBLE AS core_sortino, round(ms,6)+0.0::DOUBLE AS moonshot_sortino, round(core,6) AS core, round(moon,6) AS moonshot FROM st WHERE c = 4",
+        rows=CYCLE_ROWS, means="SELECT c, portfolio_id, coalesce(avg(sortino) FILTER (WHERE lane='core'),0) AS nc, coalesce(avg(sortino) FILTER (WHERE lane='moonshot'),0) AS nm FROM rows GROUP BY 1,2", st=LANE_STATE,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def _(spark, folder):
+    """State of the lanes after five cycles, each smoothed into the one before."""
+    a = views.alpha_stats(spark, folder)
+
+    def cycle(c):
+        way = F.when(F.col("lane") == "moonshot", 1).otherwise(-1)
+        moved = a.withColumn("sortino", F.col("sortino") * (1 + 0.6 * c * way) + 0.05 * c)
+        return moved.where(F.col("portfolio_id") % 3 != 1) if c == 2 else moved
+
+    got = pf.lane_cycles((cycle(c) for c in range(CYCLES)), dead_band=0.02, slope=0.5)
+    return got.select("portfolio_id", *(rounded(c).alias(c) for c in ("core_sortino", "moonshot_sortino", "core", "moonshot")))
+
+
 BUDGETED = {
     "b": BUD,
     "a0": "SELECT lw.portfolio_id, lw.alpha_id, s.lane, s.n_trades, lw.weight FROM lw JOIN alpha_stats s USING (portfolio_id, alpha_id)",

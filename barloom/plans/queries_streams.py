@@ -9,7 +9,7 @@ from barloom.plans.oracle_views import with_views
 from barloom.plans.queries_bars import R_BARS, price_columns
 from barloom.plans.registry import query
 from barloom.session import work_dir
-from barloom.sources import views
+from barloom.sources import lake, views
 from barloom.streaming import streams as ss
 
 SYM = ["symbol"]
@@ -38,12 +38,12 @@ def tick_bars(ev):
 
 @query("K01_stream_bars", with_views("", "SELECT symbol, ts, " + R_BARS + " FROM b", b="SELECT event_type AS symbol, ts, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events"))
 def _(spark, folder):
-    lake = work_dir(spark, "lake")
+    path = work_dir(spark, "lake")
     bars = tick_bars(events(spark, folder)).select(
         F.lit("v0").alias("venue"), F.lit("tick").alias("timeframe"), "symbol", "ts", "open", "high", "low", "close", F.lit(1.0).alias("volume")
     )
-    ss.stream_bars(bars, lake)
-    return spark.read.parquet(lake).select("symbol", "ts", *price_columns())
+    ss.stream_bars(bars, path)
+    return lake.read_bars(spark, path).select("symbol", "ts", *price_columns())
 
 
 @query("K02_stream_dedupe", "SELECT DISTINCT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS ts FROM events")

@@ -65,3 +65,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared folder and truncate the plan (reliable checkpoint)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write to the shared folder as Parquet and read again, so that several readers see the same rows and columns."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

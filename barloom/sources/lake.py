@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from barloom.functions.scalars import OHLCV, tf_seconds
-from barloom.session import work_dir
+from barloom.session import stored
 
 KEY = ("venue", "timeframe", "symbol")
 PARTITIONS = ("venue", "timeframe", "year", "month")
 BAR_COLUMNS = ("ts", *OHLCV)
+#: When a row was written, microseconds: of rows of one key the newest counts.
+WRITTEN = "written_us"
 
 
 def require_columns(df: DataFrame, columns: Collection[str] = BAR_COLUMNS) -> DataFrame:
@@ -69,7 +71,7 @@ def read_bars(
         oldest = wanted.agg(F.min(F.col("year") * 100 + F.col("month"))).first()[0]
         df = df.where(F.col("year") * 100 + F.col("month") >= F.lit(oldest or 0))
         df = df.join(wanted, [*KEY, "year", "month"], "left_semi")
-    return dedupe_bars(df, KEY).drop("year", "month")
+    return newest_bars(df).drop("year", "month")
 
 
 def available_symbols(spark: SparkSession, path: str, timeframe: str | None = None, venue: str | None = None) -> DataFrame:
@@ -82,44 +84,64 @@ def available_symbols(spark: SparkSession, path: str, timeframe: str | None = No
     return df.select("symbol").distinct().orderBy("symbol")
 
 
-def write_bars(df: DataFrame, path: str, files_per_month: int = 8) -> DataFrame:
+def newest_bars(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """One bar per (keys, ts): the one written last; among bars of one write the smallest in value."""
+    if WRITTEN not in df.columns:
+        return dedupe_bars(df, keys)
+    aged = df.withColumn("_age", -F.col(WRITTEN))
+    return keep_first(aged, [*keys, "ts"], ["_age", *OHLCV]).drop("_age", WRITTEN)
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    """Add files of the size Spark is advised to write, sorted so that their statistics prune on symbol and time."""
+    laid = rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "symbol", "ts")
+    laid.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+
+
+def write_bars(df: DataFrame, path: str) -> DataFrame:
     """A-04: merge bars into the lake and return the newest bar per series written.
 
-    Rows already stored for the touched months are kept; a new row replaces a stored one with the same key.  The
-    merged months are staged in the shared folder first because a partition cannot be read and overwritten in
-    one job.  Rows are spread by month and a hash of the symbol, then sorted, so parquet statistics prune on
-    symbol and time without one writer per month.
+    A write adds files with its own rows only, each with the time of the write; a stored bar with the same key is
+    replaced because readers take the newest.  No stored file is read or touched, so whoever reads meanwhile sees a bar
+    as it was or as it is, and never a month half replaced; a write that is repeated changes nothing for them.
     """
-    spark = df.sparkSession
+    spark, now = df.sparkSession, time.time_ns() // 1000
     require_columns(df, (*KEY, *BAR_COLUMNS))
-    fresh = df.select(*KEY, *BAR_COLUMNS, *[c for c in df.columns if c == "is_synthetic"]).withColumns(
-        {"year": F.year("ts"), "month": F.month("ts"), "_age": F.lit(0)}
-    )
-    try:
-        stored = spark.read.parquet(path).withColumn("_age", F.lit(1))
-    except AnalysisException:
-        stored = None
-    spread = F.pmod(F.xxhash64("symbol", F.floor(F.dayofmonth("ts") / 8)), F.lit(files_per_month))
-
-    def laid_out(rows: DataFrame) -> DataFrame:
-        unique = keep_first(rows, [*KEY, "ts"], ["_age", *OHLCV]).drop("_age").withColumn("_file", spread)
-        return unique.repartition(*PARTITIONS, "_file").drop("_file").sortWithinPartitions(*PARTITIONS, "symbol", "ts")
-
-    if stored is None:
-        laid_out(fresh).write.partitionBy(*PARTITIONS).parquet(path)
-        return bar_tails(spark.read.parquet(path))
-    touched = fresh.select(*PARTITIONS).distinct()
-    kept = stored.join(touched, list(PARTITIONS), "left_semi")
-    staged = work_dir(spark, "stage")
-    laid_out(fresh.unionByName(kept, allowMissingColumns=True)).write.partitionBy(*PARTITIONS).parquet(staged)
-    (
-        spark.read.parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
-    return bar_tails(spark.read.parquet(staged))
+    fresh = df.select(*KEY, *BAR_COLUMNS, *[c for c in df.columns if c == "is_synthetic"])
+    unique = keep_first(fresh, [*KEY, "ts"], list(OHLCV))
+    _append(unique.withColumns({"year": F.year("ts"), "month": F.month("ts"), WRITTEN: F.lit(now)}), path)
+    return bar_tails(spark.read.parquet(path).where(F.col(WRITTEN) == now))
+
+
+def lake_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of the lake with their month and size."""
+    rows = spark.read.parquet(path).select(*PARTITIONS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return rows.groupBy(*PARTITIONS, "file").agg(F.max("bytes").alias("bytes"))
+
+
+def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> DataFrame:
+    """A-04: rewrite months that have more files than their bytes call for; gives the files that are no longer needed.
+
+    The new files hold the newest bar of every key with the time it was written, so readers may see old and new files
+    together.  The old ones can go (:func:`drop_files`) once no reader that started before is left.  Rows that arrive
+    while months are rewritten are in files of their own and stay.
+    """
+    files = stored(lake_files(spark, path), "files")
+    months = files.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    months = months.where(F.col("n") > F.ceil(F.col("bytes") / F.lit(target_bytes))).select(*PARTITIONS)
+    rows = spark.read.parquet(path).join(months, list(PARTITIONS), "left_semi")
+    kept = keep_first(rows.withColumn("_age", -F.col(WRITTEN)), [*KEY, "ts"], ["_age", *OHLCV]).drop("_age")
+    _append(kept, path)
+    return files.join(months, list(PARTITIONS), "left_semi").select("file")
+
+
+def drop_files(files: DataFrame) -> int:
+    """Delete files by path; returns their number."""
+    spark, n = files.sparkSession, 0
+    for row in files.toLocalIterator():
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.file))
+        n += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False))
+    return n
 
 
 def bar_tails(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -49,8 +49,8 @@ def run_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
 def stream_bars(bars: DataFrame, lake: str, checkpoint: str | None = None) -> None:
     """K-01: land arriving bars in the lake.
 
-    Progress is the stream checkpoint.  A replayed batch merges to the same rows because bars are keyed by series
-    and time.
+    Progress is the stream checkpoint.  A batch writes its own rows and nothing else; a replayed one writes them again,
+    which readers do not notice because bars are keyed by series and time.  Months are compacted apart from the stream.
     """
     run_batches(bars, lambda batch, _: write_bars(batch, lake), checkpoint)
 

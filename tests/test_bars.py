@@ -78,6 +78,27 @@ def test_lake_merges_instead_of_replacing(spark):
     assert tails.first()["last_ts"] == dt.datetime(2024, 1, 1, 7)
 
 
+def test_lake_writes_only_add_and_compaction_keeps_the_newest(spark):
+    path = work_dir(spark, "lake")
+    tag = lambda d: d.withColumns({"venue": F.lit("v"), "timeframe": F.lit("1h")})
+    files = lambda: {r.file for r in lake.lake_files(spark, path).collect()}
+    read = lambda: sorted((r["symbol"], r["ts"], r["close"]) for r in lake.read_bars(spark, path).collect())
+    lake.write_bars(tag(hours(spark, range(0, 60))), path)
+    before = files()
+    for k in range(3):
+        lake.write_bars(tag(hours(spark, range(10 * k, 10 * k + 20)).withColumn("close", F.lit(1000.0 + k))), path)
+    again = tag(hours(spark, range(20, 40)).withColumn("close", F.lit(1002.0)))
+    lake.write_bars(again, path)  # a batch that is replayed
+    assert before < files()
+    want = read()
+    assert len(want) == 60 and [c for _, t, c in want if t.day == 1 and t.hour == 15] == [1001.0]
+    old = lake.compact(spark, path)
+    assert read() == want  # old and new files side by side
+    assert lake.drop_files(old) >= 5 and read() == want
+    assert spark.read.parquet(path).count() == 60 and len(files()) == 1
+    assert lake.compact(spark, path).collect() == [] and read() == want
+
+
 def test_partition_filters_reach_the_scan(spark):
     path = work_dir(spark, "lake")
     lake.write_bars(hours(spark, range(3)).withColumns({"venue": F.lit("v"), "timeframe": F.lit("1h")}), path)

@@ -33,12 +33,24 @@ def test_positions(skewed):
     assert got.withColumn("want", F.row_number().over(W())).where("want <> pos").isEmpty()
 
 
-def test_positions_two_levels_with_ties(skewed):
-    order = [F.asc("x"), F.asc("id")]
-    slot = F.struct("x", F.floor(F.col("id") / 100))
-    got = o.positions(skewed, [], order, slot, coarse=o.value_slot("x", 2))
-    want = got.withColumn("want", F.row_number().over(Window.orderBy(*order)))
-    assert want.where("want <> pos").isEmpty()
+def test_positions_in_ranges_of_the_data(spark):
+    """Half of all rows tie and the others lie within one percent; one key holds most rows, one is null."""
+    rows = [(i, "hot" if i % 10 else None if i % 20 else "few", 1.0 if i % 2 else 1.0 + i % 97 / 9700) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, key string, x double").repartition(8)
+    saved = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys in ([], ["key"]):
+            order = [F.desc("x"), F.asc("id")]
+            placed = o.ranged(df, keys, order)
+            sizes = [r["count"] for r in placed.groupBy(o.RANGE).count().collect()]
+            assert len(sizes) == 8 and max(sizes) < 2 * 6000 / 8
+            got = o.exact_positions(df, keys, order)
+            want = got.withColumn("want", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+            assert got.count() == 6000 and want.where("want <> pos").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", saved)
+    assert o.exact_positions(df.limit(0), ["key"], ["id"]).count() == 0
 
 
 @pytest.mark.parametrize("rows", [7, 64, 100000])

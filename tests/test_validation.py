@@ -81,6 +81,32 @@ def test_jaccard_counts_against_pairs(spark, small):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [0, 1, 25, 60])
+def test_jaccard_counts_of_large_sets(spark, size):
+    """Feature sets beyond what subsets or factorials could count, repeated rules, sets without a feature, small blocks."""
+    from itertools import combinations
+
+    rng = random.Random(size)
+    names = [f"f{i}" for i in range(80)]
+    sets = [sorted(rng.sample(names, max(0, size - rng.randrange(3)))) for _ in range(50)]
+    sets += sets[:20] + [s[1:] for s in sets[:10]]
+    text = lambda s: "[" + ",".join(f'["{f}",">",1.0]' for f in s) + "]"
+    f = spark.createDataFrame([(text(s),) for s in sets], "formula_json string")
+    want = {}
+    for a, b in combinations([frozenset(s) for s in sets], 2):
+        j = round(len(a & b) / len(a | b), 9) if a | b else 1.0
+        want[j] = want.get(j, 0) + 1
+    for block in (7, 2048):
+        assert {round(r["jaccard"], 9): r["pairs"] for r in rd.jaccard_counts(f, block_sets=block).collect()} == want
+
+
+def test_connected_chain_and_star(spark):
+    pairs = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x0", f"x{i}") for i in range(1, 9)] + [("y", "y"), (None, "z")]
+    got = {r["node"]: r["root"] for r in rd.connected(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {f"{i:03}": "000" for i in range(61)} | {f"x{i}": "x0" for i in range(9)}
+    assert rd.connected(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
 def test_vif_of_a_copy_is_infinite_and_of_noise_is_small(spark):
     rng = random.Random(1)
     xs = [rng.gauss(0, 1) for _ in range(60)]
@@ -90,6 +116,33 @@ def test_vif_of_a_copy_is_infinite_and_of_noise_is_small(spark):
     assert got["copy"] == float("inf") and 1.0 <= got["noise"] < 1.3 and got["short"] == 1.0
 
 
-def test_too_many_factors_are_refused(spark):
-    with pytest.raises(ValueError):
-        rd.wide_factors(spark.range(1), [str(i) for i in range(65)], "id")
+def test_vif_of_many_factors_against_least_squares(spark):
+    """Ninety factors, candidates of several lengths, a copy of a mix of factors, missing values nowhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    series = {f"f{i}": rng.normal(size=300 + i) for i in range(90)}
+    series |= {"long": rng.normal(size=500), "mid": rng.normal(size=210) + series["f3"][:210], "same": rng.normal(size=210), "brief": rng.normal(size=9)}
+    series["mix"] = 3 * series["f1"][:250] - series["f80"][:250] + 0.5
+    series["flat"] = np.ones(250)
+    rows = [(k, i, float(x)) for k, xs in series.items() for i, x in enumerate(xs, 1)]
+    frame = spark.createDataFrame(rows, "alpha_id string, from_end long, ret double")
+    names = spark.createDataFrame([(f"f{i}",) for i in range(90)], "alpha_id string")
+    got = {r["alpha_id"]: r["vif"] for r in rd.vif(frame, names).collect()}
+    assert set(got) == set(series) - {f"f{i}" for i in range(90)}
+    assert got["brief"] == 1.0 and got["flat"] == 1.0 and got["mix"] == float("inf")
+    for c in ("long", "mid", "same"):
+        n = min(300, len(series[c]))
+        x = np.column_stack([np.ones(n)] + [series[f"f{i}"][:n] for i in range(90)])
+        y = series[c][:n]
+        left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert got[c] == pytest.approx(((y - y.mean()) ** 2).sum() / (left**2).sum(), rel=1e-6)
+
+
+def test_no_factor_and_no_candidate(spark):
+    rows = [("a", i, float(i % 7)) for i in range(1, 40)]
+    frame = spark.createDataFrame(rows, "alpha_id string, from_end long, ret double")
+    assert [tuple(r) for r in rd.vif(frame, []).collect()] == [("a", 1.0)]
+    assert rd.vif(frame, ["a"]).collect() == []
+    assert rd.factor_correlation(frame, ["a"], 0.5, at="from_end").collect() == []
+    assert [r["allowed"] for r in rd.factor_correlation(frame, [], 0.5, at="from_end").collect()] == [True]
