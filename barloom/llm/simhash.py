@@ -7,11 +7,11 @@ bits meet in a cell, which makes the range join an equi-join.  The candidates ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import settle, spread, words
+from barloom.llm.common import join_copies, settle, spread, words
 from barloom.llm.graph import components
 
 #: Cells with more distinct fingerprints than this are linked through exact one-bit neighbours instead of pairs.
@@ -90,10 +90,12 @@ def links(prints: DataFrame, max_bits: int = 2, width: int = 2) -> DataFrame:
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2")
-    cells = prints.select("fp").filter("fp IS NOT NULL").distinct().withColumn("at", popcount_cell(F.col("fp"), width))
+    # each short row becomes some 60: a stated number of partitions is not coalesced, however few bytes there are
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = prints.select("fp").filter("fp IS NOT NULL").distinct().repartition(parts, "fp").withColumn("at", popcount_cell(F.col("fp"), width))
     cells = cells.select("fp", F.explode(F.expr(_one_step("at", width))).alias("cell"))
-    met = cells.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1")
-    met = settle(met, "cells")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    met = settle(cells.join(shared, "cell"), "cells")
     few, many = met.filter(F.col("n") <= PAIRED_CELL), met.filter(F.col("n") > PAIRED_CELL).select("fp").distinct()
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     left, right = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
@@ -120,20 +122,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     roots = components(links(nodes, max_bits, width)).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp")
     found = linked.groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("fp", "component_id")
-    # written first, so that the last join reads both sides from shuffles of its own and Spark can split a hot fingerprint
     ids = settle(nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")
-    return prints.join(ids, "fp").select(key, "fp", "component_id")
+    return join_copies(prints, ids, "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Only the row with the smallest key of each component, all columns kept.
+    """Only the row with the smallest key of each component, all columns kept, whatever their names.
 
-    Of rows that share key and component every one stays (they cannot be told apart by key); rows with a null key stay
-    only if their component has no other key.
+    Rows of one key are told apart by their texts; of rows that share key and text every one stays if one does.  Rows
+    with a null key stay only if their component has no other key.  An empty table gives no rows.
     """
-    found = near_duplicates(docs, key, text, **settings).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), mark.alias("print")).alias("__row"), F.col(text).alias("__text"))
+    found = near_duplicates(rows, "__row", "__text", **settings).filter(F.col("__row") == F.col("component_id"))
+    kept = found.select(F.col("__row.key").alias("__key"), F.col("__row.print").alias("__print")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["__key"]) & (mark == kept["__print"]), "left_semi")
 
 
 def hex_print(fp):

@@ -19,6 +19,8 @@ from barloom.llm.graph import components
 #: Shingles put last in the order, and how many rows of a batch must hold one for it to be a candidate; one row in
 #: ``LOOKED`` is looked at.  None of them changes a result.
 COMMON, OFTEN, LOOKED = 50_000, 4, 4
+#: Bits of a set's map, which bounds from above what two sets share; more bits spare more whole sets from being moved.
+MAP_BITS = 2048
 
 
 def shingle_set(text: str | None, shingle: int = 5):
@@ -68,8 +70,17 @@ def set_print(held) -> int:
     return int(np.packbits(2 * counts > len(held), bitorder="little").view("<i8")[0])
 
 
+def set_map(held) -> bytes:
+    """Bit map of a set of shingle hashes: bit ``hash mod MAP_BITS`` is set for each."""
+    import numpy as np
+
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(held.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """``key, print, node, size, fp, prefix`` per row; rows with equal sets have the same node, rows of one text the same print."""
+    """``key, print, node, size, fp, map, prefix`` per row; rows with equal sets have the same node, rows of one text the same print."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text, shingle))
 
     def run(batches):
@@ -79,21 +90,22 @@ def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int)
 
         common, counts = shared.value
         for batch in batches:
-            node, size, fp, prefix = [], [], [], []
+            node, size, fp, maps, prefix = [], [], [], [], []
             for t in batch.column(2):
                 held = shingle_set(t.as_py(), shingle)
                 n = len(held)
                 node.append(xxhash.xxh64_intdigest(held.tobytes()))
                 size.append(n)
                 fp.append(set_print(held))
+                maps.append(set_map(held))
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, held), len(common) - 1)
                     held = held[np.lexsort((held, np.where(common[at] == held, counts[at], 0)))]
                 prefix.append(held[: n - -(-percent * n // 100) + 1])
-            columns = [*batch.columns[:2], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "print", "node", "size", "fp", "prefix"])
+            columns = [*batch.columns[:2], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(maps, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "print", "node", "size", "fp", "map", "prefix"])
 
-    schema = T.StructType([docs.schema[key]] + T.StructType.fromDDL("print long, node long, size int, fp long, prefix array<long>").fields)
+    schema = T.StructType([docs.schema[key]] + T.StructType.fromDDL("print long, node long, size int, fp long, map binary, prefix array<long>").fields)
     return spread(docs.select(key, text_print(text).alias("print"), text), key).mapInArrow(run, schema)
 
 
@@ -121,9 +133,33 @@ def _sets(docs: DataFrame, keys: DataFrame, key: str, text: str, shingle: int) -
     return rows.mapInArrow(run, "node long, held array<long>").groupBy("node").agg(F.first("held").alias("held"))
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may reach the bound: each bit that one map alone has is a shingle the other set lacks."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                m, n = (part.column(c).to_numpy().astype(np.int64) for c in ("m", "n"))
+                one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8").reshape(len(m), -1) for c in ("one", "two"))
+                only, other = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((one, two), (two, one)))
+                shared = np.minimum(m - only, n - other)
+                keep = pa.array(100 * shared >= percent * (m + n - shared))
+                yield part.select(["a", "b"]).filter(keep)
+
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("map").alias("one"))
+    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("map").alias("two"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "one", "two").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose similarity reaches the bound."""
-    pairs = settle(pairs.distinct(), "pairs")
+    found = settle(pairs.distinct(), "pairs")
+    pairs = settle(_possible(found, nodes, percent), "possible")
+    drop_tables(found)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = settle(_sets(docs, nodes.join(wanted, "node").select(F.col("least.key").alias(key)), key, text, shingle), "sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("held").alias("two")), "b")
@@ -187,7 +223,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """
     rows = _prefixes(docs, key, text, shingle, percent)
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "print")
-    nodes = rows.groupBy("node").agg(F.min(row).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    same = [F.first(c).alias(c) for c in ("size", "fp", "map", "prefix")]
+    nodes = rows.groupBy("node").agg(F.min(row).alias("least"), *same)
     nodes = settle(nodes, "nodes")
     roots = components(links(nodes, docs, key, text, shingle, percent))
     named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))

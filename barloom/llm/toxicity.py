@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import settle, spread
 
-#: Bounds of the fit: labelled rows of each class, candidate terms fetched, terms kept.
-SAMPLE_ROWS, CANDIDATES, TERMS = 20_000, 20_000, 2_000
+#: Bound of the fit: labelled rows of each class.  Terms and phrases are all those of these rows that pass the tests below.
+SAMPLE_ROWS = 20_000
 #: A term needs this many toxic rows and this share of them, this log odds and this log-likelihood ratio; a phrase this
 #: many clean rows to be an exception.
 MIN_ROWS, MIN_SHARE, MIN_ODDS, MIN_RATIO, MIN_CLEAN = 5, 0.01, 1.5, 15.0, 5
@@ -193,11 +193,11 @@ def fit(sample: DataFrame) -> Lexicon:
     counts = _counted(sample, lambda: _terms).withColumn("odds", odds)
     share = F.lit(n_toxic / (n_toxic + n_clean)) * (F.col("toxic") + F.col("clean"))
     ratio = F.col("toxic") * F.log(F.col("toxic") / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (F.col("toxic") + F.col("clean") - share))).otherwise(0.0)
-    rows = counts.filter((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * n_toxic)) & (F.col("odds") >= MIN_ODDS) & (2 * ratio >= MIN_RATIO)).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()
+    rows = counts.filter((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * n_toxic)) & (F.col("odds") >= MIN_ODDS) & (2 * ratio >= MIN_RATIO)).collect()
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term), r.term)):
         begun = [weights[r.term[:n]] for n in range(STEMS[0], len(r.term)) if r.term[:n] in weights]
-        if len(weights) < TERMS and not (begun and abs(begun[-1] - r.odds) < 0.5) and not (begun and begun[-1] >= 5.0):
+        if not (begun and abs(begun[-1] - r.odds) < 0.5) and not (begun and begun[-1] >= 5.0):
             weights[r.term] = min(8.0, r.odds)
     lexicon = Lexicon(weights)
 
@@ -206,7 +206,7 @@ def fit(sample: DataFrame) -> Lexicon:
         return lambda folded: _phrases(folded, lexicon, automaton)
 
     spared = _counted(sample, phrases).withColumn("odds", odds)
-    spared = spared.filter((F.col("clean") >= MIN_CLEAN) & (F.col("odds") < 0)).orderBy(F.desc("clean"), "term").limit(TERMS).collect()
+    spared = spared.filter((F.col("clean") >= MIN_CLEAN) & (F.col("odds") < 0)).collect()
     lexicon.exceptions = tuple(sorted(r.term for r in spared))
 
     def measure(batches):
@@ -277,7 +277,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows whose text scores below ``limit``, all columns kept."""
+    """The rows whose text scores below ``limit``, all columns kept, whatever their names.
+
+    Null and empty texts hold no term and stay, repeated rows stay or go together, an empty table gives no rows; without
+    toxic labels nothing can be learned and every row stays.
+    """
     lexicon = fit(labelled_sample(docs, labels, key, text))
     at = docs.columns.index(text)
 
