@@ -1,16 +1,18 @@
 """Structured Streaming forms of the incremental operators (K-01 ... K-09).
 
-Sources are append-only bar or event files; keyed state is a small table per micro-batch in the sink.
+Sources are append-only bar or event files.  Keyed state is Spark's own, or a small table of the last two batches.
 Event time is a timestamp column; late rows are dropped behind the watermark or, for repairs, merged by key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from barloom.functions.scalars import OHLCV, tf_seconds
 from barloom.operators.ordered import positions, running_ema
@@ -112,62 +114,97 @@ def stream_counters(df: DataFrame, keys: Sequence[str], sink: str, checkpoint: s
     return updates.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """What the batch before saved; a replayed batch finds the same again."""
     return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
 
 
-def stream_suppress(attempts: DataFrame, sink: str, threshold: int = 3, ttl_seconds: int = 21_600, checkpoint: str | None = None) -> DataFrame:
+#: Microseconds (some 70 years) added to event times before they become watermarks, which start at zero and drop what is
+#: not above it; times from 1900 to 2190 can be counted.
+FORWARD_US = 2_208_988_801_000_000
+
+
+class _Misses(StatefulProcessor):
+    """Misses in a row per key: attempts wait until the watermark has passed them and are then counted in event order."""
+
+    def __init__(self, threshold: int, ttl_us: int):
+        self.threshold, self.ttl_us = threshold, ttl_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "misses long, until long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, missed boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(us), int(e), bool(m)) for frame in rows for us, e, m in frame[["us", "event_id", "missed"]].itertuples(index=False)]
+        self.waiting.appendList(new)
+        self.handle.registerTimer((max(us for us, _, _ in new) + FORWARD_US) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 + 999 - FORWARD_US
+        held = sorted(tuple(r) for r in self.waiting.get())
+        ready, later = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        misses, until = tuple(self.count.get()) if self.count.exists() else (0, 0)
+        out = []
+        for us, event_id, missed in ready:
+            suppressed = us < until
+            if not suppressed:
+                misses = misses + 1 if missed else 0
+                if misses >= self.threshold:
+                    misses, until = 0, us + self.ttl_us
+            out.append((*key, event_id, suppressed, misses))
+        # a key without misses whose suppression is over is as good as new
+        if misses == 0 and until <= passed:
+            self.count.clear()
+        else:
+            self.count.update((misses, until))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["venue", "symbol", "event_id", "suppressed", "misses"])
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocks(spark: SparkSession):
+    """Keyed state in RocksDB, as ``transformWithState`` needs it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def stream_suppress(
+    attempts: DataFrame, sink: str, threshold: int = 3, ttl_seconds: int = 21_600, checkpoint: str | None = None, delay: str = "0 seconds"
+) -> DataFrame:
     """K-05: per attempt, whether its (venue, symbol) was suppressed and the misses counted after it.
 
     A success clears the counter; at ``threshold`` misses in a row the pair is suppressed for the TTL.
-    ``attempts`` has venue, symbol, us (event time), event_id, missed.  Each micro-batch is sorted by pair and event
-    time in the shuffle, so files may overlap in time in any way; batches follow each other.  State is two numbers per
-    pair, saved as a table of the batch; a replayed batch overwrites its own.
+    ``attempts`` has venue, symbol, us (event time), event_id, missed.  Attempts wait in Spark's keyed state until the
+    watermark has passed them, so files may overlap in time in any way within a batch, and across batches by ``delay``
+    (what is not above the watermark of the batches before is dropped).  State is two numbers and the waiting attempts of a pair, and is cleared
+    when a pair has no misses left and its suppression is over.
     """
-    ttl_us, name = ttl_seconds * 1_000_000, ["venue", "symbol"]
-    fields = "venue string, symbol string, event_id long, suppressed boolean, misses long, until long"
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair, misses, until = None, 0, 0
-        for pdf in frames:
-            out = []
-            for venue, symbol, us, event_id, missed, n, end in pdf.itertuples(index=False):
-                if (venue, symbol) != pair:
-                    if pair is not None:
-                        out.append((*pair, None, None, misses, until))
-                    pair, misses, until = (venue, symbol), 0, 0
-                if event_id is None or event_id != event_id:
-                    misses, until = int(n), int(end)
-                    continue
-                suppressed = us < until
-                if not suppressed:
-                    misses = misses + 1 if missed else 0
-                    if misses >= threshold:
-                        misses, until = 0, us + ttl_us
-                out.append((venue, symbol, event_id, bool(suppressed), misses, None))
-            yield table(out)
-        if pair is not None:
-            yield table([(*pair, None, None, misses, until)])
-
-    def table(out) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["venue", "symbol", "event_id", "suppressed", "misses", "until"])
-        return frame.astype({"event_id": "Int64", "misses": "Int64", "until": "Int64", "suppressed": "boolean"})
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        none = F.lit(None).cast("long")
-        rows = batch.select(*name, "us", "event_id", "missed", none.alias("n"), none.alias("end"))
-        held = _stored(batch.sparkSession, sink, batch_id)
-        if held is not None:
-            state = held.where("event_id IS NULL").select(*name, none.alias("us"), none.alias("event_id"), F.lit(None).cast("boolean").alias("missed"), F.col("misses").alias("n"), F.col("until").alias("end"))
-            rows = rows.unionByName(state)
-        order = [*name, F.col("us").asc_nulls_first(), "event_id"]
-        done = rows.repartition(*name).sortWithinPartitions(*order).mapInPandas(walk, fields)
-        done.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    run_batches(attempts, save, checkpoint)
-    read = attempts.sparkSession.read.schema(fields).parquet(sink)
-    return read.where("event_id IS NOT NULL").select(*name, "event_id", "suppressed", "misses")
+    fields = "venue string, symbol string, event_id long, suppressed boolean, misses long"
+    timed = attempts.withColumn("event_time", F.timestamp_micros(F.col("us") + FORWARD_US)).withWatermark("event_time", delay)
+    counted = timed.groupBy("venue", "symbol").transformWithStateInPandas(
+        statefulProcessor=_Misses(threshold, ttl_seconds * 1_000_000), outputStructType=fields, outputMode="Append", timeMode="EventTime"
+    )
+    with _rocks(attempts.sparkSession):
+        return run_to_files(counted, sink, checkpoint)
 
 
 def stream_ema(values: DataFrame, alpha: float, sink: str, checkpoint: str | None = None, slot_seconds: int = 86_400) -> DataFrame:
@@ -188,6 +225,8 @@ def stream_ema(values: DataFrame, alpha: float, sink: str, checkpoint: str | Non
         done.select("symbol", "us", "pos", "ema").write.mode("overwrite").parquet(f"{sink}/all/batch={batch_id}")
         done = batch.sparkSession.read.parquet(f"{sink}/all/batch={batch_id}")
         done.groupBy("symbol").agg(F.max_by("ema", "pos").alias("ema")).write.mode("overwrite").parquet(f"{sink}/carry/batch={batch_id}")
+        # a replay needs what the batch before carried, and nothing older
+        _forget(batch.sparkSession, f"{sink}/carry/batch={batch_id - 2}")
 
     run_batches(values, save, checkpoint)
     read = values.sparkSession.read.schema("symbol string, us long, pos long, ema double").parquet(f"{sink}/all")

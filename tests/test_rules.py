@@ -113,3 +113,19 @@ def test_relaxed_probe_is_not_stricter(spark, small):
 def test_population_of_one_symbol_first_edge_is_zero(spark):
     panel = bars_frame(spark, [(60 * i, 10 + i) for i in range(4)]).withColumn("signal", F.lit(True))
     assert {r["edge"] for r in sg.signal_edges(panel, ["symbol"], "1h").collect()} == {0}
+
+
+def test_features_of_ones_own(spark, small):
+    """A feature given as a function of the panel is lagged, usable in rules, and sees one bar of context across blocks."""
+    from pyspark.sql import Window
+
+    gap = lambda panel: F.col("open") - F.lag("close").over(panel.w)
+    spec = FeatureSpec(roc=[3], clock=False, custom={"gap": gap})
+    bars = views.bars_1h(spark, small)
+    w = Window.partitionBy("symbol").orderBy("ts")
+    for rows in (16, 4096):
+        got = ft.build_features(bars, spec, "1h", block_rows=rows).select("symbol", "ts", "gap")
+        want = bars.withColumn("_gap", F.col("open") - F.lag("close").over(w)).select("symbol", "ts", F.lag("_gap").over(w).alias("want"))
+        assert got.join(want, ["symbol", "ts"]).where("not (gap <=> want)").isEmpty()
+    trades = sg.evaluate_formula(bars, spec, ["gap", ">", 0.0], "1h", 0.0, 0.0)
+    assert not trades.isEmpty()
