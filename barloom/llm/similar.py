@@ -19,8 +19,8 @@ from barloom.llm.graph import components
 #: Shingles put last in the order, and how many rows of a batch must hold one for it to be a candidate; one row in
 #: ``LOOKED`` is looked at.  None of them changes a result.
 COMMON, OFTEN, LOOKED = 50_000, 4, 4
-#: Bits of a set's map, which bounds from above what two sets share; more bits spare more whole sets from being moved.
-MAP_BITS = 2048
+#: Fewest bits of a set's map; a larger set has at least one bit a shingle.
+LEAST_BITS = 64
 
 
 def shingle_set(text: str | None, shingle: int = 5):
@@ -71,14 +71,38 @@ def set_print(held) -> int:
 
 
 def set_map(held) -> bytes:
-    """Bit map of a set of shingle hashes: bit ``hash mod MAP_BITS`` is set for each."""
+    """Bit map of a set of shingle hashes, a power of two of bits and at least one for each: bit ``hash mod bits`` is set."""
     import numpy as np
 
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[(held.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+    size = max(LEAST_BITS, 1 << (len(held) - 1).bit_length() if len(held) else 1)
+    bits = np.zeros(size, np.uint8)
+    bits[(held.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def may_reach(m, n, one: list, two: list, percent: int):
+    """For sets of ``m`` and ``n`` shingles with these maps: whether they can share enough.
+
+    A bit that one map alone has is a shingle the other set lacks.  Maps of different lengths are compared at the
+    shorter one, to which the longer folds.
+    """
+    import numpy as np
+
+    lengths = np.array([(len(x), len(y)) for x, y in zip(one, two)], np.int64).reshape(-1, 2)
+    keep = np.zeros(len(m), bool)
+    for first, second in np.unique(lengths, axis=0).tolist():
+        at = np.flatnonzero((lengths[:, 0] == first) & (lengths[:, 1] == second))
+        x, y = (np.frombuffer(b"".join(maps[i] for i in at), "<u8").reshape(len(at), -1) for maps in (one, two))
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+        only, other = (np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64) for a, b in ((x, y), (y, x)))
+        shared = np.minimum(m[at] - only, n[at] - other)
+        keep[at] = 100 * shared >= percent * (m[at] + n[at] - shared)
+    return keep
+
+
 def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """``key, print, node, size, fp, map, prefix`` per row; rows with equal sets have the same node, rows of one text the same print."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text, shingle))
@@ -134,7 +158,7 @@ def _sets(docs: DataFrame, keys: DataFrame, key: str, text: str, shingle: int) -
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that may reach the bound: each bit that one map alone has is a shingle the other set lacks."""
+    """The pairs ``a, b`` that may reach the bound, by the maps of their sets."""
 
     def run(batches):
         import numpy as np
@@ -144,11 +168,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 m, n = (part.column(c).to_numpy().astype(np.int64) for c in ("m", "n"))
-                one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8").reshape(len(m), -1) for c in ("one", "two"))
-                only, other = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((one, two), (two, one)))
-                shared = np.minimum(m - only, n - other)
-                keep = pa.array(100 * shared >= percent * (m + n - shared))
-                yield part.select(["a", "b"]).filter(keep)
+                keep = may_reach(m, n, part.column("one").to_pylist(), part.column("two").to_pylist(), percent)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("map").alias("one"))
     two = nodes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("map").alias("two"))

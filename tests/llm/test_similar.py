@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from barloom.llm import similar, simhash
 from barloom.llm.common import table
@@ -66,6 +67,21 @@ def test_edge_cases(spark):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
+def test_maps_never_rule_out_a_pair_that_reaches_the_bound():
+    rng = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(400):
+        size = int(rng.choice([0, 1, 5, 63, 64, 65, 130, 1000]))
+        one = np.unique(rng.integers(-(1 << 63), 1 << 63, size))
+        kept = one[rng.random(len(one)) < rng.choice([0.5, 0.8, 0.9, 1.0])]
+        two = np.unique(np.concatenate([kept, rng.integers(-(1 << 63), 1 << 63, int(size * rng.choice([0, 0.05, 0.2])))])).astype(np.int64)
+        shared, joint = len(np.intersect1d(one, two)), len(np.union1d(one, two))
+        (may,) = similar.may_reach(np.array([len(one)]), np.array([len(two)]), [similar.set_map(one)], [similar.set_map(two)], 80)
+        assert may or 100 * shared < 80 * joint
+        ruled_out += not may
+    assert ruled_out > 50
+
+
 def test_one_key_with_two_texts(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text of its own")], "doc_id long, text string")
     assert sorted(similar.keep_one(docs).collect()) == [(1, "a b c d e f"), (5, "quite another text of its own")]
