@@ -458,10 +458,10 @@ def _(spark, folder):
     )
 
 
-@query("G01_rule_table_stats", with_views("bars_1h formulas", STATS_SQL, **TABLE_CTES, ids="SELECT formula_id FROM rules"))
+@query("G01_rule_table_stats", with_views("bars_1h formulas", STATS_SQL.replace("round(m,10)", "round(m,7)"), **TABLE_CTES, ids="SELECT formula_id FROM rules"))
 def _(spark, folder):
     """Statistics of all rules of the table, those that never trade included."""
     rules = with_formula_id(views.formulas(spark, folder)).select("formula_id", "formula_json").distinct()
     trades = sg.evaluate_rules(views.bars_1h(spark, folder), RULE_SPEC, rules, "1h", FEE, SLIP)
     got = pp.formula_stats(trades, rules.select("formula_id"))
-    return got.select("formula_id", "n_trades", rounded("mean_pnl", 10).alias("mean_pnl"), rounded("sharpe").alias("sharpe"))
+    return got.select("formula_id", "n_trades", rounded("mean_pnl", 7).alias("mean_pnl"), rounded("sharpe").alias("sharpe"))
