@@ -210,6 +210,8 @@ VOL = (
     "SELECT symbol, CASE WHEN count(r) = 20 THEN stddev_samp(r) END AS vol, arg_max(close, ts) AS last_close FROM "
     f"(SELECT *, ln(close/lag(close) {LAG}) AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars_user) WHERE k <= 20 GROUP BY 1"
 )
+# a price of zero gives no return, neither to it nor from it
+VOL_OF_RETURNS = VOL.replace(f"ln(close/lag(close) {LAG})", f"ln(nullif(close, 0)/nullif(lag(close) {LAG}, 0))")
 
 
 @query("E20_latest_vol", with_views("bars_user", "SELECT symbol, round(vol,6) AS vol, round(last_close,6) AS last_close FROM v", v=VOL))
@@ -224,7 +226,7 @@ def _(spark, folder):
         "bars_user",
         "SELECT symbol, CASE WHEN vol IS NULL OR vol = 0 THEN 0 ELSE round(least(equity*0.01/(last_close*vol), cap/last_close),6) END AS size FROM "
         "(SELECT *, CASE WHEN equity >= 50000 THEN 900 WHEN equity >= 10000 THEN 400 WHEN equity >= 1000 THEN 150 ELSE 50 END AS cap FROM (SELECT *, last_close*500 AS equity FROM v))",
-        v=VOL,
+        v=VOL_OF_RETURNS,
     ),
 )
 def _(spark, folder):
