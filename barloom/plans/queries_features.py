@@ -237,7 +237,7 @@ def _(spark, folder):
     return ft.vol_target_size(capped, "equity", "max_order").select("symbol", rounded("size").alias("size"))
 
 
-@query("E22_adaptive_stop", with_views("bars_user", f"SELECT symbol, any_value(n)-1 AS n_returns, round(greatest(0.05, least(5.0, 2.0*stddev_samp(r))),6) AS stop_pct FROM (SELECT *, close/lag(close) {LAG} - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars_user) WHERE k <= 24 AND n > 11 GROUP BY symbol"))
+@query("E22_adaptive_stop", with_views("bars_user", f"SELECT symbol, any_value(n)-1 AS n_returns, round(greatest(0.05, least(5.0, 2.0*stddev_samp(r))),6) AS stop_pct FROM (SELECT *, close/nullif(lag(close) {LAG}, 0) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars_user) WHERE k <= 24 AND n > 11 GROUP BY symbol"))
 def _(spark, folder):
     got = ft.adaptive_stop(views.bars_user(spark, folder), 24, 2.0, 0.05, 5.0)
     return got.withColumn("stop_pct", rounded("stop_pct"))

@@ -34,3 +34,7 @@ def zeros(small, tmp_path_factory):
 
 def test_size_with_prices_of_zero(spark, zeros):
     same(spark, zeros, "E21_vol_target_size")
+
+
+def test_stop_with_prices_of_zero(spark, zeros):
+    same(spark, zeros, "E22_adaptive_stop")
