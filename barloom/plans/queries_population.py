@@ -98,10 +98,11 @@ def _(spark, folder):
     return got.select("pop", "zero_trade_pct", *rc("trades_median", "trades_p90", "sharpe_median", "sharpe_p90"))
 
 
-@query("G04_population_extremes", with_views("trades", "SELECT side, formula_id, round(sharpe,10) AS sharpe FROM (SELECT 'top' AS side, * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY sharpe DESC, formula_id LIMIT 3) UNION ALL SELECT 'bottom', formula_id, round(sharpe,10) FROM (SELECT * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY sharpe, formula_id LIMIT 3)", us=USER_STATS, s=ALL_STATS))
+@query("G04_population_extremes", with_views("trades", "SELECT side, formula_id, round(sharpe,10) AS sharpe FROM (SELECT 'top' AS side, * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY round(sharpe,10) DESC, formula_id LIMIT 3) UNION ALL SELECT 'bottom', formula_id, round(sharpe,10) FROM (SELECT * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY round(sharpe,10), formula_id LIMIT 3)", us=USER_STATS, s=ALL_STATS))
 def _(spark, folder):
-    s = _user_stats(spark, folder).where(F.col("sharpe").isNotNull())
-    return pp.population_extremes(s, []).select("side", "formula_id", *rc("sharpe"))
+    """Sharpe ratios equal in ten digits are a tie, which the rule's id decides: sums run in any order."""
+    s = _user_stats(spark, folder).where(F.col("sharpe").isNotNull()).withColumn("sharpe", rounded("sharpe", 10))
+    return pp.population_extremes(s, []).select("side", "formula_id", "sharpe")
 
 
 @query("G05_is_degenerate", with_views("trades", "SELECT round(avg((n_trades=0)::INT),4) AS degenerate_pct, least(0.85, 0.5+0.02*count(*)/400.0::DOUBLE) AS \"limit\", avg((n_trades=0)::INT) >= least(0.85, 0.5+0.02*count(*)/400.0::DOUBLE) AS degenerate FROM s", us=USER_STATS, s=ALL_STATS))

@@ -38,3 +38,16 @@ def test_size_with_prices_of_zero(spark, zeros):
 
 def test_stop_with_prices_of_zero(spark, zeros):
     same(spark, zeros, "E22_adaptive_stop")
+
+
+@pytest.fixture(scope="module")
+def copies(small, tmp_path_factory):
+    """Each user forty times, rows in any order: equal statistics whose sums round differently."""
+    return changed(
+        small, tmp_path_factory.mktemp("copies"),
+        events="SELECT t.* REPLACE (event_id + 1000 * i AS event_id, user_id + 15 * i AS user_id) FROM t, range(40) x(i) ORDER BY hash(event_id, i)",
+    )
+
+
+def test_best_and_worst_among_copies(spark, copies):
+    same(spark, copies, "G04_population_extremes")
