@@ -235,13 +235,14 @@ def _(spark, folder):
     return va.win_test(_boot_trades(spark, folder, "event_type")).select("formula_id", "n", "wins", *rc("p_binomial"))
 
 
-PVALS = "SELECT formula_id, symbol, round(least(1.0, abs(avg(pnl))*3), 3) AS p_value FROM trades GROUP BY 1,2"
+# thousandths, halves upwards: the mean's last bits, which depend on the order of a sum, are rounded off before
+PVALS = "SELECT formula_id, symbol, floor(round(least(1.0, abs(avg(pnl))*3)*1000, 6) + 0.5::DOUBLE)/1000.0::DOUBLE AS p_value FROM trades GROUP BY 1,2"
 BH = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p_value, formula_id) AS bh_rank, count(*) OVER (PARTITION BY symbol) AS m FROM pv"
 
 
 def _pvals(spark, folder):
     t = views.trades(spark, folder)
-    p = F.round(F.least(F.lit(1.0), F.abs(F.avg("pnl")) * 3), 3)
+    p = F.floor(F.round(F.least(F.lit(1.0), F.abs(F.avg("pnl")) * 3) * 1000, 6) + 0.5) / 1000
     return t.groupBy("formula_id", "symbol").agg(p.alias("p_value"))
 
 

@@ -51,3 +51,16 @@ def copies(small, tmp_path_factory):
 
 def test_best_and_worst_among_copies(spark, copies):
     same(spark, copies, "G04_population_extremes")
+
+
+@pytest.fixture(scope="module")
+def halves(small, tmp_path_factory):
+    """Means of six prices in cents: the triple of many lies half-way between two thousandths."""
+    return changed(
+        small, tmp_path_factory.mktemp("halves"),
+        events="SELECT t.* REPLACE ((event_id * 20 + i) // 6 AS user_id, 'click' AS event_type, (event_id * 20 + i) * 7919 % 10007 / 100.0::DOUBLE AS value) FROM t, range(20) x(i)",
+    )
+
+
+def test_false_discovery_of_half_thousandths(spark, halves):
+    same(spark, halves, "G15_bh_fdr")
