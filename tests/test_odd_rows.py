@@ -64,3 +64,7 @@ def halves(small, tmp_path_factory):
 
 def test_false_discovery_of_half_thousandths(spark, halves):
     same(spark, halves, "G15_bh_fdr")
+
+
+def test_step_up_of_half_thousandths(spark, halves):
+    same(spark, halves, "G15_bh_step_up")
