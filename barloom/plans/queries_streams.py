@@ -36,8 +36,9 @@ def tick_bars(ev):
     )
 
 
-@query("K01_stream_bars", with_views("", "SELECT symbol, ts, " + R_BARS + " FROM b", b="SELECT event_type AS symbol, ts, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events"))
+@query("K01_stream_bars", with_views("", "SELECT symbol, ts, " + R_BARS + " FROM b", b="SELECT event_type AS symbol, ts, first(value ORDER BY value NULLS FIRST) AS open, open AS high, open AS low, open AS close, 1.0::DOUBLE AS volume FROM events GROUP BY ALL"))
 def _(spark, folder):
+    """The lake keeps one bar of a symbol and time: of one write the smallest in value."""
     path = work_dir(spark, "lake")
     bars = tick_bars(events(spark, folder)).select(
         F.lit("v0").alias("venue"), F.lit("tick").alias("timeframe"), "symbol", "ts", "open", "high", "low", "close", F.lit(1.0).alias("volume")

@@ -68,3 +68,8 @@ def test_false_discovery_of_half_thousandths(spark, halves):
 
 def test_step_up_of_half_thousandths(spark, halves):
     same(spark, halves, "G15_bh_step_up")
+
+
+def test_lake_keeps_one_bar_of_a_time(spark, small, tmp_path):
+    folder = changed(small, tmp_path, events="SELECT t.* REPLACE (event_id + 1000 * i AS event_id, value + i % 2 AS value) FROM t, range(3) x(i)")
+    same(spark, folder, "K01_stream_bars")
