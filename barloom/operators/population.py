@@ -112,21 +112,31 @@ def dominant_rejection(summary: DataFrame, min_share: float = 0.7) -> DataFrame:
     ).withColumn("dominant", F.col("share") >= min_share)
 
 
+def _totals_of(evaluate):
+    """The totals of ``robust_score`` from a function that gives trades."""
+    from barloom.operators.validation import cum_min_drawdown
+
+    def totals(rules: DataFrame) -> DataFrame:
+        trades = cut_lineage(evaluate(rules))
+        stats = trades.groupBy("formula_id").agg(F.count(F.lit(1)).alias("n_trades"), F.avg("pnl").alias("mean"))
+        return stats.join(cum_min_drawdown(trades), "formula_id")
+
+    return totals
+
+
 def robust_score(
-    evaluate, rules: DataFrame, k: int = 64, delta: float = 0.15, seed: int = 7, mdd_multiple: float = 1.25
+    evaluate, rules: DataFrame, k: int = 64, delta: float = 0.15, seed: int = 7, mdd_multiple: float = 1.25, totals=None
 ) -> DataFrame:
     """G-20: share of perturbed variants that keep the sign of the mean and stay within a multiple of the drawdown.
 
     ``evaluate`` maps a table of rules to their trades; all variants of all rules are rows of one such table and are
     evaluated in one pass.  Variants without trades count against the rule; a rule without trades has score 0.
+    ``totals``, where given, is used instead: it maps the table to ``formula_id, n_trades, mean, mdd`` and spares a
+    row per trade of every variant.
     """
-    from barloom.operators.validation import cum_min_drawdown
-
     made = cut_lineage(variants(rules, k, delta, seed))
     own = rules.select("formula_id", "formula_json")
-    trades = cut_lineage(evaluate(own.union(made.select(F.col("variant_id").alias("formula_id"), "formula_json"))))
-    stats = trades.groupBy("formula_id").agg(F.avg("pnl").alias("mean"), F.count(F.lit(1)).alias("n_trades"))
-    stats = cut_lineage(stats.join(cum_min_drawdown(trades), "formula_id"))
+    stats = cut_lineage((totals or _totals_of(evaluate))(own.union(made.select(F.col("variant_id").alias("formula_id"), "formula_json"))))
     base = stats.select("formula_id", F.col("mean").alias("base_mean"), F.col("mdd").alias("base_mdd"), "n_trades")
     probe = stats.select(F.col("formula_id").alias("variant_id"), "mean", "mdd")
     same_sign = (F.col("base_mean") >= 0) == (F.col("mean") >= 0)

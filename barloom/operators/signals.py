@@ -11,7 +11,7 @@ from barloom.functions.formula import compile_formula
 from barloom.operators.bars import bar_slot
 from barloom.operators.features import KEYS, FeatureSpec, feature_panel
 from barloom.operators.ordered import neighbour
-from barloom.operators.rules import RULE_BLOCK, evaluate_rules_on_panel, rule_table
+from barloom.operators.rules import RULE_BLOCK, evaluate_rules_on_panel, rule_table, rule_totals_on_panel
 
 
 def signal_edges(df: DataFrame, keys: Sequence[str], timeframe: str, signal: str = "signal") -> DataFrame:
@@ -55,6 +55,15 @@ def evaluate_rules(
     return evaluate_rules_on_panel(panel, rules, ["open", "high", "low", "close", "volume", *spec.names()], fee, slip)
 
 
+def rule_totals(
+    bars: DataFrame, spec: FeatureSpec, rules: DataFrame, timeframe: str, fee: float, slip: float,
+    keys: Sequence[str] = KEYS, block_rows: int = RULE_BLOCK,
+) -> DataFrame:
+    """Number, mean and lowest running sum (G-21) of each rule's returns, without a row per trade."""
+    panel = feature_panel(bars, spec, timeframe, keys, extra_back=1, ahead=1, block_rows=block_rows)
+    return rule_totals_on_panel(panel, rules, ["open", "high", "low", "close", "volume", *spec.names()], fee, slip)
+
+
 def evaluate_formulas(
     bars: DataFrame, spec: FeatureSpec, trees: Sequence, timeframe: str, fee: float, slip: float,
     keys: Sequence[str] = KEYS, block_rows: int = RULE_BLOCK,
