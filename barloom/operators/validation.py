@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.stats import binomial_p_two_sided, deflated_sharpe_p, t_test_p
 from barloom.operators.ordered import beside, exact_positions, match, positions, running, time_slot
@@ -167,6 +168,8 @@ def win_test(trades: DataFrame, keys: Sequence[str] = ID, value: str = "pnl") ->
     return c.withColumn("p_binomial", binomial_p_two_sided(F.col("wins"), F.col("n")))
 
 
+#: Returns of a rule that one row of ``bootstrap_p`` draws for.
+DRAWN = 4096
 #: Chances of at most 0, 1, .. 6 events of a Poisson variable of mean 1, in units of 2 ** -32.
 POISSON_STEPS = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(7))
 
@@ -175,23 +178,57 @@ def bootstrap_p(trades: DataFrame, n_iter: int, seed: int, keys: Sequence[str] =
     """G-14: share of resampled, centred means that reach the observed mean.
 
     Each return enters each resample with a Poisson(1) weight, drawn from word i % 4 of md5(seed|rule|position|i div 4);
-    resample sizes therefore vary around the rule's own.  Weighted sums are taken before the only shuffle of draws, so
-    that it carries rules times resamples, however many returns a rule has.  An empty resample is left out.
+    resample sizes therefore vary around the rule's own.  No draw is a row: a block of a rule's returns makes its
+    weights and weighted sums as arrays.  A rule within one block gives the number of its resamples and of those that
+    reach the mean, a longer one its sums by block and resample.  An empty resample is left out.
     """
-    ranked = trade_positions(trades, keys, order).select(*keys, "pos", F.col(value).alias("_x"))
+    ranked = trade_positions(trades, keys, order).select(*keys, "pos", "n", F.col(value).alias("_x"))
     stats = trades.groupBy(*keys).agg(*_moments(value))
-    groups = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // 4))).alias("_g")
-    draws = ranked.select(*keys, "pos", "_x", groups)
-    draws = draws.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, F.col("pos").cast("string"), F.col("_g").cast("string"))))
-    sums = []
-    for j in range(4):
-        u = F.conv(F.substr(F.col("_h"), F.lit(1 + 8 * j), F.lit(8)), 16, 10).cast("long")
-        weight = sum(((u >= F.lit(step)).cast("int") for step in POISSON_STEPS), F.lit(0))
-        sums += [F.sum(weight * F.col("_x")).alias(f"_s{j}"), F.sum(weight).alias(f"_w{j}")]
-    summed = draws.groupBy(*keys, "_g").agg(*sums)
-    means = F.inline(F.array(*[F.struct((F.col("_g") * 4 + j).alias("_it"), F.try_divide(F.col(f"_s{j}"), F.col(f"_w{j}")).alias("_m")) for j in range(4)]))
-    means = match(summed.select(*keys, means).where(F.col("_it") < n_iter), stats, keys)
-    tail = F.avg((F.col("_m") - F.col("mean") >= F.col("mean")).cast("double"))
+    text = F.concat_ws("|", F.lit(str(seed)), *keys).alias("_text")
+    blocks = ranked.groupBy(*keys, F.floor(F.col("pos") / DRAWN).alias("_block")).agg(
+        F.collect_list(F.struct("pos", "_x")).alias("_rows"), (F.max("n") <= DRAWN).alias("_whole")
+    )
+    blocks = match(blocks, stats.select(*keys, "mean"), keys).select(*keys, text, "_whole", "mean", "_rows")
+    schema = T.StructType([*(trades.schema[k] for k in keys), *T.StructType.fromDDL("_it int, _s double, _w long").fields])
+
+    def run(arrow):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        md5, words = hashlib.md5, [b"|%d" % g for g in range((n_iter + 3) // 4)]
+        steps = np.array(POISSON_STEPS, np.uint32)
+        for batch in arrow:
+            rows_ = batch.column("_rows")
+            for i in range(batch.num_rows):
+                rows, text = rows_.slice(i, 1).flatten(), batch.column("_text")[i].as_py()
+                pos, x = rows.field("pos").to_numpy(), rows.field("_x").to_numpy(zero_copy_only=False)
+                sums, weights = np.zeros(n_iter), np.zeros(n_iter, np.int64)
+                for a in range(0, len(pos), 256):
+                    starts = [f"{text}|{p}".encode() for p in pos[a : a + 256]]
+                    digests = b"".join([md5(p + g).digest() for p in starts for g in words])
+                    u = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(starts), -1)[:, :n_iter]
+                    w = np.zeros(u.shape, np.uint8)
+                    for step in steps:
+                        w += u >= step
+                    part, known = x[a : a + 256], ~np.isnan(x[a : a + 256])
+                    sums += part[known] @ w[known].astype(np.float64)
+                    weights += w.sum(axis=0, dtype=np.int64)
+                if batch.column("_whole")[i].as_py():
+                    mean, drawn = batch.column("mean")[i].as_py(), weights > 0
+                    hits = sums[drawn] / weights[drawn] - mean >= mean if mean is not None else drawn[:0]
+                    out = [pa.array([-1], pa.int32()), pa.array([float(hits.sum())]), pa.array([int(drawn.sum())])]
+                else:
+                    out = [pa.array(np.arange(n_iter, dtype=np.int32)), pa.array(sums), pa.array(weights)]
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(k)[i], len(out[0])) for k in keys), *out], names=schema.names)
+
+    summed = blocks.mapInArrow(run, schema).groupBy(*keys, "_it").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w"))
+    means = match(summed, stats, keys)
+    whole = F.col("_it") < 0
+    hit = F.when(whole, F.col("_s")).otherwise((F.try_divide("_s", "_w") - F.col("mean") >= F.col("mean")).cast("double"))
+    drawn = F.when(whole, F.col("_w")).otherwise((F.col("_w") > 0).cast("long"))
+    tail = F.try_divide(F.sum(hit), F.sum(drawn))
     p = means.groupBy(*keys).agg(tail.alias("_tail"), F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"))
     raw = F.when(F.col("mean") > 0, F.col("_tail")).otherwise(1.0)
     value_p = F.when((F.col("n") < 3) | (F.col("std") == 0), 1.0).when(raw > 0, raw).otherwise(1.0 / n_iter)
