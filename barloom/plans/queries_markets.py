@@ -213,8 +213,8 @@ def _(spark, folder):
 @query("H04_top_levels", with_views("book_levels", "SELECT venue_symbol, side, level, price, size FROM book_levels WHERE level <= 3"))
 def _(spark, folder):
     b = views.books(spark, folder)
-    one = lambda s, c: b.select("venue_symbol", F.lit(s).alias("side"), F.posexplode(bk.top_levels(c, 3)))
-    both = one("bid", "bids").unionByName(one("ask", "asks"))
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), bk.top_levels(c, 3).alias("levels")) for s, c in (("bid", "bids"), ("ask", "asks"))))
+    both = b.select("venue_symbol", F.inline(sides)).select("venue_symbol", "side", F.posexplode("levels"))
     return both.select("venue_symbol", "side", (F.col("pos") + 1).alias("level"), "col.price", "col.size")
 
 

@@ -6,7 +6,6 @@ Each function takes (spark, folder of parquet files) and returns a DataFrame who
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import floor_to
@@ -188,33 +187,31 @@ def fx_ticks(spark, folder) -> DataFrame:
     )
 
 
-def book_levels(spark, folder) -> DataFrame:
-    """All price levels per supplier and side, best first, long form; the range midpoint splits the sides."""
-    li = table(spark, folder, "lineitem").select(
+#: Rows of line items that one task turns into books, about.
+BOOK_ROWS = 1 << 19
+
+
+def books(spark, folder) -> DataFrame:
+    """Order books per supplier as two arrays of (price, size), best level first; the range midpoint splits the sides.
+
+    The rows move once, to as many tasks as their number calls for, so that a task's memory does not grow with the table;
+    levels, midpoint and order of a book are made where its rows are.
+    """
+    items = table(spark, folder, "lineitem")
+    tasks = max(1, -(-items.count() // BOOK_ROWS))
+    li = items.select(
         F.col("l_suppkey").cast("string").alias("venue_symbol"),
         (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price"),
         F.col("l_quantity").alias("size"),
     )
-    mid = li.groupBy("venue_symbol").agg(((F.min("price") + F.max("price")) / 2).alias("mid"))
-    levels = (
-        li.groupBy("venue_symbol", "price")
-        .agg(F.sum("size").alias("size"))
-        .join(mid, "venue_symbol")
-        .withColumn("side", F.when(F.col("price") < F.col("mid"), "bid").otherwise("ask"))
-    )
-    best = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    rank = F.row_number().over(Window.partitionBy("venue_symbol", "side").orderBy(best))
-    return levels.withColumn("level", rank).select("venue_symbol", "side", "level", "price", "size")
-
-
-def books(spark, folder) -> DataFrame:
-    """Order books as two arrays of (price, size), best level first."""
-    lv = book_levels(spark, folder)
-    side = lambda s: F.transform(
-        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("level", "price", "size")))),
-        lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")),
+    levels = li.repartition(tasks, "venue_symbol").groupBy("venue_symbol", "price").agg(F.sum("size").alias("size"))
+    book = levels.groupBy("venue_symbol").agg(F.sort_array(F.collect_list(F.struct("price", "size"))).alias("_all"))
+    priced = F.filter("_all", lambda x: x["price"].isNotNull())
+    book = book.withColumn("_mid", (F.try_element_at(priced, F.lit(1))["price"] + F.try_element_at(priced, F.lit(-1))["price"]) / 2)
+    bid = lambda x: F.coalesce(x["price"] < F.col("_mid"), F.lit(False))
+    return book.select(
+        "venue_symbol", F.reverse(F.filter("_all", bid)).alias("bids"), F.filter("_all", lambda x: ~bid(x)).alias("asks")
     )
-    return lv.groupBy("venue_symbol").agg(side("bid").alias("bids"), side("ask").alias("asks"))
 
 
 def coverage(spark, folder) -> DataFrame:
