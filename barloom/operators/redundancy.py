@@ -15,6 +15,10 @@ from barloom.session import cut_lineage, stored
 
 #: Candidates that one task solves against the factors of one level.
 SOLVED = 4096
+#: Candidates that meet all factors over a span of positions at a time.
+MET = 256
+#: Returns that one task of ``factor_correlation`` holds, about.
+DEALT = 1 << 19
 
 
 def _factor_names(returns: DataFrame, factors: Sequence[str] | DataFrame, key: str) -> DataFrame:
@@ -26,22 +30,67 @@ def _factor_names(returns: DataFrame, factors: Sequence[str] | DataFrame, key: s
     return cut_lineage(names.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1))
 
 
-def _levels(lengths: DataFrame, top: str) -> DataFrame:
-    """``_k, _level``: for every position up to the largest level the smallest level that reaches it."""
+def _levels(lengths: DataFrame, top: str, span: int) -> DataFrame:
+    """``_kb, _level``: for every span of positions the levels that its positions count for, the smallest that reaches each."""
     levels = lengths.select(F.col(top).alias("_level")).distinct()
     before = neighbour(levels, [], ["_level"], F.floor(F.col("_level") / 65536), {"_prev": "_level"})
-    spans = F.explode(F.sequence(F.coalesce("_prev", F.lit(0)) + 1, F.col("_level")))
-    return before.select("_level", spans.alias("_k"))
+    spans = F.sequence(F.floor(F.coalesce("_prev", F.lit(0)) / span), F.floor((F.col("_level") - 1) / span))
+    return before.select(F.explode(spans).alias("_kb"), "_level")
 
 
-def _sums(x: str, y: str) -> list[Column]:
-    """What a covariance over rows that hold both values needs."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    parts = {"_n": F.lit(1.0), "_x": F.col(x), "_y": F.col(y), "_xy": F.col(x) * F.col(y)}
-    return [F.coalesce(F.sum(F.when(both, v)), F.lit(0.0)).alias(n) for n, v in parts.items()]
+def _products(v, f):
+    """Number, sums and sum of products of the rows of ``v`` with those of ``f`` over the places where both have a value."""
+    here, there = ~np.isnan(v), ~np.isnan(f)
+    m, o, v, f = here.astype(float), there.astype(float), np.where(here, v, 0.0), np.where(there, f, 0.0)
+    return m @ o.T, v @ o.T, m @ f.T, v @ f.T
 
 
-_COV = "_xy / _n - (_x / _n) * (_y / _n)"
+def _span_products(held: DataFrame, own: DataFrame, levels: DataFrame, key: str, factors: int, span: int, parts: int) -> DataFrame:
+    """Sums of products by span of positions: of two factors by level (``key`` is null), of a series with each factor.
+
+    A group holds one span of all factors and of a part of the other series, as two matrices.
+    """
+    kb = F.floor((F.col("_k") - 1) / span).alias("_kb")
+    rows = held.select(kb, "_i", "_k", "_f")
+    rows = rows.union(levels.select("_kb", F.lit(-1), F.col("_level"), F.lit(None).cast("double")))
+    rows = rows.select("_kb", F.col("_i").cast("int").alias("_i"), F.col("_k").cast("long").alias("_k"), "_f", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    others = own.select(kb, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part"), key, F.col("_k").cast("long").alias("_k"), "_v")
+    schema = T.StructType([own.schema[key], *T.StructType.fromDDL("_level long, _i int, _j int, _n double, _x double, _y double, _xy double").fields])
+    schema[key].nullable = True
+
+    def multiply(left, right):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        i, k = left.column("_i").to_numpy(), left.column("_k").to_numpy()
+        made = []
+        if (i >= 0).any():
+            start = (k[i >= 0][0] - 1) // span * span
+            f = np.full((factors, span), np.nan)
+            f[i[i >= 0], k[i >= 0] - 1 - start] = left.column("_f").to_numpy()[i >= 0]
+            cuts = np.sort(k[i < 0])
+            if left.column("_part")[0].as_py() == 0:
+                one, two = np.triu_indices(factors)
+                edges = [0, *np.clip(cuts - start, 0, span)]
+                for level, a, b in zip(cuts, edges, edges[1:]):
+                    sums = [x[one, two] for x in _products(f[:, a:b], f[:, a:b])]
+                    none = pa.nulls(len(one), target.field(key).type)
+                    made.append([none, np.full(len(one), level), one.astype(np.int32), two.astype(np.int32), *sums])
+            if right.num_rows:
+                ids = right.column(key).combine_chunks().dictionary_encode()
+                v = np.full((len(ids.dictionary), span), np.nan)
+                v[ids.indices.to_numpy(), right.column("_k").to_numpy() - 1 - start] = right.column("_v").to_numpy()
+                sums = [x.ravel() for x in _products(v, f)]
+                who, which = (x.ravel() for x in np.indices((len(v), factors)))
+                made.append([ids.dictionary.take(pa.array(who)), pa.nulls(len(who), pa.int64()), which.astype(np.int32), pa.nulls(len(who), pa.int32()), *sums])
+        tables = [pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=target.names).cast(target) for cols in made]
+        return pa.concat_tables(tables) if tables else target.empty_table()
+
+    return rows.groupBy("_kb", "_part").cogroup(others.groupBy("_kb", "_part")).applyInArrow(multiply, schema)
+
+
+_COV = "try_divide(_xy, _n) - try_divide(_x, _n) * try_divide(_y, _n)"
 
 
 def vif(
@@ -50,31 +99,36 @@ def vif(
     """G-28: 1 / (1 - R^2) of every other series on the factor series, over the common tail.
 
     ``at`` is the 1-based position from the end without holes, so tails align without looking ahead; missing values
-    leave the products they are part of.  ``factors`` is a list or a table of keys, of any number.  Everything stays in
-    long form: products of a candidate with each factor are summed by (candidate, factor), products of two factors by
-    (tail length, factor, factor), for each tail length that a candidate has, as running sums over the lengths below.
+    leave the products they are part of.  ``factors`` is a list or a table of keys, of any number.  No product is a row:
+    spans of positions become matrices, and only sums leave them, of a candidate with each factor and of two factors by
+    tail length, for each tail length that a candidate has; the latter are running sums over the lengths below.
     The normal equations of one length are then solved for blocks of its candidates, however many share it.
     """
     names = _factor_names(returns, factors, key)
-    lengths = returns.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
-    shortest = lengths.join(names, key, "left_semi").agg(F.min("_len").alias("_min_f"))
-    rest = cut_lineage(lengths.join(names, key, "left_anti").transform(beside, shortest).select(key, F.least("_len", "_min_f").alias("_rows")))
+    totals = returns.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), F.avg(value).alias("_mean")).join(names, key, "left")
+    shortest = totals.where(F.col("_i").isNotNull()).agg(F.min("_len").alias("_min_f"))
+    rows = F.when(F.col("_i").isNull(), F.least("_len", "_min_f")).alias("_rows")
+    # a row per series, stored so that its size is known and the returns need not move to meet it
+    info = stored(totals.transform(beside, shortest).select(key, "_i", "_mean", rows), "series")
+    rest = info.where(F.col("_i").isNull()).select(key, "_rows")
     scored = rest.where(F.col("_rows") >= min_rows)
     # series are shifted by their means first: sums of products then keep their digits
-    means = returns.groupBy(key).agg(F.avg(value).alias("_mean"))
-    moved = returns.join(means, key).select(key, F.col(at).alias("_k"), (F.col(value) - F.col("_mean")).alias("_v"))
-    held = moved.join(names, key).select("_i", "_k", F.col("_v").alias("_f"))
-    levels = _levels(scored, "_rows")
-    tails = cut_lineage(held.join(levels, "_k"))
-    one, two = tails.withColumnRenamed("_f", "_a"), tails.select("_k", F.col("_i").alias("_j"), F.col("_f").alias("_b"))
-    pairs = one.join(two, "_k").where("_i <= _j").groupBy("_level", "_i", "_j").agg(*_sums("_a", "_b"))
+    moved = returns.join(info, key).select(key, "_i", "_rows", F.col(at).alias("_k"), (F.col(value) - F.col("_mean")).alias("_v"))
+    size = names.count()
+    span = max(64, min(4096, (1 << 20) // max(1, size)))
+    parts = max(1, -(-scored.count() // MET))
+    top = scored.agg(F.max("_rows").alias("_top"))
+    held = moved.where(F.col("_i").isNotNull()).transform(beside, top).where(F.col("_k") <= F.col("_top")).select("_i", "_k", F.col("_v").alias("_f"))
+    own = moved.where(F.col("_i").isNull() & (F.col("_rows") >= min_rows) & (F.col("_k") <= F.col("_rows")))
+    products = _span_products(held, own.select(key, "_k", "_v"), _levels(scored, "_rows", span), key, size, span, parts)
+    sums = [F.sum(c).alias(c) for c in ("_n", "_x", "_y", "_xy")]
+    products = stored(products.where("_n > 0 OR _level IS NOT NULL").groupBy(key, "_level", "_i", "_j").agg(*sums), "products")
     upto = Window.partitionBy("_i", "_j").orderBy("_level").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.select("_level", "_i", "_j", *(F.sum(c).over(upto).alias(c) for c in ("_n", "_x", "_y", "_xy")))
+    pairs = products.where(F.col("_level").isNotNull()).select("_level", "_i", "_j", *(F.sum(c).over(upto).alias(c) for c in ("_n", "_x", "_y", "_xy")))
     matrix = pairs.select("_level", "_i", "_j", F.expr(_COV).alias("_c"))
 
-    own = moved.join(scored, key).where(F.col("_k") <= F.col("_rows"))
     spread_ = own.groupBy(key).agg(F.var_pop("_v").alias("_var"))
-    met = own.join(held, "_k").groupBy(key, "_rows", "_i").agg(*_sums("_v", "_f"))
+    met = products.where(F.col("_level").isNull()).join(scored, key)
     wanted = met.groupBy(key, "_rows").agg(F.collect_list(F.struct("_i", F.expr(_COV).alias("_c"))).alias("_with")).join(spread_, key)
     blocks = scored.groupBy(F.col("_rows").alias("_level")).agg(F.ceil(F.count(F.lit(1)) / SOLVED).cast("long").alias("_blocks"))
     wanted = wanted.withColumnRenamed("_rows", "_level").join(blocks, "_level").withColumn("_block", F.pmod(F.xxhash64(key), "_blocks"))
@@ -114,8 +168,10 @@ def factor_correlation(
     Candidates meet the factors (the strategies already held, a list or a table of any number), never each other; a
     candidate's day becomes one row per factor of that day, and these are summed before they move.
     """
-    names = _factor_names(returns, factors, key)
-    daily = returns.groupBy(key, at).agg(F.sum(value).alias(value))
+    names = stored(_factor_names(returns, factors, key), "factors")
+    # dates are dealt once, to as many tasks as there are rows for; sums and meetings of a date are made where it is
+    tasks = max(1, -(-returns.count() // DEALT))
+    daily = returns.select(key, at, value).repartition(tasks, at).groupBy(key, at).agg(F.sum(value).alias(value))
     held = daily.join(names, key).select("_i", F.col(at), F.col(value).alias("_f"))
     others = daily.join(names, key, "left_anti")
     met = others.join(held, at).where(F.col("_f").isNotNull())

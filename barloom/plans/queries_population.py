@@ -20,7 +20,7 @@ from barloom.operators.ordered import positions, time_slot
 from barloom.plans.oracle_views import with_views
 from barloom.plans.queries_features import FEE, RULE_FEATURES, RULE_SPEC, RULES, SLIP, SQL_COLUMNS, TABLE_CTES, base, lag_sql, raw_sql, trades_ctes
 from barloom.plans.registry import query
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, stored
 from barloom.sources import views
 
 K, EMB = 5, 3
@@ -689,7 +689,8 @@ def _line_series(spark, folder):
     order = [F.desc("l_orderkey"), F.desc("l_linenumber"), "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
     ranked = positions(li, ["g"], order, -F.floor(F.col("l_orderkey") / 65536), "from_end")
     wide = ranked.select("g", "from_end", *(F.expr(sql).cast("double").alias(m) for m, sql in MEASURES.items()))
-    return wide.unpivot(["g", "from_end"], list(MEASURES), "m", "ret").select(F.concat("m", F.lpad(F.col("g").cast("string"), 2, "0")).alias("alpha_id"), "from_end", "ret")
+    long = wide.unpivot(["g", "from_end"], list(MEASURES), "m", "ret").select(F.concat("m", F.lpad(F.col("g").cast("string"), 2, "0")).alias("alpha_id"), "from_end", "ret")
+    return stored(long, "series")  # read several times
 
 
 # elimination of all factors from the matrix of a candidate, which is its last row: what is left of it over what it was
