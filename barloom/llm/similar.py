@@ -2,8 +2,8 @@
 
 No number of fingerprint bits is lossless for a bound on similarity, so the grid only finds what lies close; the prefix
 filter finds all the rest.  Put every set of shingles in one common order.  Two sets whose similarity reaches the bound share a shingle among the
-first ``n - ceil(bound * n) + 1`` of each, so only these prefixes are joined and no pair is lost.  Common shingles come
-last in the order, which keeps boilerplate out of the prefixes; which ones count as common changes the work only.
+first ``n - ceil(bound * n) + 1`` of each, so only these prefixes are joined, each with a few hubs at a time, and no pair
+is lost.  Common shingles come last in the order, which keeps boilerplate out of the prefixes; which ones count as common changes the work only.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from barloom.llm.graph import components
 COMMON, OFTEN, LOOKED = 50_000, 4, 4
 #: Fewest bits of a set's map; a larger set has at least one bit a shingle.
 LEAST_BITS = 64
+#: Nodes of a prefix shingle that all others are compared with in the second round, and how many times more have had
+#: their turn after each further one.  Neither changes a result.
+HUBS, GROWTH = 8, 4
 
 
 def shingle_set(text: str | None, shingle: int = 5):
@@ -193,14 +196,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     return found
 
 
-def links(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """Pairs of nodes that connect all whose sets reach ``percent`` of similarity.
+def _merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes of a component once these verified pairs are added: only roots meet in the new edges."""
+    one, two = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "r"), ("b", "s")))
+    edges = pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b"))
+    more = components(edges)
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    merged = settle(moved.union(more.join(roots, "node", "left_anti").select("node", "root")), "merged")
+    drop_tables(roots, more)
+    return merged
+
+
+def _apart(listed: DataFrame) -> DataFrame:
+    """The rows whose shingle is held by more than one component."""
+    open_ = listed.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle")
+    return listed.join(open_, "shingle")
+
+
+def roots_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """``node, root`` of every node whose set reaches ``percent`` of similarity with another, linked over such pairs.
 
     Nodes whose SimHash fingerprints differ in two bits at most, found by the popcount grid, are compared first.  Where
-    the nodes that share a prefix shingle are not one component yet, each is compared with the smallest of them; what is
-    then one component needs no more pairs, so a large group of near copies costs what it has members.  Only nodes of
-    different components that share a prefix shingle are compared one by one.  Every pair is verified by its whole sets;
-    tables are dropped as soon as the next one is written.
+    the nodes that share a prefix shingle are not one component yet, each is compared with the smallest of them, then
+    with about ``HUBS`` more, then with more in each round, until all have met or are one component.  So a round's pairs
+    are the rows it has left, a stated number of times, and a large group of near copies, which falls together in the
+    first rounds, costs what it has members; only what stays apart is compared one by one.  Two sets that reach the bound
+    do so from the first shingle they share, so a shingle brings together only nodes that have enough left after it.
+    Every pair is verified by its whole sets; tables are dropped as soon as the next one is written.
     """
     check = (nodes, docs, key, text, shingle, percent)
     firsts = settle(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
@@ -209,30 +231,31 @@ def links(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int,
     same = nodes.select("fp", F.col("node").alias("b")).join(firsts.select("fp", F.col("node").alias("a")), "fp").filter("a != b").select("a", "b")
     near = _verified(close.union(same), *check)
     roots = components(near)
-    drop_tables(firsts)
+    drop_tables(firsts, near)
     known = nodes.join(roots, "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("root"))
-    listed = known.select(F.explode("prefix").alias("shingle"), "node", "size", "root")
-    heads = listed.groupBy("shingle").agg(F.min(F.struct("node", "size", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most"))
-    heads = heads.filter("least < most").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("other"), F.col("hub.root").alias("apart"))
+    listed = known.select(F.posexplode("prefix").alias("at", "shingle"), "node", "size", "root").withColumn("after", F.expr("size - at - 1")).drop("at")
+    heads = listed.groupBy("shingle").agg(F.min(F.struct("node", "size", "after", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most"))
+    heads = heads.filter("least < most").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("other"), F.col("hub.after").alias("rest"), F.col("hub.root").alias("apart"))
     met = settle(listed.join(heads, "shingle"), "met")
-    lengths = f"100 * least(size, other) >= {percent} * greatest(size, other)"
-    more = _verified(met.filter(f"root != apart AND {lengths}").select(F.col("hub").alias("a"), F.col("node").alias("b")), *check)
-    drop_tables(roots)
-    near = near.union(more)
-    roots = components(near)
-    # the hub has met everyone: of the others, those that are one component have nothing left to find
-    left = met.filter("node != hub").select("shingle", "node", "size").join(roots, "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root"))
-    left = settle(left, "rest")
-    drop_tables(met, roots)
-    open_ = left.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle")
-    met = settle(left.join(open_, "shingle"), "open")
-    drop_tables(left)
-    one = met.select("shingle", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
-    two = met.select("shingle", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("s"))
-    lengths = f"100 * least(m, n) >= {percent} * greatest(m, n)"
-    last = _verified(one.join(two, "shingle").filter(f"a < b AND r != s AND {lengths}").select("a", "b"), *check)
-    drop_tables(met)
-    return near.union(last)
+    # lengths that can reach the bound, and enough shingles from this one on
+    may = f"root != apart AND 100 * least(size, other) >= {percent} * greatest(size, other) AND {100 + percent}L * (1 + least(after, rest)) >= {percent}L * (size + other)"
+    found = _verified(met.filter(may).select(F.col("hub").alias("a"), F.col("node").alias("b")), *check)
+    # the hub has met everyone
+    left, done, hubs = met.filter("node != hub").select("shingle", "node", "size", "after"), (met, found), HUBS
+    roots = _merged(roots, found)
+    counts = left.groupBy("shingle").agg(F.count("*").alias("n"))
+    # nodes are hashes: of n, about h have a turn below h, whichever they are
+    left = left.join(counts, "shingle").withColumn("turn", F.expr("(node / 18446744073709551616D + 0.5D) * n")).drop("n")
+    while True:
+        open_ = settle(_apart(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))), "open")
+        drop_tables(*done)
+        if open_.isEmpty():
+            drop_tables(open_)
+            return roots
+        heads = open_.filter(F.col("turn") < hubs).select("shingle", F.col("node").alias("hub"), F.col("size").alias("other"), F.col("after").alias("rest"), F.col("root").alias("apart"))
+        found = _verified(open_.join(heads, "shingle").filter(f"hub < node AND {may}").select(F.col("hub").alias("a"), F.col("node").alias("b")), *check)
+        left, done = open_.filter(F.col("turn") >= hubs).drop("root"), (open_, found)
+        roots, hubs = _merged(roots, found), hubs * GROWTH
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -247,7 +270,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     same = [F.first(c).alias(c) for c in ("size", "fp", "map", "prefix")]
     nodes = rows.groupBy("node").agg(F.min(row).alias("least"), *same)
     nodes = settle(nodes, "nodes")
-    roots = components(links(nodes, docs, key, text, shingle, percent))
+    roots = roots_of(nodes, docs, key, text, shingle, percent)
     named = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.print").alias("__print"))
     kept = settle(kept.distinct(), "kept")
