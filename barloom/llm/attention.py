@@ -1,15 +1,18 @@
 """A small causal self-attention model in numpy, mixed with probabilities from a tree of word beginnings.
 
-The first id of a word has probability ``gate * network + (1 - gate) * tree``; the ids after it, and the word's end, come
-from the tree, which knows them far better.  The network reads the subword ids before (one attention head over a window,
-relative positions) and gives probabilities of classes: the commonest first ids alone, the others in clusters that are
-followed alike, inside which counts decide.
+Every id, and the end of every word, has probability ``gate * network + (1 - gate) * tree``.  The network reads the
+subword ids before (one attention head over a window, relative positions) and has two heads: the classes of a word's first
+id, and inside words those of the next id, the word's end among them.  Classes are the commonest ids alone and the others
+in clusters that are followed alike, inside which counts decide.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Where the gate of the second head starts: inside words the tree knows most, and the network has to earn its share.
+INSIDE = -3.0
+
 
 @dataclass
 class Vocabulary:
@@ -24,6 +27,10 @@ class Vocabulary:
     n_classes: int
     within: object  # id -> log probability inside its class
     start: object  # log probability of each class
+    goes: object  # id -> class inside words; the last class is the word's end
+    n_goes: int
+    goes_within: object  # id -> log probability inside that class
+    goes_start: object  # log probability of each of those classes
 
     @classmethod
     def from_counts(cls, counts, first, pairs, order, single: int, clusters: int, seed: int = 3):
@@ -41,28 +48,41 @@ class Vocabulary:
         inside = pairs[: n + 1] + 4.0 * prior
         inside = inside / inside.sum(axis=1, keepdims=True)
         begun = first + 0.1
-        # classes of first ids: the commonest alone, the others by what follows them inside words
-        ranked = np.argsort(-first, kind="stable")[: max(single, 1)]
-        label = np.full(len(counts), -1)
-        label[ranked] = np.arange(len(ranked))
-        left = np.flatnonzero((label < 0) & ~other)
-        k = min(clusters, max(1, len(left)))
-        if len(left):
-            rows = np.sqrt(inside[place[left]])
-            rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-            middle = rows[np.random.default_rng(seed).choice(len(rows), k, replace=False)]
-            for _ in range(10):
-                to = (rows @ middle.T).argmax(axis=1)
-                for c in range(k):
-                    if (to == c).any():
-                        middle[c] = rows[to == c].sum(axis=0)
-                        middle[c] /= np.linalg.norm(middle[c])
-            label[left] = len(ranked) + to
-        label[label < 0] = len(ranked) + k
-        mass = np.bincount(label, begun, minlength=len(ranked) + k + 1)
-        within = np.log(begun) - np.log(np.maximum(mass[label], 1e-300))
-        start = np.log(np.maximum(mass, 1e-9) / mass.sum())
-        return cls(place, n, np.log(inside).astype("f4"), rest.astype("f4"), begun / begun.sum(), label, len(mass), within.astype("f4"), start.astype("f4"))
+        goes = np.maximum(counts - first, 0) + 0.1
+        left = {"inside": inside, "place": place, "other": other, "single": single, "clusters": clusters, "seed": seed}
+        label, mass, within = _grouped(first, begun, **left)
+        inner, weight, inner_within = _grouped(goes - 0.1, goes, **left)
+        weight = np.append(weight, pairs[: n + 1, n + 1].sum() + 0.1)
+        start, inner_start = (np.log(np.maximum(m, 1e-9) / m.sum()).astype("f4") for m in (mass, weight))
+        return cls(
+            place, n, np.log(inside).astype("f4"), rest.astype("f4"), begun / begun.sum(), label, len(mass), within.astype("f4"), start,
+            inner, len(weight), inner_within.astype("f4"), inner_start,
+        )
+
+
+def _grouped(seen, weight, inside, place, other, single: int, clusters: int, seed: int):
+    """Class per id, weight per class, log share of an id: the most ``seen`` alone, the others by what follows them inside words."""
+    import numpy as np
+
+    ranked = np.argsort(-seen, kind="stable")[: max(single, 1)]
+    label = np.full(len(seen), -1)
+    label[ranked] = np.arange(len(ranked))
+    left = np.flatnonzero((label < 0) & ~other)
+    k = min(clusters, max(1, len(left)))
+    if len(left):
+        rows = np.sqrt(inside[place[left]])
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        middle = rows[np.random.default_rng(seed).choice(len(rows), k, replace=False)]
+        for _ in range(10):
+            to = (rows @ middle.T).argmax(axis=1)
+            for c in range(k):
+                if (to == c).any():
+                    middle[c] = rows[to == c].sum(axis=0)
+                    middle[c] /= np.linalg.norm(middle[c])
+        label[left] = len(ranked) + to
+    label[label < 0] = len(ranked) + k
+    mass = np.bincount(label, weight, minlength=len(ranked) + k + 1)
+    return label, mass, np.log(weight) - np.log(np.maximum(mass[label], 1e-300))
 
 
 def fresh(vocabulary: Vocabulary, width: int, window: int, seed: int = 5) -> dict:
@@ -78,6 +98,7 @@ def fresh(vocabulary: Vocabulary, width: int, window: int, seed: int = 5) -> dic
         "embed": (0.5 * rng.normal(size=(vocabulary.size + 2, width))).astype("f4"), "q": w(width, width), "k": w(width, width), "v": w(width, width), "o": w(width, width),
         "near": np.zeros(window, "f4"), "w": w(width, width), "b": np.zeros(width, "f4"), "out": 0.1 * w(width, vocabulary.n_classes), "bias": vocabulary.start.copy(),
         "gate": np.zeros(width, "f4"), "gate_bias": np.zeros(1, "f4"),
+        "out_in": 0.1 * w(width, vocabulary.n_goes), "bias_in": vocabulary.goes_start.copy(), "gate_in": np.zeros(width, "f4"), "gate_bias_in": np.full(1, INSIDE, "f4"),
     }
 
 
@@ -108,20 +129,36 @@ def _attend(p: dict, inputs):
 
 def _mixed(p: dict, vocabulary: Vocabulary, u, tree, ids):
     """Natural log probability of first ids in states ``u``, given the tree's; parts for the way back."""
+    return _priced(p, "", u, tree, vocabulary.classes[ids], vocabulary.within[ids])
+
+
+def _priced(p: dict, head: str, u, tree, cls, within):
+    """Natural log probability of an id of share ``within`` in class ``cls`` of a head, given the tree's; parts for the way back."""
     import numpy as np
 
-    logits = u @ p["out"]
-    logits += p["bias"]
+    logits = u @ p["out" + head]
+    logits += p["bias" + head]
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     total = logits.sum(axis=1)
-    cls = vocabulary.classes[ids]
-    net = np.log(logits[np.arange(len(ids)), cls] / total + np.float32(1e-30)) + vocabulary.within[ids]
-    g = 1 / (1 + np.exp(-(u @ p["gate"] + p["gate_bias"][0])))
+    net = np.log(logits[np.arange(len(cls)), cls] / total + np.float32(1e-30)) + within
+    g = 1 / (1 + np.exp(-(u @ p["gate" + head] + p["gate_bias" + head][0])))
     one, two = np.log(g + 1e-9) + net, np.log(1 - g + 1e-9) + tree
     return np.logaddexp(one, two), (logits, total, cls, g, one, two)
 
 
+def _going_on(vocabulary: Vocabulary, ids, tree, first, closing):
+    """Which positions tell how a word goes on, and the class, share and tree value of what does: the id, or the end before a first id."""
+    import numpy as np
+
+    if closing is None:
+        return np.zeros(len(ids), bool), ids, tree, tree
+    return (
+        ~first | np.isfinite(closing), np.where(first, vocabulary.n_goes - 1, vocabulary.goes[ids]),
+        np.where(first, np.float32(0), vocabulary.goes_within[ids]), np.where(first, closing, tree),
+    )
+
+
 def windows(starts, ends, window: int, stride: int):
     """Windows over rows ``starts[i] .. ends[i]``: first input, inputs, and from which input on it scores.
 
@@ -147,10 +184,12 @@ def _inputs(vocabulary: Vocabulary, ids, starts, ends):
     return before
 
 
-def log_probabilities(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, stride: int, batch: int = 512):
-    """Natural log probability of each id of the rows: every first id is scored once with the ids before it in its window.
+def log_probabilities(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, stride: int, batch: int = 512, closing=None):
+    """Natural log probability of each id of the rows: every id is scored once with the ids before it in its window.
 
-    ``tree`` holds the tree's values of all ids, ``first`` marks ids that begin a word.
+    ``tree`` holds the tree's values of all ids, ``first`` marks ids that begin a word.  ``closing`` holds the tree's
+    value of the end of the word before a first id, NaN where there is none; such an end is scored in the state before
+    that id and counted with it.  Without ``closing`` only first ids are scored, the others keep the tree's value.
     """
     import numpy as np
 
@@ -158,19 +197,26 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids, tree, first, starts,
     before = _inputs(vocabulary, ids, starts, ends)
     at0, size, since = windows(starts, ends, window, stride)
     out, steps = np.array(tree, dtype=np.float64), np.arange(window)
+    going, cls, within, known = _going_on(vocabulary, ids, tree, first, closing)
     for at in range(0, len(at0), batch):
         f, n, s = at0[at : at + batch, None], size[at : at + batch, None], since[at : at + batch, None]
         inside = steps < n
         index = np.where(inside, f + steps, 0)
         u, _ = _attend(p, np.where(inside, before[index], vocabulary.size + 1))
-        picked = (inside & (steps >= s) & first[index]).ravel()
+        scored = inside & (steps >= s)
+        picked = (scored & first[index]).ravel()
         target = index.ravel()[picked]
         out[target], _ = _mixed(p, vocabulary, u[picked], tree[target], ids[target])
+        if closing is not None:
+            picked = (scored & going[index]).ravel()
+            target = index.ravel()[picked]
+            value, _ = _priced(p, "_in", u[picked], known[target], cls[target], within[target])
+            out[target] = np.where(first[target], out[target] + value, value)
     return out
 
 
-def train(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, epochs: int = 2, rate: float = 0.005, batch: int = 48, seed: int = 9) -> dict:
-    """Adam over shuffled windows of the rows, on first ids; returns the trained weights."""
+def train(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, epochs: int = 2, rate: float = 0.005, batch: int = 48, seed: int = 9, closing=None) -> dict:
+    """Adam over shuffled windows of the rows, on first ids, and with ``closing`` on all ids and ends of words; returns the trained weights."""
     import numpy as np
 
     window = len(p["near"])
@@ -178,6 +224,7 @@ def train(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, epoch
     if not len(at0):
         return p
     before = _inputs(vocabulary, ids, starts, ends)
+    going, cls, within, known = _going_on(vocabulary, ids, tree, first, closing)
     rng, steps = np.random.default_rng(seed), np.arange(window)
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     total, t = epochs * -(-len(at0) // batch), 0
@@ -188,7 +235,9 @@ def train(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, epoch
             inside = steps < size[rows, None]
             index = np.where(inside, at0[rows, None] + steps, 0)
             inputs = np.where(inside, before[index], vocabulary.size + 1)
-            grads = _gradients(p, vocabulary, inputs, ids[index], tree[index], inside & first[index])
+            on = index[inside & going[index]]
+            more = np.flatnonzero((inside & going[index]).ravel()), cls[on], within[on], known[on]
+            grads = _gradients(p, vocabulary, inputs, ids[index], tree[index], inside & first[index], more)
             t += 1
             step = rate * min(1.0, t / 20) * (1.0 - 0.9 * t / total)
             for k, g in grads.items():
@@ -198,24 +247,31 @@ def train(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, epoch
     return p
 
 
-def _gradients(p: dict, vocabulary: Vocabulary, inputs, ids, tree, marked) -> dict:
-    """Gradient of the mean negative log probability of the ``ids`` that are ``marked``."""
+def _gradients(p: dict, vocabulary: Vocabulary, inputs, ids, tree, marked, more=None) -> dict:
+    """Gradient of the mean negative log probability of the ``ids`` that are ``marked``, plus that of ``more`` by their number.
+
+    ``more`` holds places in the windows with the class, share and tree value of how a word goes on there.
+    """
     import numpy as np
 
     u, (x, q, k, v, a, c, h, gap) = _attend(p, inputs)
     n, length = inputs.shape
     width, at = x.shape[1], np.flatnonzero(marked.ravel())
-    own, flat = u[at], ids.ravel()[at]
-    value, (logits, total, cls, g, one, two) = _mixed(p, vocabulary, own, tree.ravel()[at], flat)
-    scale = np.float32(1.0 / max(1, len(at)))
-    share = np.exp(one - value).astype("f4")
-    d_logits = logits / total[:, None]
-    d_logits[np.arange(len(flat)), cls] -= 1
-    d_logits *= (share * scale)[:, None]
-    d_gate = ((g - share) * scale).astype("f4")
-    out = {"out": own.T @ d_logits, "bias": d_logits.sum(axis=0), "gate": own.T @ d_gate, "gate_bias": np.array([d_gate.sum()], "f4")}
-    d_u = np.zeros_like(u)
-    d_u[at] = d_logits @ p["out"].T + d_gate[:, None] * p["gate"]
+    flat, scale = ids.ravel()[at], np.float32(1.0 / max(1, len(at)))
+    if more is None:
+        more = (np.zeros(0, np.int64),) * 4
+    heads = {"": (at, vocabulary.classes[flat], vocabulary.within[flat], tree.ravel()[at]), "_in": more}
+    d_u, out = np.zeros_like(u), {}
+    for head, (at, cls, within, known) in heads.items():
+        own = u[at]
+        value, (logits, total, cls, g, one, two) = _priced(p, head, own, known, cls, within)
+        share = np.exp(one - value).astype("f4")
+        d_logits = logits / total[:, None]
+        d_logits[np.arange(len(cls)), cls] -= 1
+        d_logits *= (share * scale)[:, None]
+        d_gate = ((g - share) * scale).astype("f4")
+        out |= {"out" + head: own.T @ d_logits, "bias" + head: d_logits.sum(axis=0), "gate" + head: own.T @ d_gate, "gate_bias" + head: np.array([d_gate.sum()], "f4")}
+        d_u[at] += d_logits @ p["out" + head].T + d_gate[:, None] * p["gate" + head]
     d_pre = d_u * (1 - u * u)
     out["w"], out["b"] = h.T @ d_pre, d_pre.sum(axis=0)
     d_h = d_pre @ p["w"].T

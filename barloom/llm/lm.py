@@ -210,7 +210,11 @@ def _treed(words: DataFrame, vocabulary: attention.Vocabulary, total: int) -> Da
 
 
 def _flat(words: list[int], bounds, ids: list[bytes], tree: list[bytes]):
-    """Rows of word numbers, each followed by the end (the last of ``ids``), as ids, tree values, first marks and bounds."""
+    """Rows of word numbers, each followed by the end (the last of ``ids``), as ids, tree values, first marks and bounds.
+
+    The end of a word is told in the state before the next id of its row, of which ``closing`` holds the tree's value; the
+    values of other ends, of words without ids and behind the last id of a row, are given by word.
+    """
     import numpy as np
 
     index = np.insert(words, bounds[1:], len(ids) - 1)
@@ -227,7 +231,11 @@ def _flat(words: list[int], bounds, ids: list[bytes], tree: list[bytes]):
     at = np.repeat(begin[index] - done[:-1], length) + np.arange(done[-1])
     first = np.zeros(done[-1], bool)
     first[done[:-1]] = True
-    return stock[at], go[at], stop[index], first, done[bounds], index, bounds
+    cuts, stop, closing = done[bounds], stop[index], np.full(done[-1] + 1, np.nan)
+    told = length > 0
+    told[bounds[1:] - 1] = False
+    closing[done[1:][told]] = stop[told]
+    return stock[at], go[at], np.where(told, 0, stop), first, cuts, index, bounds, closing[:-1]
 
 
 def _looked_up(table):
@@ -258,8 +266,8 @@ def _round(rows: DataFrame, answers: DataFrame, vocabulary: attention.Vocabulary
             hashes, _, ids, tree = _looked_up(table)
             words, index, bounds = split_words(texts.column("text").combine_chunks())
             place = np.searchsorted(hashes, _hashes([*words, ""])).tolist()
-            flat, go, _, first, cuts, _, _ = _flat(index, bounds, [ids[i] for i in place], [tree[i] for i in place])
-            made = attention.train({k: w.copy() for k, w in weights.items()}, vocabulary, flat, go, first, cuts[:-1], cuts[1:], epochs, rate)
+            flat, go, _, first, cuts, _, _, closing = _flat(index, bounds, [ids[i] for i in place], [tree[i] for i in place])
+            made = attention.train({k: w.copy() for k, w in weights.items()}, vocabulary, flat, go, first, cuts[:-1], cuts[1:], epochs, rate, closing=closing)
             n = int(first.sum())
             sums = np.round(np.concatenate([made[k].ravel() for k in weights]).astype("f8") * FINE).astype(np.int64) * n
         return pa.table({"n": pa.array([n], pa.int64()), "sums": pa.array([sums.tobytes()], pa.binary())})
@@ -340,8 +348,8 @@ def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             c = counts[place]
             value = np.log10((c + 0.1) / (total + 0.1 * (different + 1)))
             place = place.tolist()
-            flat, go, stop, first, cuts, index, bounds = _flat(index, bounds, [ids[i] for i in place], [tree[i] for i in place])
-            logs = attention.log_probabilities(weights, vocabulary, flat, go, first, cuts[:-1], cuts[1:], STRIDE)
+            flat, go, stop, first, cuts, index, bounds, closing = _flat(index, bounds, [ids[i] for i in place], [tree[i] for i in place])
+            logs = attention.log_probabilities(weights, vocabulary, flat, go, first, cuts[:-1], cuts[1:], STRIDE, closing=closing)
             known, base, ended = (np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.float64)])[bounds]) for v in (c[index] > 0, value[index], stop))
             made = np.diff(np.concatenate([[0], np.cumsum(logs)])[cuts]) + ended
             out.append((np.diff(bounds), known, base, made / np.log(10)))

@@ -130,3 +130,77 @@ def test_gradients():
             down = loss()
             w[at] = keep
             assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-3, (name, at)
+
+
+def test_every_id_and_word_end_is_scored_by_attention():
+    v, p, rng = small_model()
+    p = {k: w + 0.1 * rng.normal(size=w.shape) for k, w in p.items()}
+    cuts = np.cumsum([0, 1, 5, 0, 9, 23])
+    ids, first = rng.integers(0, 30, cuts[-1]), rng.random(cuts[-1]) < 0.5
+    first[cuts[:-1][np.diff(cuts) > 0]] = True
+    tree, closing = (np.log(rng.random(cuts[-1]) * 0.5 + 0.01) for _ in range(2))
+    closing[~first] = np.nan
+    closing[cuts[:-1][np.diff(cuts) > 0]] = np.nan
+
+    def scored(ids, tree, closing):
+        return a.log_probabilities(p, v, ids, tree, first, cuts[:-1], cuts[1:], 6, batch=2, closing=closing)
+
+    got, ends = scored(ids, tree, closing), np.isfinite(closing)
+    alone = scored(ids, tree, None)
+    assert (got[~first] != tree[~first]).all() and (got[ends] < alone[ends]).all()
+    assert np.array_equal(got[first & ~ends], alone[first & ~ends])
+    for i in range(cuts[-1]):  # of what may come before, only this window's ids count; of what comes after, nothing
+        changed = ids.copy()
+        changed[i + 1 :] = 0
+        assert abs(scored(changed, tree, closing)[i] - got[i]) < 1e-6
+        # the ways on from inside a word, its end among them, sum to one
+        if not first[i]:
+            shares = np.exp(rng.normal(size=31))
+            shares /= shares.sum()
+            total = 0.0
+            for k in range(30):
+                other, told = ids.copy(), tree.copy()
+                other[i], told[i] = k, np.log(shares[k])
+                total += np.exp(scored(other, told, closing)[i])
+            start = cuts[np.searchsorted(cuts, i, "right") - 1]
+            if i - start >= 8:
+                continue
+            u, _ = a._attend(p, a._inputs(v, ids, cuts[:-1], cuts[1:])[None, start : i + 1])
+            stop, _ = a._priced(p, "_in", u[-1:], np.log(shares[30:]), np.array([v.n_goes - 1]), np.zeros(1))
+            assert abs(total + np.exp(stop[0]) - 1) < 1e-6
+
+
+def test_gradients_inside_words():
+    v, p, rng = small_model()
+    inputs, ids = rng.integers(0, 14, (3, 8)), rng.integers(0, 30, (3, 8))
+    tree, marked = np.log(rng.random((3, 8))), rng.random((3, 8)) < 0.5
+    p["gate_in"] += 0.3
+    at = np.arange(1, 24, 2)
+    more = at, rng.integers(0, v.n_goes, len(at)), np.log(rng.random(len(at))), np.log(rng.random(len(at)))
+
+    def loss():
+        u, _ = a._attend(p, inputs)
+        on = np.flatnonzero(marked.ravel())
+        one = a._mixed(p, v, u[on], tree.ravel()[on], ids.ravel()[on])[0].sum()
+        return -(one + a._priced(p, "_in", u[at], more[3], more[1], more[2])[0].sum()) / len(on)
+
+    grads = a._gradients(p, v, inputs, ids, tree, marked, more)
+    for name, w in p.items():
+        for place in list(np.ndindex(w.shape))[:: max(1, w.size // 4)]:
+            keep, step = w[place], 1e-4
+            w[place] = keep + step
+            up = loss()
+            w[place] = keep - step
+            down = loss()
+            w[place] = keep
+            assert abs((up - down) / (2 * step) - grads[name][place]) < 2e-3, (name, place)
+
+
+def test_ends_of_words_are_told_before_the_next_id():
+    ids = [np.array(i, "<u4").tobytes() for i in ([5, 6], [], [7], [1])]
+    tree = [np.array(t, "<f4").tobytes() for t in ([-1, -2, -3], [-4], [-5, -6], [-7, -8])]
+    flat, go, stop, first, cuts, index, bounds, closing = lm._flat(np.array([0, 1, 2, 0]), np.array([0, 3, 3, 4]), ids, tree)
+    assert flat.tolist() == [5, 6, 7, 1, 1, 5, 6, 1] and cuts.tolist() == [0, 4, 5, 8]
+    assert first.tolist() == [True, False, True, True, True, True, False, True]
+    assert np.array_equal(closing, [np.nan, np.nan, -3, -6, np.nan, np.nan, np.nan, -3], equal_nan=True)
+    assert stop.tolist() == [0, -4, 0, -8, -8, 0, -8]
