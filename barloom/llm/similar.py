@@ -107,7 +107,10 @@ def may_reach(m, n, one: list, two: list, percent: int):
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """``key, print, node, size, fp, map, prefix`` per row; rows with equal sets have the same node, rows of one text the same print."""
+    """``key, print, node, size, own, fp, map, prefix`` per row; rows with equal sets have the same node, rows of one text the same print.
+
+    ``own`` is how many thousandths of the set's shingles are none of the common ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, key, text, shingle))
 
     def run(batches):
@@ -117,7 +120,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int)
 
         common, counts = shared.value
         for batch in batches:
-            node, size, fp, maps, prefix = [], [], [], [], []
+            node, size, own, fp, maps, prefix = [], [], [], [], [], []
             for t in batch.column(2):
                 held = shingle_set(t.as_py(), shingle)
                 n = len(held)
@@ -125,14 +128,18 @@ def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, percent: int)
                 size.append(n)
                 fp.append(set_print(held))
                 maps.append(set_map(held))
+                known = 0
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, held), len(common) - 1)
-                    held = held[np.lexsort((held, np.where(common[at] == held, counts[at], 0)))]
+                    often = np.where(common[at] == held, counts[at], 0)
+                    known = np.count_nonzero(often)
+                    held = held[np.lexsort((held, often))]
+                own.append(1000 * (n - known) // max(n, 1))
                 prefix.append(held[: n - -(-percent * n // 100) + 1])
-            columns = [*batch.columns[:2], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(maps, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "print", "node", "size", "fp", "map", "prefix"])
+            columns = [*batch.columns[:2], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(own, pa.int32()), pa.array(fp, pa.int64()), pa.array(maps, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "print", "node", "size", "own", "fp", "map", "prefix"])
 
-    schema = T.StructType([docs.schema[key]] + T.StructType.fromDDL("print long, node long, size int, fp long, map binary, prefix array<long>").fields)
+    schema = T.StructType([docs.schema[key]] + T.StructType.fromDDL("print long, node long, size int, own int, fp long, map binary, prefix array<long>").fields)
     return spread(docs.select(key, text_print(text).alias("print"), text), key).mapInArrow(run, schema)
 
 
@@ -217,10 +224,12 @@ def roots_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: in
     """``node, root`` of every node whose set reaches ``percent`` of similarity with another, linked over such pairs.
 
     Nodes whose SimHash fingerprints differ in two bits at most, found by the popcount grid, are compared first.  Where
-    the nodes that share a prefix shingle are not one component yet, each is compared with the smallest of them, then
-    with about ``HUBS`` more, then with more in each round, until all have met or are one component.  So a round's pairs
-    are the rows it has left, a stated number of times, and a large group of near copies, which falls together in the
-    first rounds, costs what it has members; only what stays apart is compared one by one.  Two sets that reach the bound
+    the nodes that share a prefix shingle are not one component yet, each is compared with the one of them that has the
+    least of its own, then with about ``HUBS`` more, then with more in each round, until all have met or are one
+    component.  So a round's pairs are the rows it has left, a stated number of times.  A large group of near copies is
+    made of common shingles and what was changed in each: the least changed one lies in their middle, within the bound of
+    copies that are not within it of each other, so the group falls together in the first rounds and costs what it has
+    members; only what stays apart is compared one by one.  Two sets that reach the bound
     do so from the first shingle they share, so a shingle brings together only nodes that have enough left after it.
     Every pair is verified by its whole sets; tables are dropped as soon as the next one is written.
     """
@@ -232,11 +241,11 @@ def roots_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: in
     near = _verified(close.union(same), *check)
     roots = components(near)
     drop_tables(firsts, near)
-    known = nodes.join(roots, "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("root"))
-    listed = known.select(F.posexplode("prefix").alias("at", "shingle"), "node", "size", "root").withColumn("after", F.expr("size - at - 1")).drop("at")
-    heads = listed.groupBy("shingle").agg(F.min(F.struct("node", "size", "after", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most"))
+    known = nodes.join(roots, "node", "left").select("node", "size", "own", "prefix", F.coalesce("root", "node").alias("root"))
+    listed = known.select(F.posexplode("prefix").alias("at", "shingle"), "node", "size", "own", "root").withColumn("after", F.expr("size - at - 1")).drop("at")
+    heads = listed.groupBy("shingle").agg(F.min(F.struct("own", "node", "size", "after", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most"))
     heads = heads.filter("least < most").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("other"), F.col("hub.after").alias("rest"), F.col("hub.root").alias("apart"))
-    met = settle(listed.join(heads, "shingle"), "met")
+    met = settle(listed.drop("own").join(heads, "shingle"), "met")
     # lengths that can reach the bound, and enough shingles from this one on
     may = f"root != apart AND 100 * least(size, other) >= {percent} * greatest(size, other) AND {100 + percent}L * (1 + least(after, rest)) >= {percent}L * (size + other)"
     found = _verified(met.filter(may).select(F.col("hub").alias("a"), F.col("node").alias("b")), *check)
@@ -267,7 +276,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """
     rows = _prefixes(docs, key, text, shingle, percent)
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "print")
-    same = [F.first(c).alias(c) for c in ("size", "fp", "map", "prefix")]
+    same = [F.first(c).alias(c) for c in ("size", "own", "fp", "map", "prefix")]
     nodes = rows.groupBy("node").agg(F.min(row).alias("least"), *same)
     nodes = settle(nodes, "nodes")
     roots = roots_of(nodes, docs, key, text, shingle, percent)

@@ -79,6 +79,27 @@ def test_pairs_of_a_group_of_near_copies_grow_with_its_members(spark, monkeypatc
     assert sum(seen) <= 40 * len(rows)  # all pairs are 79,800
 
 
+def test_near_copies_meet_their_middle_first(spark, monkeypatch):
+    """Copies of one text with one to four words changed: nearly all are close to the text, few to each other."""
+    rng, seen, plain_possible = random.Random(7), [], similar._possible
+
+    def watched(pairs, *args):
+        seen.append(pairs.count())
+        return plain_possible(pairs, *args)
+
+    monkeypatch.setattr(similar, "_possible", watched)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 4)):
+            w[k] = f"x{i}k{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == plain_kept(rows)
+    assert sum(seen) <= 10 * len(rows)  # all pairs are 79,800
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (None, "A b", "d"), (5, "a B", "e"), (5, "a B", "e"), (6, "x y z " * 60_000, None), (None, "only one", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
