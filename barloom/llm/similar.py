@@ -16,9 +16,9 @@ from barloom.llm import simhash
 from barloom.llm.common import drop_tables, settle, spread, words
 from barloom.llm.graph import components
 
-#: Shingles put last in the order, and how many rows of a batch must hold one for it to be a candidate; one row in
-#: ``LOOKED`` is looked at.  None of them changes a result.
-COMMON, OFTEN, LOOKED = 50_000, 4, 4
+#: Shingles put last in the order, and how many of the rows looked at must hold one for it to be a candidate, whatever
+#: tasks they lie in; one row in ``LOOKED`` is looked at.  None of them changes a result.
+COMMON, OFTEN, LOOKED = 50_000, 4, 16
 #: Fewest bits of a set's map; a larger set has at least one bit a shingle.
 LEAST_BITS = 64
 #: Nodes of a prefix shingle that all others are compared with in the second round, and how many times more have had
@@ -51,13 +51,13 @@ def _common(docs: DataFrame, key: str, text: str, shingle: int):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
-            held, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
-            often = n >= OFTEN
-            yield pa.RecordBatch.from_arrays([pa.array(held[often]), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0).slice(at, 1000)]
+                held, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
     looked = docs.filter(F.pmod(F.xxhash64(key, text), F.lit(LOOKED)) == 0).select(text)
-    found = spread(looked).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = spread(looked).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
     return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 

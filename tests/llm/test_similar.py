@@ -100,6 +100,18 @@ def test_near_copies_meet_their_middle_first(spark, monkeypatch):
     assert sum(seen) <= 10 * len(rows)  # all pairs are 79,800
 
 
+def test_common_shingles_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    """A line of each row is common, however few rows a task has."""
+    rows = [(i, f"a line that all of them have x{i} y{i} z{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = [similar._common(d, "doc_id", "text", 5) for d in (docs.coalesce(1), docs.repartition(400))]
+    monkeypatch.setattr(similar, "spread", lambda df, *keys: df.repartition(200))
+    dealt.append(similar._common(docs, "doc_id", "text", 5))
+    assert len(dealt[0][0]) == 3  # of seven words
+    for shingles, n in dealt[1:]:
+        assert shingles.tolist() == dealt[0][0].tolist() and n.tolist() == dealt[0][1].tolist()
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (None, "A b", "d"), (5, "a B", "e"), (5, "a B", "e"), (6, "x y z " * 60_000, None), (None, "only one", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
