@@ -58,14 +58,22 @@ def _hashes(words: list[str]):
     import numpy as np
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """``key, text, train, block`` and the number of blocks."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (~held_out(F.col(key))).alias("train"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(1 + size // BLOCK_CHARS)).cast("int"))
+    blocks = 1 + size // BLOCK_CHARS
+    return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")), blocks
+
+
+def _together(rows: DataFrame, answers: DataFrame, blocks: int):
+    """Each block's texts with its answers, in so many tasks that few have two of the ``blocks``; a task is long for one."""
+    tasks = max(blocks, min(4 * blocks, 800))
+    texts, table = (d.repartition(tasks, "block").groupBy("block") for d in (rows, answers))
+    return texts.cogroup(table)
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -209,7 +217,17 @@ def _treed(words: DataFrame, vocabulary: attention.Vocabulary, total: int) -> Da
     return treed
 
 
-def _flat(words: list[int], bounds, ids: list[bytes], tree: list[bytes]):
+def _joined(values):
+    """Offsets and bytes of binary values, an Arrow array or a list."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = pa.array(values, pa.binary()) if isinstance(values, list) else values
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return offsets - offsets[0], memoryview(values.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+
+
+def _flat(words: list[int], bounds, ids, tree):
     """Rows of word numbers, each followed by the end (the last of ``ids``), as ids, tree values, first marks and bounds.
 
     The end of a word is told in the state before the next id of its row, of which ``closing`` holds the tree's value; the
@@ -217,15 +235,14 @@ def _flat(words: list[int], bounds, ids: list[bytes], tree: list[bytes]):
     """
     import numpy as np
 
-    index = np.insert(words, bounds[1:], len(ids) - 1)
+    (cuts, ids), (_, tree) = _joined(ids), _joined(tree)
+    index = np.insert(words, bounds[1:], len(cuts) - 2)
     bounds = bounds + np.arange(len(bounds))
-    size = np.fromiter((len(i) >> 2 for i in ids), dtype=np.int64, count=len(ids))
-    stock = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-    values = np.frombuffer(b"".join(tree), "<f4")
-    begin = np.cumsum(size) - size
+    size, begin = np.diff(cuts) >> 2, cuts[:-1] >> 2
+    stock, values = np.frombuffer(ids, "<u4").astype(np.int64), np.frombuffer(tree, "<f4")
     # a word's end is counted with its last id
-    stop = values[begin + np.arange(len(ids)) + size]
-    go = np.delete(values, begin + np.arange(len(ids)) + size)
+    ends = begin + np.arange(len(size)) + size
+    stop, go = values[ends], np.delete(values, ends)
     length = size[index]
     done = np.concatenate([[0], np.cumsum(length)])
     at = np.repeat(begin[index] - done[:-1], length) + np.arange(done[-1])
@@ -245,11 +262,11 @@ def _looked_up(table):
 
     hashes = np.asarray(table.column("hash").combine_chunks())
     order = np.argsort(hashes)
-    ids, tree = (table.column(c).combine_chunks().take(pa.array(order)).to_pylist() for c in ("ids", "tree"))
+    ids, tree = (table.column(c).combine_chunks().take(pa.array(order)) for c in ("ids", "tree"))
     return hashes[order], np.asarray(table.column("c").combine_chunks())[order], ids, tree
 
 
-def _round(rows: DataFrame, answers: DataFrame, vocabulary: attention.Vocabulary, weights: dict, epochs: int, rate: float) -> tuple[dict, int]:
+def _round(rows: DataFrame, answers: DataFrame, blocks: int, vocabulary: attention.Vocabulary, weights: dict, epochs: int, rate: float) -> tuple[dict, int]:
     """Weights after each block has trained from ``weights`` on all of its training texts, averaged by first ids seen, and these ids' number."""
     import numpy as np
 
@@ -265,8 +282,8 @@ def _round(rows: DataFrame, answers: DataFrame, vocabulary: attention.Vocabulary
         if texts.num_rows:
             hashes, _, ids, tree = _looked_up(table)
             words, index, bounds = split_words(texts.column("text").combine_chunks())
-            place = np.searchsorted(hashes, _hashes([*words, ""])).tolist()
-            flat, go, _, first, cuts, _, _, closing = _flat(index, bounds, [ids[i] for i in place], [tree[i] for i in place])
+            place = pa.array(np.searchsorted(hashes, _hashes([*words, ""])))
+            flat, go, _, first, cuts, _, _, closing = _flat(index, bounds, ids.take(place), tree.take(place))
             made = attention.train({k: w.copy() for k, w in weights.items()}, vocabulary, flat, go, first, cuts[:-1], cuts[1:], epochs, rate, closing=closing)
             n = int(first.sum())
             sums = np.round(np.concatenate([made[k].ravel() for k in weights]).astype("f8") * FINE).astype(np.int64) * n
@@ -285,7 +302,7 @@ def _round(rows: DataFrame, answers: DataFrame, vocabulary: attention.Vocabulary
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
 
     kind = "n long, sums binary"
-    parts = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind).mapInArrow(added, kind)
+    parts = _together(rows, answers, blocks).applyInArrow(run, kind).mapInArrow(added, kind)
     # one sum a task, then one of each sixteenth of the tasks, so that the driver gets few at any size
     parts = settle(parts.withColumn("part", F.spark_partition_id()), "sums")
     made, parts = parts, parts.repartition(16, "part").select("n", "sums").mapInArrow(added, kind).collect()
@@ -300,11 +317,11 @@ def _round(rows: DataFrame, answers: DataFrame, vocabulary: attention.Vocabulary
     return out, n
 
 
-def _fitted(rows: DataFrame, answers: DataFrame, vocabulary: attention.Vocabulary) -> dict:
+def _fitted(rows: DataFrame, answers: DataFrame, blocks: int, vocabulary: attention.Vocabulary) -> dict:
     """Weights from every training text in whole length, after a first round over a few blocks."""
     weights, few = attention.fresh(vocabulary, WIDTH, WINDOW), F.col("block") < STARTERS
-    weights, _ = _round(rows.filter(few), answers.filter(few), vocabulary, weights, *FIRST_ROUND)
-    return _round(rows, answers, vocabulary, weights, *FULL_ROUND)[0]
+    weights, _ = _round(rows.filter(few), answers.filter(few), min(blocks, 8 * STARTERS), vocabulary, weights, *FIRST_ROUND)
+    return _round(rows, answers, blocks, vocabulary, weights, *FULL_ROUND)[0]
 
 
 def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,7 +331,7 @@ def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     or nearly so.  Repeated rows stay repeated, and count in training as often as they occur; a null key is held out.
     Other columns are not read, whatever their names.  An empty table gives no rows.
     """
-    rows = _blocks(docs, key, text)
+    rows, blocks = _blocks(docs, key, text)
     asked = settle(_asked(rows), "asked")
     words = settle(asked.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("c")), "words")
     plain, words = words, settle(_encoded(words, tokenizer), "encoded")
@@ -328,7 +345,7 @@ def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     drop_tables(pairs, coded, *treed.sources)
     answers = settle(asked.select("block", "hash").join(words, "hash"), "answers")
     drop_tables(asked, words)
-    weights = _fitted(rows, answers, vocabulary)
+    weights = _fitted(rows, answers, blocks, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(texts, table):
@@ -347,8 +364,8 @@ def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             place = np.searchsorted(hashes, _hashes([*words, ""]))
             c = counts[place]
             value = np.log10((c + 0.1) / (total + 0.1 * (different + 1)))
-            place = place.tolist()
-            flat, go, stop, first, cuts, index, bounds, closing = _flat(index, bounds, [ids[i] for i in place], [tree[i] for i in place])
+            place = pa.array(place)
+            flat, go, stop, first, cuts, index, bounds, closing = _flat(index, bounds, ids.take(place), tree.take(place))
             logs = attention.log_probabilities(weights, vocabulary, flat, go, first, cuts[:-1], cuts[1:], STRIDE, closing=closing)
             known, base, ended = (np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.float64)])[bounds]) for v in (c[index] > 0, value[index], stop))
             made = np.diff(np.concatenate([[0], np.cumsum(logs)])[cuts]) + ended
@@ -365,5 +382,5 @@ def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields)
     names = schema.names
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return _together(rows, answers, blocks).applyInArrow(run, schema)
 

@@ -204,3 +204,41 @@ def test_ends_of_words_are_told_before_the_next_id():
     assert first.tolist() == [True, False, True, True, True, True, False, True]
     assert np.array_equal(closing, [np.nan, np.nan, -3, -6, np.nan, np.nan, np.nan, -3], equal_nan=True)
     assert stop.tolist() == [0, -4, 0, -8, -8, 0, -8]
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 40, 129, 130])
+def test_a_class_costs_two_short_rows_of_logits(n):
+    branch, place, shared, places = a.branches(n)
+    assert len({*zip(branch.tolist(), place.tolist())}) == n and (place < max(places, 1)).all()
+    assert branch.max() + 1 + places <= 2 * n**0.5 + a.ALONE + 3
+    rng = np.random.default_rng(n)
+    start = np.log(rng.dirichlet(np.ones(n)))
+    head = {k: w.astype("f8") for k, w in a._head(start, 6, rng, "").items()} | {"gate": np.zeros(6), "gate_bias": np.full(1, 40.0)}
+
+    def shares(u):
+        return np.exp(a._priced(head, "", u, np.full(n, -50.0), np.arange(n), np.zeros(n))[0])
+
+    assert np.allclose(shares(np.zeros((n, 6))), np.exp(start), atol=1e-6)
+    assert abs(shares(np.repeat(np.tanh(rng.normal(size=(1, 6))), n, axis=0)).sum() - 1) < 1e-6
+
+
+def test_states_by_place_are_those_of_attention_by_position():
+    _, p, rng = small_model()
+    p = {k: w + 0.1 * rng.normal(size=w.shape) for k, w in p.items()}
+    inputs = rng.integers(0, 14, (5, 8))
+    x = p["embed"][inputs]
+    logits = (x @ p["q"]) @ (x @ p["k"]).transpose(0, 2, 1) / 6**0.5
+    gap = np.arange(8)[:, None] - np.arange(8)
+    raised = np.where(gap >= 0, np.exp(logits + p["near"][np.maximum(gap, 0)]), 0)
+    want = np.tanh((x + raised / raised.sum(axis=2, keepdims=True) @ (x @ p["v"]) @ p["o"]) @ p["w"] + p["b"])
+    assert np.allclose(a._attend(p, inputs)[0].reshape(want.shape), want)
+    assert np.allclose(a._attend(p, inputs, a._told(p, slice(None)), 3)[0].reshape(5, 5, 6), want[:, 3:])
+    p["q"] *= 400  # logits too large to be raised as they are
+    assert np.isfinite(a._attend(p, inputs)[0]).all()
+
+
+def test_blocks_are_dealt_over_more_tasks_than_there_are_blocks(spark):
+    rows, blocks = lm._blocks(spark.createDataFrame([(i, "a b " * 50) for i in range(200)], "doc_id long, text string"), "doc_id", "text")
+    assert blocks == 1
+    dealt = lm._together(rows, rows, 30).applyInArrow(lambda x, y: x.select(["block"]), "block int")
+    assert dealt.rdd.getNumPartitions() == 120
