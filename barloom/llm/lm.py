@@ -70,8 +70,8 @@ def _blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
 
 
 def _together(rows: DataFrame, answers: DataFrame, blocks: int):
-    """Each block's texts with its answers, in so many tasks that few have two of the ``blocks``; a task is long for one."""
-    tasks = max(blocks, min(4 * blocks, 800))
+    """Each block's texts with its answers, in as many tasks as there are ``blocks``; with more, shuffle files compress less."""
+    tasks = max(blocks, 32)
     texts, table = (d.repartition(tasks, "block").groupBy("block") for d in (rows, answers))
     return texts.cogroup(table)
 
@@ -320,7 +320,7 @@ def _round(rows: DataFrame, answers: DataFrame, blocks: int, vocabulary: attenti
 def _fitted(rows: DataFrame, answers: DataFrame, blocks: int, vocabulary: attention.Vocabulary) -> dict:
     """Weights from every training text in whole length, after a first round over a few blocks."""
     weights, few = attention.fresh(vocabulary, WIDTH, WINDOW), F.col("block") < STARTERS
-    weights, _ = _round(rows.filter(few), answers.filter(few), min(blocks, 8 * STARTERS), vocabulary, weights, *FIRST_ROUND)
+    weights, _ = _round(rows.filter(few), answers.filter(few), min(blocks, STARTERS), vocabulary, weights, *FIRST_ROUND)
     return _round(rows, answers, blocks, vocabulary, weights, *FULL_ROUND)[0]
 
 

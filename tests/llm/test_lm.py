@@ -237,8 +237,8 @@ def test_states_by_place_are_those_of_attention_by_position():
     assert np.isfinite(a._attend(p, inputs)[0]).all()
 
 
-def test_blocks_are_dealt_over_more_tasks_than_there_are_blocks(spark):
+def test_blocks_are_dealt_over_as_many_tasks(spark):
     rows, blocks = lm._blocks(spark.createDataFrame([(i, "a b " * 50) for i in range(200)], "doc_id long, text string"), "doc_id", "text")
     assert blocks == 1
-    dealt = lm._together(rows, rows, 30).applyInArrow(lambda x, y: x.select(["block"]), "block int")
+    dealt = lm._together(rows, rows, 120).applyInArrow(lambda x, y: x.select(["block"]), "block int")
     assert dealt.rdd.getNumPartitions() == 120
