@@ -251,7 +251,7 @@ def _going_on(vocabulary: Vocabulary, ids, tree, first, closing):
     if closing is None:
         return np.zeros(len(ids), bool), ids, tree, tree
     return (
-        ~first | np.isfinite(closing), np.where(first, vocabulary.n_goes - 1, vocabulary.goes[ids]),
+        ~first | np.isfinite(closing), np.where(first, np.int32(vocabulary.n_goes - 1), vocabulary.goes.astype(np.int32)[ids]),
         np.where(first, np.float32(0), vocabulary.goes_within[ids]), np.where(first, closing, tree),
     )
 
@@ -275,7 +275,7 @@ def _inputs(vocabulary: Vocabulary, ids, starts, ends):
     """The place read before each id; the start of a row reads the start mark."""
     import numpy as np
 
-    before = np.full(len(ids), vocabulary.size + 1, dtype=np.int64)
+    before = np.full(len(ids), vocabulary.size + 1, dtype=np.int32)
     before[1:] = vocabulary.common[ids[:-1]]
     before[starts[starts < ends]] = vocabulary.size + 1
     return before
@@ -295,7 +295,7 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids, tree, first, starts,
     at0, size, since = windows(starts, ends, window, stride)
     out, steps = np.array(tree, dtype=np.float64), np.arange(window)
     going, cls, within, known = _going_on(vocabulary, ids, tree, first, closing)
-    classes, inside_class, told = vocabulary.classes[ids], vocabulary.within[ids], _told(p, slice(None))
+    classes, inside_class, told = vocabulary.classes.astype(np.int32)[ids], vocabulary.within[ids], _told(p, slice(None))
     for skip in np.unique(since):  # windows that score from the same input on
         of = np.flatnonzero(since == skip)
         for at in range(0, len(of), batch):
@@ -325,12 +325,12 @@ def train(p: dict, vocabulary: Vocabulary, ids, tree, first, starts, ends, epoch
         return p
     before = _inputs(vocabulary, ids, starts, ends)
     going, cls, within, known = _going_on(vocabulary, ids, tree, first, closing)
-    classes, inside_class = vocabulary.classes[ids], vocabulary.within[ids]
+    classes, inside_class = vocabulary.classes.astype(np.int32)[ids], vocabulary.within[ids]
     rng, steps = np.random.default_rng(seed), np.arange(window)
     shapes, cuts = {k: v.shape for k, v in p.items()}, np.cumsum([0, *(v.size for v in p.values())])
     inside = steps < size[:, None]
-    index = np.where(inside, at0[:, None] + steps, 0)
-    inputs = np.where(inside, before[index], vocabulary.size + 1)
+    index = np.where(inside, (at0[:, None] + steps).astype(np.int32 if len(ids) < 1 << 31 else np.int64), 0)
+    inputs = np.where(inside, before[index], np.int32(vocabulary.size + 1))
     begun, gone = inside & first[index], inside & going[index]
     # one array of all weights, of which each weight is a part
     flat = np.concatenate([v.ravel() for v in p.values()])

@@ -239,7 +239,7 @@ def _flat(words: list[int], bounds, ids, tree):
     index = np.insert(words, bounds[1:], len(cuts) - 2)
     bounds = bounds + np.arange(len(bounds))
     size, begin = np.diff(cuts) >> 2, cuts[:-1] >> 2
-    stock, values = np.frombuffer(ids, "<u4").astype(np.int64), np.frombuffer(tree, "<f4")
+    stock, values = np.frombuffer(ids, "<u4").astype(np.int32), np.frombuffer(tree, "<f4")
     # a word's end is counted with its last id
     ends = begin + np.arange(len(size)) + size
     stop, go = values[ends], np.delete(values, ends)
@@ -248,7 +248,7 @@ def _flat(words: list[int], bounds, ids, tree):
     at = np.repeat(begin[index] - done[:-1], length) + np.arange(done[-1])
     first = np.zeros(done[-1], bool)
     first[done[:-1]] = True
-    cuts, stop, closing = done[bounds], stop[index], np.full(done[-1] + 1, np.nan)
+    cuts, stop, closing = done[bounds], stop[index], np.full(done[-1] + 1, np.nan, np.float32)
     told = length > 0
     told[bounds[1:] - 1] = False
     closing[done[1:][told]] = stop[told]
