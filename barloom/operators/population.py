@@ -14,10 +14,18 @@ from barloom.operators.selection import top_bottom, top_per_group
 from barloom.session import cut_lineage
 
 
-def formula_stats(trades: DataFrame, formulas: DataFrame) -> DataFrame:
-    """G-01: trades, mean and mean-over-deviation per rule; no spread gives 0, no trades gives -1."""
+def formula_stats(trades: DataFrame, formulas: DataFrame, above_least: bool = False) -> DataFrame:
+    """G-01: trades, mean and mean-over-deviation per rule; no spread gives 0, no trades gives -1.
+
+    ``above_least`` takes the deviation of what lies above a rule's smallest return: returns that hardly differ keep
+    their digits then, whatever the order of sums.  It reads the trades twice.
+    """
+    pnl = F.col("pnl")
+    if above_least:
+        trades = trades.join(trades.groupBy("formula_id").agg(F.min("pnl").alias("_least")), "formula_id")
+        pnl = pnl - F.col("_least")
     s = trades.groupBy("formula_id").agg(
-        F.count(F.lit(1)).alias("n_trades"), F.avg("pnl").alias("mean_pnl"), F.stddev_samp("pnl").alias("std_pnl")
+        F.count(F.lit(1)).alias("n_trades"), F.avg("pnl").alias("mean_pnl"), F.stddev_samp(pnl).alias("std_pnl")
     )
     sharpe = F.when(F.col("n_trades").isNull(), F.lit(-1.0)).when(F.col("std_pnl") == 0, F.lit(0.0)).otherwise(
         F.try_divide("mean_pnl", "std_pnl")

@@ -87,9 +87,9 @@ USER_STATS = "SELECT formula_id, count(*) AS n_trades, avg(pnl)/stddev_samp(pnl)
 ALL_STATS = "SELECT formula_id, coalesce(n_trades,0) AS n_trades, coalesce(sharpe, CASE WHEN n_trades IS NULL THEN -1 END) AS sharpe FROM (SELECT DISTINCT formula_id FROM trades) LEFT JOIN us USING (formula_id)"
 
 
-def _user_stats(spark, folder, floor=1.2):
+def _user_stats(spark, folder, floor=1.2, above_least=False):
     t = views.trades(spark, folder)
-    return pp.formula_stats(t.where(F.col("pnl") > floor), t.select("formula_id").distinct())
+    return pp.formula_stats(t.where(F.col("pnl") > floor), t.select("formula_id").distinct(), above_least)
 
 
 @query("G04_population_diag", with_views("trades", "SELECT count(*) AS pop, round(avg((n_trades=0)::INT),4) AS zero_trade_pct, quantile_cont(n_trades::DOUBLE,0.5) FILTER (WHERE n_trades>0) AS trades_median, round(quantile_cont(n_trades::DOUBLE,0.9) FILTER (WHERE n_trades>0),10) AS trades_p90, round(quantile_cont(sharpe,0.5) FILTER (WHERE n_trades>0),10) AS sharpe_median, round(quantile_cont(sharpe,0.9) FILTER (WHERE n_trades>0),10) AS sharpe_p90 FROM s", us=USER_STATS, s=ALL_STATS))
@@ -98,10 +98,15 @@ def _(spark, folder):
     return got.select("pop", "zero_trade_pct", *rc("trades_median", "trades_p90", "sharpe_median", "sharpe_p90"))
 
 
-@query("G04_population_extremes", with_views("trades", "SELECT side, formula_id, round(sharpe,10) AS sharpe FROM (SELECT 'top' AS side, * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY round(sharpe,10) DESC, formula_id LIMIT 3) UNION ALL SELECT 'bottom', formula_id, round(sharpe,10) FROM (SELECT * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY round(sharpe,10), formula_id LIMIT 3)", us=USER_STATS, s=ALL_STATS))
+#: The same of the documented rule: no spread gives 0 (a quotient by zero is infinite in SQL), deviations above the smallest return.
+SPREAD = "SELECT formula_id, count(*) AS n_trades, avg(pnl) AS m, stddev_samp(pnl - least) AS sd FROM (SELECT *, min(pnl) OVER (PARTITION BY formula_id) AS least FROM trades WHERE pnl > 1.2) GROUP BY 1"
+SPREAD_STATS = "SELECT formula_id, n_trades, CASE WHEN sd = 0 THEN 0.0 ELSE m/sd END AS sharpe FROM sp"
+
+
+@query("G04_population_extremes", with_views("trades", "SELECT side, formula_id, round(sharpe,10) AS sharpe FROM (SELECT 'top' AS side, * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY round(sharpe,10) DESC, formula_id LIMIT 3) UNION ALL SELECT 'bottom', formula_id, round(sharpe,10) FROM (SELECT * FROM s WHERE n_trades>0 AND sharpe IS NOT NULL ORDER BY round(sharpe,10), formula_id LIMIT 3)", sp=SPREAD, us=SPREAD_STATS, s=ALL_STATS))
 def _(spark, folder):
     """Sharpe ratios equal in ten digits are a tie, which the rule's id decides: sums run in any order."""
-    s = _user_stats(spark, folder).where(F.col("sharpe").isNotNull()).withColumn("sharpe", rounded("sharpe", 10))
+    s = _user_stats(spark, folder, above_least=True).where(F.col("sharpe").isNotNull()).withColumn("sharpe", rounded("sharpe", 10))
     return pp.population_extremes(s, []).select("side", "formula_id", "sharpe")
 
 

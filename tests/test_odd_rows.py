@@ -53,6 +53,15 @@ def test_best_and_worst_among_copies(spark, copies):
     same(spark, copies, "G04_population_extremes")
 
 
+def test_best_and_worst_without_spread(spark, small, tmp_path):
+    """Rules whose returns are all alike, and rules whose returns differ in the last cent alone, many times in any order."""
+    folder = changed(
+        small, tmp_path,
+        events="SELECT t.* REPLACE (event_id * 50 + i AS event_id, event_id // 7 AS user_id, 200 + event_id // 7 * 0.37 + CASE WHEN event_id // 7 % 3 > 0 THEN (i * 3 + event_id) % 4 / 100 ELSE 0 END AS value) FROM t, range(50) x(i) ORDER BY hash(event_id, i)",
+    )
+    same(spark, folder, "G04_population_extremes")
+
+
 @pytest.fixture(scope="module")
 def halves(small, tmp_path_factory):
     """Means of six prices in cents: the triple of many lies half-way between two thousandths."""
