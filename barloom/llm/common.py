@@ -50,6 +50,15 @@ def drop_tables(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def shuffled_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that moves both sides and broadcasts neither, whatever size Spark expects of them.
+
+    For sides that grow with the table where their size is guessed too low: Spark takes an exploded row for one row, a
+    collected list for one value, and a written table for its compressed bytes, and would send the whole side through the driver.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def join_copies(rows: DataFrame, facts: DataFrame, on: str, seed: int = 17) -> DataFrame:
     """``rows`` left joined to ``facts``, which has one row at most for each value of ``on``, however many rows share a value.
 
@@ -65,7 +74,7 @@ def join_copies(rows: DataFrame, facts: DataFrame, on: str, seed: int = 17) -> D
     cells = F.coalesce("__cells", F.lit(1))
     dealt = rows.join(told, rows[on] == hot["__hot"], "left").withColumn("__cell", F.floor(F.rand(seed) * cells).cast("int"))
     copied = facts.join(told, facts[on] == hot["__hot"], "left").withColumn("__cell", F.explode(F.sequence(F.lit(0), cells - 1)))
-    return dealt.drop("__hot", "__cells").join(copied.drop("__hot", "__cells"), [on, "__cell"], "left").drop("__cell")
+    return shuffled_join(dealt.drop("__hot", "__cells"), copied.drop("__hot", "__cells"), [on, "__cell"], "left").drop("__cell")
 
 
 @contextmanager

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import drop_tables, settle
+from barloom.llm.common import drop_tables, settle, shuffled_join
 
+#: Edges up to which Spark may broadcast a round's tables; written edges take few bytes, and their rows on the driver many.
+FEW = 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, join) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    return join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, join) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    moved = join(edges, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -36,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = settle(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        before, edges = edges, settle(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        join = shuffled_join if mark[0] > FEW else DataFrame.join
+        before, edges = edges, settle(_small_star(_large_star(edges, join).distinct(), join).distinct(), "edges")
         drop_tables(before)
         now = _mark(edges)
         if now == mark:

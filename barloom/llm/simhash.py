@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import join_copies, settle, spread, words
+from barloom.llm.common import join_copies, settle, shuffled_join, spread, words
 from barloom.llm.graph import components
 
 #: Cells with more distinct fingerprints than this are linked through exact one-bit neighbours instead of pairs.
@@ -95,18 +95,18 @@ def links(prints: DataFrame, max_bits: int = 2, width: int = 2) -> DataFrame:
     cells = prints.select("fp").filter("fp IS NOT NULL").distinct().repartition(parts, "fp").withColumn("at", popcount_cell(F.col("fp"), width))
     cells = cells.select("fp", F.explode(F.expr(_one_step("at", width))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    met = settle(cells.join(shared, "cell"), "cells")
+    met = settle(shuffled_join(cells, shared, "cell"), "cells")
     few, many = met.filter(F.col("n") <= PAIRED_CELL), met.filter(F.col("n") > PAIRED_CELL).select("fp").distinct()
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     left, right = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
-    pairs = left.join(right, (left["cell"] == right["cell"]) & near).select("a", "b")
+    pairs = shuffled_join(left, right, (left["cell"] == right["cell"]) & near).select("a", "b")
     flips = F.expr("transform(sequence(0, 63), s -> fp ^ shiftleft(1L, s))")
     hubs = many.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("hub"))
     if max_bits == 1:
-        stars = hubs.join(many.select(F.col("fp").alias("hub")), "hub").filter("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+        stars = shuffled_join(hubs, many.select(F.col("fp").alias("hub")), "hub").filter("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     else:
         first = hubs.groupBy("hub").agg(F.min("fp").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        stars = hubs.join(first, "hub").filter("fp != first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+        stars = shuffled_join(hubs, first, "hub").filter("fp != first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -120,9 +120,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     prints = settle(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
     roots = components(links(nodes, max_bits, width)).withColumnRenamed("node", "fp")
-    linked = nodes.join(roots, "fp")
-    found = linked.groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("fp", "component_id")
-    ids = settle(nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")
+    linked = shuffled_join(nodes, roots, "fp")
+    found = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = join_copies(roots, found, "root").select("fp", "component_id")
+    ids = settle(shuffled_join(nodes, found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")
     return join_copies(prints, ids, "fp").select(key, "fp", "component_id")
 
 

@@ -83,3 +83,21 @@ def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 201), (201, 201), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
+
+
+def test_exploded_sides_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Spark takes each of these short rows for one row, though it becomes some 60."""
+    plans = []
+
+    def settle(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "settle", settle)
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(50)] + [(1 << i,) for i in range(40)], "fp long")
+    prints.write.parquet(f"{tmp_path}/prints")
+    for bits in (1, 2):
+        made = simhash.links(spark.read.parquet(f"{tmp_path}/prints"), bits)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        assert made.count()
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
