@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import settle, spread
+from barloom.llm.common import settle, shuffled_join, spread
 
 #: Cosines this close are ties until they are computed from the original vectors.
 TIED = 1e-12
@@ -267,11 +267,11 @@ def _nearest(rows: DataFrame, k: int, key: str, recall: float, per_leaf: int) ->
 
     def blocked(rows, name):
         counts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        parts = rows.join(counts, "leaf").groupBy("leaf", F.pmod("vec", "blocks").alias("block"))
+        parts = shuffled_join(rows, counts, "leaf").groupBy("leaf", F.pmod("vec", "blocks").alias("block"))
         return parts.agg(packed.alias(name)).drop("block")
 
     left, right = blocked(settle(walked, "walks"), "asked"), blocked(filed, "held")
-    blocks = left.join(right, "leaf").select("asked.vec", "asked.embedding", F.col("held.vec").alias("vec2"), F.col("held.embedding").alias("embedding2"))
+    blocks = shuffled_join(left, right, "leaf").select("asked.vec", "asked.embedding", F.col("held.vec").alias("vec2"), F.col("held.embedding").alias("embedding2"))
 
     def score(batches):
         import numpy as np
@@ -307,7 +307,7 @@ def _nearest(rows: DataFrame, k: int, key: str, recall: float, per_leaf: int) ->
     found = found.join(last, found["asker"] == last["of"]).filter(F.col("near") >= F.col("last") - TIED).select("asker", "vec", "near")
     # back to rows: every key that shares a found vector, scored on the original vectors
     other = members.select("vec", F.col("embedding").alias("other"), F.col("key").alias("id"))
-    pairs = found.join(other, "vec").join(asked.select(F.col("vec").alias("asker"), F.col("key").alias("query_id"), "embedding"), "asker")
+    pairs = shuffled_join(shuffled_join(found, other, "vec"), asked.select(F.col("vec").alias("asker"), F.col("key").alias("query_id"), "embedding"), "asker")
     pairs = pairs.filter("id != query_id")
     ranked = pairs.withColumn("score", _cosine(F.col("embedding"), F.col("other")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

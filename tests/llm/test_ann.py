@@ -85,3 +85,18 @@ def test_walk_visits_every_leaf_once():
     order = tree.leaves_by_nearness(points[0], tree.n_leaves)
     assert sorted(order) == list(range(tree.n_leaves)) and tree.n_leaves == 40
     assert set(tree.leaf_of(points)) <= set(order)
+
+
+def test_blocks_are_not_broadcast(spark, monkeypatch):
+    """The walks of one query repeat its vector, so that their file is small and their blocks are not."""
+    plans, written = {}, ann.settle
+
+    def settle(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label)
+
+    monkeypatch.setattr(ann, "settle", settle)
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    assert ann.nearest(rows, F.col("vec_id") % 50 == 0, per_leaf=20).count() == 40
+    assert "SortMergeJoin" in plans["near"] and "Broadcast" not in plans["near"]
