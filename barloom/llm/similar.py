@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import simhash
-from barloom.llm.common import drop_tables, settle, spread, words
+from barloom.llm.common import drop_tables, settle, shuffled_join, spread, words
 from barloom.llm.graph import components
 
 #: Shingles put last in the order, and how many of the rows looked at must hold one for it to be a candidate, whatever
@@ -236,12 +236,12 @@ def roots_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: in
     check = (nodes, docs, key, text, shingle, percent)
     firsts = settle(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
     one, two = (firsts.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("a", "x"), ("b", "y")))
-    close = simhash.links(nodes.select("fp")).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    close = shuffled_join(shuffled_join(simhash.links(nodes.select("fp")), one, "a"), two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.select("fp", F.col("node").alias("b")).join(firsts.select("fp", F.col("node").alias("a")), "fp").filter("a != b").select("a", "b")
     near = _verified(close.union(same), *check)
     roots = components(near)
     drop_tables(firsts, near)
-    known = nodes.join(roots, "node", "left").select("node", "size", "own", "prefix", F.coalesce("root", "node").alias("root"))
+    known = shuffled_join(nodes, roots, "node", "left").select("node", "size", "own", "prefix", F.coalesce("root", "node").alias("root"))
     listed = known.select(F.posexplode("prefix").alias("at", "shingle"), "node", "size", "own", "root").withColumn("after", F.expr("size - at - 1")).drop("at")
     heads = listed.groupBy("shingle").agg(F.min(F.struct("own", "node", "size", "after", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most"))
     heads = heads.filter("least < most").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("other"), F.col("hub.after").alias("rest"), F.col("hub.root").alias("apart"))
@@ -284,4 +284,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.print").alias("__print"))
     kept = settle(kept.distinct(), "kept")
     drop_tables(nodes, roots)
-    return docs.join(kept, docs[key].eqNullSafe(kept["__key"]) & (text_print(text) == kept["__print"]), "left_semi")
+    return shuffled_join(docs, kept, docs[key].eqNullSafe(kept["__key"]) & (text_print(text) == kept["__print"]), "left_semi")

@@ -152,3 +152,9 @@ def test_stage_drops_near_copies(spark):
     docs = table(spark, SMALL, "documents")
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SMALL).collect()}
     assert got == plain_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_rows_kept_are_not_broadcast(spark):
+    kept = similar.keep_one(table(spark, SMALL, "documents"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
