@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import attention
-from barloom.llm.common import drop_tables, settle
+from barloom.llm.common import drop_tables, settle, shuffled_join
 from barloom.llm.subwords import encoder, pieces
 
 #: Characters of text in a block.
@@ -176,10 +176,10 @@ def _treed(words: DataFrame, vocabulary: attention.Vocabulary, total: int) -> Da
     idle = (bare + 0.1) / (total + 0.1 * (len(vocabulary.begins) + 1))
     # different ways to go on, the word's end among them where it was seen
     ways = F.greatest(F.coalesce("kinds", F.lit(0)) + (F.col("held") > F.coalesce("longer", F.lit(0))).cast("int"), F.lit(1))
-    known = sums.join(kinds, "begin", "left").select("begin", "held", ways.alias("ways"))
-    path = begun.select("hash", "k", "begin").join(known, "begin").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("k", "held", "ways"))).alias("path"))
+    known = shuffled_join(sums, kinds, "begin", "left").select("begin", "held", ways.alias("ways"))
+    path = shuffled_join(begun.select("hash", "k", "begin"), known, "begin").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("k", "held", "ways"))).alias("path"))
     none = F.array().cast("array<bigint>")
-    joined = words.join(path.select("hash", F.col("path.held").alias("held"), F.col("path.ways").cast("array<bigint>").alias("ways")), "hash", "left")
+    joined = shuffled_join(words, path.select("hash", F.col("path.held").alias("held"), F.col("path.ways").cast("array<bigint>").alias("ways")), "hash", "left")
     joined = joined.select("hash", "c", "ids", F.coalesce("held", none).alias("held"), F.coalesce("ways", none).alias("ways"))
 
     def run(batches):
@@ -343,7 +343,7 @@ def score(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     coded, treed = words, _treed(words, vocabulary, total)
     words = settle(treed, "tree")
     drop_tables(pairs, coded, *treed.sources)
-    answers = settle(asked.select("block", "hash").join(words, "hash"), "answers")
+    answers = settle(shuffled_join(asked.select("block", "hash"), words, "hash"), "answers")
     drop_tables(asked, words)
     weights = _fitted(rows, answers, blocks, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))

@@ -242,3 +242,18 @@ def test_blocks_are_dealt_over_as_many_tasks(spark):
     assert blocks == 1
     dealt = lm._together(rows, rows, 120).applyInArrow(lambda x, y: x.select(["block"]), "block int")
     assert dealt.rdd.getNumPartitions() == 120
+
+
+def test_beginnings_and_answers_are_not_broadcast(spark, monkeypatch):
+    """A word becomes a row for each of its beginnings, and Spark takes it for one."""
+    plans, written = {}, lm.settle
+
+    def settle(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label)
+
+    monkeypatch.setattr(lm, "settle", settle)
+    monkeypatch.setattr(lm, "_fitted", lambda rows, answers, blocks, vocabulary: a.fresh(vocabulary, lm.WIDTH, lm.WINDOW))
+    lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), default_path())
+    for label in ("tree", "answers"):
+        assert "SortMergeJoin" in plans[label] and "Broadcast" not in plans[label]
